@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from checks.sample_view import event_table
 from footlog.model import DAY_MS, Scope, Window
-from footlog.operators import breakdowns, scalars, series, vitals
+from footlog.operators import (
+    breakdowns, explore, filters, geo, lifecycle, paths, people, portfolio, retention, revenue, scalars, series, vitals,
+)
+from footlog.operators.filters import Filter
+from footlog.operators.paths import Goal, Step
 from footlog.plans import bundle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,5 +128,139 @@ def bundle_queries() -> dict[str, Query]:
     return out
 
 
+WIDE_STEPS = (Step("page", "/"), Step("event", "error"), Step("event", "error"), Step("event", "purchase"))
+
+AGENT_STEPS = (Step("page", "/p/3"), Step("event", "error"))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites of the view; the last one is in strict privacy mode."""
+    mode = F.when(F.col("site_id") == "s2", "strict").otherwise("standard").alias("privacy_mode")
+    return event_table(spark, sf_dir).select("site_id").distinct().select("site_id", mode)
+
+
+def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A country table read from nations: the first two letters stand for the code."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    coded = nations.groupBy(F.substring("n_name", 1, 2).alias("code")).agg(F.min("n_name").alias("name"))
+    return coded.select("code", "name", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+
+
+def report_queries() -> dict[str, Query]:
+    de = (Filter("country", "DE"), Filter("browser", "Safari", "is_not"))
+
+    def events(operator: Callable[..., DataFrame], *args, **options) -> Query:
+        return lambda spark, sf_dir: operator(event_table(spark, sf_dir), *args, **options)
+
+    def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return portfolio.portfolio(scope(spark, sf_dir, LATE), sites(spark, sf_dir))
+
+    return {
+        "d01_audiences": audiences,
+        "d02_row_filter": on(breakdowns.breakdown, "channels.sessions", filters=de),
+        "d03_property_filter": on(breakdowns.breakdown, "events.top", filters=(Filter("prop:tier", "t1"),)),
+        "d04_session_event_filter": on(breakdowns.breakdown, "pages.top", filters=(Filter("event", "purchase"),)),
+        "d05_entry_exit_filter": on(
+            breakdowns.stats, "sessions", "channel", filters=(Filter("entry_page", "/"), Filter("exit_page", "/p/1", "is_not"))
+        ),
+        "d06_is_not": on(breakdowns.stats, "events", "device", filters=(Filter("os", "iOS", "is_not"),)),
+        "d07_like": on(
+            breakdowns.stats,
+            "sessions",
+            "referrer_host",
+            filters=(
+                Filter("referrer_host", "GOOGLE", "contains"),
+                Filter("path", "/P/", "starts_with"),
+                Filter("browser", "app", "not_contains"),
+            ),
+        ),
+        "d08_regex": on(
+            breakdowns.stats, "sessions", "path", filters=(Filter("path", "^/p/[1-3]$", "regex"), Filter("source", "oo", "not_regex"))
+        ),
+        "d08_matched_values": on(filters.matched_values, Filter("path", "^/p/[1-3]$", "regex")),
+        "d09_filtered_comparison": on(bundle.scalar_table, LATE.previous(), window=LATE, filters=de),
+        "d11_suggestions": on(filters.suggestions, "path", "p/"),
+        "d11_property_suggestions": on(filters.suggestions, "prop:currency"),
+        "f01_sessions": on(explore.list_sessions, limit=200, window=LATE, filters=(Filter("path", "/p/3"),)),
+        "f01_sessions_total": on(explore.count_sessions, window=LATE, filters=(Filter("path", "/p/3"),)),
+        "f02_timelines": events(explore.timelines),
+        "f03_users": on(explore.list_users, limit=200),
+        "f03_visitors": on(explore.list_users, "anonymous", limit=200),
+        "f03_users_total": on(explore.count_users),
+        "f04_profiles": events(explore.profiles),
+        "f05_traits": events(explore.traits),
+        "f06_event_properties": on(explore.event_properties),
+        "f07_event_series": on(explore.event_series, DAY_MS),
+        "f08_event_log": on(explore.event_log),
+        "f09_error_occurrences": on(explore.error_occurrences, "E1", "/a1.js", 1),
+        "f10_journeys": on(paths.journeys, 4, 100),
+        "f10_journeys_filtered": on(paths.journeys, 3, 100, ("/p/*", None, "/p/2")),
+        "f10_journeys_total": on(paths.journey_base),
+        "f12_goal_page": on(paths.goal, Goal("page", "/p/*")),
+        "f12_goal_event": on(paths.goal, Goal("event", "purchase", "currency", "USD")),
+        "f12_goal_paths": on(paths.goal_paths, Goal("page", "/**")),
+        "f13_funnel": on(paths.funnel),
+        "f13_funnel_repeats": on(paths.funnel, WIDE_STEPS),
+        "f13_funnel_agents": on(paths.funnel, AGENT_STEPS, "agent"),
+        "f13_funnel_filtered": on(paths.funnel, WIDE_STEPS, filters=(Filter("device", "mobile"),)),
+        "f15_retention": on(retention.cohort_cells),
+        "f15_retention_curve": lambda spark, sf_dir: retention.curve(retention.cohort_cells(scope(spark, sf_dir))),
+        "f15_availability": lambda spark, sf_dir: retention.availability(scope(spark, sf_dir), sites(spark, sf_dir)),
+        "f16_accounting": on(lifecycle.accounting, window=LATE),
+        "f17_one_and_done": on(lifecycle.one_and_done, window=LATE),
+        "f18_lifecycle_events": on(lifecycle.lifecycle_events),
+        "f19_plans": on(lifecycle.plans),
+        "f20_plan_changes": on(lifecycle.plan_changes, window=LATE),
+        "f21_active_series": on(lifecycle.active_series, DAY_MS),
+        "f21_new_series": on(lifecycle.new_series, DAY_MS),
+        "f22_privacy_check": on(lifecycle.privacy_check),
+        "f23_data_from": on(lifecycle.data_from),
+        "f24_people": on(people.list_people, limit=100),
+        "f24_people_segment": on(people.list_people, "returning", "actions", "pro", limit=100),
+        "f25_people_summary": on(people.summary, NOW),
+        "f26_top_actions": on(people.top_actions),
+        "f27_people_by_plan": on(people.by_plan),
+        "f28_actions_by_day": on(people.actions_by_day),
+        "f28_latest_visits": on(people.latest_visits),
+        "f30_portfolio_traffic": on(portfolio.traffic, window=LATE),
+        "f31_portfolio_people": on(portfolio.people, window=LATE),
+        "f32_portfolio_signups": on(portfolio.signups, window=LATE),
+        "f32_portfolio_moves": on(portfolio.moves, window=LATE),
+        "f32_portfolio_paying": on(portfolio.paying, window=LATE),
+        "f33_portfolio_revenue": on(portfolio.revenue, window=LATE),
+        "f34_portfolio_series": on(portfolio.series),
+        "f35_portfolio_platforms": on(portfolio.platforms),
+        "f36_portfolio": assembled,
+        "f36_portfolio_totals": lambda spark, sf_dir: portfolio.totals(assembled(spark, sf_dir)),
+        "f36_portfolio_money": lambda spark, sf_dir: portfolio.money_totals(scope(spark, sf_dir), sites(spark, sf_dir)),
+        "f37_revenue_currencies": on(revenue.currencies),
+        "f38_revenue_totals": on(revenue.totals, window=LATE),
+        "f39_revenue_per_visitor": on(revenue.per_visitor),
+        "f40_revenue_by_channel": on(revenue.breakdown, "channel"),
+        "f40_revenue_by_path": on(revenue.breakdown, "path", "USD"),
+        "f41_revenue_series": on(revenue.over_time, DAY_MS),
+        "f42_agent_revenue": on(revenue.agent_revenue),
+        "f43_revenue_rejected": on(revenue.rejected),
+        "f47_geo_coverage": on(geo.coverage),
+        "f48_geo_countries": on(geo.countries),
+        "f48_geo_regions": on(geo.regions),
+        "f49_geo_points": on(geo.points),
+        "f50_geo_sessions": on(geo.sessions),
+        "f51_geo_report": lambda spark, sf_dir: geo.report(scope(spark, sf_dir), nation_codes(spark, sf_dir))["geo.countries"],
+    }
+
+
+def audiences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and sessions of each audience."""
+    from footlog.model import AUDIENCES, audience
+
+    rows = event_table(spark, sf_dir)
+    labels = F.array_compact(F.array(*[F.when(audience(name), F.lit(name)) for name in AUDIENCES]))
+    spread = rows.select("site_id", "session_id", F.explode(labels).alias("audience"))
+    return spread.groupBy("site_id", "audience").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("session_id").alias("sessions")
+    )
+
+
 def all_queries() -> dict[str, Query]:
-    return bundle_queries()
+    return bundle_queries() | report_queries()

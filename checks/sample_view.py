@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footlog.model import EVENT_SCHEMA
 from footlog.operators.ordered import sessionize
+from footlog.sources.event_table import read_events, with_defaults, write_events
 
 GAP_MS = 21_600_000
 MS_SPARK = "unix_millis(to_timestamp_ltz(concat(cast(ts as string), 'Z')))"
@@ -104,8 +109,36 @@ def unsessioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(COLUMNS_SQL.replace("{MS}", MS_SPARK).replace("{EVENTS}", name) + "select * from c")
 
 
-def event_table(spark: SparkSession, sf_dir: str, gap_ms: int = GAP_MS) -> DataFrame:
+def sessioned(spark: SparkSession, sf_dir: str, gap_ms: int = GAP_MS) -> DataFrame:
     """The view with sessions assigned by the library."""
     placed = sessionize(unsessioned(spark, sf_dir), ["site_id", "visitor_id"], gap_ms)
     named = F.concat("visitor_id", F.lit("-"), F.col("session_no").cast("string"))
     return placed.withColumn("session_id", named).drop("session_no", "session_start")
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The cluster's shared folder; a temporary one only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    return tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
+
+
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's events as a stored event table, written once per application in the library's layout.
+
+    Every metric then reads what it would read in production: a partitioned, pruned, pushed-down scan.
+    Without a shared folder the table stays a lazy view.
+    """
+    folder = shared_folder(spark)
+    if folder is None:
+        return sessioned(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        path = f"{folder}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/events"
+        write_events(with_defaults(sessioned(spark, sf_dir)).select(*EVENT_SCHEMA.fieldNames()), path)
+        _tables[key] = read_events(spark, path)
+    return _tables[key]

@@ -130,6 +130,17 @@ class Scope:
     def at(self, window: Window) -> Scope:
         return replace(self, window=window)
 
+    def inside(self, until_only: bool = False) -> Column:
+        """The window as a scan condition; on a stored table the day partitions are pruned with it."""
+        end = F.col("ts") < self.window.to_ms
+        condition = end if until_only else self.window.contains()
+        if "day" in self.events.columns:
+            last = F.date_from_unix_date(F.lit((self.window.to_ms - 1) // DAY_MS))
+            condition = condition & (F.col("day") <= last)
+            if not until_only:
+                condition = condition & (F.col("day") >= F.date_from_unix_date(F.lit(self.window.from_ms // DAY_MS)))
+        return condition
+
     def site_events(self) -> DataFrame:
         """Every event of the scope's sites, at any time."""
         return self.events if self.site is None else self.events.where(F.col("site_id") == self.site)
@@ -144,8 +155,7 @@ class Scope:
         """
         from footlog.operators.filters import apply_filters
 
-        inside = F.col("ts") < self.window.to_ms if until_only else self.window.contains()
-        picked = self.site_events().where(inside & self.who(audience))
+        picked = self.site_events().where(self.inside(until_only) & self.who(audience))
         return apply_filters(picked, self.site_events(), self.filters) if filtered else picked
 
     def per_site(self, rows: DataFrame, *measures: Column) -> DataFrame:
