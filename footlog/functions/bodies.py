@@ -1,15 +1,12 @@
 """Reading and checking a request body (B1, B3), and the property list it carries.
 
-Properties travel as an array of (key, value) in the order they were sent, each value a VARIANT: its JSON
-type decides what is allowed, and strict sites keep the first few only.
+Properties travel as ``entries``, an array of (k, v) in the order they were sent, each value a VARIANT: its
+JSON type decides what is allowed, and strict sites keep the first few only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from footlog.functions.values import round_to
+from footlog.functions.stages import strip
 from footlog.model import DAY_MS
 
 # Limits of a body.
@@ -19,154 +16,140 @@ LIMITS = {
 }
 AGO_MAX = DAY_MS
 KEY_MAX, VALUE_MAX, PROPS_MAX = 40, 500, 24
-REVENUE_MAX = 1e9
-NUMERIC = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
-ENTRY_TYPE = "array<struct<k:string,v:variant>>"
-
-
-def strip(text: Column) -> Column:
-    """Trim any white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-def field(parsed: Column, name: str) -> Column:
-    return F.try_variant_get(parsed, f"$.{name}", "variant")
-
-
-def text_field(parsed: Column, name: str) -> Column:
-    """A string field cut to its limit and trimmed; '' when missing or not a string."""
-    value = field(parsed, name)
-    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    return F.coalesce(strip(F.substring(text, 1, LIMITS[name])), F.lit(""))
-
-
-def entry(key: str, value: Column) -> Column:
-    return F.struct(F.lit(key).alias("k"), value.cast("variant").alias("v"))
-
-
-def type_of(item: Column) -> Column:
-    return F.schema_of_variant(item["v"])
-
+REVENUE_MAX = 1_000_000_000
+NUMERIC = "rlike r'^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)'"
+INFINITE = "cast('Infinity' as double)"
 
-def text_of(item: Column) -> Column:
-    return F.try_variant_get(item["v"], "$", "string")
 
+def kind(value: str) -> str:
+    return f"schema_of_variant({value})"
 
-def without(entries: Column, *keys: str) -> Column:
-    return F.filter(entries, lambda e: ~e["k"].isin(*keys))
 
+def text(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
-def find(entries: Column, key: str) -> Column:
-    return F.get(F.filter(entries, lambda e: e["k"] == key), F.lit(0))
 
+def field(name: str) -> str:
+    return f"try_variant_get(_v, '$.{name}', 'variant')"
 
-def replaced(entries: Column, key: str, value: Column) -> Column:
-    """The same list with one key's value changed in place."""
-    held = value.cast("variant")
-    return F.transform(entries, lambda e: F.struct(e["k"].alias("k"), F.when(e["k"] == key, held).otherwise(e["v"]).alias("v")))
-
-
-def sent_entries(body: Column, parsed: Column) -> Column:
-    """The properties as sent, keys not yet cut."""
-    keys = F.json_object_keys(F.get_json_object(body, "$.props"))
-    values = F.try_variant_get(parsed, "$.props", "map<string,variant>")
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.try_element_at(values, k).alias("v")))
-
-
-def _key(raw: Column) -> Column:
-    return strip(F.substring(raw, 1, KEY_MAX))
 
+def text_field(name: str) -> str:
+    """A string field cut to its limit and trimmed; '' when missing or not a string."""
+    raw = f"CASE WHEN {kind(field(name))} = 'STRING' THEN try_variant_get(_v, '$.{name}', 'string') END"
+    return f"coalesce({strip(f'substring({raw}, 1, {LIMITS[name]})')}, '')"
 
-def props_reason(parsed: Column, entries: Column) -> Column:
-    """Why the properties are refused, or null."""
-    kind = F.schema_of_variant(field(parsed, "props"))
 
-    def why(e: Column) -> Column:
-        of = type_of(e)
-        endless = of.startswith("DOUBLE") & (F.abs(F.try_variant_get(e["v"], "$", "double")) == float("inf"))
-        return (
-            F.when(_key(e["k"]) == "", F.lit(None).cast("string"))
-            .when(endless, "prop_number_not_finite")
-            .when(of.startswith("OBJECT") | of.startswith("ARRAY"), "prop_type_unsupported")
-        )
+def entry(key: str, value: str) -> str:
+    return f"named_struct('k', '{key}', 'v', cast({value} as variant))"
 
-    first = F.get(F.filter(F.transform(entries, why), lambda r: r.isNotNull()), F.lit(0))
-    return (
-        F.when(kind.isNotNull() & ~kind.startswith("OBJECT"), "props_not_object")
-        .when(F.size(entries) > PROPS_MAX, "props_too_many")
-        .otherwise(first)
-    )
 
+def added(entries: str, key: str, value: str) -> str:
+    """The list with one key set, at its end."""
+    return f"concat({without(entries, key)}, array({entry(key, value)}))"
 
-def clean_entries(entries: Column) -> Column:
-    """Keys and texts cut to their limits, blank keys out, of equal keys the last value."""
 
-    def cut(e: Column) -> Column:
-        text = text_of(e)
-        long = (type_of(e) == "STRING") & (F.length(text) > VALUE_MAX)
-        short = F.when(long, F.substring(text, 1, VALUE_MAX).cast("variant")).otherwise(e["v"])
-        return F.struct(_key(e["k"]).alias("k"), short.alias("v"))
+def without(entries: str, key: str) -> str:
+    return f"filter({entries}, e -> e.k <> '{key}')"
 
-    kept = F.filter(F.transform(entries, cut), lambda e: e["k"] != "")
-    keys = F.array_distinct(F.transform(kept, lambda e: e["k"]))
 
-    def last(key: Column) -> Column:
-        return F.try_element_at(F.filter(kept, lambda e: e["k"] == key), F.lit(-1))
+def find(entries: str, key: str) -> str:
+    return f"get(filter({entries}, e -> e.k = '{key}'), 0).v"
 
-    return F.when(F.size(keys) == F.size(kept), kept).otherwise(F.transform(keys, last))
 
-
-def reject_reason(body: Column, parsed: Column, entries: Column) -> Column:
-    """B1: the first reason to refuse a body, or null."""
-    site, url, name = (text_field(parsed, n) for n in ("site", "url", "name"))
-    kind = F.try_variant_get(parsed, "$.type", "string")
-    typed = F.schema_of_variant(field(parsed, "type")) == "STRING"
-    ago = field(parsed, "ago")
-    ago_type, ago_ms = F.schema_of_variant(ago), F.try_variant_get(ago, "$", "double")
+def replaced(entries: str, key: str, value: str) -> str:
+    """The list with one key's value changed in place."""
     return (
-        F.when(~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), "body_not_object")
-        .when(site == "", "site_missing")
-        .when(~site.rlike("^[A-Za-z0-9_-]{1,64}$"), "site_invalid")
-        .when(~F.coalesce(typed & kind.isin("event", "pageview"), F.lit(False)), "type_invalid")
-        .when(url == "", "url_missing")
-        .when((kind == "event") & (name == ""), "name_missing")
-        .when((name != "") & ~name.rlike("^[A-Za-z0-9_.:-]{1,80}$"), "name_invalid")
-        .when(props_reason(parsed, entries).isNotNull(), props_reason(parsed, entries))
-        .when(
-            ago_type.isNotNull() & (~ago_type.rlike(NUMERIC) | ago_ms.isNull() | (ago_ms == float("inf")) | (ago_ms < 0)),
-            "ago_invalid",
-        )
-        .when(ago_ms > AGO_MAX, "ago_too_old")
-    )
-
-
-def with_revenue(entries: Column) -> Column:
-    """A usable amount rounded to 4 decimals with its currency, else the reason it was removed."""
-    held, money = find(entries, "revenue"), find(entries, "currency")
-    text = text_of(held)
-    numeric = type_of(held).rlike(NUMERIC) | ((type_of(held) == "STRING") & text.rlike(r"^\s*\d+(\.\d+)?\s*$"))
-    amount = F.when(numeric, strip(text).try_cast("double"))
-    currency = F.upper(strip(F.coalesce(text_of(money), F.lit(""))))
-    reason = (
-        F.when(amount.isNull() | (F.abs(amount) == float("inf")), "amount_not_a_number")
-        .when(amount < 0, "amount_negative")
-        .when(amount > REVENUE_MAX, "amount_too_large")
-        .when(currency == "", "currency_missing")
-        .when(~currency.rlike("^[A-Z]{3}$"), "currency_invalid")
+        f"transform({entries}, e -> named_struct('k', e.k, 'v', CASE WHEN e.k = '{key}' THEN cast({value} as variant) ELSE e.v END))"
     )
-    rounded = plain_number(round_to(amount, 4))
-    good = replaced(replaced(entries, "revenue", rounded), "currency", currency)
-    bad = F.concat(without(entries, "revenue"), F.array(entry("_revenue_rejected", reason)))
-    return F.when(held.isNull(), entries).when(reason.isNull(), good).otherwise(bad)
-
-
-def plain_number(value: Column) -> Column:
-    """A number as JSON writes it: whole values carry no fraction."""
-    whole = value.cast("long")
-    return F.when(value == whole, whole.cast("variant")).otherwise(value.cast("variant"))
 
 
-def to_props(entries: Column) -> Column:
-    """The property list as the stored JSON text."""
-    pairs = F.transform(entries, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))
-    return F.when(F.size(entries) > 0, F.to_json(F.map_from_entries(pairs))).otherwise("{}")
+_KEY = strip(f"substring(e.k, 1, {KEY_MAX})")
+_ENTRY_REASON = f"""CASE WHEN {_KEY} = '' THEN cast(null as string)
+  WHEN {kind("e.v")} = 'DOUBLE' AND abs(try_variant_get(e.v, '$', 'double')) = {INFINITE} THEN 'prop_number_not_finite'
+  WHEN {kind("e.v")} LIKE 'OBJECT%' OR {kind("e.v")} LIKE 'ARRAY%' THEN 'prop_type_unsupported' END"""
+_SHORTENED = f"""CASE WHEN {kind("e.v")} = 'STRING' AND length({text("e.v")}) > {VALUE_MAX}
+  THEN cast(substring({text("e.v")}, 1, {VALUE_MAX}) as variant) ELSE e.v END"""
+
+# From ``body`` to the checked fields ``f_*``, the kept properties ``_clean`` and ``reject_reason``.
+PARSE = (
+    {"_v": "try_parse_json(body)", "_keys": "json_object_keys(get_json_object(body, '$.props'))"},
+    {
+        "_root": kind("_v"),
+        "_props_kind": kind(field("props")),
+        "_props": "try_variant_get(_v, '$.props', 'map<string,variant>')",
+        "_type": f"CASE WHEN {kind(field('type'))} = 'STRING' THEN try_variant_get(_v, '$.type', 'string') END",
+        "_ago_kind": kind(field("ago")),
+        "_ago": "try_variant_get(_v, '$.ago', 'double')",
+        **{f"f_{name}": text_field(name) for name in LIMITS},
+    },
+    {"_sent": "transform(_keys, k -> named_struct('k', k, 'v', try_element_at(_props, k)))"},
+    {
+        "_bad_prop": f"get(filter(transform(_sent, e -> {_ENTRY_REASON}), r -> r IS NOT NULL), 0)",
+        "_cut": f"filter(transform(_sent, e -> named_struct('k', {_KEY}, 'v', {_SHORTENED})), e -> e.k <> '')",
+    },
+    {
+        "reject_reason": rf"""CASE
+          WHEN NOT coalesce(_root LIKE 'OBJECT%', false) THEN 'body_not_object'
+          WHEN f_site = '' THEN 'site_missing'
+          WHEN NOT f_site rlike r'^[A-Za-z0-9_-]{{1,64}}$' THEN 'site_invalid'
+          WHEN NOT coalesce(_type IN ('event', 'pageview'), false) THEN 'type_invalid'
+          WHEN f_url = '' THEN 'url_missing'
+          WHEN _type = 'event' AND f_name = '' THEN 'name_missing'
+          WHEN f_name <> '' AND NOT f_name rlike r'^[A-Za-z0-9_.:-]{{1,80}}$' THEN 'name_invalid'
+          WHEN _props_kind IS NOT NULL AND _props_kind NOT LIKE 'OBJECT%' THEN 'props_not_object'
+          WHEN size(_sent) > {PROPS_MAX} THEN 'props_too_many'
+          WHEN _bad_prop IS NOT NULL THEN _bad_prop
+          WHEN _ago_kind IS NOT NULL AND (NOT _ago_kind {NUMERIC} OR _ago IS NULL OR _ago = {INFINITE} OR _ago < 0) THEN 'ago_invalid'
+          WHEN _ago > {AGO_MAX} THEN 'ago_too_old' END""",
+        "_names": "array_distinct(transform(_cut, e -> e.k))",
+    },
+    # Of equal keys the last value stays, in the first one's place.
+    {
+        "_clean": """CASE WHEN size(_names) = size(_cut) THEN _cut
+          ELSE transform(_names, n -> try_element_at(filter(_cut, e -> e.k = n), -1)) END""",
+        "type": "_type",
+        "name": "f_name",
+        "url": "f_url",
+        "title": "f_title",
+        "tag": "f_tag",
+        "site_id": "f_site",
+        "identity": "f_identity",
+        "referrer": "f_referrer",
+        "screen": r"CASE WHEN f_screen rlike r'^\d{1,5}x\d{1,5}$' THEN f_screen ELSE '' END",
+        "lang": "CASE WHEN f_lang rlike r'^[A-Za-z-]{2,35}$' THEN lower(f_lang) ELSE '' END",
+        "nonce": "CASE WHEN f_nonce rlike r'^[A-Za-z0-9_-]{16,64}$' THEN f_nonce ELSE '' END",
+        "hostname": r"""CASE WHEN lower(f_hostname) rlike r'^[a-z0-9.-]{1,253}$'
+          THEN regexp_replace(lower(f_hostname), r'^www\.', '') ELSE '' END""",
+        "ago": "cast(floor(coalesce(_ago, 0) + 0.5) as bigint)",
+    },
+)
+
+# A usable amount rounded to 4 decimals with its currency, else the reason it was removed.
+REVENUE = (
+    {
+        "_money": find("_clean", "revenue"),
+        "_currency": f"upper({strip(f'coalesce({text(find("_clean", "currency"))}, {chr(39) * 2})')})",
+    },
+    {
+        "_amount": rf"""CASE WHEN {kind("_money")} {NUMERIC} THEN try_variant_get(_money, '$', 'double')
+          WHEN {kind("_money")} = 'STRING' AND {text("_money")} rlike r'^\s*\d+(\.\d+)?\s*$' THEN try_cast({strip(text("_money"))} as double) END"""
+    },
+    {
+        "_rounded": "floor(_amount * 10000 + 0.5D) / 10000D",
+        "_refused": f"""CASE WHEN _amount IS NULL OR abs(_amount) = {INFINITE} THEN 'amount_not_a_number'
+          WHEN _amount < 0 THEN 'amount_negative' WHEN _amount > {REVENUE_MAX} THEN 'amount_too_large'
+          WHEN _currency = '' THEN 'currency_missing' WHEN NOT _currency rlike '^[A-Z]{{3}}$' THEN 'currency_invalid' END""",
+    },
+    # Whole amounts are written without a fraction, as JSON numbers are.
+    {"_price": "CASE WHEN _rounded = cast(_rounded as bigint) THEN cast(cast(_rounded as bigint) as variant) ELSE cast(_rounded as variant) END"},
+    {
+        "entries": f"""coalesce(CASE WHEN _money IS NULL THEN _clean
+          WHEN _refused IS NULL THEN {replaced(replaced("_clean", "revenue", "_price"), "currency", "_currency")}
+          ELSE {added(without("_clean", "revenue"), "_revenue_rejected", "_refused")} END,
+          cast(array() as array<struct<k:string,v:variant>>))"""
+    },
+)
+
+# The property list as the stored JSON text.
+PROPS = """CASE WHEN size(entries) > 0
+  THEN to_json(map_from_entries(transform(entries, e -> named_struct('key', e.k, 'value', e.v)))) ELSE '{}' END"""

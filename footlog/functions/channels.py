@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from footlog.functions.stages import listed, quoted
 
 TABLE_VERSION = "2026-09-13"
 
@@ -45,54 +44,59 @@ MEDIUMS = {
 }
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    flat = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*flat), key)
 
 
-def _known_suffix(hosts: list[str], host: Column) -> Column:
+def _lookup(table: dict[str, str], key: str) -> str:
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items())
+    return f"try_element_at(map({pairs}), {key})"
+
+
+def _known_suffix(hosts: list[str], host: str) -> str:
     """The longest table host that is the host or a dot-delimited end of it; '' when none is.
 
     The leftmost match of an anchored alternation is the longest suffix, and an exact host is longest of all.
     """
     names = "|".join(re.escape(h) for h in hosts)
-    return F.regexp_extract(host, rf"(?:^|\.)({names})$", 1)
-
-
-def ai_source(value: Column) -> Column:
-    """The AI assistant a campaign source names, as a host or a bare name; null when it names none."""
-    text = F.lower(F.trim(value))
-    bare = F.regexp_replace(text, r"^www\.", "")
-    by_host = _lookup(HOSTS["ai"], _known_suffix(list(HOSTS["ai"]), bare))
-    return F.coalesce(by_host, F.when(text.isin(sorted(set(HOSTS["ai"].values()))), text))
-
-
-def classify(referrer_host: Column, utm: Column, self_host: Column) -> Column:
-    """struct(channel, source, signal): own host, then an AI campaign source, then the referrer's host,
-    then the campaign medium, then an unknown referrer, then an unknown campaign source, else direct."""
-    own = F.regexp_replace(F.lower(self_host), r"^www\.", "")
-    internal = (referrer_host != "") & (own != "") & (
-        (referrer_host == own) | referrer_host.endswith(F.concat(F.lit("."), own))
-    )
-    by_host = {h: f"{channel}:{source}" for channel, hosts in HOSTS.items() for h, source in hosts.items()}
-    found = _lookup(by_host, _known_suffix(list(by_host), referrer_host))
-    found_channel, found_source = F.split(found, ":")[0], F.split(found, ":")[1]
-    medium = _lookup(MEDIUMS, utm["medium"])
-    paid = (F.coalesce(medium, F.lit("")) == "paid") & found_channel.isin("search", "social")
-    assistant = ai_source(utm["source"])
-    named_source = F.when(utm["source"] != "", utm["source"]).otherwise(referrer_host)
-
-    def verdict(channel: Column | str, source: Column | str, signal: str) -> Column:
-        as_column = [x if isinstance(x, Column) else F.lit(x) for x in (channel, source)]
-        return F.struct(as_column[0].alias("channel"), as_column[1].alias("source"), F.lit(signal).alias("signal"))
-
-    return (
-        F.when(internal, verdict("internal", "", "internal"))
-        .when(assistant.isNotNull(), verdict("ai", assistant, "utm_source"))
-        .when(found.isNotNull() & paid, verdict("paid", found_source, "utm_medium"))
-        .when(found.isNotNull(), verdict(found_channel, found_source, "referrer"))
-        .when(medium.isNotNull(), verdict(medium, named_source, "utm_medium"))
-        .when(referrer_host != "", verdict("referral", referrer_host, "referrer"))
-        .when(utm["source"] != "", verdict("referral", utm["source"], "utm_source"))
-        .otherwise(verdict("direct", "", "none"))
-    )
+    return rf"regexp_extract({host}, r'(?:^|\.)({names})$', 1)"
+
+
+_AI_NAMES = sorted(set(HOSTS["ai"].values()))
+_BY_HOST = {h: f"{channel}:{source}" for channel, hosts in HOSTS.items() for h, source in hosts.items()}
+_TAGGED = "CASE WHEN utm_source <> '' THEN utm_source ELSE referrer_host END"
+
+
+def _verdict(channel: str, source: str, signal: str) -> str:
+    return f"named_struct('channel', {channel}, 'source', {source}, 'signal', '{signal}')"
+
+
+# The AI assistant a campaign source names, as a host or a bare name; null when it names none.
+AI_SOURCE = (
+    {"_said": r"regexp_replace(lower(trim(utm_source)), r'^www\.', '')"},
+    {
+        "_assistant": f"""coalesce({_lookup(HOSTS["ai"], _known_suffix(list(HOSTS["ai"]), "_said"))},
+          CASE WHEN lower(trim(utm_source)) IN {listed(_AI_NAMES)} THEN lower(trim(utm_source)) END)"""
+    },
+)
+
+# From ``referrer_host``, ``utm_*`` and ``_own_host`` to ``_verdict``: own host, then an AI campaign source, then the
+# referrer's host, then the campaign medium, then an unknown referrer, then an unknown campaign source, else direct.
+CLASSIFY = (
+    *AI_SOURCE,
+    {
+        "_own": r"regexp_replace(lower(_own_host), r'^www\.', '')",
+        "_found": f"split({_lookup(_BY_HOST, _known_suffix(list(_BY_HOST), 'referrer_host'))}, ':')",
+        "_medium": _lookup(MEDIUMS, "utm_medium"),
+    },
+    {
+        "_verdict": f"""CASE
+          WHEN referrer_host <> '' AND _own <> '' AND (referrer_host = _own OR endswith(referrer_host, concat('.', _own)))
+            THEN {_verdict("'internal'", "''", "internal")}
+          WHEN _assistant IS NOT NULL THEN {_verdict("'ai'", "_assistant", "utm_source")}
+          WHEN _found[0] IN ('search', 'social') AND _medium = 'paid' THEN {_verdict("'paid'", "_found[1]", "utm_medium")}
+          WHEN _found IS NOT NULL THEN {_verdict("_found[0]", "_found[1]", "referrer")}
+          WHEN _medium IS NOT NULL THEN {_verdict("_medium", _TAGGED, "utm_medium")}
+          WHEN referrer_host <> '' THEN {_verdict("'referral'", "referrer_host", "referrer")}
+          WHEN utm_source <> '' THEN {_verdict("'referral'", "utm_source", "utm_source")}
+          ELSE {_verdict("'direct'", "''", "none")} END"""
+    },
+)

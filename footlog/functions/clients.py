@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from footlog.functions.stages import quoted
 
 BOT_TABLE_VERSION = "2026-09-19"
 SIGNAL_TABLE_VERSION = "2026-09-19"
@@ -48,100 +47,99 @@ BOTS = [
 ]
 
 
-def bot_of(user_agent: Column) -> Column:
-    """struct(name, kind), both '' for what is not a bot; no user agent at all is a bot."""
-    ua = F.trim(F.lower(F.coalesce(user_agent, F.lit(""))))
-
-    def verdict(name: str, kind: str) -> Column:
-        return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"))
-
-    # One scan decides for almost every visitor that no rule applies.
-    any_rule = "|".join(m if m.startswith("\\") else re.escape(m) for m, _, _ in BOTS)
-    chain = F.when(ua == "", verdict("empty user-agent", "generic")).when(~ua.rlike(any_rule), verdict("", ""))
-    for match, name, kind in BOTS:
-        hit = ua.rlike(match) if match.startswith("\\") else ua.contains(match)
-        chain = chain.when(hit, verdict(name, kind))
-    return chain.otherwise(verdict("", ""))
-
-
-def client_of(user_agent: Column, sdk: str = "footlog") -> Column:
-    """struct(device, os, browser). A native app sends ``<sdk>-<platform>/<version> (<model>; <os> ...)``."""
-    ua = F.lower(F.coalesce(user_agent, F.lit("")))
-    form = rf"^{re.escape(sdk)}-[a-z]+/[\d.]+ \(([^;)]*);\s*([a-z]+)"
-    model, word = F.regexp_extract(ua, form, 1), F.regexp_extract(ua, form, 2)
-    native = ua.rlike(form)
-    app_os = (
-        F.when(word.isin("ios", "ipados"), "iOS").when(word == "android", "Android").when(word == "macos", "macOS")
-        .when(word == "windows", "Windows").when(word == "linux", "Linux").otherwise("unknown")
-    )
-    app_device = (
-        F.when(model.rlike(r"ipad|tablet|tab\b"), "tablet").when(app_os.isin("iOS", "Android"), "mobile")
-        .when(app_os == "unknown", "unknown").otherwise("desktop")
-    )
-
-    def any_of(*needles: str) -> Column:
-        found = F.lit(False)
-        for needle in needles:
-            found = found | ua.contains(needle)
-        return found
-
-    os = (
-        F.when(any_of("windows"), "Windows").when(any_of("android"), "Android").when(any_of("iphone", "ipad", "ipod"), "iOS")
-        .when(any_of("mac os x", "macintosh"), "macOS").when(any_of("cros"), "ChromeOS").when(any_of("linux"), "Linux")
-        .otherwise("unknown")
-    )
-    browser = (
-        F.when(any_of("edg/"), "Edge").when(any_of("opr/", "opera"), "Opera").when(any_of("samsungbrowser"), "Samsung Internet")
-        .when(any_of("firefox", "fxios"), "Firefox").when(any_of("crios", "chrome"), "Chrome").when(any_of("safari"), "Safari")
-        .otherwise("unknown")
-    )
-    device = (
-        F.when(any_of("ipad") | (any_of("android") & ~any_of("mobile")), "tablet")
-        .when(any_of("iphone", "ipod", "mobile", "android"), "mobile").when(os == "unknown", "unknown").otherwise("desktop")
-    )
-    app_browser = F.when(app_os == "unknown", "App").otherwise(F.concat(app_os, F.lit(" app")))
-    return F.struct(
-        F.when(native, app_device).otherwise(device).alias("device"),
-        F.when(native, app_os).otherwise(os).alias("os"),
-        F.when(native, app_browser).otherwise(browser).alias("browser"),
-    )
+# Signal names and weights.
+SIGNAL_WEIGHTS = {
+    "no-accept-language": 3, "no-fetch-metadata": 3, "chromium-without-client-hints": 3, "platform-mismatch": 5,
+    "no-accept": 2,
+}
+
+
+def _holds(match: str) -> str:
+    return f"_ua rlike r'{match}'" if match.startswith("\\") else f"contains(_ua, {quoted(match)})"
+
+
+def _any_of(*needles: str) -> str:
+    return "(" + " OR ".join(_holds(n) for n in needles) + ")"
+
+
+def _chain(rules: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {quoted(v)}" for c, v in rules) + f" ELSE {quoted(otherwise)} END"
+
+
+# One scan decides for almost every visitor that no bot rule applies.
+_ANY_BOT = "|".join(m if m.startswith("\\") else re.escape(m) for m, _, _ in BOTS)
+# ``_bot`` is [kind, name], both '' for what is not a bot; no user agent at all is a bot.
+BOT = (
+    {"_ua": "lower(coalesce(user_agent, ''))"},
+    {
+        "_bot": f"""split(CASE WHEN trim(_ua) = '' THEN 'generic|empty user-agent' WHEN NOT _ua rlike r'{_ANY_BOT}' THEN '|' ELSE
+          {_chain([(_holds(m), f"{kind}|{name}") for m, name, kind in BOTS], "|")} END, r'\\|')"""
+    },
+)
 
+_OS = [
+    (_any_of("windows"), "Windows"), (_any_of("android"), "Android"), (_any_of("iphone", "ipad", "ipod"), "iOS"),
+    (_any_of("mac os x", "macintosh"), "macOS"), (_any_of("cros"), "ChromeOS"), (_any_of("linux"), "Linux"),
+]
+_BROWSER = [
+    (_any_of("edg/"), "Edge"), (_any_of("opr/", "opera"), "Opera"), (_any_of("samsungbrowser"), "Samsung Internet"),
+    (_any_of("firefox", "fxios"), "Firefox"), (_any_of("crios", "chrome"), "Chrome"), (_any_of("safari"), "Safari"),
+]
+_APP_OS = [
+    ("_word IN ('ios', 'ipados')", "iOS"), ("_word = 'android'", "Android"), ("_word = 'macos'", "macOS"),
+    ("_word = 'windows'", "Windows"), ("_word = 'linux'", "Linux"),
+]
 
-def _sent(headers: Column, name: str) -> Column:
-    return F.coalesce(F.try_element_at(headers, F.lit(name)), F.lit(""))
-
-
-def signals_of(user_agent: Column, headers: Column) -> Column:
-    """struct(rules, score): reasons to doubt that a client claiming to be a browser is one."""
-    ua = F.lower(F.coalesce(user_agent, F.lit("")))
-    browser = ua.contains("mozilla/") & (ua.contains("chrome/") | ua.contains("safari/") | ua.contains("firefox/"))
-    chromium = ua.contains("chrome/") & ~ua.contains("firefox/")
-    fetch = [_sent(headers, f"sec-fetch-{part}") == "" for part in ("mode", "site", "dest")]
-    hinted = F.lower(F.replace(_sent(headers, "sec-ch-ua-platform"), F.lit('"'), F.lit("")))
-    claimed = (
-        F.when(ua.contains("windows"), "windows").when(ua.contains("mac os x") | ua.contains("macintosh"), "macos")
-        .when(ua.contains("android"), "android").when(ua.contains("linux"), "linux")
-        .when(ua.contains("iphone") | ua.contains("ipad"), "ios").otherwise("")
-    )
-    mismatch = (claimed != "") & hinted.isin("macos", "windows", "android", "linux", "ios") & (claimed != hinted)
-    # Rule names and weights.
-    rules = [
-        ("no-accept-language", 3, _sent(headers, "accept-language") == ""),
-        ("no-fetch-metadata", 3, fetch[0] & fetch[1] & fetch[2]),
-        ("chromium-without-client-hints", 3, chromium & (_sent(headers, "sec-ch-ua") == "")),
-        ("platform-mismatch", 5, mismatch),
-        ("no-accept", 2, _sent(headers, "accept") == ""),
-    ]
-    fired = [F.when(browser & condition, F.lit(rule)) for rule, _, condition in rules]
-    weights = [F.when(browser & condition, weight).otherwise(0) for _, weight, condition in rules]
-    return F.struct(F.concat_ws(",", *fired).alias("rules"), sum(weights[1:], weights[0]).cast("int").alias("score"))
-
-
-def trust_of(bot_kind: Column, signature: Column) -> Column:
-    """A verified signature is an agent; any other attempt to sign is not a person."""
-    plain = F.when(bot_kind != "", "claimed").otherwise("human")
+
+def client(sdk: str = "footlog") -> tuple[dict[str, str], ...]:
+    """``device``, ``os`` and ``browser``. A native app sends ``<sdk>-<platform>/<version> (<model>; <os> ...)``."""
+    form = rf"r'^{re.escape(sdk)}-[a-z]+/[\d.]+ \(([^;)]*);\s*([a-z]+)'"
     return (
-        F.when(signature.isNull() | (signature == "no_signature"), plain)
-        .when(signature == "verified", "verified")
-        .otherwise("claimed")
+        {"_native": f"_ua rlike {form}", "_model": f"regexp_extract(_ua, {form}, 1)", "_word": f"regexp_extract(_ua, {form}, 2)"},
+        {"os": f"CASE WHEN _native THEN {_chain(_APP_OS, 'unknown')} ELSE {_chain(_OS, 'unknown')} END"},
+        {
+            "browser": f"""CASE WHEN NOT _native THEN {_chain(_BROWSER, "unknown")} WHEN os = 'unknown' THEN 'App' ELSE concat(os, ' app') END""",
+            "_device": rf"""CASE
+              WHEN _native AND _model rlike r'ipad|tablet|tab\b' THEN 'tablet'
+              WHEN _native AND os IN ('iOS', 'Android') THEN 'mobile'
+              WHEN NOT _native AND ({_any_of("ipad")} OR ({_any_of("android")} AND NOT {_any_of("mobile")})) THEN 'tablet'
+              WHEN NOT _native AND {_any_of("iphone", "ipod", "mobile", "android")} THEN 'mobile'
+              WHEN os = 'unknown' THEN 'unknown' ELSE 'desktop' END""",
+        },
     )
+
+
+def _sent(header: str) -> str:
+    return f"coalesce(try_element_at(headers, '{header}'), '')"
+
+
+_PLATFORM = [
+    (_any_of("windows"), "windows"), (_any_of("mac os x", "macintosh"), "macos"), (_any_of("android"), "android"),
+    (_any_of("linux"), "linux"), (_any_of("iphone", "ipad"), "ios"),
+]
+_FIRES = {
+    "no-accept-language": f"{_sent('accept-language')} = ''",
+    "no-fetch-metadata": " AND ".join(f"{_sent(f'sec-fetch-{part}')} = ''" for part in ("mode", "site", "dest")),
+    "chromium-without-client-hints": f"{_any_of('chrome/')} AND NOT {_any_of('firefox/')} AND {_sent('sec-ch-ua')} = ''",
+    "platform-mismatch": "_claimed <> '' AND _hinted IN ('macos', 'windows', 'android', 'linux', 'ios') AND _claimed <> _hinted",
+    "no-accept": f"{_sent('accept')} = ''",
+}
+# ``bot_signals`` and ``bot_score``: reasons to doubt that a client claiming to be a browser is one.
+SIGNALS = (
+    {
+        "_claims": f"{_any_of('mozilla/')} AND {_any_of('chrome/', 'safari/', 'firefox/')}",
+        "_claimed": _chain(_PLATFORM, ""),
+        "_hinted": f"lower(replace({_sent('sec-ch-ua-platform')}, '\"', ''))",
+    },
+    {"_fired": "array_compact(array(" + ", ".join(f"CASE WHEN _claims AND {c} THEN '{rule}' END" for rule, c in _FIRES.items()) + "))"},
+    {
+        "bot_signals": "array_join(_fired, ',')",
+        "bot_score": "cast("
+        + " + ".join(f"CASE WHEN array_contains(_fired, '{rule}') THEN {w} ELSE 0 END" for rule, w in SIGNAL_WEIGHTS.items())
+        + " as int)",
+    },
+)
+
+# A verified signature is an agent; any other attempt to sign is not a person.
+TRUST = """CASE WHEN signature = 'verified' THEN 'verified'
+  WHEN signature IS NOT NULL AND signature <> 'no_signature' THEN 'claimed' WHEN bot_kind <> '' THEN 'claimed' ELSE 'human' END"""

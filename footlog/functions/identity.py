@@ -2,75 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from footlog.functions.stages import quoted, strip
 
-from footlog.functions.values import day_of
+PRE_HASHED = "rlike '^[0-9a-f]{64}$'"
+_QUAD = r"r'^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$'"
 
-PRE_HASHED = "^[0-9a-f]{64}$"
-_QUAD = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 
+def _groups(half: str) -> str:
+    return f"filter(split({half}, ':'), g -> g <> '')"
 
-def short_hash(text: Column) -> Column:
-    return F.substring(F.sha2(text, 256), 1, 32)
 
+def _with_tail(groups: str) -> str:
+    """A trailing dotted quad counts as two groups; an invalid one stays and fails the check."""
+    octet = [f"try_cast(regexp_extract(try_element_at({groups}, -1), {_QUAD}, {i}) as int)" for i in range(1, 5)]
+    small = " AND ".join(f"coalesce({o} <= 255, false)" for o in octet)
+    pairs = ", ".join(f"lower(hex({a} * 256 + {b}))" for a, b in ((octet[0], octet[1]), (octet[2], octet[3])))
+    return (
+        f"CASE WHEN coalesce(contains(try_element_at({groups}, -1), '.'), false) AND {small} "
+        f"THEN concat(slice({groups}, 1, size({groups}) - 1), array({pairs})) ELSE {groups} END"
+    )
 
-def normal_ip(ip: Column) -> Column:
-    """IPv4 as it is, mapped IPv4 unwrapped, IPv6 cut to its canonical first 64 bits, else as sent."""
-    text = F.trim(F.coalesce(ip, F.lit("")))
-    mapped = F.regexp_extract(text, r"(?i)^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    bare = F.split(F.regexp_replace(F.regexp_replace(text, r"^\[", ""), r"\]$", ""), "%")[0]
-    halves = F.split(bare, "::")
 
-    def groups(part: Column) -> Column:
-        return F.filter(F.split(part, ":"), lambda g: g != "")
+# ``_ip``: IPv4 as it is, mapped IPv4 unwrapped, IPv6 cut to its canonical first 64 bits, else as sent.
+NORMAL_IP = (
+    {"_addr": "trim(coalesce(ip, ''))"},
+    {
+        "_mapped": r"regexp_extract(_addr, r'(?i)^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$', 1)",
+        "_halves": r"split(split(regexp_replace(regexp_replace(_addr, r'^\[', ''), r'\]$', ''), '%')[0], '::')",
+    },
+    {"_h": _groups("_halves[0]"), "_t": f"CASE WHEN size(_halves) = 2 THEN {_groups('get(_halves, 1)')} ELSE cast(array() as array<string>) END"},
+    {"_head": _with_tail("_h"), "_tail": _with_tail("_t")},
+    {"_missing": "8 - size(_head) - size(_tail)"},
+    {"_whole": "concat(_head, array_repeat('0', greatest(_missing, 0)), _tail)"},
+    {
+        "_ip": """CASE WHEN _mapped <> '' THEN _mapped WHEN NOT contains(_addr, ':') THEN _addr
+          WHEN size(_halves) <= 2 AND CASE WHEN size(_halves) = 2 THEN _missing >= 0 ELSE _missing = 0 END
+            AND forall(_whole, g -> g rlike '^[0-9a-fA-F]{1,4}$')
+          THEN concat(array_join(transform(slice(_whole, 1, 4), g -> lower(regexp_replace(g, '^0+(?=.)', ''))), ':'), '::/64')
+          ELSE _addr END"""
+    },
+)
 
-    def with_tail(parts: Column) -> Column:
-        """A trailing dotted quad counts as two groups; an invalid one leaves a group that fails the check."""
-        last = F.try_element_at(parts, F.lit(-1))
-        octets = [F.regexp_extract(last, _QUAD, i).try_cast("int") for i in range(1, 5)]
-        small = octets[0].isNotNull()
-        for octet in octets:
-            small = small & (octet <= 255)
+UTC_DAY = "date_format(date_from_unix_date(cast(floor(ts / 86400000) as int)), 'yyyy-MM-dd')"
 
-        def pair(a: Column, b: Column) -> Column:
-            return F.lower(F.hex((a * 256 + b).cast("long")))
 
-        opened = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(pair(octets[0], octets[1]), pair(octets[2], octets[3])))
-        return F.when(F.coalesce(last.contains("."), F.lit(False)) & F.coalesce(small, F.lit(False)), opened).otherwise(parts)
+def short_hash(text: str) -> str:
+    return f"substring(sha2({text}, 256), 1, 32)"
 
-    head = with_tail(groups(halves[0]))
-    tail = with_tail(F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>")))
-    missing = F.lit(8) - F.size(head) - F.size(tail)
-    fits = F.when(F.size(halves) == 2, missing >= 0).otherwise((F.size(halves) == 1) & (missing == 0))
-    whole = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
-    valid = fits & F.forall(whole, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
-    short = F.transform(F.slice(whole, 1, 4), lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", "")))
-    prefix = F.concat(F.array_join(short, ":"), F.lit("::/64"))
-    return F.when(mapped != "", mapped).when(~text.contains(":"), text).when(valid, prefix).otherwise(text)
 
+def visitor_id(secret: str) -> str:
+    """Changes with the UTC day, so it cannot follow a person across days; a native app sends a nonce."""
+    anonymous = short_hash(f"concat_ws('|', {quoted(secret)}, {UTC_DAY}, site_id, _ip, coalesce(user_agent, ''))")
+    native = short_hash(f"concat_ws('|', {quoted(secret)}, 'device', {UTC_DAY}, site_id, nonce)")
+    return f"CASE WHEN nonce <> '' THEN {native} ELSE {anonymous} END"
 
-def utc_day(ts: Column) -> Column:
-    return F.date_format(F.date_from_unix_date(day_of(ts).cast("int")), "yyyy-MM-dd")
 
-
-def visitor_id(secret: str, site: Column, ip: Column, user_agent: Column, ts: Column) -> Column:
-    """Changes with the UTC day, so it cannot follow a person across days."""
-    return short_hash(F.concat_ws("|", F.lit(secret), utc_day(ts), site, normal_ip(ip), F.coalesce(user_agent, F.lit(""))))
-
-
-def device_visitor_id(secret: str, site: Column, nonce: Column, ts: Column) -> Column:
-    """A native app's random nonce in place of address and user agent."""
-    return short_hash(F.concat_ws("|", F.lit(secret), F.lit("device"), utc_day(ts), site, nonce))
-
-
-def identity_hash(secret: str, site: Column, raw: Column) -> Column:
+def identity_hash(secret: str) -> str:
     """The stored form of a user id; a value hashed by the browser is not hashed by us first."""
-    text = F.trim(raw)
-    first = F.when(text.rlike(PRE_HASHED), text).otherwise(F.sha2(F.concat_ws("|", site, text), 256))
-    return F.when(text == "", "").otherwise(short_hash(F.concat_ws("|", F.lit(secret), F.lit("identity"), site, first)))
+    told = strip("identity")
+    first = f"CASE WHEN {told} {PRE_HASHED} THEN {told} ELSE sha2(concat_ws('|', site_id, {told}), 256) END"
+    return f"CASE WHEN {told} = '' THEN '' ELSE {short_hash(f'concat_ws({quoted("|")}, {quoted(secret)}, {quoted("identity")}, site_id, {first})')} END"
 
 
-def sent_raw(raw: Column) -> Column:
-    """Whether a user id arrived unhashed."""
-    return (F.trim(raw) != "") & ~F.trim(raw).rlike(PRE_HASHED)
+# Whether a user id arrived unhashed.
+SENT_RAW = f"{strip('identity')} <> '' AND NOT {strip('identity')} {PRE_HASHED}"

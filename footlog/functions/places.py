@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from footlog.functions.stages import listed
 
 # Header names, tried in order, and codes that mean "unknown".
 COUNTRY_HEADERS = [
@@ -28,68 +27,62 @@ PROVIDERS = [
     ("x-geo-country", None, None, None, None, None),
 ]
 URL_ENCODED = {"x-vercel-ip-city"}
-GEO_TYPE = "struct<country:string,region:string,region_name:string,city:string,lat:double,lon:double>"
 
 
-def _code(headers: Column, name: str) -> Column:
+def _code(header: str) -> str:
     """A two-letter country code, or null."""
-    code = F.substring(F.upper(F.trim(F.try_element_at(headers, F.lit(name)))), 1, 2)
-    return F.when(code.rlike("^[A-Z]{2}$") & ~code.isin(NOT_COUNTRIES), code)
-
-
-def country_of(headers: Column) -> Column:
-    """The first valid country header."""
-    return F.coalesce(*[_code(headers, name) for name in COUNTRY_HEADERS], F.lit(""))
-
-
-def _text(headers: Column, name: str | None) -> Column:
-    if name is None:
-        return F.lit("")
-    raw = F.trim(F.coalesce(F.try_element_at(headers, F.lit(name)), F.lit("")))
-    if name in URL_ENCODED:
-        raw = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
-    # UTF-8 that arrived as Latin-1 text is put right; anything else stays as sent.
-    latin = raw.rlike(r"[\x{80}-\x{ff}]") & ~raw.rlike(r"[^\x{00}-\x{ff}]")
-    repaired = F.try_validate_utf8(F.encode(F.when(latin, raw), "ISO-8859-1").cast("string"))
-    return F.substring(F.regexp_replace(F.coalesce(repaired, raw), r"[\x00-\x1f\x7f<>]", ""), 1, 80)
-
-
-def tenth(value: Column) -> Column:
-    """Round to 0.1 degree, halves upwards."""
-    return F.floor(value * 10 + 0.5) / 10.0
-
-
-def _degrees(headers: Column, name: str | None, limit: int) -> Column:
-    if name is None:
-        return F.lit(None).cast("double")
-    raw = F.trim(F.try_element_at(headers, F.lit(name)))
-    value = F.when(raw.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), raw).try_cast("double")
-    return F.when(F.abs(value) <= limit, tenth(value))
-
-
-def geo_of(headers: Column) -> Column:
-    """Location from the first provider with a valid country; coordinates come as a pair or not at all."""
-
-    def located(provider: tuple) -> Column:
-        country_header, region, region_name, city, lat, lon = provider
-        country = _code(headers, country_header)
-        suffix = F.upper(_text(headers, region))
-        at, on = _degrees(headers, lat, 90), _degrees(headers, lon, 180)
-        paired = at.isNotNull() & on.isNotNull() & ~((at == 0) & (on == 0))
-        return F.when(
-            country.isNotNull(),
-            F.struct(
-                country.alias("country"),
-                F.when(suffix.rlike("^[A-Z0-9]{1,3}$"), F.concat_ws("-", country, suffix)).otherwise("").alias("region"),
-                _text(headers, region_name).alias("region_name"),
-                _text(headers, city).alias("city"),
-                F.when(paired, at).alias("lat"),
-                F.when(paired, on).alias("lon"),
-            ).cast(GEO_TYPE),
-        )
-
-    empty = F.struct(
-        *[F.lit("").alias(n) for n in ("country", "region", "region_name", "city")],
-        *[F.lit(None).cast("double").alias(n) for n in ("lat", "lon")],
-    ).cast(GEO_TYPE)
-    return F.coalesce(*[located(p) for p in PROVIDERS], empty)
+    code = f"substring(upper(trim(try_element_at(headers, '{header}'))), 1, 2)"
+    return f"CASE WHEN {code} rlike '^[A-Z]{{2}}$' AND {code} NOT IN {listed(NOT_COUNTRIES)} THEN {code} END"
+
+
+def _pick(column: int) -> str:
+    """The header of the chosen provider for one column, as sent; null when it has none."""
+    choices = [(i, p[column]) for i, p in enumerate(PROVIDERS) if p[column]]
+    return "CASE _provider " + " ".join(f"WHEN {i} THEN try_element_at(headers, '{h}')" for i, h in choices) + " END"
+
+
+def _clean(text: str) -> str:
+    return rf"substring(regexp_replace({text}, r'[\x00-\x1f\x7f<>]', ''), 1, 80)"
+
+
+def _degrees(text: str, limit: int) -> str:
+    """A number within the limit rounded to 0.1 degree, halves upwards; null otherwise."""
+    value = rf"CASE WHEN {text} rlike r'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$' THEN try_cast({text} as double) END"
+    return f"CASE WHEN abs({value}) <= {limit} THEN floor({value} * 10 + 0.5D) / 10D END"
+
+
+def _repaired(text: str) -> str:
+    """UTF-8 that arrived as Latin-1 text is put right; anything else stays as sent."""
+    latin = rf"{text} rlike r'[\x{{80}}-\x{{ff}}]' AND NOT {text} rlike r'[^\x{{00}}-\x{{ff}}]'"
+    return f"coalesce(try_validate_utf8(cast(encode(CASE WHEN {latin} THEN {text} END, 'ISO-8859-1') as string)), {text})"
+
+
+# ``_country`` is the first valid country header; the location comes from the first provider with a
+# valid country, and coordinates come as a pair or not at all.
+LOCATE = (
+    {
+        "_country": f"coalesce({', '.join(_code(h) for h in COUNTRY_HEADERS)}, '')",
+        "_provider": "coalesce(" + ", ".join(f"CASE WHEN {_code(p[0])} IS NOT NULL THEN {i} END" for i, p in enumerate(PROVIDERS)) + ")",
+    },
+    {
+        "_suffix": f"trim({_pick(1)})",
+        "_region_text": f"trim({_pick(2)})",
+        "_city_sent": f"trim({_pick(3)})",
+        "_lat_text": f"trim({_pick(4)})",
+        "_lon_text": f"trim({_pick(5)})",
+    },
+    # One provider sends its city URL-encoded.
+    {
+        "_city_text": """CASE WHEN _provider = 1 THEN coalesce(try_url_decode(replace(_city_sent, '+', '%2B')), _city_sent)
+          ELSE _city_sent END""",
+        "_lat": _degrees("_lat_text", 90),
+        "_lon": _degrees("_lon_text", 180),
+        "_code": "CASE _provider " + " ".join(f"WHEN {i} THEN {_code(p[0])}" for i, p in enumerate(PROVIDERS)) + " END",
+    },
+    {
+        "_paired": "_lat IS NOT NULL AND _lon IS NOT NULL AND NOT (_lat = 0 AND _lon = 0)",
+        "_region": "CASE WHEN upper(_suffix) rlike '^[A-Z0-9]{1,3}$' THEN concat(_code, '-', upper(_suffix)) ELSE '' END",
+        "_region_name": f"coalesce({_clean(_repaired('_region_text'))}, '')",
+        "_city": f"coalesce({_clean(_repaired('_city_text'))}, '')",
+    },
+)

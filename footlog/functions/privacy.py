@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from footlog.functions.bodies import entry, find, replaced, strip, text_of, type_of, without
+from footlog.functions.bodies import added, find, kind, replaced, text, without
+from footlog.functions.identity import SENT_RAW
+from footlog.functions.stages import listed, strip
+from footlog.functions.urls import without_query
 
 STRICT_PROPS = 8
 PLAN_MAX = 32
@@ -22,45 +22,51 @@ PERSONAL_KEYS = (
     "card cardnumber creditcard ccnumber cvv cvc iban "
     "ssn tckn tckimlik tckimlikno nationalid passport passportnumber taxid"
 ).split()
-EMAIL = r"^[^\s@]{1,64}@[^\s@]{1,255}\.[A-Za-z]{2,}$"
-PHONE = r"^\+[\d\s().-]{8,22}$"
-
-
-def opted_out(headers: Column) -> Column:
-    """Do Not Track, or Global Privacy Control where the former was not sent."""
-    wish = F.coalesce(F.try_element_at(headers, F.lit("dnt")), F.try_element_at(headers, F.lit("sec-gpc")))
-    return F.coalesce(wish == "1", F.lit(False))
 
+# Do Not Track, or Global Privacy Control where the former was not sent.
+OPTED_OUT = "coalesce(coalesce(try_element_at(headers, 'dnt'), try_element_at(headers, 'sec-gpc')) = '1', false)"
 
-def personal_key(key: Column) -> Column:
-    return F.regexp_replace(F.lower(key), r"[\s_.-]", "").isin(PERSONAL_KEYS)
 
-
-def personal_value(text: Column) -> Column:
+def personal_value(value: str) -> str:
     """Text that is an e-mail address or an international phone number."""
-    value = strip(text)
-    digits = F.length(F.regexp_replace(value, r"\D", ""))
-    return value.rlike(EMAIL) | (value.rlike(PHONE) & digits.between(8, 15))
-
-
-def _personal(e: Column) -> Column:
-    told = (type_of(e) == "STRING") & personal_value(text_of(e))
-    return ~e["k"].startswith("_") & (personal_key(e["k"]) | F.coalesce(told, F.lit(False)))
-
-
-def scrubbed(entries: Column) -> Column:
-    """Without personal properties; how many went is kept as ``_pii_dropped``."""
-    kept = F.filter(entries, lambda e: ~_personal(e))
-    gone = F.size(entries) - F.size(kept)
-    return F.when(gone > 0, F.concat(without(kept, "_pii_dropped"), F.array(entry("_pii_dropped", gone)))).otherwise(entries)
-
-
-def with_plan(entries: Column) -> Column:
-    """The plan as a short lower-case label, else the reason it was removed."""
-    held = find(entries, "plan")
-    is_text = type_of(held) == "STRING"
-    label = F.lower(strip(text_of(held)))
-    good = is_text & label.rlike(rf"^(?=.{{1,{PLAN_MAX}}}$)[a-z0-9][a-z0-9_-]*$")
-    reason = F.when(~is_text, "plan_not_a_string").when(label == "", "plan_empty").otherwise("plan_not_a_label")
-    bad = F.concat(without(entries, "plan"), F.array(entry("_plan_rejected", reason)))
-    return F.when(held.isNull(), entries).when(good, replaced(entries, "plan", label)).otherwise(bad)
+    trimmed = strip(value)
+    return (
+        rf"({trimmed} rlike r'^[^\s@]{{1,64}}@[^\s@]{{1,255}}\.[A-Za-z]{{2,}}$' OR "
+        rf"({trimmed} rlike r'^\+[\d\s().-]{{8,22}}$' AND length(regexp_replace({trimmed}, r'\D', '')) BETWEEN 8 AND 15))"
+    )
+
+
+def personal_key(key: str) -> str:
+    return rf"regexp_replace(lower({key}), r'[\s_.-]', '') IN {listed(PERSONAL_KEYS)}"
+
+
+_PERSONAL = (
+    f"NOT startswith(e.k, '_') AND ({personal_key('e.k')} OR "
+    f"({kind('e.v')} = 'STRING' AND coalesce({personal_value(text('e.v'))}, false)))"
+)
+
+# B5 to B7 and B20, over ``entries``, ``identity``, ``referrer``, ``screen`` and ``strict``.
+PROTECT = (
+    {
+        "entries": f"CASE WHEN strict THEN slice(entries, 1, {STRICT_PROPS}) ELSE entries END",
+        "screen": "CASE WHEN strict THEN '' ELSE screen END",
+        "identity": "CASE WHEN strict THEN '' ELSE identity END",
+        "referrer": f"CASE WHEN strict THEN {without_query('referrer')} ELSE referrer END",
+    },
+    {"_kept": f"filter(entries, e -> NOT ({_PERSONAL}))"},
+    {
+        "entries": f"""CASE WHEN size(_kept) < size(entries)
+          THEN {added("_kept", "_pii_dropped", "size(entries) - size(_kept)")} ELSE entries END"""
+    },
+    {"_plan": find("entries", "plan")},
+    {"_plan_kind": kind("_plan"), "_plan_label": f"lower({strip(text('_plan'))})"},
+    {
+        "_plan_refused": rf"""CASE WHEN _plan_kind <> 'STRING' THEN 'plan_not_a_string' WHEN _plan_label = '' THEN 'plan_empty'
+          WHEN NOT _plan_label rlike r'^(?=.{{1,{PLAN_MAX}}}$)[a-z0-9][a-z0-9_-]*$' THEN 'plan_not_a_label' END"""
+    },
+    {
+        "entries": f"""CASE WHEN _plan IS NULL THEN entries WHEN _plan_refused IS NULL THEN {replaced("entries", "plan", "_plan_label")}
+          ELSE {added(without("entries", "plan"), "_plan_rejected", "_plan_refused")} END"""
+    },
+    {"entries": f"CASE WHEN {SENT_RAW} THEN {added('entries', '_id_raw', 'true')} ELSE entries END"},
+)

@@ -2,121 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+_ABSOLUTE = r"r'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
+_BAD_AUTHORITY = r"rlike r'[\s<>^|%]|:(?!\d*$)(?![0-9a-fA-F:.]*\]$)'"
 
-_ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-_BAD_AUTHORITY = r"[\s<>^|%]|:(?!\d*$)(?![0-9a-fA-F:.]*\]$)"
 
+def _part(url: str, group: int) -> str:
+    return f"regexp_extract({url}, {_ABSOLUTE}, {group})"
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _ABSOLUTE, group)
 
-
-def bare_host(authority: Column) -> Column:
+def bare_host(authority: str) -> str:
     """Lower-case host of an authority: no user, no port, no leading ``www.``."""
-    host = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")
-    return F.regexp_replace(F.lower(host), r"^www\.", "")
-
+    return rf"regexp_replace(lower(regexp_replace(regexp_replace({authority}, '^.*@', ''), r':\d*$', '')), r'^www\.', '')"
 
-def absolute(url: Column, fallback_host: Column) -> Column:
-    """The URL with a scheme and host: protocol-relative and relative forms are completed."""
-    slash = F.when(url.startswith("/"), "").otherwise("/")
-    return (
-        F.when(url.contains("://"), url)
-        .when(url.startswith("//"), F.concat(F.lit("https:"), url))
-        .otherwise(F.concat(F.lit("https://"), fallback_host, slash, url))
-    )
 
-
-def _encoded(text: Column) -> Column:
+def _encoded(text: str) -> str:
     """Percent-encode what a URL parser would: spaces, quotes, brackets and anything beyond ASCII."""
-    for char, code in ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"), ("{", "%7B"), ("}", "%7D")):
-        text = F.replace(text, F.lit(char), F.lit(code))
-    spelled = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.url_encode(c)).otherwise(c)), ""
-    )
-    return F.when(text.rlike(r"[^\x00-\x7F]"), spelled).otherwise(text)
-
-
-def _without_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments."""
-
-    def step(done: Column, part: Column) -> Column:
-        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
-        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
-
-    parts = F.split(path, "/")
-    folded = F.array_join(F.aggregate(F.slice(parts, 2, 100_000), F.array(F.lit("")), step), "/")
-    closed = F.when(path.rlike(r"/\.{1,2}$"), F.concat(folded, F.lit("/"))).otherwise(folded)
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), closed).otherwise(path)
-
-
-def split_url(url: Column, fallback_host: Column) -> Column:
-    """struct(path, query, host); a URL that cannot be parsed is the root page of the fallback host.
-
-    The fragment is kept only as a client-side route (``#/...``); a trailing slash goes, except at the root.
-    """
-    whole = absolute(url, fallback_host)
-    authority, path, query, fragment = (_part(whole, g) for g in (2, 3, 4, 5))
-    usable = (authority != "") & ~authority.rlike(_BAD_AUTHORITY)
-    clean = _without_dots(_encoded(F.when(path == "", "/").otherwise(F.translate(path, "\\", "/"))))
-    trimmed = F.when(F.length(clean) > 1, F.regexp_replace(clean, "/$", "")).otherwise(clean)
-    routed = F.when(fragment.startswith("#/"), F.concat(trimmed, fragment)).otherwise(trimmed)
-    asked = F.when(query == "?", "").otherwise(_encoded(query))
-    return F.struct(
-        F.when(usable, routed).otherwise("/").alias("path"),
-        F.when(usable, asked).otherwise("").alias("query"),
-        F.when(usable, bare_host(authority)).otherwise(fallback_host).alias("host"),
-    )
-
-
-def host_of(url: Column) -> Column:
-    """Host of a referrer, '' when there is none."""
-    whole = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("https://"), url))
-    authority = _part(whole, 2)
-    return F.when((url == "") | authority.rlike(_BAD_AUTHORITY), "").otherwise(bare_host(authority))
-
-
-def without_query(url: Column) -> Column:
+    each = rf"""transform(split({text}, ''), c -> CASE WHEN c = ' ' THEN '%20' WHEN c rlike r'[^\x00-\x7F]|["<>`{{}}]' THEN url_encode(c) ELSE c END)"""
+    return rf"""CASE WHEN {text} rlike r'[^\x00-\x7F]|[ "<>`{{}}]' THEN array_join({each}, '') ELSE {text} END"""
+
+
+# The parts of ``url``, completed with ``_fallback`` where it has no host: ``path``, ``query`` and ``_url_host``.
+# The fragment is kept only as a client-side route; a trailing slash goes, except at the root.
+SPLIT_URL = (
+    {
+        "_abs": """CASE WHEN contains(url, '://') THEN url WHEN startswith(url, '//') THEN concat('https:', url)
+          WHEN startswith(url, '/') THEN concat('https://', _fallback, url) ELSE concat('https://', _fallback, '/', url) END"""
+    },
+    {"_auth": _part("_abs", 2), "_p": _part("_abs", 3), "_q": _part("_abs", 4), "_frag": _part("_abs", 5)},
+    {
+        "_usable": f"_auth <> '' AND NOT _auth {_BAD_AUTHORITY}",
+        "_spelled": _encoded(r"translate(CASE WHEN _p = '' THEN '/' ELSE _p END, '\\', '/')"),
+    },
+    {
+        "_folded": r"""CASE WHEN _spelled rlike r'/\.{1,2}(/|$)' THEN concat(array_join(aggregate(slice(split(_spelled, '/'), 2, 100000), array(''),
+            (done, s) -> CASE WHEN s = '..' THEN slice(done, 1, greatest(size(done) - 1, 1)) WHEN s = '.' THEN done ELSE concat(done, array(s)) END), '/'),
+            CASE WHEN _spelled rlike r'/\.{1,2}$' THEN '/' ELSE '' END) ELSE _spelled END"""
+    },
+    {"_trimmed": "CASE WHEN length(_folded) > 1 THEN regexp_replace(_folded, '/$', '') ELSE _folded END"},
+    {
+        "path": """CASE WHEN NOT _usable OR _trimmed = '' THEN '/' WHEN startswith(_frag, '#/') THEN concat(_trimmed, _frag) ELSE _trimmed END""",
+        "query": f"CASE WHEN NOT _usable OR _q = '?' THEN '' ELSE {_encoded('_q')} END",
+        "_url_host": f"CASE WHEN _usable THEN {bare_host('_auth')} ELSE _fallback END",
+    },
+)
+
+# The referrer's host, '' when there is none.
+REFERRER_HOST = (
+    {"_ref": "CASE WHEN contains(referrer, '://') THEN referrer ELSE concat('https://', referrer) END"},
+    {"_ref_auth": _part("_ref", 2)},
+    {"referrer_host": f"CASE WHEN referrer = '' OR _ref_auth {_BAD_AUTHORITY} THEN '' ELSE {bare_host('_ref_auth')} END"},
+)
+
+
+def without_query(url: str) -> str:
     """Origin and path of a URL; text that is no URL is cut at its question mark."""
-    scheme, authority, path = _part(url, 1), _part(url, 2), _part(url, 3)
-    host = F.lower(F.regexp_replace(authority, r"^.*@", ""))
-    rebuilt = F.concat(F.lower(scheme), F.lit("://"), host, F.when(path == "", "/").otherwise(path))
-    return F.when(authority != "", rebuilt).otherwise(F.split(url, r"\?", 2)[0])
-
+    path = f"CASE WHEN {_part(url, 3)} = '' THEN '/' ELSE {_part(url, 3)} END"
+    rebuilt = f"concat(lower({_part(url, 1)}), '://', lower(regexp_replace({_part(url, 2)}, '^.*@', '')), {path})"
+    return f"CASE WHEN {_part(url, 2)} <> '' THEN {rebuilt} ELSE substring_index({url}, '?', 1) END"
 
-def _decoded(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
+# Click ids that prove a paid visit.
+CLICK_IDS = ["gclid", "fbclid", "msclkid", "ttclid"]
 
-def query_pairs(query: Column) -> Column:
-    """The decoded (key, value) pairs of a query string, in order."""
-    bare = F.regexp_replace(query, r"^\?", "")
-
-    def pair(text: Column) -> Column:
-        halves = F.split(text, "=", 2)
-        return F.struct(_decoded(halves[0]).alias("k"), _decoded(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("v"))
 
-    return F.transform(F.split(bare, "&"), pair)
+def _decoded(text: str) -> str:
+    return f"coalesce(try_url_decode({text}), replace({text}, '+', ' '))"
 
 
-def _first_value(pairs: Column, key: str) -> Column:
+def _first_value(key: str) -> str:
     """The first value of a key, trimmed and lower-cased; null when missing or blank."""
-    value = F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"]
-    folded = F.lower(F.trim(value))
-    return F.when(folded != "", folded)
-
-
-# Click ids that prove a paid visit.
-CLICK_IDS = ["gclid", "fbclid", "msclkid", "ttclid"]
-
-
-def utm_of(pairs: Column) -> Column:
-    """Campaign parameters; a missing one is ''. ``pairs`` comes from ``query_pairs``."""
-    source = F.coalesce(*[_first_value(pairs, key) for key in ("utm_source", "ref", "source")])
-    clicked = F.exists(pairs, lambda p: p["k"].isin(CLICK_IDS))
-    medium = F.coalesce(_first_value(pairs, "utm_medium"), F.when(clicked, "cpc"))
-    rest = {part: _first_value(pairs, f"utm_{part}") for part in ("campaign", "term", "content")}
-    named = {"source": source, "medium": medium} | rest
-    return F.struct(*[F.coalesce(value, F.lit("")).alias(name) for name, value in named.items()])
+    return f"nullif(lower(trim(get(filter(_pairs, p -> p.k = '{key}'), 0).v)), '')"
+
+
+# Campaign parameters of ``query``; a missing one is ''.
+UTM = (
+    {
+        "_pairs": rf"""transform(split(regexp_replace(query, r'^\?', ''), '&'), t -> named_struct(
+          'k', {_decoded("substring_index(t, '=', 1)")},
+          'v', CASE WHEN contains(t, '=') THEN {_decoded("substring(t, length(substring_index(t, '=', 1)) + 2)")} ELSE '' END))"""
+    },
+    {
+        "utm_source": f"coalesce({', '.join(_first_value(k) for k in ('utm_source', 'ref', 'source'))}, '')",
+        "utm_medium": f"""coalesce({_first_value("utm_medium")},
+          CASE WHEN exists(_pairs, p -> p.k IN ({", ".join(f"'{c}'" for c in CLICK_IDS)})) THEN 'cpc' END, '')""",
+        **{f"utm_{part}": f"coalesce({_first_value(f'utm_{part}')}, '')" for part in ("campaign", "term", "content")},
+    },
+)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footlog.functions import bodies, channels, clients, identity, places, privacy, urls
+from footlog.functions.stages import dropped, staged
 from footlog.model import EVENT_SCHEMA, SESSION_GAP_MS
 from footlog.operators.ordered import sessionize
 
@@ -14,127 +15,76 @@ RAW_SCHEMA = (
     "request_id string, ingest_seq long, body string, received_at long, ip string, user_agent string, "
     "headers map<string,string>, host string, signature string, signer string"
 )
-_DROPPED_BY_POLICY = ["screen", "identity"]
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    """The body read once; refused rows keep their reason, the rest their cleaned fields."""
-    parsed = raw.withColumn("_v", F.try_parse_json("body")).withColumn("_sent", bodies.sent_entries(F.col("body"), F.col("_v")))
-    v, sent = F.col("_v"), F.col("_sent")
-    judged = parsed.withColumn("reject_reason", bodies.reject_reason(F.col("body"), v, sent))
-    texts = {n: bodies.text_field(v, n) for n in bodies.LIMITS}
-    read = judged.select(
-        *[c for c in judged.columns if c not in ("_sent", "host")],
-        F.coalesce("host", F.lit("")).alias("server_host"),
-        F.coalesce(bodies.with_revenue(bodies.clean_entries(sent)), F.array().cast(bodies.ENTRY_TYPE)).alias("entries"),
-        texts["site"].alias("site_id"),
-        F.try_variant_get(v, "$.type", "string").alias("type"),
-        *[texts[n].alias(n) for n in ("url", "name", "referrer", "title", "tag", "identity")],
-        F.when(texts["screen"].rlike(r"^\d{1,5}x\d{1,5}$"), texts["screen"]).otherwise("").alias("screen"),
-        F.when(texts["lang"].rlike("^[A-Za-z-]{2,35}$"), F.lower(texts["lang"])).otherwise("").alias("lang"),
-        F.when(texts["nonce"].rlike("^[A-Za-z0-9_-]{16,64}$"), texts["nonce"]).otherwise("").alias("nonce"),
-        F.lower(texts["hostname"]).alias("hostname"),
-        F.floor(F.coalesce(F.try_variant_get(v, "$.ago", "double"), F.lit(0.0)) + 0.5).cast("long").alias("ago"),
-    ).drop("_v")
-    host = F.col("hostname")
-    named = F.when(host.rlike("^[a-z0-9.-]{1,253}$"), F.regexp_replace(host, r"^www\.", "")).otherwise("")
-    return read.withColumn("hostname", named)
+    """The body read once; refused rows keep their reason, the rest their cleaned fields."""
+    rows = staged(raw.withColumnRenamed("host", "server_host"), *bodies.PARSE, *bodies.REVENUE)
+    return dropped(rows).drop(*[f"f_{name}" for name in bodies.LIMITS])
 
 
 def admit(parsed: DataFrame, sites: DataFrame, allow_unknown: bool = False) -> DataFrame:
     """Look up the site (site_id, domain, privacy_mode) and honour opt-outs on strict sites."""
     known = sites.select("site_id", "domain", "privacy_mode", F.lit(True).alias("_known"))
-    joined = parsed.join(known, "site_id", "left")
-    strict = F.coalesce(F.col("privacy_mode") == "strict", F.lit(False))
-    reason = F.coalesce(F.col("reject_reason"), F.when(F.col("_known").isNull() & F.lit(not allow_unknown), "site_unknown"))
-    reason = F.coalesce(reason, F.when(strict & privacy.opted_out(F.col("headers")), "do_not_track"))
-    return joined.withColumn("reject_reason", reason).withColumn("strict", strict).drop("_known", "privacy_mode")
+    judged = staged(
+        parsed.join(known, "site_id", "left"),
+        {"strict": "coalesce(privacy_mode = 'strict', false)", "headers": "coalesce(headers, cast(map() as map<string,string>))"},
+        {
+            "reject_reason": f"""coalesce(reject_reason,
+              CASE WHEN _known IS NULL AND {str(not allow_unknown).lower()} THEN 'site_unknown' END,
+              CASE WHEN strict AND {privacy.OPTED_OUT} THEN 'do_not_track' END)"""
+        },
+    )
+    return dropped(judged).drop("privacy_mode")
 
 
 def protect(rows: DataFrame) -> DataFrame:
     """Policy of the site, personal properties, plan label, raw-id flag."""
-    strict = F.col("strict")
-    limited = F.when(strict, F.slice("entries", 1, privacy.STRICT_PROPS)).otherwise(F.col("entries"))
-    raw_id = F.array(bodies.entry("_id_raw", F.lit(True)))
-    blanked = rows.withColumns(
-        {c: F.when(strict, "").otherwise(F.col(c)) for c in _DROPPED_BY_POLICY}
-        | {"referrer": F.when(strict, urls.without_query(F.col("referrer"))).otherwise(F.col("referrer")), "entries": limited}
-    )
-    planned = blanked.withColumn("entries", privacy.scrubbed(F.col("entries"))).withColumn("entries", privacy.with_plan(F.col("entries")))
-    flagged = F.when(
-        identity.sent_raw(F.col("identity")), F.concat(bodies.without(F.col("entries"), "_id_raw"), raw_id)
-    ).otherwise(F.col("entries"))
-    return planned.withColumn("entries", flagged)
+    return dropped(staged(rows, *privacy.PROTECT))
 
 
 def label(rows: DataFrame, secret: str, sdk: str = "footlog") -> DataFrame:
     """Who and what sent the event, where it came from, when."""
-    headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
-    domain = F.coalesce("domain", F.lit(""))
-    fallback = F.coalesce(F.nullif(domain, F.lit("")), F.nullif(F.col("server_host"), F.lit("")), F.lit("localhost"))
-    seen = rows.withColumns(
+    seen = staged(
+        rows,
+        {"ts": "received_at - ago", "_fallback": "coalesce(nullif(domain, ''), nullif(server_host, ''), 'localhost')"},
+        *clients.BOT,
+        *clients.client(sdk),
+        *clients.SIGNALS,
+        *urls.SPLIT_URL,
+        *urls.UTM,
+        *urls.REFERRER_HOST,
+        {"_own_host": "coalesce(nullif(domain, ''), _url_host)"},
+        *channels.CLASSIFY,
+        *places.LOCATE,
+        *identity.NORMAL_IP,
         {
-            "_bot": clients.bot_of(F.col("user_agent")),
-            "_client": clients.client_of(F.col("user_agent"), sdk),
-            "_signals": clients.signals_of(F.col("user_agent"), headers),
-            "_url": urls.split_url(F.col("url"), fallback),
-            "_geo": places.geo_of(headers),
-            "_country": places.country_of(headers),
-            "_ref_host": urls.host_of(F.col("referrer")),
-            "ts": F.col("received_at") - F.col("ago"),
-        }
-    )
-    asked = seen.withColumn("_pairs", urls.query_pairs(F.col("_url.query"))).withColumn("_utm", urls.utm_of(F.col("_pairs")))
-    own_host = F.when(domain != "", domain).otherwise(F.col("_url.host"))
-    judged = asked.withColumn("_channel", channels.classify(F.col("_ref_host"), F.col("_utm"), own_host))
-    anonymous = identity.visitor_id(secret, F.col("site_id"), F.col("ip"), F.col("user_agent"), F.col("ts"))
-    native = identity.device_visitor_id(secret, F.col("site_id"), F.col("nonce"), F.col("ts"))
-    strict, country = F.col("strict"), F.col("_country")
-    placed = ~strict & (country != "")
-
-    def place(column: str, empty: Column) -> Column:
-        value = F.col(f"_geo.{column}")
-        if column == "region":
-            value = F.when(value.startswith(F.concat(country, F.lit("-"))), F.substring(value, 1, 6)).otherwise("")
-        return F.when(placed, value).otherwise(empty).alias(column)
-
-    blank, nothing = F.lit(""), F.lit(None).cast("double")
-    signal = F.array(bodies.entry("_signal", F.col("_channel.signal")))
-    return judged.select(
-        F.col("request_id").alias("id"),
-        "ingest_seq",
-        "site_id",
-        F.when(F.col("nonce") != "", native).otherwise(anonymous).alias("visitor_id"),
-        "ts",
-        "type",
-        F.when(F.col("type") == "pageview", "pageview").otherwise(F.col("name")).alias("name"),
-        F.col("_url.path").alias("path"),
-        F.col("_url.query").alias("query"),
-        "title",
-        "hostname",
-        "referrer",
-        F.col("_ref_host").alias("referrer_host"),
-        F.col("_channel.channel").alias("channel"),
-        F.col("_channel.source").alias("source"),
-        *[F.col(f"_utm.{p}").alias(f"utm_{p}") for p in ("source", "medium", "campaign", "term", "content")],
-        F.when(F.col("_bot.kind") != "", "bot").otherwise(F.col("_client.device")).alias("device"),
-        F.col("_client.os").alias("os"),
-        F.col("_client.browser").alias("browser"),
-        "screen",
-        "lang",
-        F.when(strict, "").otherwise(country).alias("country"),
-        *[place(c, blank) for c in ("region", "region_name", "city")],
-        *[place(c, nothing) for c in ("lat", "lon")],
-        "tag",
-        identity.identity_hash(secret, F.col("site_id"), F.col("identity")).alias("identity"),
-        F.col("_bot.kind").alias("bot_kind"),
-        F.col("_bot.name").alias("bot_name"),
-        clients.trust_of(F.col("_bot.kind"), F.col("signature")).alias("agent_trust"),
-        F.when(F.col("signature") == "verified", F.coalesce("signer", blank)).otherwise("").alias("agent_signer"),
-        F.col("_signals.rules").alias("bot_signals"),
-        F.col("_signals.score").alias("bot_score"),
-        bodies.to_props(F.concat(bodies.without(F.col("entries"), "_signal"), signal)).alias("props"),
+            "_placed": "NOT strict AND _country <> ''",
+            "bot_kind": "_bot[0]",
+            "bot_name": "_bot[1]",
+            "visitor_id": identity.visitor_id(secret),
+            "identity": identity.identity_hash(secret),
+            "entries": bodies.added("entries", "_signal", "_verdict.signal"),
+        },
     )
+    own = {
+        "id": "request_id",
+        "name": "CASE WHEN type = 'pageview' THEN 'pageview' ELSE name END",
+        "channel": "_verdict.channel",
+        "source": "_verdict.source",
+        "device": "CASE WHEN bot_kind <> '' THEN 'bot' ELSE _device END",
+        "country": "CASE WHEN strict THEN '' ELSE _country END",
+        "region": "CASE WHEN _placed AND startswith(_region, concat(_country, '-')) THEN substring(_region, 1, 6) ELSE '' END",
+        "region_name": "CASE WHEN _placed THEN _region_name ELSE '' END",
+        "city": "CASE WHEN _placed THEN _city ELSE '' END",
+        "lat": "CASE WHEN _placed AND _paired THEN _lat END",
+        "lon": "CASE WHEN _placed AND _paired THEN _lon END",
+        "agent_trust": clients.TRUST,
+        "agent_signer": "CASE WHEN signature = 'verified' THEN coalesce(signer, '') ELSE '' END",
+        "props": bodies.PROPS,
+    }
+    kept = [c for c in EVENT_SCHEMA.fieldNames() if c not in own and c != "session_id"]
+    return seen.select(*kept, *[F.expr(text).alias(name) for name, text in own.items()])
 
 
 def enrich(
@@ -147,15 +97,13 @@ def enrich(
     return label(protect(kept), secret, sdk), refused
 
 
-def session_name(site: Column, visitor: Column, start: Column) -> Column:
-    return identity.short_hash(F.concat_ws("|", site, visitor, start.cast("string")))
+SESSION_NAME = identity.short_hash("concat_ws('|', site_id, visitor_id, cast(session_start as string))")
 
 
 def assign_sessions(events: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
     """The session id of every event; a session ends after more than the gap without an event."""
     placed = sessionize(events, ["site_id", "visitor_id"], gap_ms)
-    named = session_name(F.col("site_id"), F.col("visitor_id"), F.col("session_start"))
-    return placed.withColumn("session_id", named).drop("session_start", "session_no")
+    return placed.withColumn("session_id", F.expr(SESSION_NAME)).drop("session_start", "session_no")
 
 
 def ingest(raw: DataFrame, sites: DataFrame, secret: str, **options) -> tuple[DataFrame, DataFrame]:

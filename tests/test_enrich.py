@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footlog.functions import channels, clients, identity, urls
+from footlog.functions.stages import staged
 from footlog.plans.enrich import classification_quality, enrich, ingest, rejection_report
 from tests.raw import CHROME, GPTBOT, IPHONE, NOW, raw_frame, sites_frame
 
@@ -125,8 +126,15 @@ def test_place_headers(spark):
     assert (kept["r4"].country, kept["r4"].lat) == ("US", None)
 
 
-def one(spark, *columns):
-    return spark.range(1).select(*columns).first()
+def one(spark, columns, stages, *wanted):
+    """The wanted columns of one row of literals after some stages."""
+    row = spark.range(1).select(*[F.lit(v).alias(k) if not isinstance(v, dict) else as_map(v).alias(k) for k, v in columns.items()])
+    return tuple(staged(row, *stages).select(*wanted).first())
+
+
+def as_map(values):
+    pairs = [F.lit(x) for kv in values.items() for x in kv]
+    return F.create_map(*pairs).cast("map<string,string>")
 
 
 @pytest.mark.parametrize(
@@ -148,7 +156,7 @@ def one(spark, *columns):
     ],
 )
 def test_ip_prefix(spark, ip, want):
-    assert one(spark, identity.normal_ip(F.lit(ip)))[0] == want
+    assert one(spark, {"ip": ip}, identity.NORMAL_IP, "_ip") == (want,)
 
 
 @pytest.mark.parametrize(
@@ -167,12 +175,12 @@ def test_ip_prefix(spark, ip, want):
     ],
 )
 def test_split_url(spark, url, want):
-    assert tuple(one(spark, urls.split_url(F.lit(url), F.lit("site.test")))[0]) == want
+    assert one(spark, {"url": url, "_fallback": "site.test"}, urls.SPLIT_URL, "path", "query", "_url_host") == want
 
 
 def test_campaign_parameters(spark):
     def utm(query):
-        return tuple(one(spark, urls.utm_of(urls.query_pairs(F.lit(query))))[0])
+        return one(spark, {"query": query}, urls.UTM, *[f"utm_{p}" for p in ("source", "medium", "campaign", "term", "content")])
 
     assert utm("?utm_source=A+B&utm_medium=%43PC&utm_campaign=x&utm_campaign=y") == ("a b", "cpc", "x", "", "")
     assert utm("?utm_source=%20&ref=hn") == ("hn", "", "", "", "")
@@ -241,13 +249,13 @@ def test_golden_classification(spark):
     ],
 )
 def test_clients(spark, ua, want):
-    assert tuple(one(spark, clients.client_of(F.lit(ua)))[0]) == want
+    stages = (*clients.BOT, *clients.client())
+    assert one(spark, {"user_agent": ua}, stages, "_device", "os", "browser") == want
 
 
 def test_automation_signals(spark):
     def signals(ua, headers):
-        column = F.create_map(*[F.lit(x) for kv in headers.items() for x in kv]) if headers else F.create_map().cast("map<string,string>")
-        return tuple(one(spark, clients.signals_of(F.lit(ua), column))[0])
+        return one(spark, {"user_agent": ua, "headers": headers}, (*clients.BOT, *clients.SIGNALS), "bot_signals", "bot_score")
 
     good = {"accept-language": "de", "sec-fetch-mode": "cors", "sec-ch-ua": "x", "accept": "*/*", "sec-ch-ua-platform": '"macOS"'}
     assert signals(CHROME, good) == ("", 0)
@@ -299,4 +307,5 @@ def test_visitors_change_daily_and_late_events_are_dated_back(spark):
 
 
 def test_ai_source_names(spark):
-    assert one(spark, channels.ai_source(F.lit("WWW.claude.ai")), channels.ai_source(F.lit("newsletter")))[:] == ("claude", None)
+    assert one(spark, {"utm_source": "WWW.claude.ai"}, channels.AI_SOURCE, "_assistant") == ("claude",)
+    assert one(spark, {"utm_source": "newsletter"}, channels.AI_SOURCE, "_assistant") == (None,)
