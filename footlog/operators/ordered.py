@@ -92,3 +92,49 @@ def top_per(
     if offset:
         ranked = ranked.where(F.col("_rank") > offset)
     return ranked.drop("_rank")
+
+
+def running_state(
+    rows: DataFrame, keys: list[str], slices: str, order: list[str], last: dict[str, Column], sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Add running values per key: the latest non-null value of each ``last`` expression and running ``sums``.
+
+    ``slices`` is a column that cuts a key's rows into consecutive pieces (a time slice, a chunk number).
+    Rows are ordered inside a piece only; each piece passes one summary row on to the later ones.
+    """
+    sums = sums or {}
+    marked = rows.withColumns({f"_u_{n}": e for n, e in (last | sums).items()})
+    piece = [*keys, slices]
+    within = W.partitionBy(*piece).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = marked.withColumns(
+        {f"_l_{n}": F.last(f"_u_{n}", ignorenulls=True).over(within) for n in last}
+        | {f"_l_{n}": F.sum(f"_u_{n}").over(within) for n in sums}
+    )
+    known = {n: F.when(F.col(f"_u_{n}").isNotNull(), F.struct(*order)) for n in last}
+    ends = marked.groupBy(*piece).agg(
+        *[F.max_by(f"_u_{n}", known[n]).alias(f"_e_{n}") for n in last], *[F.sum(f"_u_{n}").alias(f"_e_{n}") for n in sums]
+    )
+    before = W.partitionBy(*keys).orderBy(slices).rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(
+        *piece,
+        *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last],
+        *[F.coalesce(F.sum(f"_e_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+    )
+    joined = local.join(carried, piece)
+    return joined.select(
+        *rows.columns,
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in last],
+        *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
+    )
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str, within_ms: int) -> DataFrame:
+    """Add the ``value`` of the latest ``right`` row at or before each ``left`` row, at most ``within_ms`` old."""
+    columns = left.columns
+    asks = left.withColumn("_side", F.lit(1)).withColumn("_told", F.lit(None).cast(right.schema[value].dataType))
+    told = right.select(*keys, "ts", F.lit(0).alias("_side"), F.col(value).alias("_told"))
+    both = asks.unionByName(told, allowMissingColumns=True).withColumn(SLICE, slice_of(within_ms))
+    fresh = F.when(F.col("_side") == 0, F.struct(F.col("ts").alias("at"), F.col("_told").alias("value")))
+    state = running_state(both, keys, SLICE, ["ts", "_side"], {"_seen": fresh})
+    recent = F.col("ts") - F.col("_seen.at") <= within_ms
+    return state.where(F.col("_side") == 1).select(*columns, F.when(recent, F.col("_seen.value")).alias(name))

@@ -6,5 +6,5 @@ from footlog.session import local_session
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
