@@ -87,8 +87,8 @@ def _cleaned(event: object) -> tuple[int, int, list[str]] | None:
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [part.split()[0] for part in EVENT_ROWS.split(", ")]
+    held: list[tuple] = []
     for batch in batches:
-        # One chunk at a time, so a task never holds more than one decoded chunk beyond its input batch.
         for chunk in batch.itertuples(index=False):
             body = bytes(chunk.body)
             text = _decoded(body, bool(chunk.gzip))
@@ -101,9 +101,13 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             head = (
                 chunk.site_id, chunk.visitor_id, chunk.page_load, chunk.seq, chunk.ts, chunk.user_agent, chunk.country, len(body),
             )
-            kept = [(*head, pos, *row) for pos, event in enumerate(events) if (row := _cleaned(event)) is not None]
-            if kept:
-                yield pd.DataFrame(kept, columns=names)
+            held += [(*head, pos, *row) for pos, event in enumerate(events) if (row := _cleaned(event)) is not None]
+            # Rows leave in blocks; a block is at most one chunk larger than this.
+            if len(held) >= MAX_EVENTS:
+                yield pd.DataFrame(held, columns=names)
+                held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
 
 
 def land_chunks(chunks: DataFrame) -> DataFrame:
