@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 FULL = Window(1_704_067_200_000, 1_706_659_200_000)
 LATE = Window(1_705_363_200_000, 1_706_659_200_000)
 NOW = FULL.to_ms
+CLOCK = ((3_600_000, 24, 2), (60_000, 60, 2), (1_000, 60, 2), (1, 1_000, 3))
 
 
 def counting(name: str) -> Column:
@@ -178,7 +179,10 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as an analytics export: visits and sessions are the export's own."""
     rows = unsessioned(spark, sf_dir)
-    ts = F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd HH:mm:ss.SSS")
+    # Spelled out in UTC, whatever the session's time zone.
+    clock = [F.lpad(F.floor(F.col("ts") / unit % size).cast("string"), width, "0") for unit, size, width in CLOCK]
+    date = F.date_format(F.date_from_unix_date(F.floor(F.col("ts") / 86_400_000).cast("int")), "yyyy-MM-dd")
+    ts = F.concat(date, F.lit(" "), F.concat_ws(":", *clock[:3]), F.lit("."), clock[3])
     last = F.substring("id", -1, 1)
     return rows.select(
         F.when(last == "3", "").otherwise(F.col("id")).alias("event_id"),

@@ -66,13 +66,11 @@ def _chain(rules: list[tuple[str, str]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN {quoted(v)}" for c, v in rules) + f" ELSE {quoted(otherwise)} END"
 
 
-# One scan decides for almost every visitor that no bot rule applies.
-_ANY_BOT = "|".join(m if m.startswith("\\") else re.escape(m) for m, _, _ in BOTS)
 # ``_bot`` is [kind, name], both '' for what is not a bot; no user agent at all is a bot.
 BOT = (
     {"_ua": "lower(coalesce(user_agent, ''))"},
     {
-        "_bot": f"""split(CASE WHEN trim(_ua) = '' THEN 'generic|empty user-agent' WHEN NOT _ua rlike r'{_ANY_BOT}' THEN '|' ELSE
+        "_bot": f"""split(CASE WHEN trim(_ua) = '' THEN 'generic|empty user-agent' ELSE
           {_chain([(_holds(m), f"{kind}|{name}") for m, name, kind in BOTS], "|")} END, r'\\|')"""
     },
 )

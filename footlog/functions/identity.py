@@ -15,7 +15,7 @@ def _groups(half: str) -> str:
 def _with_tail(groups: str) -> str:
     """A trailing dotted quad counts as two groups; an invalid one stays and fails the check."""
     octet = [f"try_cast(regexp_extract(try_element_at({groups}, -1), {_QUAD}, {i}) as int)" for i in range(1, 5)]
-    small = " AND ".join(f"coalesce({o} <= 255, false)" for o in octet)
+    small = f"try_element_at({groups}, -1) rlike {_QUAD} AND " + " AND ".join(f"coalesce({o} <= 255, false)" for o in octet)
     pairs = ", ".join(f"lower(hex({a} * 256 + {b}))" for a, b in ((octet[0], octet[1]), (octet[2], octet[3])))
     return (
         f"CASE WHEN coalesce(contains(try_element_at({groups}, -1), '.'), false) AND {small} "
@@ -24,19 +24,20 @@ def _with_tail(groups: str) -> str:
 
 
 # ``_ip``: IPv4 as it is, mapped IPv4 unwrapped, IPv6 cut to its canonical first 64 bits, else as sent.
+# Only addresses with a colon are taken apart.
 NORMAL_IP = (
     {"_addr": "trim(coalesce(ip, ''))"},
     {
-        "_mapped": r"regexp_extract(_addr, r'(?i)^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$', 1)",
-        "_halves": r"split(split(regexp_replace(regexp_replace(_addr, r'^\[', ''), r'\]$', ''), '%')[0], '::')",
+        "_mapped": r"CASE WHEN contains(_addr, ':') THEN regexp_extract(_addr, r'(?i)^::ffff:(\d{1,3}(?:\.\d{1,3}){3})$', 1) END",
+        "_halves": r"CASE WHEN contains(_addr, ':') THEN split(split(regexp_replace(regexp_replace(_addr, r'^\[', ''), r'\]$', ''), '%')[0], '::') END",
     },
-    {"_h": _groups("_halves[0]"), "_t": f"CASE WHEN size(_halves) = 2 THEN {_groups('get(_halves, 1)')} ELSE cast(array() as array<string>) END"},
+    {"_h": _groups("_halves[0]"), "_t": f"CASE WHEN size(_halves) = 2 THEN {_groups('get(_halves, 1)')} WHEN size(_halves) = 1 THEN cast(array() as array<string>) END"},
     {"_head": _with_tail("_h"), "_tail": _with_tail("_t")},
     {"_missing": "8 - size(_head) - size(_tail)"},
-    {"_whole": "concat(_head, array_repeat('0', greatest(_missing, 0)), _tail)"},
+    {"_whole": "CASE WHEN _h IS NOT NULL AND _t IS NOT NULL THEN concat(_head, array_repeat('0', greatest(_missing, 0)), _tail) END"},
     {
-        "_ip": """CASE WHEN _mapped <> '' THEN _mapped WHEN NOT contains(_addr, ':') THEN _addr
-          WHEN size(_halves) <= 2 AND CASE WHEN size(_halves) = 2 THEN _missing >= 0 ELSE _missing = 0 END
+        "_ip": """CASE WHEN _mapped <> '' THEN _mapped
+          WHEN _whole IS NOT NULL AND CASE WHEN size(_halves) = 2 THEN _missing >= 0 ELSE _missing = 0 END
             AND forall(_whole, g -> g rlike '^[0-9a-fA-F]{1,4}$')
           THEN concat(array_join(transform(slice(_whole, 1, 4), g -> lower(regexp_replace(g, '^0+(?=.)', ''))), ':'), '::/64')
           ELSE _addr END"""

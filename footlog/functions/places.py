@@ -30,9 +30,8 @@ URL_ENCODED = {"x-vercel-ip-city"}
 
 
 def _code(header: str) -> str:
-    """A two-letter country code, or null."""
-    code = f"substring(upper(trim(try_element_at(headers, '{header}'))), 1, 2)"
-    return f"CASE WHEN {code} rlike '^[A-Z]{{2}}$' AND {code} NOT IN {listed(NOT_COUNTRIES)} THEN {code} END"
+    """The checked two-letter country code of a header, or null."""
+    return f"_c{COUNTRY_HEADERS.index(header)}"
 
 
 def _pick(column: int) -> str:
@@ -60,9 +59,12 @@ def _repaired(text: str) -> str:
 # ``_country`` is the first valid country header; the location comes from the first provider with a
 # valid country, and coordinates come as a pair or not at all.
 LOCATE = (
+    # Most requests carry few of these headers; each is read and checked once.
+    {f"_h{i}": f"substring(upper(trim(try_element_at(headers, '{h}'))), 1, 2)" for i, h in enumerate(COUNTRY_HEADERS)},
+    {f"_c{i}": f"CASE WHEN _h{i} rlike '^[A-Z]{{2}}$' AND _h{i} NOT IN {listed(NOT_COUNTRIES)} THEN _h{i} END" for i in range(len(COUNTRY_HEADERS))},
     {
-        "_country": f"coalesce({', '.join(_code(h) for h in COUNTRY_HEADERS)}, '')",
-        "_provider": "coalesce(" + ", ".join(f"CASE WHEN {_code(p[0])} IS NOT NULL THEN {i} END" for i, p in enumerate(PROVIDERS)) + ")",
+        "_country": f"coalesce({', '.join(f'_c{i}' for i in range(len(COUNTRY_HEADERS)))}, '')",
+        "_provider": "CASE " + " ".join(f"WHEN {_code(p[0])} IS NOT NULL THEN {i}" for i, p in enumerate(PROVIDERS)) + " END",
     },
     {
         "_suffix": f"trim({_pick(1)})",

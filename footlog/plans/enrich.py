@@ -106,9 +106,16 @@ def assign_sessions(events: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFram
     return placed.withColumn("session_id", F.expr(SESSION_NAME)).drop("session_start", "session_no")
 
 
-def ingest(raw: DataFrame, sites: DataFrame, secret: str, **options) -> tuple[DataFrame, DataFrame]:
-    """The whole batch job: stored events in table order, and refused requests."""
+def ingest(raw: DataFrame, sites: DataFrame, secret: str, staging: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """The whole batch job: stored events in table order, and refused requests.
+
+    Sessions read the enriched events twice. With ``staging``, a folder all executors share, they are written
+    there once instead of being enriched a second time, and a lost executor costs no re-enrichment.
+    """
     events, refused = enrich(raw, sites, secret, **options)
+    if staging is not None:
+        events.write.mode("overwrite").parquet(staging)
+        events = raw.sparkSession.read.schema(events.schema).parquet(staging)
     return assign_sessions(events).select(*EVENT_SCHEMA.fieldNames()), refused
 
 

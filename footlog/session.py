@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Generated methods beyond this size are not compiled by the JVM; Spark then splits the stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A repeated key in a request body keeps its last value, as JSON parsers do.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

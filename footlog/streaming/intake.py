@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,7 +30,8 @@ def start_intake(
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        events = with_defaults(enrich(batch, sites, secret, **options)[0])
+        # One micro-batch is enriched once and read several times below; it is rebuilt if an executor is lost.
+        events = with_defaults(enrich(batch, sites, secret, **options)[0]).persist(StorageLevel.MEMORY_AND_DISK)
         placed = with_day(events)
         near = read_events(batch.sparkSession, table).join(placed.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
         fresh = new_events(events, near.select("id"))
@@ -39,6 +41,7 @@ def start_intake(
         both = fresh.select(*EVENT_SCHEMA.fieldNames()).unionByName(earlier)
         named = assign_sessions(both.drop("session_id")).join(fresh.select("id"), "id", "left_semi")
         write_events(named.select(*EVENT_SCHEMA.fieldNames()), table)
+        events.unpersist()
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
