@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sample_requests as sample
-from checks.sample_view import event_table, unsessioned
+from checks.sample_view import event_table, spread, unsessioned
 from footlog.functions import channels, privacy, urls
 from footlog.functions.stages import staged
 from footlog.functions.values import number, prop
@@ -178,7 +178,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as an analytics export: visits and sessions are the export's own."""
-    rows = unsessioned(spark, sf_dir)
+    rows = spread(unsessioned(spark, sf_dir))
     # Spelled out in UTC, whatever the session's time zone.
     clock = [F.lpad(F.floor(F.col("ts") / unit % size).cast("string"), width, "0") for unit, size, width in CLOCK]
     date = F.date_format(F.date_from_unix_date(F.floor(F.col("ts") / 86_400_000).cast("int")), "yyyy-MM-dd")
@@ -335,7 +335,7 @@ def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E80 over every sentence of every document, each source measured by its documents' lengths."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", "n_chars"))
     measured = docs.select("source", F.col("n_chars").cast("double").alias("value"))
     rows = claims.check_claims(docs.select("doc_id", "source", "text"), measured, ["source", "doc_id"], ["source"])
     return rows.where("dropped").select("doc_id", "numbers", "causal")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample_view import MS_DUCKDB, MS_SPARK, unsessioned
+from checks.sample_view import MS_DUCKDB, MS_SPARK, spread, unsessioned
 
 SECRET = "checks"
 # User agents, by k % 8.
@@ -128,7 +128,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView(name)
     sql = REQUESTS_SQL.replace("{MS}", MS_SPARK).replace("{EVENTS}", name).replace("{SHA}(", "sha2_hex(")
     sql = sql.replace("sha2_hex(site || '|user-' || cast(user_id as string))", "sha2(site || '|user-' || cast(user_id as string), 256)")
-    return spark.sql(sql).select(
+    return spread(spark.sql(sql)).select(
         "request_id",
         F.col("event_id").alias("ingest_seq"),
         "body",

@@ -102,6 +102,12 @@ def duckdb_view(events: str = "events", gap_ms: int = GAP_MS) -> str:
     return text.replace("{MS}", MS_DUCKDB).replace("{EVENTS}", events).replace("{GAP}", str(gap_ms))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core on a table of few small files; a table of many files is left as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def unsessioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view without sessions."""
     name = "sample_events_" + "".join(ch if ch.isalnum() else "_" for ch in sf_dir)
