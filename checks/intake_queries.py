@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sample_requests as sample
-from checks.sample_view import event_table, spread, unsessioned
+from checks.sample_view import event_table, shared_folder, spread, unsessioned
 from footlog.functions import channels, privacy, urls
 from footlog.functions.stages import staged
 from footlog.functions.values import number, prop
@@ -129,7 +130,9 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, _ = job.ingest(sample.requests(spark, sf_dir), sample.request_sites(spark, sf_dir), sample.SECRET)
+    folder = shared_folder(spark)
+    staging = folder and f"{folder}/footlog-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}/enriched"
+    events, _ = job.ingest(sample.requests(spark, sf_dir), sample.request_sites(spark, sf_dir), sample.SECRET, staging)
     return events.select("id", "session_id")
 
 

@@ -110,7 +110,8 @@ def ingest(raw: DataFrame, sites: DataFrame, secret: str, staging: str | None =
     """The whole batch job: stored events in table order, and refused requests.
 
     Sessions read the enriched events twice. With ``staging``, a folder all executors share, they are written
-    there once instead of being enriched a second time, and a lost executor costs no re-enrichment.
+    there once instead of being enriched a second time, a lost executor costs no re-enrichment, and the session
+    step is planned over plain columns. Name one for every real run.
     """
     events, refused = enrich(raw, sites, secret, **options)
     if staging is not None:
