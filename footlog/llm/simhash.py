@@ -57,15 +57,16 @@ def _add(ones: np.ndarray, hashes: list[int]) -> int:
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per document; fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): one row per document; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([simhash(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            made = np.array([simhash(x, shingle) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def divided(masks: list[int], parts: int) -> list[int]:
@@ -185,14 +186,17 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST
 ) -> DataFrame:
-    """(doc_id, fp, component_id): every document with its fingerprint and the smallest id it reaches over links."""
+    """(doc_id, text_hash, fp, label, component_id) for every document.
+
+    component_id is the smallest id it reaches over links, label the smallest fingerprint (the same for a whole component).
+    """
     marked = staged(fingerprints(documents, id_col, text_col, shingle), "simhash")
     nodes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     found = components(links(nodes, radius, most))
     labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(roots, "label").select(F.col("fp").alias("of"), "component_id")
-    return marked.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    classes = labelled.join(roots, "label").select(F.col("fp").alias("of"), "label", "component_id")
+    return marked.join(classes, F.col("fp") == F.col("of")).drop("of")
 
 
 def hex_of(fp):
