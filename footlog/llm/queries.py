@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footlog.llm import bpe, langid, linededup, packing, simhash
+from footlog.llm import bpe, langid, linededup, minhash, packing, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_edits(_documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_documents(spark, sf_dir)).select(
         "doc_id", F.size(F.split("text", "\n")).alias("lines_left"), "lines_removed", "copied_from", F.sha2("text", 256).alias("text_sha256")
@@ -46,6 +50,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_minhash": op3_minhash,
         "op4_line_dedup": op4_line_dedup,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
