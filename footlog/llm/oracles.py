@@ -18,4 +18,4 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op5_threshold_top_k": OP5}
