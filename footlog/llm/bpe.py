@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A text is split by the vocabulary's pattern; each match is merged on its own, always the pair of lowest rank, leftmost
-first. Pending pairs lie in one bucket per rank, as positions of a linked list of symbols. A bitmap of three levels marks
+first. Pending pairs lie in one bucket per rank, as positions of a linked list of symbols. A bitmap of two levels marks
 the ranks whose buckets hold something: find-first-set at each level gives the lowest. Entries whose pair has changed since
 are stale and skipped. An n-byte match takes O(n log n) whatever its length; short matches are remembered.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,48 +25,11 @@ from pyspark.sql import functions as F
 
 from footlog.llm.common import BLOCK, Memo, row_slices
 
+#: Ranks a block of the bitmap covers.
+_WIDTH = 256
 _loaded: dict[str, Coder] = {}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank first and in it the lowest position."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.top, self.middle, self.low = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            high, mid = rank >> 12, rank >> 6
-            self.top |= 1 << high
-            self.middle[high] = self.middle.get(high, 0) | 1 << (mid & 63)
-            self.low[mid] = self.low.get(mid, 0) | 1 << (rank & 63)
-        else:
-            heapq.heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        high = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[high]
-        mid = high << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[mid]
-        rank = mid << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[mid] &= ~(1 << (rank & 63))
-            if not self.low[mid]:
-                self.middle[high] &= ~(1 << (mid & 63))
-                if not self.middle[high]:
-                    self.top &= ~(1 << high)
-        return rank, position
-
-    def __bool__(self) -> bool:
-        return self.top != 0
-
-
 class Coder:
     """The ranks of one vocabulary and what is remembered of it; one per Python worker."""
 
@@ -73,38 +37,63 @@ class Coder:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pieces = {b: a for a, b in self.ranks.items()}
+        self.blocks = [r // _WIDTH for r in range(max(self.pieces) + 1)]
+        self.bits = [1 << r % _WIDTH for r in range(max(self.pieces) + 1)]
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(lambda match: np.array(self.merge(match.encode()), "<i4").tobytes(), 300_000)
+        self.memo = Memo(lambda match: array("i", self.merge(match.encode())).tobytes(), 200_000)
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one match of the pattern."""
-        ranks = self.ranks
+        ranks, n = self.ranks, len(raw)
         if raw in ranks:
             return [ranks[raw]]
-        n = len(raw)
-        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # symbol i is raw[i:end[i]]; its right neighbour starts at end[i]
-        pair: list[int | None] = [None] * n  # the rank of symbol i with its right neighbour; None: no such pair, or merged away
-        queue = RankQueue()
-
-        def look(i: int) -> None:
-            right = end[i]
-            pair[i] = rank = ranks.get(raw[i : end[right]]) if right < n else None
-            if rank is not None:
-                queue.push(rank, i)
-
-        for i in range(n):
-            look(i)
-        while queue:
-            rank, i = queue.pop()
-            if pair[i] != rank:
-                continue
+        find, blocks, bits_of, push, pop = ranks.get, self.blocks, self.bits, heapq.heappush, heapq.heappop
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # symbol i is raw[i:end[i]]; its right neighbour starts at end[i]
+        pair: list[int | None] = [find(raw[i : i + 2]) for i in range(n - 1)] + [None]  # the rank of symbol i with its right neighbour
+        # The queue: a bucket of positions per rank, a bitmap of the ranks in use per block, a bitmap of the blocks in use.
+        buckets: dict[int, list[int]] = {}
+        low: dict[int, int] = {}
+        top, look = 0, range(n - 1)
+        while True:
+            for i in look:
+                if (rank := pair[i]) is not None:
+                    if rank in buckets:
+                        push(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        block = blocks[rank]
+                        low[block] = low.get(block, 0) | bits_of[rank]
+                        top |= 1 << block
+            while top:  # find-first-set in both levels; entries whose pair has changed are skipped
+                block = (top & -top).bit_length() - 1
+                bits = low[block]
+                rank = block * _WIDTH + (bits & -bits).bit_length() - 1
+                bucket = buckets[rank]
+                if len(bucket) > 1:
+                    i = pop(bucket)
+                else:
+                    i = bucket[0]
+                    del buckets[rank]
+                    low[block] = bits = bits & (bits - 1)
+                    if not bits:
+                        top &= top - 1
+                if pair[i] == rank:
+                    break
+            else:
+                break
             gone = end[i]
-            end[i], pair[gone] = end[gone], None
-            if end[i] < n:
-                before[end[i]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
+            pair[gone], end[i] = None, (right := end[gone])
+            left = before[i]
+            if right < n:
+                before[right] = i
+                pair[i] = find(raw[i : end[right]])
+            else:
+                pair[i] = None
+            if left >= 0:
+                pair[left] = find(raw[left:right])
+                look = (left, i)
+            else:
+                look = (i,)
         out, i = [], 0
         while i < n:
             out.append(ranks[raw[i : end[i]]])

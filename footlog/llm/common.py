@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The ASCII white space of all word rules here: U+0020 and U+0009 to U+000D, which is what bytes.split() splits on.
 SPACE = r"[\x20\x09-\x0D]"
@@ -37,6 +38,16 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, kind: str | None, most: int) -> DataFrame:
+    """Of each kind the items with the highest counts n, at most ``most``: a histogram of the counts gives the cut."""
+    step = F.floor(F.log2("n") * 8)  # some hundreds of steps at any size
+    of = F.col(kind) if kind else F.lit("")
+    steps = counts.groupBy(of.alias("__kind"), step.alias("__step")).agg(F.count(F.lit(1)).alias("items"))
+    running = F.sum("items").over(Window.partitionBy("__kind").orderBy(F.desc("__step")))
+    cut = steps.withColumn("running", running).where(F.col("running") <= most).groupBy("__kind").agg(F.min("__step").alias("__cut"))
+    return counts.join(cut, of.eqNullSafe(F.col("__kind"))).where(step >= F.col("__cut")).drop("__kind", "__cut")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
@@ -60,16 +71,19 @@ def word_blocks(raw: bytes) -> Iterator[list[bytes]]:
 
 
 class Memo(dict):
-    """A cache of a pure function that starts afresh when full, so memory is bounded and results never change."""
+    """A cache of a pure function in two generations: what is used again outlives a full one, so memory is bounded."""
 
-    def __init__(self, function, most: int = 400_000, longest: int = 64):
+    def __init__(self, function, most: int = 300_000, longest: int = 64):
         super().__init__()
-        self.function, self.most, self.longest = function, most, longest
+        self.function, self.most, self.longest, self.old = function, most, longest, {}
 
     def __missing__(self, key):
-        value = self.function(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -26,9 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from footlog.llm.common import BLOCK, Memo, in_fold, row_slices, staged
+from footlog.llm.common import BLOCK, Memo, in_fold, most_frequent, row_slices, staged
 
 WORDS, GRAMS, LONGEST, LANGUAGES = 20_000, 5_000, 4, 64
 #: Words longer than this are no words; their n-grams would be many.
@@ -92,15 +91,6 @@ def _add_grams(longest: int):
     return add
 
 
-def _frequent(counts: DataFrame, kind: str, most: int) -> DataFrame:
-    """Of each kind the items with the highest counts, at most ``most``: a histogram of counts gives the cut."""
-    step = F.floor(F.log2("n") * 8)  # some hundreds of steps at any size
-    steps = counts.groupBy(kind, step.alias("step")).agg(F.count(F.lit(1)).alias("items"))
-    running = F.sum("items").over(Window.partitionBy(kind).orderBy(F.desc("step")))
-    cut = steps.withColumn("running", running).where(F.col("running") <= most).groupBy(kind).agg(F.min("step").alias("cut"))
-    return counts.join(cut, kind).where(step >= F.col("cut")).drop("cut")
-
-
 class Model:
     """Log frequencies of words and n-grams in each language; built from bounded rows."""
 
@@ -173,9 +163,9 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     found: dict[str, list] = {level: [] for level in totals}
     for r in gram_totals:
         totals[r["level"][0]][r["level"][1:]] = r["n"]
-    for r in _frequent(counted, "lang", words).collect():
+    for r in most_frequent(counted, "lang", words).collect():
         found[""].append((r["lang"], r["word"], r["n"]))
-    for r in _frequent(gram_counts, "level", grams).collect():
+    for r in most_frequent(gram_counts, "level", grams).collect():
         found[r["level"][0]].append((r["level"][1:], r["gram"], r["n"]))
     return Model(langs, totals, {level: sorted(x) for level, x in found.items()})
 

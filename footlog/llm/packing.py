@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,13 @@ END_ID = 1
 #: Pieces that one task packs together.
 GROUP = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Words one worker remembers, in each of two generations.
+REMEMBERED = 400_000
+#: Punctuation that a letter before it never joins, and that no special token ends with.
+_AFTER = b".,!?;:#$%&*()-_=+~@^/\\\"]}"
+#: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the others from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: 0x100 + i for i, b in enumerate(x for x in range(0x100) if x not in set(_PRINTED))}
 _encoders: dict[str, Memo] = {}
 
 
@@ -38,14 +46,30 @@ def word_encoder(path: str) -> Memo:
     """Ids of a white-space separated word as little-endian 32-bit bytes.
 
     The vocabulary's normaliser and pre-tokenizer drop white space and never join across it, so a text's ids are those of
-    its words, one after another. One memo lives as long as its Python worker.
+    its words, one after another. Likewise punctuation after a letter is split off and case is folded, so a word with them
+    is looked up by its parts. One memo lives as long as its Python worker.
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = Memo(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), 300_000)
+
+        model, special = tokenizer.model, {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+
+        def ids(word: bytes) -> bytes:
+            stem = word.rstrip(_AFTER)
+            if len(stem) < len(word) and stem and (end := stem.decode()[-1]).isalpha() and end < "\u0130":
+                return memo[stem] + memo[word[len(stem) :]]
+            text = word.decode()
+            if text.isalpha() and max(text) < "\u0130" and text not in special:
+                # One run of Latin letters: normalising only folds its case and splitting leaves it whole.
+                if (low := text.lower()) != text:
+                    return memo[low.encode()]
+                return array("I", [t.id for t in model.tokenize(word.decode("latin-1").translate(_SHOWN))]).tobytes()
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        memo = _encoders[path] = Memo(ids, REMEMBERED)
     return _encoders[path]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footlog.llm import bpe, langid, linededup, minhash, packing, sharding, simhash, topk
+from footlog.llm import bpe, langid, linededup, minhash, ngrams, packing, sharding, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(_documents(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _documents(spark, sf_dir).select("doc_id")
     return sharding.assign(keys, "doc_id").select("doc_id", sharding.slot_of(F.col("doc_id")).alias("slot"), "shard")
@@ -62,6 +66,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash": op3_minhash,
         "op4_line_dedup": op4_line_dedup,
         "op5_threshold_top_k": op5_threshold_top_k,
+        "op6_bloom_lm": op6_bloom_lm,
         "op7_sharding": op7_sharding,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
