@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footlog.llm import bpe, langid, linededup, minhash, ngrams, packing, sharding, simhash, topk
+from footlog.llm import bpe, langid, linededup, minhash, ngrams, packing, sharding, simhash, tokencount, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(_documents(spark, sf_dir)))
     return coded.select(
@@ -62,6 +66,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_minhash": op3_minhash,
         "op4_line_dedup": op4_line_dedup,
