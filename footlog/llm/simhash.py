@@ -32,6 +32,8 @@ SHINGLE = 3
 SEED = 42
 #: Fingerprints of a bucket that one task compares with each other.
 MOST = 512
+#: Divisions of the bits after which at most 12 of 64 are open (for a radius of 3), which is 4096 fingerprints.
+DIVISIONS = 6
 #: Reference fingerprints: the hashes of their numbers.
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(i), SEED) for i in range(16)], dtype=np.uint64)
 
@@ -152,11 +154,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFr
         keyed = staged(_keyed(open_rows, masks, parts), "simhash-keys")
         sizes = keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = staged(keyed.join(sizes, ["path", "key"]), "simhash-buckets")
-        small = sized.where(F.col("n") <= most).select("fp", "path", "key")
+        last = len(masks) >= parts**DIVISIONS  # so few bits are open now that any bucket is small enough
+        small = (sized if last else sized.where(F.col("n") <= most)).select("fp", "path", "key")
         made = small.repartition("path", "key").sortWithinPartitions("path", "key").mapInArrow(_search(radius), "a long, b long")
         found = made if found is None else found.unionByName(made)
         open_rows = sized.where(F.col("n") > most).select("fp", "path")
-        if len(masks) >= 4096 * parts or open_rows.isEmpty():
+        if last or open_rows.isEmpty():
             return found
 
 

@@ -8,8 +8,8 @@ component times the value the list has come to; once that bound is below the k-t
 must be strictly below, so ties are complete. The k best of all blocks are ranked per query.
 
 Nulls: rows without an id, and vectors that are null or hold a null, NaN or infinite component, take no part. Of rows that
-repeat an id the smallest vector counts. Only vectors of equal length are compared. Scores beyond 64 bits are saturated,
-after exact ranking within a block. Other columns are not read.
+repeat an id the smallest vector counts. Only vectors of equal length are compared. Scores beyond 64 bits are saturated
+before they are ranked. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,7 +72,10 @@ class Lists:
             seen |= met
             scored += len(new)
             values = self.values[new] if exact else np.array([[int(x) for x in row] for row in self.values[new]], object).reshape(len(new), query.size)
-            ids, scores = np.concatenate([ids, self.ids[new]]), np.concatenate([scores, values @ weights if query.size else np.zeros(len(new), kind)])
+            made = values @ weights if query.size else np.zeros(len(new), kind)
+            if not exact:
+                made = np.array([max(-_LIMIT - 1, min(_LIMIT, x)) for x in made], object)
+            ids, scores = np.concatenate([ids, self.ids[new]]), np.concatenate([scores, made])
             other = ids != query_id
             ids, scores = ids[other], scores[other]
             best = np.lexsort((ids, -scores.astype(kind)))[:k] if exact else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], int)
@@ -98,7 +101,7 @@ def _block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFr
             ids, scores, _ = lists.best(query_id, query, k)
             out["query_id"] += [query_id] * len(ids)
             out["vec_id"] += ids.tolist()
-            out["score"] += [max(-_LIMIT - 1, min(_LIMIT, int(s))) for s in scores]
+            out["score"] += [int(s) for s in scores]
     return pd.DataFrame({c: pd.Series(v, dtype="int64") for c, v in out.items()})
 
 
