@@ -1,6 +1,6 @@
 """One-permutation MinHash fingerprints, in DataFrame operations only.
 
-Shingles of five words (all words, if fewer) are hashed once. The high bits of a hash name one of ``BINS`` bins, each bin
+Shingles of five words (all words, if fewer), as they are written, are hashed once. The high bits of a hash name one of ``BINS`` bins, each bin
 keeps its smallest hash. An empty bin borrows from a non-empty one by optimal densification: bin i walks all bins in its own
 pseudo-random order and takes the first non-empty one, so two texts borrow alike as often as they are alike. The
 lowest eight bits of every bin's value are packed into the fingerprint, two hexadecimal digits a bin. Two unequal values
@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footlog.llm.common import SPACE, ascii_lower
+from footlog.llm.common import SPACE
 
 BINS, BIN_BITS = 128, 7
 SHINGLE = 5
 VALUE_BITS = 63 - BIN_BITS
-_NONE = (1 << VALUE_BITS) - 1
+_NONE, _TOP = (1 << VALUE_BITS) - 1, (1 << 63) - 1
+EMPTY = "00" * BINS
+_BYTES = [f"{i:02x}" for i in range(256)]
 #: Documents whose ids are next to each other and are compared in one group.
 GROUP = 256
 _WALKS = [xxhash.xxh64_intdigest(str(i), 5) for i in range(BINS)]
@@ -35,100 +37,98 @@ _INVERSES = [w % BINS | 1 for w in _WALKS]  # odd, so the walk meets every bin o
 _SHIFTS = [w // BINS % BINS for w in _WALKS]
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once."""
-    return F.transform(F.array(value), body)[0]
+def with_fingerprint(frame: DataFrame, text_col: str = "text", out_col: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
+    """The frame with the packed fingerprint of a text column as hexadecimal digits, two for each bin.
 
-
-def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
-    """The hashes of all word shingles of a text (at least one, unless it has no words)."""
-    words = F.filter(F.split(ascii_lower(text), f"{SPACE}+"), lambda w: w != "")
-
-    def hashed(w: Column) -> Column:
-        runs = F.sequence(F.lit(0), F.size(w) - shingle)
-        whole = F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(F.transform(w, lambda x: F.hex(x)), " "))))
-        return F.when(F.size(w) < shingle, whole).otherwise(F.transform(runs, lambda i: F.xxhash64(*[w[i + k] for k in range(shingle)])))
-
-    return let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
-
-
-def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
-    """The packed fingerprint of a text as hexadecimal digits; two for each bin."""
+    Each step is a column of its own that the next one names more than once, so Spark computes it once.
+    """
+    w, e, f, g = (F.col(f"__{out_col}_{x}") for x in "wefg")
+    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+"), lambda x: x != "")
+    runs = F.when(F.size(w) >= shingle, F.size(w) - shingle).otherwise(0)
+    shingles = F.transform(F.sequence(F.lit(0), runs), lambda i: F.xxhash64(F.slice(w, i + 1, shingle)).bitwiseAND((1 << 63) - 1))
     # A placeholder above all values stands in every bin, so each bin has a first entry after the sort.
     blanks = F.lit([i << VALUE_BITS | _NONE for i in range(BINS)])
-    entries = F.sort_array(F.concat(F.transform(shingle_hashes(F.coalesce(text, F.lit("")), shingle), lambda h: h.bitwiseAND((1 << 63) - 1)), blanks))
-    firsts = let(entries, lambda e: F.filter(e, lambda x, i: (i == 0) | (F.shiftright(x, VALUE_BITS) != F.shiftright(F.get(e, i - 1), VALUE_BITS))))
-    return let(firsts, _packed)
+    entries = F.sort_array(F.concat(F.when(F.size(w) > 0, shingles).otherwise(F.array().cast("array<bigint>")), blanks))
+    firsts = F.filter(e, lambda x, i: F.coalesce(x.bitwiseXOR(F.get(e, i - 1)), F.lit(_TOP)) >= 1 << VALUE_BITS)
+    steps = {
+        f"__{out_col}_w": F.transform(words, lambda x: F.xxhash64(x)),
+        f"__{out_col}_e": entries,
+        f"__{out_col}_f": firsts,
+        f"__{out_col}_g": F.filter(f, lambda x: x.bitwiseAND(_NONE) != _NONE),
+        out_col: F.when(F.size(g) == 0, F.lit(EMPTY)).otherwise(F.array_join(F.transform(f, lambda x, i: _digits(x, i, g)), "")),
+    }
+    for name, step in steps.items():
+        frame = frame.withColumn(name, step)
+    return frame.drop(*[c for c in steps if c != out_col])
 
 
-def _packed(bins: Column) -> Column:
-    inverses, shifts = F.lit(_INVERSES), F.lit(_SHIFTS)
+def _digits(x: Column, i: Column, filled: Column) -> Column:
+    """The two digits of bin i, from its own first entry or the one it borrows."""
 
-    def with_filled(filled: Column) -> Column:
-        def borrowed(i: Column) -> Column:
-            def at(e: Column) -> Column:
-                place = ((F.shiftright(e, VALUE_BITS).cast("int") - shifts[i] + BINS) * inverses[i]).bitwiseAND(BINS - 1)
-                return F.shiftleft(place.cast("long"), VALUE_BITS).bitwiseOR(e.bitwiseAND(_NONE))
+    def at(e: Column) -> Column:
+        place = ((F.shiftright(e, VALUE_BITS).cast("int") - F.lit(_SHIFTS)[i] + BINS) * F.lit(_INVERSES)[i]).bitwiseAND(BINS - 1)
+        return F.shiftleft(place.cast("long"), VALUE_BITS).bitwiseOR(e.bitwiseAND(_NONE))
 
-            return F.array_min(F.transform(filled, at))
-
-        def byte(x: Column, i: Column) -> Column:
-            value = F.when(x.bitwiseAND(_NONE) != _NONE, x).otherwise(borrowed(i))
-            return F.lpad(F.lower(F.hex(value.bitwiseAND(255))), 2, "0")
-
-        return F.array_join(F.transform(bins, byte), "")
-
-    packed = let(F.filter(bins, lambda x: x.bitwiseAND(_NONE) != _NONE), with_filled)
-    return F.when(F.length(packed) == 2 * BINS, packed).otherwise("00" * BINS)
+    value = F.when(x.bitwiseAND(_NONE) != _NONE, x).otherwise(F.array_min(F.transform(filled, at)))
+    return F.get(F.lit(_BYTES), value.bitwiseAND(255).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The estimated share of common shingles, 0 to 1, of two fingerprints."""
-    empty = "00" * BINS
-    agree = F.size(F.filter(F.sequence(F.lit(1), F.lit(2 * BINS - 1), F.lit(2)), lambda i: a.substr(i, F.lit(2)) == b.substr(i, F.lit(2))))
+
+    def different(i: Column) -> Column:
+        """How many of four bins differ: the non-zero bytes of the exclusive or."""
+        word = [F.conv(x.substr(i, F.lit(8)), 16, 10).cast("long") for x in (a, b)]
+        low = word[0].bitwiseXOR(word[1]).bitwiseAND(0x7F7F7F7F) + 0x7F7F7F7F
+        return F.bit_count(low.bitwiseOR(word[0].bitwiseXOR(word[1])).bitwiseAND(0x80808080))
+
+    agree = BINS - F.aggregate(F.sequence(F.lit(1), F.lit(2 * BINS - 7), F.lit(8)), F.lit(0), lambda n, i: n + different(i))
     chance = 1 / 256
     corrected = F.greatest(F.lit(0.0), (agree / F.lit(float(BINS)) - chance) / (1 - chance))
-    return F.when(a == b, 1.0).when((a == empty) | (b == empty), 0.0).otherwise(corrected)
+    return F.when(a == b, 1.0).when((a == EMPTY) | (b == EMPTY), 0.0).otherwise(corrected)
 
 
-def with_next(marked: DataFrame, group: int = GROUP) -> DataFrame:
-    """Documents (doc_id, text, fingerprint; text not null) beside the next one by descending doc_id; after the last comes the first.
+def with_next(documents: DataFrame, group: int = GROUP) -> DataFrame:
+    """Documents (doc_id, text; text not null) with their fingerprint, and text and fingerprint of the next by descending id.
 
-    Ids are cut into ranges of about ``group`` documents, and only the last document of a range looks beyond its range,
-    over a table of the ranges. Ties of one id are ordered by text; null ids come last.
+    After the last comes the first. Ids are cut into ranges of about ``group`` documents; texts are dealt by range once, and
+    only the last document of a range looks beyond it, over a table of the ranges. Ties of one id are ordered by text; null
+    ids come last.
     """
-    total, low, high = marked.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    total, low, high = documents.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / max(1, math.ceil(total / group))))
     span = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width), F.lit(-1)).alias("span")
+    dealt = documents.select("doc_id", "text", span).repartition("span")
     order = Window.partitionBy("span").orderBy(F.desc_nulls_last("doc_id"), "text")
-    carried = ["text", "fingerprint"]
-    placed = marked.select("doc_id", *carried, span)
-    for c in carried:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(order))
-    placed = placed.withColumn("before", F.lag(F.lit(1)).over(order))
-    tops = placed.where("before is null").select(F.col("span").alias("lower"), *[F.col(c).alias(f"next_{c}") for c in carried])
+    marked = with_fingerprint(dealt)
+    for c in ("text", "fingerprint"):
+        marked = marked.withColumn(f"next_{c}", F.lead(c).over(order))
+    # The two ends of each range; their fingerprints are made only for them.
+    last = with_fingerprint(dealt.withColumn("after", F.lead(F.lit(1)).over(order)).where("after is null").drop("after"))
+    tops = with_fingerprint(dealt.withColumn("before", F.lag(F.lit(1)).over(order)).where("before is null"))
+    tops = tops.select(F.col("span").alias("lower"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     # Every range's next lower range in use: inside blocks of ranges first, then over the blocks.
-    block = F.floor(F.col("span") / 4096)
-    used = marked.select(span).distinct().withColumn("block", block)
+    used = documents.select(span).distinct().withColumn("block", F.floor(F.col("span") / 4096))
     inner = used.withColumn("lower", F.lead("span").over(Window.partitionBy("block").orderBy(F.desc("span"))))
     blocks = used.groupBy("block").agg(F.max("span").alias("first"))
     beyond = blocks.select("block", F.coalesce(F.lead("first").over(Window.orderBy(F.desc("block"))), F.max("first").over(Window.partitionBy(F.lit(1)))).alias("wrapped"))
-    following = inner.join(beyond, "block").select("span", F.coalesce("lower", "wrapped").alias("lower"))
-    reached = following.join(tops, "lower").drop("lower").withColumnRenamed("span", "of")
-    last = placed.where("next_text is null").select("doc_id", *carried, "span").join(reached, F.col("span") == F.col("of")).drop("of", "span")
-    return placed.where("next_text is not null").drop("before", "span").unionByName(last)
+    following = inner.join(beyond, "block").select(F.col("span").alias("of"), F.coalesce("lower", "wrapped").alias("lower"))
+    reached = following.join(tops, "lower").drop("lower")
+    ended = last.join(reached, F.col("span") == F.col("of")).drop("of", "span")
+    return marked.where("next_text is not null").drop("span").unionByName(ended)
 
 
 def compare_edits(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half is the beginning of the next document."""
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    marked = documents.select(F.col(id_col).cast("long").alias("doc_id"), text).withColumn("fingerprint", fingerprint(F.col("text")))
-    beside = with_next(marked)
+    # A bare column where it is one already: renamed copies keep Spark from seeing that the dealt texts are the same.
+    key = F.col(id_col) if (id_col, "bigint") in documents.dtypes and id_col == "doc_id" else F.col(id_col).cast("long").alias("doc_id")
+    beside = with_next(documents.select(key, text))
     size = F.length("text").cast("long")
     half = F.floor(size / 2)
     edited = F.concat(F.substring("text", F.lit(1), (size - half).cast("int")), F.substring("next_text", F.lit(1), half.cast("int")))
     made = beside.select("doc_id", size.alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    both = made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    both = with_fingerprint(made.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_fingerprint")
     return both.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
