@@ -22,11 +22,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from footlog.llm.common import BLOCK, Memo, row_slices
 
 #: Ranks a block of the bitmap covers.
-_WIDTH = 256
+_WIDTH = 240  # whole digits of Python integers
 _loaded: dict[str, Coder] = {}
 
 
@@ -39,6 +40,7 @@ class Coder:
         self.pieces = {b: a for a, b in self.ranks.items()}
         self.blocks = [r // _WIDTH for r in range(max(self.pieces) + 1)]
         self.bits = [1 << r % _WIDTH for r in range(max(self.pieces) + 1)]
+        self.tops = [1 << b for b in range(max(self.pieces) // _WIDTH + 1)]
         self.pattern = regex.compile(pattern)
         self.memo = Memo(lambda match: array("i", self.merge(match.encode())).tobytes(), 200_000)
 
@@ -47,7 +49,7 @@ class Coder:
         ranks, n = self.ranks, len(raw)
         if raw in ranks:
             return [ranks[raw]]
-        find, blocks, bits_of, push, pop = ranks.get, self.blocks, self.bits, heapq.heappush, heapq.heappop
+        find, blocks, bits_of, tops, push, pop = ranks.get, self.blocks, self.bits, self.tops, heapq.heappush, heapq.heappop
         end, before = list(range(1, n + 1)), list(range(-1, n))  # symbol i is raw[i:end[i]]; its right neighbour starts at end[i]
         pair: list[int | None] = [find(raw[i : i + 2]) for i in range(n - 1)] + [None]  # the rank of symbol i with its right neighbour
         # The queue: a bucket of positions per rank, a bitmap of the ranks in use per block, a bitmap of the blocks in use.
@@ -62,20 +64,23 @@ class Coder:
                     else:
                         buckets[rank] = [i]
                         block = blocks[rank]
-                        low[block] = low.get(block, 0) | bits_of[rank]
-                        top |= 1 << block
+                        if block in low:
+                            low[block] |= bits_of[rank]
+                        else:
+                            low[block] = bits_of[rank]
+                            top |= tops[block]
             while top:  # find-first-set in both levels; entries whose pair has changed are skipped
                 block = (top & -top).bit_length() - 1
                 bits = low[block]
                 rank = block * _WIDTH + (bits & -bits).bit_length() - 1
                 bucket = buckets[rank]
-                if len(bucket) > 1:
-                    i = pop(bucket)
-                else:
-                    i = bucket[0]
+                i = pop(bucket)
+                if not bucket:
                     del buckets[rank]
-                    low[block] = bits = bits & (bits - 1)
-                    if not bits:
+                    if bits := bits & (bits - 1):
+                        low[block] = bits
+                    else:
+                        del low[block]
                         top &= top - 1
                 if pair[i] == rank:
                     break
@@ -134,9 +139,13 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ra
     """The frame with the bytes its ids stand for."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    @F.pandas_udf("binary")
-    def run(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = coder(path, public_tokenizers.PATTERN).pieces
-        return ids.map(lambda x: b"" if x is None else b"".join(map(pieces.__getitem__, x.tolist())))
+        for batch in batches:
+            ids = batch.column(ids_col)
+            made = [b"".join(map(pieces.__getitem__, ids[i].values.to_numpy().tolist())) if ids[i].is_valid else b"" for i in range(len(ids))]
+            kept = [(n, batch.column(n)) for n in batch.schema.names if n != out_col]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(made, pa.binary())], names=[*(n for n, _ in kept), out_col])
 
-    return tokens.withColumn(out_col, run(F.col(ids_col)))
+    kept = [f for f in tokens.schema.fields if f.name != out_col]
+    return tokens.mapInArrow(run, StructType([*kept, StructField(out_col, BinaryType())]))
