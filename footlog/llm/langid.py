@@ -103,16 +103,18 @@ class Model:
             counts: dict[str, np.ndarray] = {}
             for lang, item, n in items:
                 counts.setdefault(item, np.zeros(len(langs)))[at[lang]] = n
-            self.logs[level] = {item: np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))).astype(np.float32) for item, c in counts.items()}
+            self.logs[level] = {item: tuple(np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))).tolist()) for item, c in counts.items()}
 
-    def word(self, word: str) -> np.ndarray | None:
+    def word(self, word: str) -> tuple[float, ...] | None:
+        """The word's log frequency in each language, or the mean of its longest known n-grams'."""
         found = self.logs[""].get(word)
         if found is not None:
             return found
         for level in self.levels:
-            known = [g for g in (self.logs[level].get(x) for x in grams_of(word, int(level))) if g is not None]
+            find = self.logs[level].get
+            known = [g for x in grams_of(word, int(level)) if (g := find(x)) is not None]
             if known:
-                return np.mean(known, axis=0, dtype=np.float32)
+                return tuple(s / len(known) for s in map(sum, zip(*known, strict=True)))
         return None
 
     def scorer(self):
@@ -134,7 +136,7 @@ class Model:
             nonlocal size
             total, any_word = np.zeros(len(self.langs)), False
             for words in words_of(text or ""):
-                if size > 300_000:
+                if size > 200_000:
                     memo.clear()
                     size = 0
                 any_word = any_word or any(c.isalpha() for w in words for c in w)

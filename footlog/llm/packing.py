@@ -33,7 +33,7 @@ END_ID = 1
 GROUP = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words one worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Punctuation that a letter before it never joins, and that no special token ends with.
 _AFTER = b".,!?;:#$%&*()-_=+~@^/\\\"]}"
 #: The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the others from U+0100 on.
