@@ -130,8 +130,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = shared_folder(spark)
-    staging = folder and f"{folder}/footlog-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}/enriched"
+    staging = f"{shared_folder(spark)}/footlog-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}/enriched"
     events, _ = job.ingest(sample.requests(spark, sf_dir), sample.request_sites(spark, sf_dir), sample.SECRET, staging)
     return events.select("id", "session_id")
 
@@ -316,7 +315,7 @@ def by_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heat(part: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = heatmap.heatmap(by_visit(spark, sf_dir))[part]
+        rows = heatmap.heatmap(by_visit(spark, sf_dir), points=8000, page_count=100)[part]
         return rows.select("site_id", "device", "path", "snap", "at") if part == "snapshot" else rows
 
     return run
@@ -329,7 +328,7 @@ def playback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_table(spark, sf_dir)
     links = events.groupBy("site_id", F.col("visitor_id").alias("replay_id")).agg(F.min("session_id").alias("session_id"))
-    return replays.markers(by_visit(spark, sf_dir), links, events)
+    return replays.markers(by_visit(spark, sf_dir), links, events, limit=2000)
 
 
 def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -551,6 +551,15 @@ def portfolio_ctes() -> list[str]:
     ]
 
 
+def portfolio_series(w, buckets: int, sites: str) -> str:
+    """Per listed site and bucket; people only where they are measured."""
+    return (
+        f"SELECT s.site_id, b.range AS bucket, coalesce(q.visitors, 0) AS visitors, CASE WHEN s.privacy_mode <> 'strict' THEN coalesce(q.users, 0) END AS users "
+        f"FROM {sites} s CROSS JOIN range({buckets}) b LEFT JOIN (SELECT site_id, {bucket(w)} AS bucket, {VIS} AS visitors, count(DISTINCT CASE WHEN identity <> '' "
+        "THEN identity END) AS users FROM h GROUP BY 1, 2) q ON q.site_id = s.site_id AND q.bucket = b.range"
+    )
+
+
 def report_oracles() -> dict[str, str]:
     late = {"w": LATE}
     de = "country = 'DE' AND browser <> 'Safari'"
@@ -743,6 +752,7 @@ def report_oracles() -> dict[str, str]:
         "f23_data_from": ev("SELECT site_id, min(ts) AS data_from FROM ev WHERE identity <> '' GROUP BY 1"),
         "f24_people": people_list("true", "last_ts DESC"),
         "f24_people_segment": people_list("status = 'returning' AND plan = 'pro'", "actions DESC"),
+        "f24_people_total": ev("SELECT site_id, count(*) AS total FROM people WHERE status = 'returning' GROUP BY 1", PEOPLE),
         "f25_people_summary": ev(
             "SELECT site_id, count(*) AS known, count(CASE WHEN status = 'returning' THEN 1 END) AS \"returning\", count(CASE WHEN status = 'one_time' THEN 1 END) "
             "AS one_time, count(CASE WHEN status = 'signed_up_only' THEN 1 END) AS signed_up_only, "
@@ -784,9 +794,10 @@ def report_oracles() -> dict[str, str]:
         "f32_portfolio_paying": ev("SELECT * FROM pa", *portfolio_ctes(), **late),
         "f33_portfolio_revenue": ev("SELECT * FROM cur", PAID, **late),
         "f34_portfolio_series": ev(
-            "SELECT s.site_id, b.range AS bucket, coalesce(q.visitors, 0) AS visitors, coalesce(q.users, 0) AS users FROM (SELECT DISTINCT site_id FROM h) s "
-            f"CROSS JOIN range(30) b LEFT JOIN (SELECT site_id, {bucket(FULL)} AS bucket, {VIS} AS visitors, count(DISTINCT CASE WHEN identity <> '' "
-            "THEN identity END) AS users FROM h GROUP BY 1, 2) q ON q.site_id = s.site_id AND q.bucket = b.range"
+            portfolio_series(FULL, 30, "sites"), SITES
+        ),
+        "f34_portfolio_sites": ev(
+            portfolio_series(LATE, 15, "(SELECT * FROM sites UNION ALL SELECT 's9', 'standard')"), SITES, **late
         ),
         "f35_portfolio_platforms": ev(f"SELECT site_id, {PLATFORM} AS platform, {VIS} AS visitors FROM h GROUP BY 1, 2"),
         "f36_portfolio": ev("SELECT * FROM pf", *portfolio_ctes(), **late),
@@ -827,6 +838,23 @@ def report_oracles() -> dict[str, str]:
             "ON t.site_id = b.site_id AND t.currency = b.currency",
             PAID,
         ),
+        "f38_revenue_no_sales": ev(
+            "SELECT DISTINCT site_id, 'GBP' AS currency, CAST(0 AS DOUBLE) AS revenue, 0 AS orders, 0 AS sessions, CAST(0 AS DOUBLE) AS previous_revenue, 0 AS previous_orders, "
+            f"0 AS previous_sessions FROM ev WHERE {HUMAN} AND {win((EARLY[0], LATE[1]))}"
+        ),
+        "f39_revenue_no_sales": ev(
+            f"SELECT site_id, 'GBP' AS currency, {VIS} AS visitors, {SES} AS sessions, CAST(NULL AS DOUBLE) AS average_order_value, CAST(0 AS DOUBLE) AS revenue_per_visitor, "
+            "CAST(0 AS DOUBLE) AS conversion_rate FROM h GROUP BY 1"
+        ),
+        "f39_revenue_named": ev(
+            "SELECT v.site_id, 'EUR' AS currency, v.visitors, v.sessions, "
+            + rnd(f"{rnd('t.revenue', 2)} / t.orders", 2) + " AS average_order_value, "
+            + rnd(f"{rnd('coalesce(t.revenue, 0)', 2)} / v.visitors", 2) + " AS revenue_per_visitor, "
+            + rnd("100.0 * coalesce(t.paying, 0) / v.sessions", 2)
+            + f" AS conversion_rate FROM (SELECT site_id, {VIS} AS visitors, {SES} AS sessions FROM h GROUP BY 1) v "
+            f"LEFT JOIN (SELECT site_id, {rnd('sum(amount)', 4)} AS revenue, count(*) AS orders, {SES} AS paying FROM hp WHERE currency = 'EUR' GROUP BY 1) t USING (site_id)",
+            PAID,
+        ),
         "f40_revenue_by_channel": ev(
             top(
                 pay.format(g="ft.g", c="currency", t="hp JOIN best USING (site_id, currency) JOIN ft USING (site_id, session_id)"),

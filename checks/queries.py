@@ -139,6 +139,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_table(spark, sf_dir).select("site_id").distinct().select("site_id", mode)
 
 
+def with_quiet_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites and one more that has had no event yet."""
+    return sites(spark, sf_dir).unionByName(spark.range(1).select(F.lit("s9").alias("site_id"), F.lit("standard").alias("privacy_mode")))
+
+
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A country table read from nations: the first two letters stand for the code."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -183,13 +188,13 @@ def report_queries() -> dict[str, Query]:
         "d11_property_suggestions": on(filters.suggestions, "prop:currency"),
         "f01_sessions": on(explore.list_sessions, limit=200, window=LATE, filters=(Filter("path", "/p/3"),)),
         "f01_sessions_total": on(explore.count_sessions, window=LATE, filters=(Filter("path", "/p/3"),)),
-        "f02_timelines": events(explore.timelines),
+        "f02_timelines": events(explore.timelines, limit=2000),
         "f03_users": on(explore.list_users, limit=200),
         "f03_visitors": on(explore.list_users, "anonymous", limit=200),
         "f03_users_total": on(explore.count_users),
         "f04_profiles": events(explore.profiles),
         "f05_traits": events(explore.traits),
-        "f06_event_properties": on(explore.event_properties),
+        "f06_event_properties": on(explore.event_properties, limit=500),
         "f07_event_series": on(explore.event_series, DAY_MS),
         "f08_event_log": on(explore.event_log),
         "f09_error_occurrences": on(explore.error_occurrences, "E1", "/a1.js", 1),
@@ -217,6 +222,7 @@ def report_queries() -> dict[str, Query]:
         "f23_data_from": on(lifecycle.data_from),
         "f24_people": on(people.list_people, limit=100),
         "f24_people_segment": on(people.list_people, "returning", "actions", "pro", limit=100),
+        "f24_people_total": on(people.count_people, "returning"),
         "f25_people_summary": on(people.summary, NOW),
         "f26_top_actions": on(people.top_actions),
         "f27_people_by_plan": on(people.by_plan),
@@ -228,14 +234,18 @@ def report_queries() -> dict[str, Query]:
         "f32_portfolio_moves": on(portfolio.moves, window=LATE),
         "f32_portfolio_paying": on(portfolio.paying, window=LATE),
         "f33_portfolio_revenue": on(portfolio.revenue, window=LATE),
-        "f34_portfolio_series": on(portfolio.series),
+        "f34_portfolio_series": lambda spark, sf_dir: portfolio.series(scope(spark, sf_dir), sites(spark, sf_dir)),
+        "f34_portfolio_sites": lambda spark, sf_dir: portfolio.series(scope(spark, sf_dir, LATE), with_quiet_site(spark, sf_dir)),
         "f35_portfolio_platforms": on(portfolio.platforms),
         "f36_portfolio": assembled,
         "f36_portfolio_totals": lambda spark, sf_dir: portfolio.totals(assembled(spark, sf_dir)),
         "f36_portfolio_money": lambda spark, sf_dir: portfolio.money_totals(scope(spark, sf_dir), sites(spark, sf_dir)),
         "f37_revenue_currencies": on(revenue.currencies),
         "f38_revenue_totals": on(revenue.totals, window=LATE),
+        "f38_revenue_no_sales": on(revenue.totals, "GBP", window=LATE),
         "f39_revenue_per_visitor": on(revenue.per_visitor),
+        "f39_revenue_no_sales": on(revenue.per_visitor, "GBP"),
+        "f39_revenue_named": on(revenue.per_visitor, "EUR"),
         "f40_revenue_by_channel": on(revenue.breakdown, "channel"),
         "f40_revenue_by_path": on(revenue.breakdown, "path", "USD"),
         "f41_revenue_series": on(revenue.over_time, DAY_MS),
@@ -243,9 +253,9 @@ def report_queries() -> dict[str, Query]:
         "f43_revenue_rejected": on(revenue.rejected),
         "f47_geo_coverage": on(geo.coverage),
         "f48_geo_countries": on(geo.countries),
-        "f48_geo_regions": on(geo.regions),
-        "f49_geo_points": on(geo.points),
-        "f50_geo_sessions": on(geo.sessions),
+        "f48_geo_regions": on(geo.regions, limit=5000),
+        "f49_geo_points": on(geo.points, limit=5000),
+        "f50_geo_sessions": on(geo.sessions, limit=5000),
         "f51_geo_report": lambda spark, sf_dir: geo.report(scope(spark, sf_dir), nation_codes(spark, sf_dir))["geo.countries"],
     }
 

@@ -38,7 +38,7 @@ b as (
 c as (
   select cast(event_id as string) as id, event_id as ingest_seq, site_id, ts,
     md5('v|' || cast(day as string) || '|' || site_id || '|' || cast(user_id as string)) as visitor_id,
-    case when k % 4 = 0 then '' else md5('i|' || site_id || '|' || cast(user_id as string) || '|' || cast(k % 10 as string)) end as identity,
+    case when k % 7 = 0 then '' else md5('i|' || site_id || '|' || cast(user_id as string) || '|' || cast(k % 10 as string)) end as identity,
     case when event_type = 'view' then 'pageview' else 'event' end as type, name,
     case when k % 8 = 0 then '/' else '/p/' || cast(k % 8 as string) end as path,
     case when k % 9 = 0 then '?utm_source=feed' else '' end as query,
@@ -50,7 +50,7 @@ c as (
     case when k % 9 = 0 then 'feed' else '' end as utm_source,
     case when k % 9 = 0 then 'email' else '' end as utm_medium,
     case when k % 9 = 0 then 'c' || cast(k % 2 as string) else '' end as utm_campaign,
-    '' as utm_term, case when k % 18 = 0 then 'top' else '' end as utm_content,
+    case when k % 27 = 0 then 'shoes' else '' end as utm_term, case when k % 18 = 0 then 'top' else '' end as utm_content,
     case user_id % 3 when 0 then 'desktop' when 1 then 'mobile' else 'tablet' end as device,
     case user_id % 4 when 0 then 'Windows' when 1 then 'iOS' when 2 then 'macOS' else 'Android' end as os,
     case user_id % 5 when 0 then 'Chrome' when 1 then 'Safari' when 2 then 'Firefox' when 3 then 'iOS app' else 'Android app' end as browser,
@@ -103,9 +103,8 @@ def duckdb_view(events: str = "events", gap_ms: int = GAP_MS) -> str:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Use every core on a table of few small files; a table of many files is left as it is read."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    """Deal rows out by their first column, so that the costly parsing after it does not follow the files' sizes."""
+    return rows.repartition(F.col(rows.columns[0]))
 
 
 def unsessioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +121,13 @@ def sessioned(spark: SparkSession, sf_dir: str, gap_ms: int = GAP_MS) -> DataFra
     return placed.withColumn("session_id", named).drop("session_no", "session_start")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder; a temporary one only on a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
+    if not named:
+        named = tempfile.mkdtemp(prefix="footlog-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 _tables: dict[tuple[str, str], DataFrame] = {}
@@ -137,14 +137,10 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's events as a stored event table, written once per application in the library's layout.
 
     Every metric then reads what it would read in production: a partitioned, pruned, pushed-down scan.
-    Without a shared folder the table stays a lazy view.
     """
-    folder = shared_folder(spark)
-    if folder is None:
-        return sessioned(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _tables:
-        path = f"{folder}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/events"
+        path = f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/events"
         write_events(with_defaults(sessioned(spark, sf_dir)).select(*EVENT_SCHEMA.fieldNames()), path)
         _tables[key] = read_events(spark, path)
     return _tables[key]

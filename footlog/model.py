@@ -78,9 +78,10 @@ class Window:
 
     @classmethod
     def last_days(cls, days: int, now_ms: int) -> Window:
-        """Look back 1 to 365 days from ``now_ms``."""
-        days = max(1, min(365, round(days)))
-        return cls(now_ms - days * DAY_MS, now_ms)
+        """Look back so many days, at least one, from ``now_ms``."""
+        if days < 1:
+            raise WindowError("a window looks back at least one day")
+        return cls(now_ms - round(days) * DAY_MS, now_ms)
 
     @classmethod
     def dates(cls, first: str, last: str, now_ms: int | None = None) -> Window:
@@ -141,6 +142,13 @@ class Scope:
                 condition = condition & (F.col("day") >= F.date_from_unix_date(F.lit(self.window.from_ms // DAY_MS)))
         return condition
 
+    def since(self, from_ms: int) -> Column:
+        """From a moment on, as a scan condition that prunes day partitions like ``inside``."""
+        condition = F.col("ts") >= from_ms
+        if "day" in self.events.columns:
+            condition = condition & (F.col("day") >= F.date_from_unix_date(F.lit(from_ms // DAY_MS)))
+        return condition
+
     def site_events(self) -> DataFrame:
         """Every event of the scope's sites, at any time."""
         return self.events if self.site is None else self.events.where(F.col("site_id") == self.site)

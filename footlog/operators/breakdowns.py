@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,9 +155,11 @@ def _over(kind: str, column: str) -> Column:
     return F.min(held) if kind == "first" else F.max(held)
 
 
-def breakdown(scope: Scope, metric: str) -> DataFrame:
-    """Any ranked metric by id."""
-    return SPECIAL[metric](scope) if metric in SPECIAL else ranked(scope, BREAKDOWNS[metric])
+def breakdown(scope: Scope, metric: str, **limit: int | None) -> DataFrame:
+    """Any ranked metric by id; ``limit=None`` gives every row, without it the metric's own number."""
+    if metric in SPECIAL:
+        return SPECIAL[metric](scope, **limit)
+    return ranked(scope, replace(BREAKDOWNS[metric], **limit))
 
 
 def pages_detail(scope: Scope, limit: int = 200) -> DataFrame:
@@ -215,8 +217,8 @@ def _vitals(scope: Scope) -> DataFrame:
 
 SPECIAL = {
     "pages.detail": pages_detail,
-    "entry.pages": lambda scope: edge_pages(scope, True),
-    "exit.pages": lambda scope: edge_pages(scope, False),
+    "entry.pages": lambda scope, **limit: edge_pages(scope, True, **limit),
+    "exit.pages": lambda scope, **limit: edge_pages(scope, False, **limit),
     "heatmap.weekhour": weekhour,
     "vitals.slow_pages": slow_pages,
     "vitals.p75": _vitals,
@@ -230,7 +232,7 @@ STAT_DIMENSIONS = (
 STAT_METRICS = ["visitors", "sessions", "pageviews", "events"]
 
 
-def stats(scope: Scope, metric: str = "visitors", by: str | None = None, limit: int = 10) -> DataFrame:
+def stats(scope: Scope, metric: str = "visitors", by: str | None = None, limit: int | None = 10) -> DataFrame:
     """One metric, optionally by a dimension or by UTC day."""
     if metric not in STAT_METRICS:
         raise ValueError(f"metric must be one of {', '.join(STAT_METRICS)}")
@@ -247,7 +249,7 @@ def stats(scope: Scope, metric: str = "visitors", by: str | None = None, limit:
         return rows.withColumn("day", day).groupBy("site_id", "day").agg(value)
     if by == "event":
         rows = rows.where("type = 'event'").withColumn("event", F.col("name"))
-    return top_per(rows.groupBy("site_id", by).agg(value), max(1, min(100, limit)), [F.desc("value"), F.asc(by)])
+    return top_per(rows.groupBy("site_id", by).agg(value), limit, [F.desc("value"), F.asc(by)])
 
 
 def segment_change(

@@ -10,9 +10,6 @@ from footlog.model import AUDIENCES, MINUTE_MS, Scope, Window, is_event, is_page
 from footlog.operators.filters import keep_sessions, row_predicate
 from footlog.operators.ordered import top_per
 
-PROPERTY_LIMIT = 500
-TIMELINE_LIMIT = 2000
-TRAIT_EVENTS = 50
 
 SESSION_ATTRIBUTES = (
     "visitor_id country browser os device screen lang channel source referrer_host"
@@ -37,17 +34,20 @@ def session_rows(
 ) -> DataFrame:
     """Whole sessions the scope selects: filters pick sessions, then every event of them counts.
 
-    One aggregation of the sites' events. Sessions have no length limit in the data, so all history is
-    read; ``longest_ms`` is a promise about the data that lets the scan prune to the window's surroundings.
+    Sessions have no length limit in the data, so the events of the selected sessions are looked up in all history;
+    ``longest_ms`` is a promise about the data that lets that scan prune to the window's surroundings.
     """
     events = scope.site_events()
     if longest_ms is not None:
         around = Window(scope.window.from_ms - longest_ms, scope.window.to_ms + longest_ms)
-        events = events.where(around.contains())
+        events = events.where(scope.at(around).inside())
+    hit = _hit(scope, identity, visitor)
+    # The window's sessions are found in its own days; only their events are grouped.
+    mine = scope.site_events().where(scope.inside() & hit).select("site_id", "session_id").distinct()
+    events = events.join(mine, ["site_id", "session_id"], "left_semi")
     first = F.min_by(F.struct(*SESSION_ATTRIBUTES), in_order())
     viewed = F.when(is_pageview(), in_order())
     grouped = events.groupBy("site_id", "session_id").agg(
-        F.max(_hit(scope, identity, visitor)).alias("_hit"),
         first.alias("_first"),
         F.max("identity").alias("identity"),
         F.min("ts").alias("started"),
@@ -57,7 +57,7 @@ def session_rows(
         F.min_by("path", viewed).alias("entry_page"),
         F.max_by("path", viewed).alias("exit_page"),
     )
-    picked = keep_sessions(grouped.where("_hit"), scope.site_events(), scope.filters)
+    picked = keep_sessions(grouped, scope.site_events(), scope.filters)
     duration = F.floor((F.col("ended") - F.col("started")) / 1000).cast("long").alias("duration")
     return picked.select(
         "site_id", "session_id", "_first.*", "identity", "started", "ended", duration, "pageviews", "events", "entry_page", "exit_page"
@@ -65,10 +65,9 @@ def session_rows(
 
 
 def list_sessions(
-    scope: Scope, identity: str | None = None, visitor: str | None = None, limit: int = 50, offset: int = 0, **options
+    scope: Scope, identity: str | None = None, visitor: str | None = None, limit: int | None = 50, offset: int = 0, **options
 ) -> DataFrame:
     """sessions, most recent first."""
-    limit = max(1, min(200, limit))
     order = [F.desc("started"), F.asc("session_id")]
     return top_per(session_rows(scope, identity, visitor, **options), limit, order, offset=max(0, offset))
 
@@ -83,14 +82,15 @@ def count_sessions(scope: Scope, identity: str | None = None, visitor: str | Non
     return scope.per_site(rows, distinct("session_id").alias("n"))
 
 
-def timelines(events: DataFrame, site: str | None = None, session: str | None = None, limit: int = TIMELINE_LIMIT) -> DataFrame:
+def timelines(events: DataFrame, site: str | None = None, session: str | None = None, limit: int | None = None) -> DataFrame:
     """every event of each session (of one, when named), numbered in order."""
     own = events
     if site is not None:
         own = own.where(F.col("site_id") == site)
     if session is not None:
         own = own.where(F.col("session_id") == session)
-        return own.orderBy("ts", "ingest_seq").limit(limit).select("site_id", "session_id", *TIMELINE_COLUMNS)
+        ordered = own.orderBy("ts", "ingest_seq")
+        return (ordered if limit is None else ordered.limit(limit)).select("site_id", "session_id", *TIMELINE_COLUMNS)
     narrow = own.select("site_id", "session_id", *TIMELINE_COLUMNS, "ingest_seq")
     return top_per(narrow, limit, [F.asc("ts"), F.asc("ingest_seq")], ["site_id", "session_id"]).drop("ingest_seq")
 
@@ -101,7 +101,7 @@ def _user_key(kind: str) -> tuple[str, Column]:
     return "identity", F.col("identity") != ""
 
 
-def list_users(scope: Scope, kind: str = "identified", limit: int = 50, offset: int = 0) -> DataFrame:
+def list_users(scope: Scope, kind: str = "identified", limit: int | None = 50, offset: int = 0) -> DataFrame:
     """people or daily visitors with their latest place and device; here filters do trim rows."""
     key, known = _user_key(kind)
     latest = F.max_by(F.struct("country", "device", "browser", "os"), in_order())
@@ -118,7 +118,7 @@ def list_users(scope: Scope, kind: str = "identified", limit: int = 50, offset:
             latest.alias("_latest"),
         )
     )
-    page = top_per(grouped, max(1, min(200, limit)), [F.desc("last_seen"), F.asc("id")], offset=max(0, offset))
+    page = top_per(grouped, limit, [F.desc("last_seen"), F.asc("id")], offset=max(0, offset))
     return page.select(*[c for c in page.columns if c != "_latest"], "_latest.*")
 
 
@@ -147,8 +147,8 @@ def exploded_props(rows: DataFrame, *kept: str) -> DataFrame:
     return spread.where(~F.col("key").startswith("_"))
 
 
-def traits(events: DataFrame, identity: str | None = None, newest: int = TRAIT_EVENTS) -> DataFrame:
-    """latest value of each trait over a user's newest ``identify`` events."""
+def traits(events: DataFrame, identity: str | None = None, newest: int | None = None) -> DataFrame:
+    """latest value of each trait over a user's ``identify`` events (the ``newest`` ones, if given)."""
     calls = events.where((F.col("name") == "identify") & (F.col("identity") != ""))
     if identity:
         calls = calls.where(F.col("identity") == identity)
@@ -162,7 +162,7 @@ def traits(events: DataFrame, identity: str | None = None, newest: int = TRAIT_E
     return scalars.groupBy("site_id", "identity", "key").agg(newest_value)
 
 
-def event_properties(scope: Scope, name: str | None = None, limit: int = PROPERTY_LIMIT) -> DataFrame:
+def event_properties(scope: Scope, name: str | None = None, limit: int | None = None) -> DataFrame:
     """how often each property value occurs, per event name (of one, when named)."""
     rows = scope.rows().where(is_event())
     if name:
@@ -184,7 +184,7 @@ def event_series(scope: Scope, width: int, name: str | None = None) -> DataFrame
     )
 
 
-def event_log(scope: Scope, name: str | None = None, limit: int = 100) -> DataFrame:
+def event_log(scope: Scope, name: str | None = None, limit: int | None = 100) -> DataFrame:
     """F8: the newest occurrences of an event."""
     rows = scope.rows().where(is_event())
     if name:
@@ -195,7 +195,7 @@ def event_log(scope: Scope, name: str | None = None, limit: int = 100) -> DataFr
 
 
 def error_occurrences(
-    scope: Scope, message: str | None, source: str | None, line: int | str | None, limit: int = 200
+    scope: Scope, message: str | None, source: str | None, line: int | str | None, limit: int | None = 200
 ) -> DataFrame:
     """occurrences of one error group, newest first; null matches a missing value."""
     wanted = {"message": message, "source": source, "line": None if line is None else str(line)}

@@ -99,7 +99,10 @@ def sessions_matching(site_events: DataFrame, item: Filter) -> DataFrame:
 def keep_sessions(rows: DataFrame, site_events: DataFrame, filters: tuple[Filter, ...]) -> DataFrame:
     for item in filters:
         if item.about_session:
-            rows = rows.join(sessions_matching(site_events, item), ["site_id", "session_id"], "left_semi")
+            # Only the sessions at hand are looked up in all history.
+            mine = rows.select("site_id", "session_id").distinct()
+            near = site_events.join(mine, ["site_id", "session_id"], "left_semi")
+            rows = rows.join(sessions_matching(near, item), ["site_id", "session_id"], "left_semi")
     return rows
 
 
@@ -119,7 +122,7 @@ def matched_values(scope: Scope, item: Filter) -> DataFrame:
     return values.distinct()
 
 
-def suggestions(scope: Scope, field: str, search: str = "", limit: int = SUGGESTIONS) -> DataFrame:
+def suggestions(scope: Scope, field: str, search: str = "", limit: int | None = SUGGESTIONS) -> DataFrame:
     """Values of a field seen in the window, most sessions first."""
     rows = scope.rows(filtered=False)
     item = Filter(field, "x")
@@ -137,6 +140,6 @@ def suggestions(scope: Scope, field: str, search: str = "", limit: int = SUGGEST
     if not item.property_key:
         named = named.where(F.col("value") != "")
     if search:
-        named = named.where(F.lower("value").contains(search[:100].lower()))
+        named = named.where(F.lower("value").contains(search.lower()))
     counted = named.groupBy("site_id", "value").agg(distinct("session_id").alias("sessions"))
     return top_per(counted, limit, [F.desc("sessions"), F.asc("value")])

@@ -9,8 +9,6 @@ from footlog.functions.values import count_when, distinct, flag, in_order
 from footlog.model import Scope, is_event, is_pageview
 from footlog.operators.ordered import top_per
 
-POINT_LIMIT = 5000
-SESSION_LIMIT = 5000
 _FIRST = "country region region_name city lat lon browser os device channel source referrer_host".split()
 
 
@@ -35,7 +33,7 @@ def countries(scope: Scope) -> DataFrame:
     return scope.rows().where("country <> ''").groupBy("site_id", "country").agg(distinct("session_id").alias("sessions"))
 
 
-def regions(scope: Scope, limit: int = POINT_LIMIT) -> DataFrame:
+def regions(scope: Scope, limit: int | None = None) -> DataFrame:
     """sessions by subdivision."""
     grouped = scope.rows().where("region <> ''").groupBy("site_id", "region").agg(
         F.max("region_name").alias("region_name"), distinct("session_id").alias("sessions")
@@ -43,7 +41,7 @@ def regions(scope: Scope, limit: int = POINT_LIMIT) -> DataFrame:
     return top_per(grouped, limit, [F.desc("sessions"), F.asc("region")])
 
 
-def points(scope: Scope, limit: int = POINT_LIMIT) -> DataFrame:
+def points(scope: Scope, limit: int | None = None) -> DataFrame:
     """sessions by 0.1 degree cell."""
     grouped = scope.rows().where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("site_id", "lat", "lon").agg(
         F.max("city").alias("city"), F.max("country").alias("country"), distinct("session_id").alias("sessions")
@@ -51,7 +49,7 @@ def points(scope: Scope, limit: int = POINT_LIMIT) -> DataFrame:
     return top_per(grouped, limit, [F.desc("sessions"), F.asc("lat"), F.asc("lon")])
 
 
-def sessions(scope: Scope, limit: int = SESSION_LIMIT) -> DataFrame:
+def sessions(scope: Scope, limit: int | None = None) -> DataFrame:
     """the latest sessions with the place they started in, first and last path of any event."""
     grouped = scope.rows().groupBy("site_id", "session_id").agg(
         F.min("ts").alias("started"),

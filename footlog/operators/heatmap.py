@@ -10,9 +10,7 @@ from footlog.operators.ordered import running_state, top_per
 from footlog.sources.recordings import CLICK, NAVIGATION, SCROLL, SNAPSHOT, VIEWPORT
 
 DEVICES = ["desktop", "tablet", "mobile"]
-X_STEP, Y_STEP, SCROLL_BIN, MAX_BINS = 0.004, 8, 100, 400
-POINTS_MAX, PAGES_MAX = 8000, 100
-SNAPSHOT_MAX = 2_000_000
+X_STEP, Y_STEP, SCROLL_BIN = 0.004, 8, 100
 LOAD = ["site_id", "replay_id", "page_load"]
 PAGE = ["site_id", "device", "path"]
 
@@ -68,7 +66,7 @@ def _round_half_up(value: Column) -> Column:
     return F.floor(value + 0.5)
 
 
-def click_points(state: DataFrame, views: DataFrame, limit: int = POINTS_MAX) -> DataFrame:
+def click_points(state: DataFrame, views: DataFrame, limit: int | None = None) -> DataFrame:
     """clicks per cell of each page and device: x as a fraction of the width, y in page pixels."""
     clicks = state.where((F.col("type") == CLICK) & (F.col("view") > 0) & (F.col("vw") > 0)).select(
         *LOAD, "view", ((_arg(1) + F.col("sx")) / F.col("vw")).alias("x"), (_arg(2) + F.col("sy")).alias("y")
@@ -87,21 +85,21 @@ def click_points(state: DataFrame, views: DataFrame, limit: int = POINTS_MAX) ->
 def scroll_reach(views: DataFrame) -> DataFrame:
     """per 100-pixel bin of each page and device, how many views reached at least that far.
 
-    Views are counted by the deepest bin they reach; a running sum over at most 400 bins does the rest.
+    Views are counted by the deepest bin they reach; a running sum over a page's bins does the rest.
     """
-    level = F.least(F.floor(F.col("bottom") / SCROLL_BIN), F.lit(MAX_BINS - 1)).cast("long")
+    level = F.floor(F.col("bottom") / SCROLL_BIN).cast("long")
     counted = views.groupBy(*PAGE, level.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max("bottom").alias("deepest"))
     held = counted.groupBy(*PAGE).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"), F.max("deepest").alias("deepest")
     )
-    bins = F.least(F.ceil(F.col("deepest") / SCROLL_BIN), F.lit(MAX_BINS)).cast("long")
+    bins = F.ceil(F.col("deepest") / SCROLL_BIN).cast("long")
     axis = held.where(F.col("deepest") > 0).select(*PAGE, "held", F.explode(F.sequence(F.lit(0).cast("long"), bins)).alias("bin"), bins.alias("bins"))
     deeper = W.partitionBy(*PAGE).orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = axis.withColumn("views", F.sum(F.coalesce(F.try_element_at("held", F.col("bin")), F.lit(0).cast("long"))).over(deeper))
     return counts.where(F.col("bin") < F.col("bins")).select(*PAGE, "bin", "views")
 
 
-def pages(views: DataFrame, limit: int = PAGES_MAX) -> DataFrame:
+def pages(views: DataFrame, limit: int | None = None) -> DataFrame:
     """recorded pages of each device, most viewed first, with views that had no snapshot of their own."""
     grouped = views.groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("views"), F.sum(F.col("spa").cast("int")).cast("long").alias("spa_views")
@@ -109,9 +107,11 @@ def pages(views: DataFrame, limit: int = PAGES_MAX) -> DataFrame:
     return top_per(grouped, limit, [F.desc("views"), F.asc("path")], ["site_id", "device"])
 
 
-def latest_snapshot(views: DataFrame) -> DataFrame:
-    """the newest snapshot of each page and device that is not too large to draw."""
-    usable = views.where(F.col("snap").isNotNull() & (F.length("snap") <= SNAPSHOT_MAX))
+def latest_snapshot(views: DataFrame, largest: int | None = None) -> DataFrame:
+    """the newest snapshot of each page and device, of those up to ``largest`` characters if that is given."""
+    usable = views.where(F.col("snap").isNotNull())
+    if largest is not None:
+        usable = usable.where(F.length("snap") <= largest)
     pick = F.max_by(F.struct("snap", "width", "height", "at"), F.struct("at", "replay_id", "page_load", "view"))
     return usable.groupBy(*PAGE).agg(pick.alias("s")).select(*PAGE, "s.*")
 
@@ -122,13 +122,13 @@ def truncation(recordings: DataFrame, limit: int) -> DataFrame:
     return counted.select("site_id", F.least("found", F.lit(limit)).alias("recordings"), (F.col("found") > limit).alias("truncated"))
 
 
-def heatmap(events: DataFrame) -> dict[str, DataFrame]:
+def heatmap(events: DataFrame, points: int | None = None, page_count: int | None = None) -> dict[str, DataFrame]:
     """All parts for every page and device of the recorded events (with ``replay_id`` and ``started_at``)."""
     state = tracked(events)
     views = page_views(state)
     return {
-        "points": click_points(state, views),
+        "points": click_points(state, views, points),
         "reach": scroll_reach(views),
-        "pages": pages(views),
+        "pages": pages(views, page_count),
         "snapshot": latest_snapshot(views),
     }

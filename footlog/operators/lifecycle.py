@@ -90,7 +90,7 @@ def latest_plans(scope: Scope) -> DataFrame:
     return plan_events(scope).groupBy(*PERSON).agg(F.max_by("plan", in_order()).alias("plan"))
 
 
-def plans(scope: Scope, limit: int = 20) -> DataFrame:
+def plans(scope: Scope, limit: int | None = 20) -> DataFrame:
     """people by current plan."""
     grouped = latest_plans(scope).groupBy("site_id", "plan").agg(F.count(F.lit(1)).alias("users"))
     return top_per(grouped, limit, [F.desc("users"), F.asc("plan")])

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from footlog.model import HOUR_MS, SESSION_GAP_MS
 
 SLICE = "_slice"
+#: Spark trims groups before the exchange up to this many rows (its own default), and how a larger group is divided.
+TRIMMED, PARTS = 1000, 256
 
 
 def slice_of(width_ms: int, ts: str = "ts") -> Column:
@@ -82,11 +84,20 @@ def session_slices(sliced: DataFrame, keys: list[str], gap_ms: int, ts: str = "t
 def top_per(
     rows: DataFrame, limit: int | None, order: list[Column], group: list[str] | None = None, offset: int = 0
 ) -> DataFrame:
-    """The first ``limit`` rows of each group in ``order``; Spark trims each partition before the exchange."""
+    """The first ``limit`` rows of each group in ``order``; all of them without a limit.
+
+    Up to TRIMMED rows Spark trims each partition before the exchange. For more, rows are ranked inside PARTS hashed
+    parts of their group first, so no task orders a whole group; what each part keeps is ranked again.
+    """
     if limit is None and not offset:
         return rows
-    rank = F.row_number().over(W.partitionBy(*(group or ["site_id"])).orderBy(*order))
-    ranked = rows.withColumn("_rank", rank)
+    keys, ranked = group or ["site_id"], rows
+    if limit is not None and offset + limit > TRIMMED:
+        columns = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
+        part = F.pmod(F.xxhash64(*columns), F.lit(PARTS))
+        within = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+        ranked = ranked.withColumn("_part", part).withColumn("_rank", within).where(F.col("_rank") <= offset + limit).drop("_part")
+    ranked = ranked.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     if limit is not None:
         ranked = ranked.where(F.col("_rank") <= offset + limit)
     if offset:

@@ -50,10 +50,11 @@ def session_paths(views: DataFrame, steps: int, slice_ms: int = HOUR_MS) -> Data
 
 
 def journeys(
-    scope: Scope, steps: int = 4, limit: int = 20, step_filters: tuple[str | None, ...] = (), slice_ms: int = HOUR_MS
+    scope: Scope, steps: int = 4, limit: int | None = 20, step_filters: tuple[str | None, ...] = (), slice_ms: int = HOUR_MS
 ) -> DataFrame:
     """whole page journeys, most common first; short sessions keep empty later steps."""
-    steps, limit = max(2, min(MAX_STEPS, steps)), max(1, min(100, limit))
+    if steps < 2:
+        raise ValueError("a journey has at least two steps")
     names = [f"p{i + 1}" for i in range(steps)]
     paths = session_paths(scope.rows().where(is_pageview()), steps, slice_ms)
     flat = paths.select("site_id", *[F.get("pages", F.lit(i)).alias(n) for i, n in enumerate(names)])

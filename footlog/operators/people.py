@@ -18,7 +18,6 @@ NON_ACTIONS = (
 ).split()
 SEGMENTS = ["all", "returning", "one_time", "signed_up_only"]
 SORTS = {"last_active": "last_ts", "joined": "first_ts", "actions": "actions", "active_days": "days", "visits": "visits"}
-PAGE_MAX = 100
 
 
 class PeopleError(ValueError):
@@ -57,32 +56,42 @@ def people(scope: Scope) -> DataFrame:
     )
 
 
+def picked_people(scope: Scope, segment: str = "all", plan: str = "", ids: tuple[str, ...] = ()) -> DataFrame:
+    """the people of a segment, a plan and named ids."""
+    if segment not in SEGMENTS:
+        raise PeopleError(f"segment must be one of {', '.join(SEGMENTS)}")
+    rows = people(scope)
+    if segment != "all":
+        rows = rows.where(F.col("status") == segment)
+    if plan:
+        rows = rows.where(F.col("plan") == plan.lower())
+    if ids:
+        rows = rows.where(F.col("identity").isin(list(ids)))
+    return rows
+
+
 def list_people(
     scope: Scope,
     segment: str = "all",
     sort: str = "last_active",
     plan: str = "",
     ids: tuple[str, ...] = (),
-    limit: int = 50,
+    limit: int | None = 50,
     offset: int = 0,
 ) -> DataFrame:
     """one page of people per site."""
-    if segment not in SEGMENTS:
-        raise PeopleError(f"segment must be one of {', '.join(SEGMENTS)}")
     if sort not in SORTS:
         raise PeopleError(f"sort must be one of {', '.join(SORTS)}")
-    rows = people(scope)
-    if segment != "all":
-        rows = rows.where(F.col("status") == segment)
-    if plan:
-        rows = rows.where(F.col("plan") == plan.lower())
-    if ids:
-        rows = rows.where(F.col("identity").isin(list(ids)))
     order = [F.desc(SORTS[sort]), F.asc("identity")]
-    page = top_per(rows, max(1, min(PAGE_MAX, limit)), order, offset=max(0, offset))
+    page = top_per(picked_people(scope, segment, plan, ids), limit, order, offset=max(0, offset))
     return page.withColumn("alias", person_alias(F.col("identity")))
 
 
+def count_people(scope: Scope, segment: str = "all", plan: str = "", ids: tuple[str, ...] = ()) -> DataFrame:
+    """F24 total: how many people the pages hold."""
+    return scope.per_site(picked_people(scope, segment, plan, ids), F.count(F.lit(1)).alias("total"))
+
+
 def summary(scope: Scope, now_ms: int) -> DataFrame:
     """people by status, recently active, and new."""
     status, week, month = F.col("status"), now_ms - 7 * DAY_MS, now_ms - 30 * DAY_MS
@@ -99,7 +108,7 @@ def summary(scope: Scope, now_ms: int) -> DataFrame:
     return scope.per_site(people(scope), F.count(F.lit(1)).alias("known"), *named)
 
 
-def top_actions(scope: Scope, page: DataFrame | None = None, limit: int = 3) -> DataFrame:
+def top_actions(scope: Scope, page: DataFrame | None = None, limit: int | None = 3) -> DataFrame:
     """the most frequent actions of each person (of a page of people, when given)."""
     acts = _own(scope).where(is_action()).groupBy(*PERSON, "name").agg(F.count(F.lit(1)).alias("n"))
     if page is not None:
@@ -107,7 +116,7 @@ def top_actions(scope: Scope, page: DataFrame | None = None, limit: int = 3) ->
     return top_per(acts, limit, [F.desc("n"), F.asc("name")], PERSON)
 
 
-def by_plan(scope: Scope, limit: int = 20) -> DataFrame:
+def by_plan(scope: Scope, limit: int | None = 20) -> DataFrame:
     """people by the latest plan they carried."""
     planned = people(scope).where(F.col("plan").isNotNull())
     return top_per(planned.groupBy("site_id", "plan").agg(F.count(F.lit(1)).alias("users")), limit, [F.desc("users"), F.asc("plan")])
@@ -127,7 +136,7 @@ def actions_by_day(scope: Scope, identity: str | None = None, days: int = 14) ->
     return newest.select(*PERSON, "day", "total", F.explode("names").alias("a")).select(*PERSON, "day", "total", "a.name", "a.n")
 
 
-def latest_visits(scope: Scope, identity: str | None = None, limit: int = 10) -> DataFrame:
+def latest_visits(scope: Scope, identity: str | None = None, limit: int | None = 10) -> DataFrame:
     """each person's latest visits."""
     own = _own(scope)
     if identity:

@@ -73,23 +73,29 @@ def series_axis(scope: Scope) -> tuple[int, int, int]:
     return width, start, max(1, math.ceil((scope.window.to_ms - start) / width))
 
 
-def series(scope: Scope) -> DataFrame:
-    """visitors and identified people per site and UTC-aligned bucket, every bucket present."""
+def series(scope: Scope, sites: DataFrame) -> DataFrame:
+    """visitors and identified people of every site of ``sites`` (site_id, privacy_mode), every UTC-aligned bucket present.
+
+    People are null on strict sites, where they are not measured. One row per visitor, person and bucket, then one per
+    visitor or person and bucket: two folds instead of two distinct counts, which would read every event three times.
+    """
     width, start, count = series_axis(scope)
     placed = scope.rows(filtered=False).withColumn("bucket", bucket_of("ts", start, width))
-    counted = placed.groupBy("site_id", "bucket").agg(
-        distinct("visitor_id").alias("visitors"), distinct("identity", F.col("identity") != "").alias("users")
-    )
+    pairs = placed.select("site_id", "bucket", "visitor_id", "identity").distinct()
+    named = F.explode(F.array(F.struct(F.lit("v").alias("kind"), F.col("visitor_id").alias("who")), F.struct(F.lit("i").alias("kind"), F.col("identity").alias("who"))))
+    known = pairs.select("site_id", "bucket", named.alias("x")).select("site_id", "bucket", "x.*").where("kind = 'v' OR who <> ''").distinct()
+    counted = known.groupBy("site_id", "bucket").agg(count_when(F.col("kind") == "v").alias("visitors"), count_when(F.col("kind") == "i").alias("users"))
     held = counted.groupBy("site_id").agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("visitors", "users")))).alias("held")
     )
-    axis = held.select("site_id", "held", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")).alias("bucket"))
+    listed = sites.select("site_id", "privacy_mode").join(held, "site_id", "left")
+    axis = listed.select("site_id", "privacy_mode", "held", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>")).alias("bucket"))
     point = F.try_element_at("held", F.col("bucket"))
     return axis.select(
         "site_id",
         "bucket",
         F.coalesce(point.getField("visitors"), F.lit(0).cast("long")).alias("visitors"),
-        F.coalesce(point.getField("users"), F.lit(0).cast("long")).alias("users"),
+        F.when(F.col("privacy_mode") != "strict", F.coalesce(point.getField("users"), F.lit(0).cast("long"))).alias("users"),
     )
 
 

@@ -51,8 +51,8 @@ def chunk_facts(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("events"),
         *[F.sum(F.when(F.col("type").isin(of), 1).otherwise(0)).cast("long").alias(n) for n, of in codes.items()],
         first.alias("_snap"),
-        F.first("user_agent").alias("user_agent"),
-        F.first("country").alias("country"),
+        F.min("user_agent").alias("user_agent"),
+        F.min("country").alias("country"),
     )
 
 
@@ -136,7 +136,7 @@ def newest(rows: DataFrame, window: Window, limit: int | None = None) -> DataFra
     return top_per(inside, limit, [F.desc("started_at"), F.asc("replay_id")])
 
 
-def list_replays(
+def picked_replays(
     rows: DataFrame,
     settings: DataFrame,
     window: Window,
@@ -145,10 +145,8 @@ def list_replays(
     min_pages: int = 0,
     errors_only: bool = False,
     equal: dict[str, str] | None = None,
-    limit: int | None = 50,
-    offset: int = 0,
 ) -> DataFrame:
-    """recordings, newest first; past its retention a recording is gone even before it is purged.
+    """the recordings asked for; past its retention a recording is gone even before it is purged.
 
     ``equal`` narrows by country, device, browser or session_id.
     """
@@ -162,9 +160,22 @@ def list_replays(
         if column not in ("country", "device", "browser", "session_id"):
             raise ValueError(f'cannot filter recordings by "{column}"')
         kept = kept.where(F.col(column) == value)
+    return kept
+
+
+def list_replays(
+    rows: DataFrame, settings: DataFrame, window: Window, now_ms: int, limit: int | None = 50, offset: int = 0, **picked
+) -> DataFrame:
+    """recordings, newest first."""
+    kept = picked_replays(rows, settings, window, now_ms, **picked)
     return top_per(kept, limit, [F.desc("started_at"), F.asc("replay_id")], offset=max(0, offset))
 
 
+def count_replays(rows: DataFrame, settings: DataFrame, window: Window, now_ms: int, **picked) -> DataFrame:
+    """F55 total: how many recordings the pages hold."""
+    return picked_replays(rows, settings, window, now_ms, **picked).groupBy("site_id").agg(F.count(F.lit(1)).alias("total"))
+
+
 def clock(events: DataFrame) -> DataFrame:
     """per page load its offset on the server's clock, and when its recording starts and ends.
 
@@ -186,7 +197,7 @@ def playback(events: DataFrame) -> DataFrame:
     return timed.select("site_id", "replay_id", "page_load", "seq", "pos", at.alias("at"), "type", "args")
 
 
-def markers(events: DataFrame, recorded: DataFrame, analytics: DataFrame, limit: int = 2000) -> DataFrame:
+def markers(events: DataFrame, recorded: DataFrame, analytics: DataFrame, limit: int | None = None) -> DataFrame:
     """the visit's analytics events around each recording, on its clock; exit summaries are left out.
 
     A range join: both sides meet on (site, session, hour), so an event is compared only with recordings of its hour.

@@ -18,7 +18,8 @@ def cohort_cells(scope: Scope, max_offset: int = MAX_OFFSET, cohorts: int = MAX_
 
     Days after the window's end have no cell: they were not measured.
     """
-    max_offset = max(1, min(MAX_OFFSET, max_offset))
+    if max_offset < 1:
+        raise ValueError("retention looks at least one day ahead")
     known = scope.rows(audience).where(F.col("identity") != "")
     active = known.select("site_id", "identity", day_of().alias("day")).distinct()
     # A person has at most one row per day here, so the window over a person is bounded by the range's days.

@@ -53,16 +53,27 @@ def default_currency(scope: Scope) -> DataFrame:
 
 
 def totals(scope: Scope, currency: str | None = None) -> DataFrame:
-    """revenue, orders and paying sessions now and before, in one pass over both windows."""
+    """revenue, orders and paying sessions now and before, in one pass over both windows.
+
+    A named currency has a row for every site with people in these windows, all zero where nothing was sold in it.
+    """
     _checked(currency)
     both = scope.at(scope.window.joined(scope.window.previous()))
     now = scope.window.contains()
+    paid = payments(both)
+    if currency is not None:
+        # One row per session, with or without payments: a site without sales stays.
+        mine = prop("revenue").isNotNull() & F.coalesce(prop("currency") == currency, F.lit(False))
+        paid = both.rows().withColumn("amount", F.when(mine, number("revenue"))).withColumn("currency", F.lit(currency))
+        now, before = mine & now, mine & ~now
+    else:
+        before = ~now
     # One row per paying session keeps the distinct count out of the final sums.
-    folded = payments(both).groupBy("site_id", "currency", "session_id").agg(
+    folded = paid.groupBy("site_id", "currency", "session_id").agg(
         F.sum(F.when(now, F.col("amount"))).alias("a"),
         count_when(now).alias("an"),
-        F.sum(F.when(~now, F.col("amount"))).alias("b"),
-        count_when(~now).alias("bn"),
+        F.sum(F.when(before, F.col("amount"))).alias("b"),
+        count_when(before).alias("bn"),
     )
     table = folded.groupBy("site_id", "currency").agg(
         round_to(F.coalesce(F.sum("a"), F.lit(0.0)), 4).alias("revenue"),
@@ -73,7 +84,7 @@ def totals(scope: Scope, currency: str | None = None) -> DataFrame:
         count_when(F.col("bn") > 0).alias("previous_sessions"),
     )
     if currency is not None:
-        return table.where(F.col("currency") == currency)
+        return table
     return top_per(table.where(F.col("orders") > 0), 1, [F.desc("revenue"), F.asc("currency")])
 
 
@@ -92,13 +103,13 @@ def per_visitor(scope: Scope, currency: str | None = None) -> DataFrame:
         "currency",
         "visitors",
         F.col("all_sessions").alias("sessions"),
-        ratio(money, F.col("orders"), 2).alias("average_order_value"),
+        ratio(money, F.when(F.col("orders") > 0, F.col("orders")), 2).alias("average_order_value"),
         F.when(known, ratio(money, F.col("visitors"), 2)).alias("revenue_per_visitor"),
         F.when(known, percent(F.coalesce(paid["sessions"], F.lit(0)), F.col("all_sessions"), 2)).alias("conversion_rate"),
     )
 
 
-def breakdown(scope: Scope, by: str = "channel", currency: str | None = None, limit: int = 50) -> DataFrame:
+def breakdown(scope: Scope, by: str = "channel", currency: str | None = None, limit: int | None = 50) -> DataFrame:
     """revenue by where the session came from (its first event ever) or by the payment's own attributes."""
     if by not in DIMENSIONS:
         raise RevenueError(f'cannot break revenue down by "{by}"')
@@ -106,7 +117,9 @@ def breakdown(scope: Scope, by: str = "channel", currency: str | None = None, li
     if by in ACQUISITION:
         # Both sides are folded to one row per session before they meet.
         spent = paid.groupBy("site_id", "currency", "session_id").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
-        first = scope.site_events().groupBy("site_id", "session_id").agg(F.min_by(by, in_order()).alias("g"))
+        # First touch is sought among all events of the paying sessions only.
+        mine = scope.site_events().join(spent.select("site_id", "session_id"), ["site_id", "session_id"], "left_semi")
+        first = mine.groupBy("site_id", "session_id").agg(F.min_by(by, in_order()).alias("g"))
         rows = spent.join(first, ["site_id", "session_id"])
     else:
         rows = paid.select("site_id", "currency", "amount", F.lit(1).alias("n"), F.col(by).alias("g"))

@@ -56,7 +56,7 @@ def live_visitors(scope: Scope, now_ms: int) -> DataFrame:
     """Visitors of the last five minutes; the window has no upper end."""
     from footlog.operators.filters import apply_filters
 
-    recent = scope.site_events().where((F.col("ts") >= now_ms - LIVE_MS) & scope.who())
+    recent = scope.site_events().where(scope.since(now_ms - LIVE_MS) & scope.who())
     recent = apply_filters(recent, scope.site_events(), scope.filters)
     return scope.per_site(recent, distinct("visitor_id").alias("value"))
 

@@ -70,10 +70,12 @@ SERIES = {
 
 
 def dense(
-    scope: Scope, sparse: DataFrame, width: int, counts: list[str], ratios: list[str], max_points: int = MAX_POINTS
+    scope: Scope, sparse: DataFrame, width: int, counts: list[str], ratios: list[str], max_points: int | None = None
 ) -> DataFrame:
     """Every bucket of the axis; a count is 0 where nothing happened, a ratio stays null."""
-    points = min(max_points, max(1, math.ceil(scope.window.span / width)))
+    points = max(1, math.ceil(scope.window.span / width))
+    if max_points is not None:
+        points = min(max_points, points)
     columns = counts + ratios
     # At most ``points`` rows per site are gathered, so the group is bounded.
     near = sparse.where((F.col("bucket") >= 0) & (F.col("bucket") < points))
@@ -90,7 +92,7 @@ def dense(
     )
 
 
-def series(scope: Scope, metric: str, granularity: str | None = None, max_points: int = MAX_POINTS) -> DataFrame:
+def series(scope: Scope, metric: str, granularity: str | None = None, max_points: int | None = None) -> DataFrame:
     """A dense series by metric id."""
     build, counts, ratios = SERIES[metric]
     width = bucket_width(scope.window, granularity)

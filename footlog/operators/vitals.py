@@ -85,7 +85,7 @@ def overview(scope: Scope, percentiles: list[int] | None = None) -> DataFrame:
     )
 
 
-def by_dimension(scope: Scope, by: str = "path", percentile: int = 75, limit: int = 50) -> DataFrame:
+def by_dimension(scope: Scope, by: str = "path", percentile: int = 75, limit: int | None = 50) -> DataFrame:
     """every vital's percentile per value of one dimension, most samples first."""
     if by not in DIMENSIONS:
         raise ValueError(f'cannot break performance down by "{by}"')

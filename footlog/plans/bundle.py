@@ -172,7 +172,7 @@ def realtime(scope: Scope, now_ms: int, limit: int = 10) -> DataFrame:
     from footlog.model import LIVE_MS, is_pageview
     from footlog.operators.ordered import top_per
 
-    recent = scope.site_events().where((F.col("ts") >= now_ms - LIVE_MS) & scope.who())
+    recent = scope.site_events().where(scope.since(now_ms - LIVE_MS) & scope.who())
     page = F.when(is_pageview(), F.col("path"))
     views = F.array(
         F.struct(F.lit("all").alias("list"), F.lit("").alias("value")),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from footlog.functions import bodies, channels, clients, identity, places, privacy, urls
 from footlog.functions.stages import dropped, staged
-from footlog.model import EVENT_SCHEMA, SESSION_GAP_MS
+from footlog.model import DAY_MS, EVENT_SCHEMA, SESSION_GAP_MS
 from footlog.operators.ordered import sessionize
+from footlog.sources.event_table import new_events, with_defaults
 
 # What a raw request carries: the body as text and what the server observed.
 RAW_SCHEMA = (
@@ -106,8 +107,35 @@ def assign_sessions(events: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFram
     return placed.withColumn("session_id", F.expr(SESSION_NAME)).drop("session_start", "session_no")
 
 
-def ingest(raw: DataFrame, sites: DataFrame, secret: str, staging: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """The whole batch job: stored events in table order, and refused requests.
+def continue_sessions(fresh: DataFrame, stored: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+    """C1 across runs: session ids of new events that go on from the stored ones.
+
+    New and stored events of the same visitors are placed together. A visit that holds stored events keeps the id of the
+    earliest of them, so neither a later nor a late event gives one visit two ids; stored rows are never renamed.
+    """
+    keys, columns = ["site_id", "visitor_id"], [c for c in fresh.columns if c != "session_id"]
+    days = fresh.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    near = stored
+    if days["lo"] is not None:
+        # A visitor id is used for one UTC day; the gap may reach into the next.
+        near = stored.where(F.col("ts").between(days["lo"] - DAY_MS, days["hi"] + DAY_MS))
+        if "day" in stored.columns:
+            first, last = (F.date_from_unix_date(F.lit(t // DAY_MS)) for t in (days["lo"] - DAY_MS, days["hi"] + DAY_MS))
+            near = near.where(F.col("day").between(first, last))
+    near = near.join(fresh.select(*keys).distinct(), keys, "left_semi")
+    old = near.select(*columns, F.col("session_id").alias("_stored"))
+    placed = sessionize(fresh.select(*columns, F.lit(None).cast("string").alias("_stored")).unionByName(old), keys, gap_ms)
+    named = placed.where("_stored IS NOT NULL").groupBy(*keys, "session_no").agg(F.min_by("_stored", F.struct("ts", "ingest_seq")).alias("_kept"))
+    mine = placed.where("_stored IS NULL").drop("_stored").join(named, [*keys, "session_no"], "left")
+    return mine.withColumn("session_id", F.coalesce("_kept", F.expr(SESSION_NAME))).drop("session_start", "session_no", "_kept")
+
+
+def ingest(
+    raw: DataFrame, sites: DataFrame, secret: str, staging: str | None = None, stored: DataFrame | None = None, **options
+) -> tuple[DataFrame, DataFrame]:
+    """The whole batch job: events to store in table order, and refused requests.
+
+    With ``stored``, the event table so far, ids already there are left out and visits go on from the stored ones.
 
     Sessions read the enriched events twice. With ``staging``, a folder all executors share, they are written
     there once instead of being enriched a second time, a lost executor costs no re-enrichment, and the session
@@ -117,7 +145,10 @@ def ingest(raw: DataFrame, sites: DataFrame, secret: str, staging: str | None =
     if staging is not None:
         events.write.mode("overwrite").parquet(staging)
         events = raw.sparkSession.read.schema(events.schema).parquet(staging)
-    return assign_sessions(events).select(*EVENT_SCHEMA.fieldNames()), refused
+    if stored is None:
+        return assign_sessions(events).select(*EVENT_SCHEMA.fieldNames()), refused
+    fresh = new_events(with_defaults(events), stored)
+    return continue_sessions(fresh, stored).select(*EVENT_SCHEMA.fieldNames()), refused
 
 
 def rejection_report(refused: DataFrame) -> DataFrame:

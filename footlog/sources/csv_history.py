@@ -9,7 +9,7 @@ from footlog.functions import channels, urls
 from footlog.functions.identity import short_hash
 from footlog.functions.stages import quoted, staged
 from footlog.model import EVENT_SCHEMA
-from footlog.sources.event_table import with_defaults
+from footlog.sources.event_table import earliest, with_defaults
 
 REQUIRED = ["event_id", "session_id", "created_at", "url_path", "event_type"]
 READ = (
@@ -127,7 +127,7 @@ def mapped(rows: DataFrame, site: str, self_host: str, batch: str, stop_at: int
 
 def importable(flagged: DataFrame, existing: DataFrame) -> DataFrame:
     """The events to append: kept rows, each id once, not stored yet."""
-    kept = flagged.where("skip_reason IS NULL").drop("skip_reason").dropDuplicates(["id"])
+    kept = earliest(flagged.where("skip_reason IS NULL").drop("skip_reason"), ["id"])
     return with_defaults(kept.join(existing.select("id"), "id", "left_anti")).select(*EVENT_SCHEMA.fieldNames())
 
 

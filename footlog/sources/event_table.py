@@ -49,9 +49,15 @@ def read_events(spark: SparkSession, path: str, merge: bool = False) -> DataFram
     return spark.read.schema(schema).parquet(path)
 
 
+def earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that share the keys the one that arrived first; ties by time, then by content."""
+    first = F.min_by(F.struct("*"), F.struct("ingest_seq", "ts", F.xxhash64("*")))
+    return rows.groupBy(*keys).agg(first.alias("_first")).select("_first.*")
+
+
 def new_events(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """A2: incoming events whose id is not stored yet, each id once (the earliest arrival)."""
-    once = incoming.dropDuplicates(["id"])
+    once = earliest(incoming, ["id"])
     return once.join(existing.select("id"), "id", "left_anti")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from footlog.model import EVENT_SCHEMA
-from footlog.plans.enrich import assign_sessions, enrich
+from footlog.plans.enrich import continue_sessions, enrich
 from footlog.sources.event_table import PARTITIONS, new_events, read_events, with_day, with_defaults, write_events
 
 
@@ -35,11 +35,8 @@ def start_intake(
         placed = with_day(events)
         near = read_events(batch.sparkSession, table).join(placed.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
         fresh = new_events(events, near.select("id"))
-        # Stored events of the same visitors take part so a session that is under way keeps its name.
-        visitors = fresh.select("site_id", "visitor_id").distinct()
-        earlier = near.join(visitors, ["site_id", "visitor_id"], "left_semi").select(*EVENT_SCHEMA.fieldNames())
-        both = fresh.select(*EVENT_SCHEMA.fieldNames()).unionByName(earlier)
-        named = assign_sessions(both.drop("session_id")).join(fresh.select("id"), "id", "left_semi")
+        # A session that is under way keeps its stored name, also when a late event comes before its start.
+        named = continue_sessions(fresh.select(*EVENT_SCHEMA.fieldNames()), read_events(batch.sparkSession, table))
         write_events(named.select(*EVENT_SCHEMA.fieldNames()), table)
         events.unpersist()
 

@@ -39,30 +39,42 @@ def session_facts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
+def _placed(spans: list[list[int]], ts: int) -> int:
+    """The name of the session an event belongs to; ``spans`` (start, last, name), in order, takes it in."""
+    near = [s for s in spans if s[0] - SESSION_GAP_MS <= ts <= s[1] + SESSION_GAP_MS]
+    if not near:
+        spans.append([ts, ts, ts])
+        spans.sort()
+        return ts
+    first = near[0]
+    first[0], first[1] = min(first[0], ts), max(near[-1][1], ts)
+    for other in near[1:]:
+        spans.remove(other)
+    return first[2]
+
+
 class _Sessions(StatefulProcessor):
-    """Per visitor: when the open session began and when it was last active."""
+    """Per visitor: the spans of the sessions so far, each with the start it is named by.
+
+    A late event joins the session it lies in or next to; where it closes the gap between two, the earlier name goes on.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        schema = T.StructType([T.StructField("start", T.LongType()), T.StructField("last", T.LongType())])
+        times = T.ArrayType(T.LongType())
+        schema = T.StructType([T.StructField("starts", times), T.StructField("lasts", times), T.StructField("names", times)])
         # A visitor id is used for one UTC day, so state may go after two.
         self._open = handle.getValueState("open", schema, ttlDurationMs=2 * DAY_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self._open.get() if self._open.exists() else None
-        start, last = (held[0], held[1]) if held else (None, None)
-        for part in rows:
-            part = part.sort_values(["ts", "ingest_seq"], kind="stable")
-            starts = []
-            for ts in part["ts"].tolist():
-                if last is None or ts - last > SESSION_GAP_MS:
-                    start = ts
-                last = ts if last is None else max(last, ts)
-                starts.append(start)
-            names = {s: hashlib.sha256("|".join((*map(str, key), str(s))).encode()).hexdigest()[:32] for s in set(starts)}
-            yield pd.DataFrame({"id": part["id"], "ts": part["ts"], "site_id": key[0], "visitor_id": key[1], "session_id": [names[s] for s in starts]})
-        if last is not None:
-            self._open.update((int(start), int(last)))
+        spans = [list(s) for s in zip(*held, strict=True)] if held else []
+        # One visitor's events of one micro-batch, in order whatever the parts they come in.
+        new = pd.concat(list(rows)).sort_values(["ts", "ingest_seq"], kind="stable")
+        named = [_placed(spans, ts) for ts in new["ts"].tolist()]
+        names = {s: hashlib.sha256("|".join((*map(str, key), str(s))).encode()).hexdigest()[:32] for s in set(named)}
+        yield pd.DataFrame({"id": new["id"], "ts": new["ts"], "site_id": key[0], "visitor_id": key[1], "session_id": [names[s] for s in named]})
+        self._open.update(tuple([int(s[i]) for s in spans] for i in range(3)))
 
     def close(self) -> None:
         pass

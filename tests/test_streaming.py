@@ -5,7 +5,7 @@ import json
 from footlog.model import EVENT_SCHEMA, MINUTE_MS
 from footlog.plans.enrich import ingest
 from footlog.sources.beacons import batch_answers, open_batches, read_requests, stream_requests
-from footlog.sources.event_table import read_events, with_defaults, write_events
+from footlog.sources.event_table import new_events, read_events, with_defaults, write_events
 from footlog.streaming import intake, live, sessions
 from tests.raw import CHROME, NOW, raw_frame, sites_frame
 
@@ -80,6 +80,36 @@ def test_intake_is_idempotent_and_continues_sessions(spark, tmp_path):
     assert rows[0].session_id == rows[1].session_id == rows[2].session_id != rows[3].session_id
 
 
+def test_a_late_event_joins_the_stored_visit(spark, tmp_path):
+    table = str(tmp_path / "events")
+    write_events(with_defaults(spark.createDataFrame([], EVENT_SCHEMA)), table)
+    sites = sites_frame(spark)
+    for start, times in ((0, [GAP, 4 * GAP]), (2, [GAP // 2, 2 * GAP, 3 * GAP]), (5, [0, 7 * GAP])):
+        landed(tmp_path / f"in{start}", start, times)
+        events, _ = ingest(read_requests(spark, str(tmp_path / f"in{start}")), sites, "s", stored=read_events(spark, table))
+        write_events(spark.createDataFrame(events.collect(), events.schema), table)
+    rows = {r.id: r.session_id for r in read_events(spark, table).collect()}
+    # q4 closes the gap between the two visits stored first: new events take the earlier id, stored rows keep theirs.
+    assert rows["q0"] == rows["q2"] == rows["q3"] == rows["q4"] == rows["q5"]
+    assert rows["q1"] != rows["q0"] and rows["q6"] not in (rows["q0"], rows["q1"])
+
+
+def test_a_late_event_joins_the_open_session_of_the_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
+    (tmp_path / "in").mkdir()
+    landed(tmp_path / "in", 0, [10 * MINUTE_MS, 5 * GAP])
+    landed(tmp_path / "in", 2, [0, 11 * MINUTE_MS])
+    stream = intake.enriched(stream_requests(spark, str(tmp_path / "in"), 1), sites_frame(spark), "s")
+    got = {r.id: r.session_id for r in drain(sessions.assign_sessions(stream), "late", tmp_path / "c").collect()}
+    assert got["q0"] == got["q2"] == got["q3"] != got["q1"]
+
+
+def test_the_earliest_arrival_is_kept(spark):
+    rows = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 7, 3)], "id string, ingest_seq long, ts long")
+    kept = new_events(rows, rows.where("id = 'b'")).collect()
+    assert [(r.id, r.ingest_seq) for r in kept] == [("a", 1)]
+
+
 def test_batches(spark):
     raw = raw_frame(
         spark,
