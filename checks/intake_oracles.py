@@ -324,6 +324,15 @@ def intake_oracles() -> dict[str, str]:
             SELECT split_part({IMPORT_CHANNEL}, '|', 1) AS channel, split_part({IMPORT_CHANNEL}, '|', 2) AS source,
               CASE browser WHEN 'iOS app' THEN 'Ios app' WHEN 'Android app' THEN 'Android app' ELSE browser END AS browser, os, device, region, count(*) AS events,
               count(DISTINCT visitor_id) AS visitors, count(DISTINCT visitor_id) AS sessions FROM y WHERE skip IS NULL GROUP BY ALL""",
+        "a02_earliest": view("SELECT site_id, path, count(*) AS added, CAST(sum(ingest_seq) AS BIGINT) AS arrivals FROM v GROUP BY 1, 2"),
+        "a02_appended_table": view("SELECT site_id, count(*) AS events, min(ts) AS from_ts, max(ts) AS to_ts FROM v GROUP BY 1"),
+        "a06_removed_table": view("SELECT site_id, count(*) AS events FROM v WHERE NOT (site_id = 's0' AND device = 'desktop') GROUP BY 1"),
+        "a09_refused_chunks": view(
+            "SELECT site_id, CASE WHEN ingest_seq % 50 = 1 THEN 'invalid_chunk_address' WHEN ingest_seq % 2000 = 4 THEN 'chunk_too_large' WHEN ingest_seq % 50 = 2 "
+            "THEN 'chunk_undecodable_or_too_large' ELSE 'invalid_chunk' END AS refused, count(*) AS chunks FROM v WHERE ingest_seq % 50 BETWEEN 1 AND 3 "
+            "OR ingest_seq % 2000 = 4 GROUP BY 1, 2"
+        ),
+        "c01_sessions_across_runs": view("SELECT site_id, count(*) AS events, 1 AS visits_per_id FROM v GROUP BY 1"),
         "a06_remove_import": view("SELECT site_id, count(*) AS events FROM v WHERE NOT (site_id = 's0' AND device = 'desktop') GROUP BY 1"),
         "a08_backfill": view(
             "SELECT site_id, '' AS bot_kind, 'human' AS agent_trust, '' AS agent_signer, CAST(0 AS INTEGER) AS bot_score, '' AS tag, count(*) AS events, "
@@ -398,8 +407,8 @@ def intake_oracles() -> dict[str, str]:
             heat_click,
         ),
         "f53_scroll_reach": chunk(
-            "SELECT site_id, device, path, b.range AS bin, count(CASE WHEN bottom >= b.range * 100 THEN 1 END) AS views FROM (SELECT *, least(400, ceil(max(bottom) OVER "
-            "(PARTITION BY site_id, device, path) / 100)) AS bins FROM pv) JOIN range(400) b ON b.range < bins GROUP BY 1, 2, 3, 4",
+            "SELECT site_id, device, path, b.range AS bin, count(CASE WHEN bottom >= b.range * 100 THEN 1 END) AS views FROM (SELECT *, ceil(max(bottom) OVER "
+            "(PARTITION BY site_id, device, path) / 100) AS bins FROM pv) JOIN range(10000) b ON b.range < bins GROUP BY 1, 2, 3, 4",
             VIEWS,
         ),
         "f54_heatmap_pages": chunk(
@@ -422,6 +431,11 @@ def intake_oracles() -> dict[str, str]:
                 200,
             )
         ),
+        "f55_replay_total": rec(
+            f"SELECT site_id, count(*) AS total FROM rec WHERE started_at >= {FULL[0]} AND started_at < {FULL[1]} "
+            f"AND started_at >= {FULL[1]} - {RETENTION} * {DAY} AND pages >= 1 AND errors > 0 GROUP BY 1"
+        ),
+        "f54_truncation": rec("SELECT site_id, least(count(*), 300) AS recordings, count(*) > 300 AS truncated FROM rec GROUP BY 1"),
         "f56_playback": chunk(
             "SELECT re.site_id, re.visitor_id AS replay_id, CAST(re.seq AS INTEGER) AS seq, CAST(re.pos AS INTEGER) AS pos, re.t - cl.lo AS at, re.type FROM re "
             "JOIN cl USING (site_id, visitor_id)",

@@ -155,6 +155,72 @@ def idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.groupBy("site_id").agg(counting("added"), F.min("ts").alias("from_ts"))
 
 
+def earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: every event arrives three times, later copies with another path; the first arrival is what stays."""
+    rows = unsessioned(spark, sf_dir)
+    later = [rows.withColumns({"ingest_seq": F.col("ingest_seq") + n, "path": F.lit("/late")}) for n in (10**9, 2 * 10**9)]
+    fresh = stored.new_events(later[1].unionByName(rows).unionByName(later[0]), rows.where("false"))
+    return fresh.groupBy("site_id", "path").agg(counting("added"), F.sum("ingest_seq").cast("long").alias("arrivals"))
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: the stored table after the first half was written and everything was appended on top, twice."""
+
+    def write(path: str) -> DataFrame:
+        rows = stored.with_defaults(unsessioned(spark, sf_dir)).select(*EVENT_SCHEMA.fieldNames())
+        stored.write_events(rows.where(F.col("ts") < LATE.from_ms), path)
+        for _ in range(2):
+            stored.append_events(rows, path)
+        return stored.read_events(spark, path)
+
+    rows = kept_table(spark, sf_dir, "appended", write)
+    return rows.groupBy("site_id").agg(counting("events"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
+
+
+def removed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after one of its two batches was removed."""
+
+    def write(path: str) -> DataFrame:
+        batch = F.when(F.col("device") == "desktop", "b1").otherwise("b2")
+        tagged = stored.with_defaults(unsessioned(spark, sf_dir)).withColumn("props", F.to_json(F.struct(batch.alias("_import"))))
+        stored.write_events(tagged.select(*EVENT_SCHEMA.fieldNames()), path)
+        stored.remove_batch(spark, path, f"{path}-staging", "s0", "b1")
+        return stored.read_events(spark, path)
+
+    return kept_table(spark, sf_dir, "removed", write).groupBy("site_id").agg(counting("events"))
+
+
+def two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in three runs, odd minutes first, then even ones in two halves: late rows and visits across runs.
+
+    Each run is sessionized against what is stored by then; afterwards every visit of one run over everything is checked
+    for its ids: they are those of stored events that belong to it.
+    """
+
+    def write(path: str) -> DataFrame:
+        rows = stored.with_defaults(unsessioned(spark, sf_dir)).select(*EVENT_SCHEMA.fieldNames())
+        odd = F.floor(F.col("ts") / 60_000) % 2 == 1
+        job_rows = [rows.where(F.col("ts") < LATE.from_ms), rows.where((F.col("ts") >= LATE.from_ms) & odd), rows.where((F.col("ts") >= LATE.from_ms) & ~odd)]
+        stored.write_events(rows.where("false"), path)
+        for part in job_rows:
+            named = job.continue_sessions(part, stored.read_events(spark, path).select(*EVENT_SCHEMA.fieldNames()))
+            stored.write_events(named.select(*EVENT_SCHEMA.fieldNames()), path)
+        return stored.read_events(spark, path)
+
+    return kept_table(spark, sf_dir, "three_runs", write)
+
+
+def session_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 across runs: per site the visits of one run over everything, and how many ids of three runs they share.
+
+    A visit never has more ids than runs stored parts of it apart, and no id spans two visits.
+    """
+    whole = sessionize(unsessioned(spark, sf_dir), ["site_id", "visitor_id"], SESSION_GAP_MS).select("id", "site_id", "visitor_id", "session_no")
+    parts = two_runs(spark, sf_dir).select("id", "session_id").join(whole, "id")
+    ids = parts.groupBy("site_id", "session_id").agg(F.countDistinct("visitor_id", "session_no").alias("visits"), counting("events"))
+    return ids.groupBy("site_id").agg(F.sum("events").cast("long").alias("events"), F.max("visits").alias("visits_per_id"))
+
+
 def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: request bodies parsed from their text, by site and type."""
     rows = job.parse(sample.requests(spark, sf_dir)).where("reject_reason IS NULL")
@@ -243,8 +309,36 @@ def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.groupBy("site_id", "bot_kind", "agent_trust", "agent_signer", "bot_score", "tag").agg(counting("events"), F.count("lat").alias("lats"))
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept_table(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
+    """A table written once per application to the shared folder and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = write(f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/{name}")
+    return _stored[key]
+
+
+def opened_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_table(spark, sf_dir, "chunks", lambda path: recordings.store_chunks(sample.chunks(spark, sf_dir), path))
+
+
 def landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recordings.land_chunks(sample.chunks(spark, sf_dir))
+    return recordings.accepted(opened_chunks(spark, sf_dir))
+
+
+def refused_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's chunks, some of them spoilt in each way a chunk is refused for."""
+    n = F.col("seq") % 50
+    spoilt = sample.chunks(spark, sf_dir).withColumns(
+        {
+            "page_load": F.when(n == 1, "").otherwise(F.col("page_load")),
+            "gzip": n == 2,
+            "body": F.when(n == 3, F.lit("[1, 2").cast("binary")).when(F.col("seq") % 2000 == 4, F.repeat(F.lit(" "), 1_000_001).cast("binary")).otherwise(F.col("body")),
+        }
+    )
+    return recordings.refusals(recordings.open_chunks(spoilt))
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,8 +359,26 @@ def replay_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk, kept: placing chunks in recordings reads it several times."""
+
+    def write(path: str) -> DataFrame:
+        facts = replays.chunk_facts(landed_chunks(spark, sf_dir))
+        facts.write.parquet(path)
+        return spark.read.schema(facts.schema).parquet(path)
+
+    return kept_table(spark, sf_dir, "chunk_facts", write)
+
+
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replays.recorded_chunks(replays.chunk_facts(landed_chunks(spark, sf_dir)), replay_settings(spark, sf_dir))
+    """Chunks with their recording, kept as well."""
+
+    def write(path: str) -> DataFrame:
+        placed = replays.recorded_chunks(chunk_table(spark, sf_dir), replay_settings(spark, sf_dir))
+        placed.write.parquet(path)
+        return spark.read.schema(placed.schema).parquet(path)
+
+    return kept_table(spark, sf_dir, "recorded_chunks", write)
 
 
 def replay_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,13 +464,17 @@ def intake_queries() -> dict[str, Query]:
     return {
         "a01_scan": scan,
         "a02_idempotent_append": idempotent,
+        "a02_earliest": earliest,
+        "a02_appended_table": appended,
         "a03_request_bodies": landed_files,
         "a04_batches": batches,
         "a05_import_summary": import_summary,
         "a05_imported_events": imported,
         "a06_remove_import": removed,
+        "a06_removed_table": removed_table,
         "a08_backfill": backfilled,
         "a09_replay_landing": chunk_rows,
+        "a09_refused_chunks": refused_chunks,
         "a10_replay_purge": replay_purge,
         "b01_rejected_rows": rejected_rows,
         "b03_revenue": revenue_outcomes,
@@ -385,6 +501,7 @@ def intake_queries() -> dict[str, Query]:
         "b24_reject_reasons": reject_reasons,
         "b25_quality": quality,
         "c01_sessions": sessions,
+        "c01_sessions_across_runs": session_runs,
         "c01_ingested_sessions": ingested,
         "c04_recordings": replay_rows,
         "c05_recording_selection": replay_selection,
@@ -396,6 +513,10 @@ def intake_queries() -> dict[str, Query]:
         "f54_heatmap_pages": heat("pages"),
         "f54_snapshots": heat("snapshot"),
         "f55_replay_list": replay_list,
+        "f55_replay_total": lambda spark, sf_dir: replays.count_replays(
+            replay_table(spark, sf_dir), replay_settings(spark, sf_dir), FULL, NOW, min_pages=1, errors_only=True
+        ),
+        "f54_truncation": lambda spark, sf_dir: heatmap.truncation(replay_table(spark, sf_dir), 300),
         "f56_playback": playback,
         "f57_markers": markers,
     }

@@ -28,14 +28,12 @@ CHUNK_SCHEMA = (
 CHUNK_KEYS = ["site_id", "visitor_id", "page_load", "seq"]
 EVENT_ROWS = (
     "site_id string, visitor_id string, page_load string, seq int, ts long, user_agent string, country string, bytes long, "
-    "pos int, t long, type int, args array<string>"
+    "pos int, t long, type int, args array<string>, refused string"
 )
 
 
 def _decoded(body: bytes, gzip: bool) -> str | None:
     """The chunk's text; nothing when it is unreadable or grows past the limit."""
-    if len(body) > MAX_BODY:
-        return None
     if not gzip:
         return body.decode("utf-8", "replace")
     unpacker = zlib.decompressobj(wbits=31)
@@ -90,31 +88,70 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     for batch in batches:
         for chunk in batch.itertuples(index=False):
-            body = bytes(chunk.body)
-            text = _decoded(body, bool(chunk.gzip))
-            try:
-                events = json.loads(text) if text is not None else None
-            except ValueError:
-                events = None
-            if not isinstance(events, list) or len(events) > MAX_EVENTS:
-                continue
-            head = (
-                chunk.site_id, chunk.visitor_id, chunk.page_load, chunk.seq, chunk.ts, chunk.user_agent, chunk.country, len(body),
-            )
-            held += [(*head, pos, *row) for pos, event in enumerate(events) if (row := _cleaned(event)) is not None]
+            body = b"" if chunk.body is None else bytes(chunk.body)
+            events = _opened(chunk, body)
+            address = (chunk.site_id, chunk.visitor_id, chunk.page_load, None if pd.isna(chunk.seq) else int(chunk.seq))
+            head = (*address, chunk.ts, chunk.user_agent, chunk.country, len(body))
+            if isinstance(events, str):
+                held.append((*head, None, None, None, None, events))
+            else:
+                held += [(*head, pos, *row, None) for pos, event in enumerate(events) if (row := _cleaned(event)) is not None]
             # Rows leave in blocks; a block is at most one chunk larger than this.
             if len(held) >= MAX_EVENTS:
-                yield pd.DataFrame(held, columns=names)
+                yield _framed(held, names)
                 held = []
     if held:
-        yield pd.DataFrame(held, columns=names)
+        yield _framed(held, names)
 
 
-def land_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per recorded event. The only Python step: decompression and JSON arrays of mixed types."""
+def _framed(held: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(held, columns=names).astype({"seq": "Int64", "pos": "Int64", "t": "Int64", "type": "Int64"})
+
+
+def _opened(chunk: object, body: bytes) -> list | str:
+    """The chunk's events, or the reason it is refused for."""
+    if not (chunk.site_id and chunk.visitor_id and chunk.page_load) or pd.isna(chunk.seq) or chunk.seq < 0:
+        return "invalid_chunk_address"
+    if len(body) > MAX_BODY:
+        return "chunk_too_large"
+    text = _decoded(body, bool(chunk.gzip))
+    if text is None:
+        return "chunk_undecodable_or_too_large"
+    try:
+        events = json.loads(text)
+    except ValueError:
+        return "invalid_chunk"
+    return events if isinstance(events, list) and len(events) <= MAX_EVENTS else "invalid_chunk"
+
+
+def open_chunks(chunks: DataFrame) -> DataFrame:
+    """One row per recorded event, and one with the reason in ``refused`` per refused chunk.
+
+    The only Python step: decompression and JSON arrays of mixed types. Store its result and read that (``store_chunks``).
+    """
     return chunks.mapInPandas(_rows, EVENT_ROWS)
 
 
+def accepted(opened: DataFrame) -> DataFrame:
+    return opened.where("refused IS NULL").drop("refused")
+
+
+def refusals(opened: DataFrame) -> DataFrame:
+    """Refused chunks by reason: nothing is dropped without a trace."""
+    return opened.where("refused IS NOT NULL").groupBy("site_id", "refused").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def land_chunks(chunks: DataFrame) -> DataFrame:
+    """The recorded events of all readable chunks."""
+    return accepted(open_chunks(chunks))
+
+
+def store_chunks(chunks: DataFrame, path: str) -> DataFrame:
+    """Chunks opened once into a stored table; every report reads it instead of opening them again."""
+    open_chunks(chunks).write.mode("append").parquet(path)
+    return chunks.sparkSession.read.schema(EVENT_ROWS).parquet(path)
+
+
 def expired(recordings: DataFrame, settings: DataFrame, now_ms: int) -> DataFrame:
     """Recordings older than their site's retention (30 days where nothing was set)."""
     days = F.coalesce("retention_days", F.lit(RETENTION_DAYS)).cast("long")
