@@ -909,5 +909,43 @@ def report_oracles() -> dict[str, str]:
     }
 
 
+# Per pack: the registered query behind each metric, its labels and its measures.
+PACKED = {
+    "ai_traffic": [
+        ("ai.sessions", "e12_ai_sessions", [], ["value"]),
+        ("ai.sources", "e13_ai_sources", ["source"], ["sessions"]),
+        ("ai.landing_pages", "e14_ai_landing_pages", ["path"], ["sessions"]),
+        ("ai.crawler.hits", "e15_ai_crawler_hits", [], ["value"]),
+        ("ai.crawler.pages", "e16_ai_crawler_pages", ["path", "bot_name"], ["hits"]),
+        ("sessions.total", "e06_sessions_total", [], ["value"]),
+    ],
+    "web_vitals": [
+        ("vitals.p75", "e53_vitals_p75", [], ["lcp", "inp", "cls"]),
+        ("vitals.slow_pages", "e54_vitals_slow_pages", ["path"], ["lcp", "samples"]),
+    ],
+    "errors": [
+        ("errors.total", "e55_errors_total", [], ["value"]),
+        ("errors.top", "e56_errors_top", ["message", "path"], ["hits", "sessions"]),
+        ("errors.browsers", "e58_errors_browsers", ["browser", "os"], ["hits"]),
+    ],
+}
+
+
+def pack_oracles(known: dict[str, str]) -> dict[str, str]:
+    """The packs as one long table, out of the SQL of their metrics."""
+    out = {}
+    for name, metrics in PACKED.items():
+        parts = []
+        for metric, query, labels, measures in metrics:
+            key = " || '|' || ".join(f"coalesce({c}, '')" for c in labels) or "''"
+            parts += [
+                f"SELECT site_id, '{metric}' AS metric, {key} AS dim_key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({known[query]})"
+                for m in measures
+            ]
+        out[f"e77_pack_{name}"] = " UNION ALL ".join(parts)
+    return out
+
+
 def all_oracles() -> dict[str, str]:
-    return bundle_oracles() | report_oracles()
+    known = bundle_oracles() | report_oracles()
+    return known | pack_oracles(known)

@@ -35,6 +35,10 @@ def on(operator: Callable[..., DataFrame], *args, window: Window = FULL, filters
     return run
 
 
+def packed(name: str) -> Query:
+    return lambda spark, sf_dir: bundle.tidy_rows(bundle.pack(scope(spark, sf_dir), name))
+
+
 SCALAR_KEYS = {
     "e05_visitors_unique": "visitors.unique",
     "e06_sessions_total": "sessions.total",
@@ -119,7 +123,10 @@ def bundle_queries() -> dict[str, Query]:
         "e76_query_stats": on(breakdowns.stats, "sessions", "event", limit=100),
         "e76_query_stats_day": on(breakdowns.stats, "visitors", "day"),
         "e77_realtime": on(bundle.realtime, LIVE_NOW),
-        "e77_pack_overview": lambda spark, sf_dir: bundle.tidy_rows(bundle.pack(scope(spark, sf_dir), "overview")),
+        "e77_pack_overview": packed("overview"),
+        "e77_pack_ai_traffic": packed("ai_traffic"),
+        "e77_pack_web_vitals": packed("web_vitals"),
+        "e77_pack_errors": packed("errors"),
         "e78_segment_change": on(breakdowns.segment_change, window=LATE),
         "f44_vitals_overview": on(vitals.overview, window=LATE),
         "f45_vitals_by_path": on(vitals.by_dimension, "path"),

@@ -190,6 +190,7 @@ def test_campaign_parameters(spark):
 
 
 # (referrer, url, user agent, channel, source, bot kind): the golden classification set
+# Labelled cases of the classification, all of which must come out as stated.
 GOLDEN = [
     ("https://chatgpt.com/", "/", CHROME, "ai", "chatgpt", ""),
     ("", "/?utm_source=chatgpt.com", CHROME, "ai", "chatgpt", ""),
@@ -220,6 +221,23 @@ GOLDEN = [
     ("", "/", "", "direct", "", "generic"),
     ("", "/", "my own bot 1", "direct", "", "generic"),
     ("", "/", IPHONE, "direct", "", ""),
+    ("https://claude.ai/chat/1", "/", CHROME, "ai", "claude", ""),
+    ("https://copilot.microsoft.com/", "/", CHROME, "ai", "copilot", ""),
+    ("https://grok.com/", "/", CHROME, "ai", "grok", ""),
+    ("https://chat.deepseek.com/", "/", CHROME, "ai", "deepseek", ""),
+    ("https://www.bing.com/search?q=x", "/", CHROME, "search", "bing", ""),
+    ("https://duckduckgo.com/", "/", CHROME, "search", "duckduckgo", ""),
+    ("https://search.brave.com/search?q=x", "/", CHROME, "search", "brave", ""),
+    ("https://outlook.live.com/mail/0/", "/", CHROME, "email", "outlook", ""),
+    ("https://news.ycombinator.com/item?id=1", "/", CHROME, "social", "hackernews", ""),
+    ("https://www.reddit.com/r/SaaS/comments/x", "/", CHROME, "social", "reddit", ""),
+    ("https://www.linkedin.com/feed/", "/", CHROME, "social", "linkedin", ""),
+    ("https://example.com/fiyat", "/kayit", CHROME, "internal", "", ""),
+    ("https://www.perplexity.ai/", "/", "Mozilla/5.0 (compatible; Perplexity-User/1.0)", "ai", "perplexity", "ai-agent"),
+    ("", "/", "Mozilla/5.0 (compatible; ClaudeBot/1.0)", "direct", "", "ai-crawler"),
+    ("", "/", "Mozilla/5.0 (compatible; PerplexityBot/1.0)", "direct", "", "ai-crawler"),
+    ("", "/", "Mozilla/5.0 (compatible; Claude-User/1.0)", "direct", "", "ai-agent"),
+    ("", "/pricing", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/138.0.0.0 Safari/537.36", "direct", "", ""),
 ]
 
 

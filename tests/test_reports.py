@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footlog.model import DAY_MS, EVENT_SCHEMA, Scope, Window, WindowError
-from footlog.operators import breakdowns, filters, lifecycle, paths, scalars, series, vitals
+from footlog.operators import breakdowns, explore, filters, lifecycle, paths, scalars, series, vitals
 from footlog.operators.claims import check_claims
 from footlog.operators.filters import Filter, FilterError
 from footlog.operators.paths import FunnelError, Goal, GoalError, Step
@@ -157,6 +157,20 @@ def test_windows_and_goals():
         Goal("page", "blog")
 
 
+def test_nothing_is_cut_unasked(spark):
+    rows = [{"type": "event", "name": "identify", "identity": "p", "props": f'{{"t{i}":"v"}}', "ts": NOW - i} for i in range(60)]
+    assert explore.traits(table(spark, *rows)).count() == 60
+    many = table(spark, *[{"path": f"/{i}", "session_id": f"s{i}", "ts": NOW - 1 - i} for i in range(1300)])
+    scope = Scope(many, WEEK)
+    assert explore.list_sessions(scope, limit=250).count() == 250
+    assert explore.list_sessions(scope, limit=None).count() == 1300
+    assert breakdowns.breakdown(scope, "pages.top", limit=None).count() == 1300
+    # More rows than Spark trims by itself are ranked in two stages, with the same result.
+    newest = explore.list_sessions(scope, limit=1100, offset=50).collect()
+    assert sorted((r.started for r in newest), reverse=True) == [NOW - 1 - i for i in range(50, 1150)]
+    assert Window.last_days(400, NOW).span == 400 * DAY_MS
+
+
 def test_error_groups_use_the_properties(spark):
     props = '{"message":"boom","source":"/app.js","line":4}'
     rows = [{"type": "event", "name": "error", "props": props, "source": s, "path": p} for s, p in (("google", "/a"), ("", "/b"))]
@@ -164,6 +178,7 @@ def test_error_groups_use_the_properties(spark):
     assert [(r.message, r.source, r.line, r.hits, r.pages) for r in groups] == [("boom", "/app.js", "4", 2, 2)]
 
 
+# Labelled texts with the numbers that were measured and how many sentences must go.
 CLAIMS = [
     ([7, 12.3, 40, 247, 1234], "247 sessions were recorded in the last 7 days [e1]. Conversion was 12.3% [e2].", 0),
     ([7, 40, 247], "247 sessions were recorded in the last 7 days. Conversion rose 41.7%.", 1),
@@ -177,6 +192,17 @@ CLAIMS = [
     ([-18.04], "Traffic fell 18%. GPT-4 sent nobody.", 0),
     ([5], "The deploy caused 5 errors.", 1),
     ([5], "The deploy coincides with 5 errors.", 0),
+    ([1234.5], "The average duration was 1.234,5 seconds.", 0),
+    ([], "No signups arrived: 0. The mobile share is 100%.", 0),
+    ([18], "Visitors are down 18%.", 0),
+    ([214, 22, 58], "The error rate went up 2.8 times.", 1),
+    ([18], "Visitors are down 18%. The last deploy caused the drop.", 1),
+    ([18], "Visitors are down 18%. The drop coincides with the last deploy.", 0),
+    ([12], "Conversion fell 12% because of the new theme release.", 1),
+    ([], "Search traffic appears to dominate and mobile users stand out.", 0),
+    ([10], "There were 10 sessions. 7 of them were mobile. Conversion was 3.4%.", 2),
+    ([42.47], "The rate sits around 42.5%.", 0),
+    ([3], "3 sessions arrived from GPT-4 and Claude-3.", 0),
 ]
 
 
