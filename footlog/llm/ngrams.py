@@ -29,16 +29,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footlog.llm.common import Memo, in_fold, most_frequent, row_slices, staged, word_blocks
+from footlog.llm.common import in_fold, most_frequent, row_slices, staged, word_blocks
 
 BASE, WEIGHT, PRIOR = 1.5, 0.6, 20.0
 BITS, PROBES = 10, 5
 #: Pairs of words count from this number of meetings on.
 PAIRS = 2
-PER_BLOCK, SEGMENT, HEAD = 400_000, 128 << 20, 400_000
+PER_BLOCK, SEGMENT, HEAD = 400_000, 128 << 20, 200_000
+#: Bytes of text a task looks at together.
+SLICE = 4 << 20
 _FLUSH = 400_000
 #: Bigram hashes a task holds before it adds them up.
-_HELD = 4_000_000
+_HELD = 3_000_000
 #: The end of a text is the empty word; it also stands before the first word.
 END = b""
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -95,7 +97,7 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, held, size = Memo(word_hash), [], 0
+    held, size = [], 0
 
     def out():
         hashes, n = np.unique(np.concatenate(held), return_counts=True)
@@ -105,8 +107,8 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for raw in batch.column(0):
-            words = np.array([known[w] for part in word_blocks((raw.as_py() or b"").lower()) for w in part] + [known[END]], np.uint64)
-            held.append(pair_hashes(words))
+            words = _words(raw)
+            held.append(pair_hashes(np.fromiter(map(word_hash, words), np.uint64, len(words))))
             size += len(words)
             if size > _HELD:
                 yield from out()
@@ -206,19 +208,30 @@ class Trained:
         return Segment(self.filter.where(F.col("block").between(first, last)).select("block", "bits").collect(), self.blocks)
 
 
+def _words(raw: pa.Scalar) -> list[bytes]:
+    """All tokens of a text, its end last."""
+    words = [w for part in word_blocks((raw.as_py() or b"").lower()) for w in part]
+    words.append(END)
+    return words
+
+
+def _levels(filled: Segment, texts: list[list[bytes]]) -> list[np.ndarray]:
+    """The levels of all unigrams and pairs of each text: first the words', then the pairs'."""
+    hashes = [np.fromiter(map(word_hash, t), np.uint64, len(t)) for t in texts]
+    words, pairs = filled.levels(np.concatenate(hashes)), filled.levels(np.concatenate([pair_hashes(h) for h in hashes]))
+    ends = np.cumsum([len(h) for h in hashes])[:-1]
+    return [np.r_[a, b] for a, b in zip(np.split(words, ends), np.split(pairs, ends), strict=True)]
+
+
 def _reader(segment: Broadcast):
-    """Adds the levels of all unigrams and pairs of a text, one byte each: first the words', then the pairs'."""
+    """(row, levels): what one segment of the filter knows of every text, one byte for each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, filled = Memo(word_hash), segment.value
+        filled = segment.value
         for batch in batches:
-            for part in row_slices(batch, "text", 4 << 20):
-                texts = [[known[w] for some in word_blocks((raw.as_py() or b"").lower()) for w in some] + [known[END]] for raw in part.column("text")]
-                hashes = [np.array(t, np.uint64) for t in texts]
-                words, pairs = filled.levels(np.concatenate(hashes)), filled.levels(np.concatenate([pair_hashes(h) for h in hashes]))
-                ends = np.cumsum([len(h) for h in hashes])[:-1]
-                made = [a.tobytes() + b.tobytes() for a, b in zip(np.split(words, ends), np.split(pairs, ends), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([[m] for m in made], pa.list_(pa.binary()))], names=[*part.schema.names, "levels"])
+            for part in row_slices(batch, "text", SLICE):
+                made = _levels(filled, [_words(raw) for raw in part.column("text")])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([[m.tobytes()] for m in made], pa.list_(pa.binary()))], names=["row", "levels"])
 
     return run
 
@@ -233,36 +246,35 @@ def probability(levels: np.ndarray, means: np.ndarray, tokens: int, vocabulary:
     return float(np.log10(weight * share + (1 - weight) * alone).sum())
 
 
-def _scorer(shared: Broadcast):
-    """Rows with levels to the model's score, and the base score over the words whose counts are broadcast; the other words."""
+def _scorer(shared: Broadcast, segment: Broadcast | None = None):
+    """The model's score, the base score over the words whose counts are broadcast, and the other words.
+
+    Levels come from the one segment, or from a column where several segments were read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, means, tokens, vocabulary = shared.value
+        filled = segment and segment.value
         below = math.log10(tokens + 0.5 * (vocabulary + 1))
         complete = len(head) == vocabulary
         for batch in batches:
-            out = []
-            for portions, raw in zip(batch.column("levels"), batch.column("text"), strict=True):
-                n, known, base, rest = 0, 0, 0.0, []
-                for words in [*word_blocks((raw.as_py() or b"").lower()), [END]]:
-                    counts = np.array([head.get(w, -1) for w in words], np.float64)
-                    if complete:
-                        counts = np.maximum(counts, 0)
-                    else:
-                        rest += [words[i].decode() for i in np.flatnonzero(counts < 0)]
-                    found = counts[counts >= 0]
-                    n, known, base = n + len(words), known + int((found > 0).sum()), base + float(np.log10(found + 0.5).sum())
-                levels = np.max([np.frombuffer(p, np.uint8) for p in portions.as_py()], axis=0)
-                out.append((n, known, base - n * below, probability(levels, means, tokens, vocabulary), rest))
-            if out:
+            for part in row_slices(batch, "text", SLICE):
+                texts, out = [_words(raw) for raw in part.column("text")], []
+                found = _levels(filled, texts) if filled else [np.max([np.frombuffer(p, np.uint8) for p in x.as_py()], axis=0) for x in part.column("levels")]
+                for words, levels in zip(texts, found, strict=True):
+                    counts = np.fromiter((head.get(w, -1) for w in words), np.float64, len(words))
+                    rest = [] if complete else [words[i].decode() for i in np.flatnonzero(counts < 0)]
+                    counts = np.maximum(counts, 0) if complete else counts[counts >= 0]
+                    base = float(np.log10(counts + 0.5).sum()) - len(words) * below
+                    out.append((len(words), int((counts > 0).sum()), base, probability(levels, means, tokens, vocabulary), rest))
                 made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=_SCORED)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], names=_SCORED)
 
     return run
 
 
 _SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"]
-_ROWS = "row long, doc_id long, held_out boolean, text binary"
+_MADE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<string>"
 
 
 def score(
@@ -277,21 +289,16 @@ def score(
     if len(portions) > 1:  # row numbers must hold from pass to pass
         rows = staged(rows, "ngrams-rows")
 
-    def read(portion: tuple[int, int]) -> DataFrame:
-        return rows.mapInArrow(_reader(context.broadcast(model.segment(*portion))), f"{_ROWS}, levels array<binary>")
-
+    shared = context.broadcast((model.head, model.means, model.tokens, model.vocabulary))
     if len(portions) == 1:
-        levelled = read(portions[0])
+        made = rows.mapInArrow(_scorer(shared, context.broadcast(model.segment(*portions[0]))), _MADE)
     else:
-        passes = [staged(read(p).select("row", "levels"), "ngrams-levels") for p in portions]
-        every = passes[0]
-        for more in passes[1:]:
-            every = every.unionByName(more)
+        every = None
+        for portion in portions:
+            found = staged(rows.select("row", "text").mapInArrow(_reader(context.broadcast(model.segment(*portion))), "row long, levels array<binary>"), "ngrams-levels")
+            every = found if every is None else every.unionByName(found)
         levelled = rows.join(every.groupBy("row").agg(F.flatten(F.collect_list("levels")).alias("levels")), "row")
-    shared = context.broadcast((model.head, model.means, model.tokens, model.vocabulary))
-    made = levelled.select("doc_id", "held_out", "text", "levels").mapInArrow(
-        _scorer(shared), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<string>"
-    )
+        made = levelled.mapInArrow(_scorer(shared), _MADE)
     if len(model.head) < model.vocabulary:
         made = _with_rest(made, model)
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -55,7 +55,7 @@ def _tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
 
-@pytest.mark.parametrize(("head", "segment", "per_block"), [(400_000, 128 << 20, 400_000), (30, 128 << 20, 400_000), (400_000, 1500, 300)])
+@pytest.mark.parametrize(("head", "segment", "per_block"), [(200_000, 128 << 20, 400_000), (30, 128 << 20, 400_000), (200_000, 1500, 300)])
 def test_scores_of_hard_rows(spark, head, segment, per_block):
     data = corpus.rows()
     counts = Counter(t for r in data if r[0] is not None and _fold(r[0]) != 1 for t in _tokens(r[1]))
