@@ -16,6 +16,7 @@ HEADLINES = [
     "f01_sessions", "f10_journeys", "f13_funnel_repeats", "f15_retention", "f16_accounting", "f20_plan_changes", "f24_people",
     "f36_portfolio", "f40_revenue_by_channel", "f44_vitals_overview", "f50_geo_sessions",
     "c01_sessions", "b24_reject_reasons", "b14_request_channels", "a05_import_summary", "f52_heatmap_points", "e80_claim_check",
+    "c04_recordings", "f55_replay_list", "f57_markers",
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footlog.model import DAY_MS
@@ -59,6 +59,16 @@ def distinct(column: str, when: Column | None = None) -> Column:
     return F.countDistinct(F.col(column) if when is None else F.when(when, F.col(column)))
 
 
+def per_visitor(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """One row per key and visitor: the ``sums``, and ``sessions``.
+
+    A session has one visitor, so folding to sessions and then to visitors counts both without a distinct count, which
+    would read every event once for each of them. ``sums`` are aggregates that may be summed again.
+    """
+    by_session = rows.groupBy(*keys, "visitor_id", "session_id").agg(*[c.alias(n) for n, c in sums.items()], F.lit(1).alias("_session"))
+    return by_session.groupBy(*keys, "visitor_id").agg(*[F.sum(n).alias(n) for n in sums], F.sum("_session").alias("sessions"))
+
+
 def flag(condition: Column) -> Column:
     """1 when any row of the group meets the condition, else 0."""
     return F.max(F.when(condition, 1).otherwise(0))

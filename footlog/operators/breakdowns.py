@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlog.functions.values import bucket_of, distinct, in_order, number, prop, round_to
+from footlog.functions.values import bucket_of, distinct, in_order, number, per_visitor, prop, round_to
 from footlog.model import DAY_MS, HOUR_MS, Scope, is_pageview
 from footlog.operators.ordered import top_per, with_neighbour
 from footlog.operators.scalars import CAMPAIGN_SITES, SIGNUP_EVENTS
@@ -141,6 +141,15 @@ def ranked(scope: Scope, spec: Breakdown) -> DataFrame:
     # Keys are renamed before grouping so a property named like a column groups by the property.
     inputs = {used.get(kind, kind) for kind in spec.show.values() if kind != "rows"}
     narrow = rows.select("site_id", *read, *[F.col(c).alias(f"_{c}") for c in sorted(inputs)])
+    counted = [used[kind] for kind in spec.show.values() if kind in ("sessions", "visitors", "pages")]
+    if len(counted) > 1:
+        # Rows that agree on all counted columns are folded before they are counted distinct several times.
+        edges = {"first": F.min("_ts").alias("_first"), "last": F.max("_ts").alias("_last")}
+        kept = [edges[kind] for kind in edges if kind in spec.show.values()]
+        folded = narrow.groupBy("site_id", *spec.by, *[f"_{c}" for c in counted]).agg(F.count(F.lit(1)).alias("_rows"), *kept)
+        over = {"rows": lambda _: F.sum("_rows").cast("long"), "first": lambda _: F.min("_first"), "last": lambda _: F.max("_last")}
+        aggregates = [over.get(kind, lambda k: F.countDistinct(f"_{used[k]}"))(kind).alias(name) for name, kind in spec.show.items()]
+        return top_per(folded.groupBy("site_id", *spec.by).agg(*aggregates), spec.limit, spec.ranking())
     aggregates = [_over(kind, used.get(kind, kind)).alias(name) for name, kind in spec.show.items()]
     grouped = narrow.groupBy("site_id", *spec.by).agg(*aggregates)
     return top_per(grouped, spec.limit, spec.ranking())
@@ -167,12 +176,15 @@ def pages_detail(scope: Scope, limit: int = 200) -> DataFrame:
     views = scope.rows().where(is_pageview())
     narrow = views.select("site_id", "session_id", "visitor_id", "path", "ts", "ingest_seq")
     linked = with_neighbour(narrow, ["site_id", "session_id"], {"next_ts": "ts"}, ahead=True)
-    grouped = linked.groupBy("site_id", "path").agg(
-        F.count(F.lit(1)).alias("views"),
-        distinct("session_id").alias("sessions"),
-        distinct("visitor_id").alias("visitors"),
-        round_to(F.avg((F.col("next_ts") - F.col("ts")) / 1000.0)).alias("avg_time"),
-        F.sum(F.when(F.col("next_ts").isNull(), 1).otherwise(0)).cast("long").alias("exits"),
+    spent = (F.col("next_ts") - F.col("ts")) / 1000.0
+    exits = F.sum(F.when(F.col("next_ts").isNull(), 1).otherwise(0))
+    folded = per_visitor(linked, ["site_id", "path"], {"views": F.count(F.lit(1)), "spent": F.sum(spent), "timed": F.count(spent), "exits": exits})
+    grouped = folded.groupBy("site_id", "path").agg(
+        F.sum("views").cast("long").alias("views"),
+        F.sum("sessions").cast("long").alias("sessions"),
+        F.count(F.lit(1)).alias("visitors"),
+        round_to(F.sum("spent") / F.nullif(F.sum("timed"), F.lit(0))).alias("avg_time"),
+        F.sum("exits").cast("long").alias("exits"),
     )
     return top_per(grouped, limit, [F.desc("views"), F.asc("path")])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footlog.functions.values import bucket_of, count_when, distinct, in_order, number, percent, prop, ratio, round_to
+from footlog.functions.values import per_visitor as folded
 from footlog.model import MINUTE_MS, Scope
 from footlog.operators.ordered import top_per
 
@@ -91,9 +92,9 @@ def totals(scope: Scope, currency: str | None = None) -> DataFrame:
 def per_visitor(scope: Scope, currency: str | None = None) -> DataFrame:
     """order value, revenue per visitor and conversion; null on an empty base."""
     people = scope.per_site(
-        scope.rows().groupBy("site_id", "visitor_id", "session_id").agg(F.lit(1).alias("one")),
-        distinct("visitor_id").alias("visitors"),
-        distinct("session_id").alias("all_sessions"),
+        folded(scope.rows(), ["site_id"], {}),
+        F.count(F.lit(1)).alias("visitors"),
+        F.coalesce(F.sum("sessions"), F.lit(0)).cast("long").alias("all_sessions"),
     )
     paid = totals(scope, currency)
     money = round_to(F.coalesce(F.col("revenue"), F.lit(0.0)), 2)

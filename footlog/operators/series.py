@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footlog.functions.values import bucket_of, count_when, distinct, percent, ratio, round_to
+from footlog.functions.values import bucket_of, count_when, distinct, per_visitor, percent, ratio, round_to
 from footlog.model import DAY_MS, HOUR_MS, MINUTE_MS, WEEK_MS, Scope, Window, WindowError, is_event, is_pageview
 from footlog.operators.scalars import session_facts, span_seconds
 
@@ -33,11 +33,12 @@ def bucket_width(window: Window, granularity: str | None = None) -> int:
 def traffic(scope: Scope, width: int) -> DataFrame:
     """Views, visitors, sessions and custom events per bucket."""
     placed = scope.rows().withColumn("bucket", bucket_of("ts", scope.window.from_ms, width))
-    return placed.groupBy("site_id", "bucket").agg(
-        count_when(is_pageview()).alias("views"),
-        distinct("visitor_id").alias("visitors"),
-        distinct("session_id").alias("sessions"),
-        count_when(is_event()).alias("events"),
+    folded = per_visitor(placed, ["site_id", "bucket"], {"views": count_when(is_pageview()), "events": count_when(is_event())})
+    return folded.groupBy("site_id", "bucket").agg(
+        F.sum("views").cast("long").alias("views"),
+        F.count(F.lit(1)).alias("visitors"),
+        F.sum("sessions").cast("long").alias("sessions"),
+        F.sum("events").cast("long").alias("events"),
     )
 
 

@@ -134,24 +134,26 @@ def importable(flagged: DataFrame, existing: DataFrame) -> DataFrame:
 def summary(flagged: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows by outcome, with the time range of what is imported; a repeated or stored id is ``already_imported``."""
     stored = existing.select("id").distinct().withColumn("_stored", F.lit(True))
-    ids = flagged.where("skip_reason IS NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"))
+    # One pass: skipped rows fold to their reason, the others to their id.
+    kept = F.col("skip_reason").isNull()
+    ids = flagged.groupBy("skip_reason", F.when(kept, F.col("id")).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("ts"))
     fresh = F.col("_stored").isNull()
     judged = ids.join(stored, "id", "left").select(
         F.explode(
-            F.array(
+            F.when(
+                ~kept,
+                F.array(F.struct(F.col("skip_reason").alias("outcome"), F.col("n").cast("int").alias("rows"), F.lit(None).cast("long").alias("ts"))),
+            ).otherwise(F.array(
                 F.struct(F.lit("imported").alias("outcome"), F.when(fresh, 1).otherwise(0).alias("rows"), F.when(fresh, F.col("ts")).alias("ts")),
                 F.struct(
                     F.lit("already_imported").alias("outcome"),
                     (F.col("n") - F.when(fresh, 1).otherwise(0)).cast("int").alias("rows"),
                     F.lit(None).cast("long").alias("ts"),
                 ),
-            )
+            ))
         ).alias("o")
     ).select("o.*")
-    skipped = flagged.where("skip_reason IS NOT NULL").select(
-        F.col("skip_reason").alias("outcome"), F.lit(1).alias("rows"), F.lit(None).cast("long").alias("ts")
-    )
-    counted = judged.unionByName(skipped).groupBy("outcome").agg(
+    counted = judged.groupBy("outcome").agg(
         F.sum("rows").cast("long").alias("rows"), F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts")
     )
     return counted.where(F.col("rows") > 0)
