@@ -17,5 +17,59 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+#: All windows of lines with at least 50 words, forward and backward, against the earliest one of equal content.
+OP4 = r"""
+with t as (select doc_id, string_split(text, chr(10)) a from documents where text is not null),
+l as (select doc_id, unnest(a) v, generate_subscripts(a, 1) - 1 line from t),
+n as (select *, len(regexp_extract_all(v, '[^\x20\x09-\x0D]+')) w from l),
+c as (select *, sum(w) over (partition by doc_id order by line) stop from n where w > 0),
+d as (select *, stop - w as start from c),
+b as (
+  select doc_id, line as first, max(line) over f as last, sum(w) over f held, list(v) over f content from d
+    window f as (partition by doc_id order by start range between current row and 49 following)
+  union
+  select doc_id, min(line) over g, line, sum(w) over g, list_reverse(list(v) over g) from d
+    window g as (partition by doc_id order by stop desc range between current row and 49 following)),
+r as (select distinct doc_id, first, last, content from b where held >= 50),
+e as (select content, min({'d': doc_id, 'f': first, 'l': last}) x from r group by content having count(*) > 1),
+h as (
+  select doc_id, case when doc_id = x.d then greatest(first, x.l + 1) else first end as first, last, x.d source
+  from r join e using (content) where {'d': doc_id, 'f': first, 'l': last} > x),
+k as (select * from h where first <= last),
+g as (select distinct l.doc_id, l.line from l join k on k.doc_id = l.doc_id and l.line between k.first and k.last),
+s as (select doc_id, count(distinct source) sources, min(source) first_source from k group by doc_id),
+o as (
+  select l.doc_id, count(g.line) removed, count(*) - count(g.line) kept,
+    coalesce(string_agg(case when g.line is null then l.v end, chr(10) order by l.line), '') new_text
+  from l left join g on g.doc_id = l.doc_id and g.line = l.line group by l.doc_id)
+select o.doc_id, greatest(kept, 1)::int lines_left, removed::int lines_removed, coalesce(sources, 0)::int sources, first_source, sha256(new_text) text_sha256
+from o left join s using (doc_id)
+"""
+
+#: The lookup table filled turn by turn, then every document's slot in it.
+OP7 = """
+with recursive shard as (
+  select i::int i, 'shard-' || lpad(i::varchar, 2, '0') as name from range(64) x(i)),
+pref as (
+  select list(('0x' || substr(md5(name || '/offset'), 1, 15))::bigint % 6469 order by i) offs,
+         list(('0x' || substr(md5(name || '/skip'), 1, 15))::bigint % 6468 + 1 order by i) skips from shard),
+fill(step, slot, turns, taken) as (
+  select 0, -1::bigint, list_transform(range(64), lambda z: 0::bigint), list_transform(range(6469), lambda z: false)
+  union all
+  select step + 1, spot, list_transform(turns, lambda t, q: case when q = step % 64 + 1 then j else t end),
+         list_transform(taken, lambda t, q: t or q = spot + 1)
+  from (
+    select step, turns, taken, j, (offs[step % 64 + 1] + j * skips[step % 64 + 1]) % 6469 as spot
+    from (
+      select step, turns, taken, offs, skips,
+        list_filter(range(turns[step % 64 + 1], turns[step % 64 + 1] + 6469),
+                    lambda z: not taken[(offs[step % 64 + 1] + z * skips[step % 64 + 1]) % 6469 + 1])[1] as j
+      from fill, pref where step < 6469))),
+lookup as (select slot, 'shard-' || lpad(((step - 1) % 64)::varchar, 2, '0') as shard from fill where step > 0)
+select doc_id, d.slot::int as slot, shard
+from (select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % 6469 as slot from documents) d join lookup using (slot)
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op5_threshold_top_k": OP5}
+    return {"op4_line_dedup": OP4, "op5_threshold_top_k": OP5, "op7_sharding": OP7}

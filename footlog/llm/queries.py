@@ -34,7 +34,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_documents(spark, sf_dir)).select(
-        "doc_id", F.size(F.split("text", "\n")).alias("lines_left"), "lines_removed", "copied_from", F.sha2("text", 256).alias("text_sha256")
+        "doc_id",
+        F.size(F.split("text", "\n")).alias("lines_left"),
+        "lines_removed",
+        F.size("copied_from").alias("sources"),
+        F.get("copied_from", F.lit(0)).alias("first_source"),
+        F.sha2("text", 256).alias("text_sha256"),
     )
 
 
