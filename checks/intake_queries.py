@@ -451,7 +451,8 @@ def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E80 over every sentence of every document, each source measured by its documents' lengths."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text", "n_chars"))
     measured = docs.select("source", F.col("n_chars").cast("double").alias("value"))
-    rows = claims.check_claims(docs.select("doc_id", "source", "text"), measured, ["source", "doc_id"], ["source"])
+    staging = f"{shared_folder(spark)}/footlog-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}/sentences"
+    rows = claims.check_claims(docs.select("doc_id", "source", "text"), measured, ["source", "doc_id"], ["source"], staging=staging)
     return rows.where("dropped").select("doc_id", "numbers", "causal")
 
 

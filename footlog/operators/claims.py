@@ -85,14 +85,23 @@ def causal_in(sentence: Column) -> Column:
 
 
 def check_claims(
-    texts: DataFrame, measured: DataFrame, keys: list[str], bundle_keys: list[str], strict_causality: bool = True
+    texts: DataFrame,
+    measured: DataFrame,
+    keys: list[str],
+    bundle_keys: list[str],
+    strict_causality: bool = True,
+    staging: str | None = None,
 ) -> DataFrame:
     """Every sentence with ``dropped``, the unsupported ``numbers`` and whether it claims a cause.
 
     ``measured`` holds (bundle_keys, value); 0 and 100 are always allowed. Equal candidate values of a bundle are
-    looked up once: texts repeat the same few numbers, and the hottest number must not become one task.
+    looked up once: texts repeat the same few numbers, and the hottest number must not become one task. Sentences are
+    read three times; with ``staging``, a folder all executors share, they are split and parsed once and written there.
     """
     rows = numbers_in(sentences(texts, keys))
+    if staging is not None:
+        rows.write.mode("overwrite").parquet(staging)
+        rows = texts.sparkSession.read.schema(rows.schema).parquet(staging)
     claims = rows.select(*keys, "sentence_no", F.explode("numbers").alias("n"))
     each = claims.select(*keys, "sentence_no", F.col("n.raw").alias("raw"), F.explode("n.values").alias("value"))
     asked = each.select(*bundle_keys, "value").distinct()
