@@ -314,8 +314,8 @@ def intake_oracles() -> dict[str, str]:
         "a04_batches": rq(
             "SELECT 'opened' AS outcome, CAST(coalesce(sum(n) FILTER (why IS NULL), 0) AS BIGINT) AS requests FROM b UNION ALL "
             "SELECT why, count(*) FROM b WHERE why IS NOT NULL GROUP BY 1",
-            f"b AS (SELECT coalesce({batch_key}, 'none') AS s, ip, floor(ts / 360000) AS slot, count(*) AS n, CASE WHEN count(*) > 50 THEN 'batch_too_large' "
-            f"WHEN coalesce({batch_key}, 'none') = 'none' THEN 'site_missing' END AS why FROM q WHERE k <> 80 GROUP BY 1, 2, 3)",
+            f"b AS (SELECT coalesce({batch_key}, 'none') AS s, CASE WHEN (event_id // 600) % 20 = 0 THEN event_id // 600 ELSE 1000000000 + event_id // 60 END AS run, count(*) AS n, CASE WHEN count(*) > 50 THEN 'batch_too_large' "
+            f"WHEN coalesce({batch_key}, 'none') = 'none' THEN 'site_missing' END AS why FROM q WHERE k <> 80 GROUP BY 1, 2)",
         ),
         "a05_import_summary": "WITH " + EXPORT + f"""
             SELECT outcome, CAST(sum(n) AS BIGINT) AS rows, min(CASE WHEN outcome = 'imported' THEN ts END) AS from_ts, max(CASE WHEN outcome = 'imported' THEN ts END) AS to_ts

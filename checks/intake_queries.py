@@ -228,12 +228,13 @@ def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: one batch per user and site of every tenth of an hour, each opened again into its events."""
+    """A4: one batch per site of every 60 arrivals in a row, now and then of 600, each opened again into its events."""
     raw = sample.requests(spark, sf_dir).where(F.expr("body LIKE '{%}'"))
     parts = [c for c in raw.columns if c not in ("request_id", "ingest_seq", "body")]
-    # A batch is bounded by six minutes of one user's requests.
-    user = F.coalesce(F.get_json_object("body", "$.site"), F.lit("none"))
-    key = F.concat_ws("|", user, "ip", F.floor(F.col("received_at") / 360_000).cast("string"))
+    site = F.coalesce(F.get_json_object("body", "$.site"), F.lit("none"))
+    arrival = F.col("ingest_seq")
+    run = F.when(F.floor(arrival / 600) % 20 == 0, F.floor(arrival / 600)).otherwise(1_000_000_000 + F.floor(arrival / 60))
+    key = F.concat_ws("|", site, run.cast("string"))  # at most 600 arrivals
     grouped = raw.groupBy(key.alias("request_id")).agg(
         F.concat(F.lit('{"events":['), F.array_join(F.sort_array(F.collect_list("body")), ","), F.lit("]}")).alias("body"),
         F.min("ingest_seq").alias("ingest_seq"),
