@@ -26,6 +26,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from footlog.llm.common import BLOCK, Memo, row_slices
 
+#: Matches one worker remembers, in each of two generations.
+REMEMBERED = 350_000
 #: Ranks a block of the bitmap covers.
 _WIDTH = 240  # whole digits of Python integers
 _loaded: dict[str, Coder] = {}
@@ -42,7 +44,7 @@ class Coder:
         self.bits = [1 << r % _WIDTH for r in range(max(self.pieces) + 1)]
         self.tops = [1 << b for b in range(max(self.pieces) // _WIDTH + 1)]
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(lambda match: array("i", self.merge(match.encode())).tobytes(), 200_000)
+        self.memo = Memo(lambda match: array("i", self.merge(match.encode())).tobytes(), REMEMBERED)
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one match of the pattern."""

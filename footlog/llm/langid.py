@@ -136,7 +136,7 @@ class Model:
             nonlocal size
             total, any_word = np.zeros(len(self.langs)), False
             for words in words_of(text or ""):
-                if size > 200_000:
+                if size > 300_000:
                     memo.clear()
                     size = 0
                 any_word = any_word or any(c.isalpha() for w in words for c in w)

@@ -37,7 +37,7 @@ BITS, PROBES = 10, 5
 PAIRS = 2
 PER_BLOCK, SEGMENT, HEAD = 400_000, 128 << 20, 200_000
 #: Bytes of text a task looks at together.
-SLICE = 4 << 20
+SLICE = 8 << 20
 _FLUSH = 400_000
 #: Bigram hashes a task holds before it adds them up.
 _HELD = 3_000_000
@@ -150,7 +150,8 @@ class Segment:
             at += 8 * len(r["bits"])
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of every n-gram; 0 if it is in none of these blocks."""
+        """The level of every n-gram; 0 if it is in none of these blocks. Equal ones are probed once."""
+        hashes, back = np.unique(hashes, return_inverse=True)
         block = block_of(hashes, self.blocks)
         found, live = np.zeros(len(hashes), np.uint8), np.flatnonzero(self.start[block] >= 0)
         level = 0
@@ -162,7 +163,7 @@ class Segment:
                 hit = np.flatnonzero(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 live, mixed, start, size = live[hit], mixed[hit], start[hit], size[hit]
             found[live] = level
-        return found
+        return found[back]
 
 
 def block_of(hashes: np.ndarray, blocks: int) -> np.ndarray:
