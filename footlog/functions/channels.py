@@ -6,6 +6,7 @@ import re
 
 from footlog.functions.stages import listed, quoted
 
+# Fixed value: the version of the tables below.
 TABLE_VERSION = "2026-09-13"
 
 # Hosts by channel and the source each stands for.

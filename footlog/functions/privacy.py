@@ -10,18 +10,15 @@ from footlog.functions.urls import without_query
 STRICT_PROPS = 8
 PLAN_MAX = 32
 # Property names that hold personal data, without case and separators.
-PERSONAL_KEYS = (
-    "email mail emailaddress useremail customeremail "
-    "phone phonenumber mobile mobilephone tel telephone gsm "
-    "firstname lastname fullname surname givenname familyname displayname realname "
-    "address streetaddress street homeaddress billingaddress shippingaddress "
-    "password passwd pass pwd "
-    "token accesstoken refreshtoken idtoken authtoken sessiontoken secret apikey apisecret "
-    "ip ipaddress userip clientip "
-    "dob dateofbirth birthdate birthday "
-    "card cardnumber creditcard ccnumber cvv cvc iban "
-    "ssn tckn tckimlik tckimlikno nationalid passport passportnumber taxid"
-).split()
+PERSONAL_KEYS = [
+    "email", "mail", "emailaddress", "useremail", "customeremail", "phone", "phonenumber", "mobile", "mobilephone",
+    "tel", "telephone", "gsm", "firstname", "lastname", "fullname", "surname", "givenname", "familyname",
+    "displayname", "realname", "address", "streetaddress", "street", "homeaddress", "billingaddress",
+    "shippingaddress", "password", "passwd", "pass", "pwd", "token", "accesstoken", "refreshtoken", "idtoken",
+    "authtoken", "sessiontoken", "secret", "apikey", "apisecret", "ip", "ipaddress", "userip", "clientip", "dob",
+    "dateofbirth", "birthdate", "birthday", "card", "cardnumber", "creditcard", "ccnumber", "cvv", "cvc", "iban",
+    "ssn", "tckn", "tckimlik", "tckimlikno", "nationalid", "passport", "passportnumber", "taxid",
+]
 
 # Do Not Track, or Global Privacy Control where the former was not sent.
 OPTED_OUT = "coalesce(coalesce(try_element_at(headers, 'dnt'), try_element_at(headers, 'sec-gpc')) = '1', false)"

@@ -21,6 +21,7 @@ NOT_CLAIMS = [
     r"\b\d{1,2}:\d{2}\b",
     r"""(?:https?://)?/[^\s"'<>,;]*""",
 ]
+# What a number looks like, and where a sentence ends.
 NUMBER = r"(?<![\p{L}\d_-])[+-]?\d[\d.,]*"
 SENTENCE_END = r"\n+|(?<=[.!?…])\s+"
 

@@ -12,10 +12,10 @@ from footlog.operators.lifecycle import PERSON
 from footlog.operators.ordered import top_per
 
 # Events that trackers send by themselves, which are not actions.
-NON_ACTIONS = (
-    "pageview identify signup login logout plan renewal app_open scroll web_vitals error form_submit form_abandon "
-    "outbound_click file_download rage_click cta_click"
-).split()
+NON_ACTIONS = [
+    "pageview", "identify", "signup", "login", "logout", "plan", "renewal", "app_open", "scroll", "web_vitals",
+    "error", "form_submit", "form_abandon", "outbound_click", "file_download", "rage_click", "cta_click",
+]
 SEGMENTS = ["all", "returning", "one_time", "signed_up_only"]
 SORTS = {"last_active": "last_ts", "joined": "first_ts", "actions": "actions", "active_days": "days", "visits": "visits"}
 
