@@ -35,12 +35,12 @@ BASE, WEIGHT, PRIOR = 1.5, 0.6, 20.0
 BITS, PROBES = 10, 5
 #: Pairs of words count from this number of meetings on.
 PAIRS = 2
-PER_BLOCK, SEGMENT, HEAD = 400_000, 128 << 20, 200_000
+PER_BLOCK, SEGMENT, HEAD = 200_000, 128 << 20, 150_000
 #: Bytes of text a task looks at together.
-SLICE = 8 << 20
-_FLUSH = 400_000
+SLICE = 3 << 20
+_FLUSH = 100_000
 #: Bigram hashes a task holds before it adds them up.
-_HELD = 3_000_000
+_HELD = 1_000_000
 #: The end of a text is the empty word; it also stands before the first word.
 END = b""
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -96,34 +96,64 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+def _blobs(grams: np.ndarray, counts: np.ndarray, blocks: int, alone: bool) -> Iterator[pa.RecordBatch]:
+    """Counted n-grams dealt by block: a row per block with all its hashes and counts, which shuffle far smaller than rows."""
+    block = block_of(grams, blocks)
+    order = np.argsort(block, kind="stable")
+    grams, counts, block = grams[order], counts[order].astype("<i8"), block[order]
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, int)
+    ends = np.r_[starts[1:], len(block)]
+    columns = [
+        pa.array(block[starts].astype(np.int32)),
+        pa.array([grams[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
+        pa.array([counts[a:z].tobytes() for a, z in zip(starts, ends, strict=True)], pa.binary()),
+        pa.array([alone] * len(starts), pa.bool_()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["block", "grams", "counts", "alone"])
 
-    def out():
-        hashes, n = np.unique(np.concatenate(held), return_counts=True)
-        for start in range(0, len(hashes), 1 << 20):
-            part = slice(start, start + (1 << 20))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(n[part])], names=["gram", "n"])
 
-    for batch in batches:
-        for raw in batch.column(0):
-            words = _words(raw)
-            held.append(pair_hashes(np.fromiter(map(word_hash, words), np.uint64, len(words))))
-            size += len(words)
-            if size > _HELD:
-                yield from out()
-                held, size = [], 0
-    if held:
-        yield from out()
+_BLOBS = "block int, grams binary, counts binary, alone boolean"
+
+
+def _pair_counts(blocks: int):
+    """The pairs of texts, added up in every task in bounded portions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for raw in batch.column(0):
+                words = _words(raw)
+                held.append(pair_hashes(np.fromiter(map(word_hash, words), np.uint64, len(words))))
+                size += len(words)
+                if size > _HELD:
+                    yield from _blobs(*np.unique(np.concatenate(held), return_counts=True), blocks, False)
+                    held, size = [], 0
+        if held:
+            yield from _blobs(*np.unique(np.concatenate(held), return_counts=True), blocks, False)
+
+    return run
+
+
+def _word_blobs(blocks: int):
+    """Counted words as they stand, dealt by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _blobs(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), blocks, True)
+
+    return run
 
 
 def _filled(table: pa.Table) -> pa.Table:
     """The Bloom filter block of a block's n-gram counts, and what its levels stand for."""
-    order = np.argsort(table["gram"].to_numpy().view(np.uint64), kind="stable")
-    grams, counts = table["gram"].to_numpy().view(np.uint64)[order], table["n"].to_numpy()[order]
+    grams = np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64)
+    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<i8")
+    alone = np.repeat(table["alone"].to_numpy(), [len(x) // 8 for x in table["grams"].to_pylist()])
+    order = np.argsort(grams, kind="stable")
+    grams, counts, alone = grams[order], counts[order], alone[order]
     first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-    grams, counts = grams[first], np.add.reduceat(counts, first)
-    kept = (counts >= PAIRS) | table["alone"].to_numpy()[order][first]
+    grams, counts, alone = grams[first], np.add.reduceat(counts, first), alone[first]
+    kept = (counts >= PAIRS) | alone
     grams, counts = grams[kept], counts[kept]
     levels = level_of(counts)
     size = max(1, -(-int(levels.sum()) * BITS // 64)) * 64
@@ -181,10 +211,9 @@ class Trained:
         self.tokens, self.vocabulary = total["n"], total["v"]
         self.head = {r["word"].encode(): r["n"] for r in most_frequent(self.words, None, head).collect()}
         self.blocks = max(1, math.ceil(self.tokens / per_block))
-        grams = raw.mapInArrow(_pair_counts, "gram long, n long").select("*", F.lit(False).alias("alone"))
-        grams = grams.unionByName(self.words.select(F.xxhash64("word").alias("gram"), "n", F.lit(True).alias("alone")))
-        block = F.pmod(F.shiftrightunsigned("gram", 16), F.lit(self.blocks)).cast("int").alias("block")
-        filled = grams.select("gram", "n", "alone", block).groupBy("block").applyInArrow(_filled, "block int, bits binary, held array<long>, sums array<double>")
+        words = self.words.select(F.xxhash64("word").alias("gram"), "n").mapInArrow(_word_blobs(self.blocks), _BLOBS)
+        blobs = raw.mapInArrow(_pair_counts(self.blocks), _BLOBS).unionByName(words)
+        filled = blobs.groupBy("block").applyInArrow(_filled, "block int, bits binary, held array<long>, sums array<double>")
         self.filter = staged(filled, "ngrams-filter")
         means = self.filter.select(F.posexplode(F.arrays_zip("held", "sums")).alias("level", "x")).groupBy("level").agg(F.sum("x.held").alias("n"), F.sum("x.sums").alias("s")).collect()
         self.means = np.zeros(256)  # a false hit beyond the highest level counts as that level

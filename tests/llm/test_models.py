@@ -84,7 +84,8 @@ def test_filter_holds_every_count_and_little_else():
 
     rng = np.random.default_rng(1)
     grams, counts = rng.integers(0, 2**63, 5000), rng.geometric(0.02, 5000) + 1
-    table = pa.table({"gram": np.r_[grams, grams[:100]], "n": np.r_[counts, counts[:100]], "alone": np.zeros(5100, bool), "block": np.zeros(5100, np.int32)})
+    parts = [x for g, n in ((grams, counts), (grams[:100], counts[:100])) for x in ngrams._blobs(g.view(np.uint64), n, 1, False)]
+    table = pa.Table.from_batches(parts)
     row = ngrams._filled(table).to_pylist()[0]
     segment = ngrams.Segment([row], 1)
     true = ngrams.level_of(np.r_[counts[:100] * 2, counts[100:]])
