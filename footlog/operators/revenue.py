@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footlog.functions.values import bucket_of, count_when, distinct, in_order, number, percent, prop, ratio, round_to
+from footlog.functions.values import bucket_of, count_when, in_order, number, percent, prop, ratio, round_to
 from footlog.functions.values import per_visitor as folded
 from footlog.model import MINUTE_MS, Scope
 from footlog.operators.ordered import top_per
