@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from footlog.llm import linededup, minhash, simhash
 from tests.llm import corpus
 
@@ -187,3 +188,33 @@ def test_line_dedup_catches_planted_passages_and_leaves_the_rest(spark):
         planted = r.doc_id % 4 == 0 and r.doc_id > 0
         assert r.text == (texts[r.doc_id].replace("\n" + passage, "") if planted else texts[r.doc_id])
         assert list(r.copied_from) == ([0] if planted else [])
+
+
+def _five(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_pipeline_drops_every_text_alike_by_five_words(spark):
+    rng, data = random.Random(11), list(corpus.rows())
+    for i in range(40):  # copies with one to twelve words changed or added: 0.6 to 0.98 alike
+        words = corpus.prose(1000 + i, 30 + 12 * i).split(" ")
+        for k in range(3):
+            copy = list(words)
+            for _ in range(1 + (i + k) % 12):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            data.append((10_000 + 10 * i + k, " ".join(copy + ["more"] * k), "en", None, 0))
+        data.append((10_000 + 10 * i + 9, " ".join(words), "en", None, 0))
+    sets = [_five(r[1]) for r in data]
+    label, likeness = list(range(len(data))), []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                likeness.append(both / max(1, len(x | sets[j])))
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if c == old else c for c in label]
+    assert sum(0.8 <= x < 0.95 for x in likeness) > 30
+    want = Counter(min(((data[i][0] is None, data[i][0] or 0) for i in range(len(data)) if label[i] == c)) for c in set(label))
+    kept = corpus_pipeline.drop_near_duplicates(spark, corpus.frame(spark, data), "/nowhere").collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept) == want
