@@ -3,7 +3,9 @@
 Training counts every word of every labelled training text, per language. A word the model knows scores its smoothed log
 frequency in each language. A word it does not know backs off to its character n-grams (with marked word ends): the longest
 length for which any n-gram is known scores the mean of their log frequencies, then the next shorter, down to single
-characters; a word without any known character says nothing. A text's score per language is the sum over its words, and the
+characters; a word without any known character says nothing. A run of more than ``WORD_CHARS`` letters (scripts without
+spaces) is no word of the model: it is judged by its n-grams in pieces of that many characters, each with a vote of its own,
+and every n-gram of the run belongs to one piece. A text's score per language is the sum over its words, and the
 language with the highest sum wins (ties: the smaller name); its score is the posterior under equal priors.
 
 Counts cover all training texts. What is broadcast is bounded by two parameters: per language the ``words`` most frequent
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 from footlog.llm.common import BLOCK, Memo, in_fold, most_frequent, row_slices, staged
 
 WORDS, GRAMS, LONGEST, LANGUAGES = 20_000, 5_000, 4, 64
-#: Words longer than this are no words; their n-grams would be many.
+#: Longer runs of letters are judged by their n-grams, a piece of this length at a time.
 WORD_CHARS = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
+#: Characters of long runs a task holds before it passes its counts on.
+_LONG = 8 << 20
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -47,17 +51,30 @@ def words_of(text: str) -> Iterator[list[str]]:
         start = end
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    word = f" {word[:WORD_CHARS]} " if n > 1 else word[:WORD_CHARS]
-    return [word[i : i + n] for i in range(len(word) - n + 1)]
+def pieces_of(word: str) -> range:
+    """Where the pieces of a word start; it has one, unless it is a long run."""
+    return range(0, max(1, len(word)), WORD_CHARS)
+
+
+def grams_of(word: str, n: int, start: int = 0) -> list[str]:
+    """The n-grams of a word with marked ends (if n > 1) that start in its piece at ``start``."""
+    end = start + WORD_CHARS
+    if n == 1:
+        return list(word[start:end])
+    whole = end >= len(word) or end + n - 2 > len(word)
+    piece = (word[start - 1] if start else " ") + (word[start:] + " " if whole else word[start : end + n - 2])
+    return [piece[i : i + n] for i in range(len(piece) - n + 1)]
 
 
 def _counted(frame: DataFrame, expand, names: tuple[str, str, str]) -> DataFrame:
-    """Sums of what ``expand`` yields as (kind, item, count), pre-added in every task in bounded portions."""
+    """Sums of what ``expand`` adds as (kind, item, count), pre-added in every task in bounded portions.
+
+    ``expand`` yields after each portion: the characters of the long runs it added.
+    """
     schema = f"{names[0]} string, {names[1]} string, {names[2]} long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, held = Counter(), 0
 
         def out():
             keys = list(total)
@@ -66,27 +83,35 @@ def _counted(frame: DataFrame, expand, names: tuple[str, str, str]) -> DataFrame
         for batch in batches:
             for part in row_slices(batch, "item"):
                 for kind, item, count in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    expand(total, kind, item, count)
-                    if len(total) > _FLUSH:
-                        yield out()
-                        total.clear()
+                    for size in expand(total, kind, item, count):
+                        held += size
+                        if len(total) > _FLUSH or held > _LONG:
+                            yield out()
+                            total.clear()
+                            held = 0
         if total:
             yield out()
 
     return frame.mapInArrow(run, schema).groupBy(*names[:2]).agg(F.sum(names[2]).alias(names[2]))
 
 
-def _add_words(total: Counter, lang: str, text: str, _: int) -> None:
+def _add_words(total: Counter, lang: str, text: str, _: int) -> Iterator[int]:
     for words in words_of(text):
+        long = 0
         for word, n in Counter(words).items():
             total[lang, word] += n
+            if len(word) > WORD_CHARS:
+                long += len(word)
+        yield long
 
 
 def _add_grams(longest: int):
-    def add(total: Counter, lang: str, word: str, count: int) -> None:
-        for n in range(1, longest + 1):
-            for gram in grams_of(word, n):
-                total[f"{n}{lang}", gram] += count
+    def add(total: Counter, lang: str, word: str, count: int) -> Iterator[int]:
+        for start in pieces_of(word):
+            for n in range(1, longest + 1):
+                for gram in grams_of(word, n, start):
+                    total[f"{n}{lang}", gram] += count
+            yield 0
 
     return add
 
@@ -106,13 +131,21 @@ class Model:
             self.logs[level] = {item: tuple(np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))).tolist()) for item, c in counts.items()}
 
     def word(self, word: str) -> tuple[float, ...] | None:
-        """The word's log frequency in each language, or the mean of its longest known n-grams'."""
+        """The word's log frequency in each language, or the mean of its longest known n-grams'; of a long run the sum over its pieces."""
+        if len(word) > WORD_CHARS:
+            votes = np.zeros(len(self.langs)), False
+            for start in pieces_of(word):
+                found = self._backed_off(word, start)
+                if found is not None:
+                    votes = votes[0] + found, True
+            return tuple(votes[0].tolist()) if votes[1] else None
         found = self.logs[""].get(word)
-        if found is not None:
-            return found
+        return found if found is not None else self._backed_off(word, 0)
+
+    def _backed_off(self, word: str, start: int) -> tuple[float, ...] | None:
         for level in self.levels:
             find = self.logs[level].get
-            known = [g for x in grams_of(word, int(level)) if (g := find(x)) is not None]
+            known = [g for x in grams_of(word, int(level), start) if (g := find(x)) is not None]
             if known:
                 return tuple(s / len(known) for s in map(sum, zip(*known, strict=True)))
         return None
@@ -140,6 +173,10 @@ class Model:
                     memo.clear()
                     size = 0
                 any_word = any_word or any(c.isalpha() for w in words for c in w)
+                if max(map(len, words), default=0) > WORD_CHARS:  # long runs are not remembered, nor rounded
+                    for found in (self.word(w) for w in words if len(w) > WORD_CHARS):
+                        total += 0 if found is None else np.array(found)
+                    words = [w for w in words if len(w) <= WORD_CHARS]
                 places = list(map(memo.__getitem__, words))
                 for start in range(0, len(places), 1 << 16):
                     total += table[places[start : start + (1 << 16)]].sum(axis=0, dtype=np.float64)
@@ -155,17 +192,18 @@ def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     """A model of all rows with a non-null label."""
     rows = documents.select(F.col(lang_col).alias("kind"), F.col(text_col).alias("item"), F.lit(1).alias("n")).dropna()
     counted = staged(_counted(rows, _add_words, ("lang", "word", "n")), "langid-words")
-    heaviest = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    of_words = F.length("word") <= WORD_CHARS
+    heaviest = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(of_words, F.col("n"))), F.lit(0)).alias("words")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     langs = sorted(r["lang"] for r in heaviest)
     counted = counted.where(F.col("lang").isin(langs))
     items = counted.select(F.col("lang").alias("kind"), F.col("word").alias("item"), "n")
     gram_counts = staged(_counted(items, _add_grams(longest), ("level", "gram", "n")), "langid-grams")
     gram_totals = gram_counts.groupBy("level").agg(F.sum("n").alias("n")).collect()
-    totals = {"": {r["lang"]: r["n"] for r in heaviest}} | {str(n): {} for n in range(1, longest + 1)}
+    totals = {"": {r["lang"]: r["words"] for r in heaviest}} | {str(n): {} for n in range(1, longest + 1)}
     found: dict[str, list] = {level: [] for level in totals}
     for r in gram_totals:
         totals[r["level"][0]][r["level"][1:]] = r["n"]
-    for r in most_frequent(counted, "lang", words).collect():
+    for r in most_frequent(counted.where(of_words), "lang", words).collect():
         found[""].append((r["lang"], r["word"], r["n"]))
     for r in most_frequent(gram_counts, "level", grams).collect():
         found[r["level"][0]].append((r["level"][1:], r["gram"], r["n"]))

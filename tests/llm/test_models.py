@@ -51,6 +51,20 @@ def test_what_is_broadcast_is_bounded(spark):
     assert len(model.logs[""]) <= 20 and all(len(model.logs[str(n)]) <= 10 for n in range(1, 5))
 
 
+def test_long_runs_count_whole(spark):
+    for word in ("ab", "x" * 64, "".join(chr(97 + i % 26) for i in range(65)), corpus.prose(1, 60).replace("\n", " ").replace(" ", "")):
+        for n in range(1, 5):
+            marked = f" {word} " if n > 1 else word
+            made = [g for start in langid.pieces_of(word) for g in langid.grams_of(word, n, start)]
+            assert made == [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    same = "kokoro" * 11  # two languages that differ only after their first 66 letters
+    data = [(i, same + ("vavuvi" if i % 2 else "zezozu") * 40, "ab"[i % 2], None, 0) for i in range(60)]
+    got = langid.identify(corpus.frame(spark, data)).where("held_out").collect()
+    assert len(got) > 5 and all(r.lang_pred == "ab"[r.doc_id % 2] and r.score > 0.9 for r in got)
+    model = langid.Model(["a", "b"], {"": {"a": 9, "b": 9}, "1": {"a": 9, "b": 9}}, {"": [("b", "w", 9)], "1": [("a", "q", 9)]})
+    assert model.scorer()("w " * 5 + "q" * 64 * 9)[0] == "a"  # a run weighs by its length
+
+
 def _tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
