@@ -8,9 +8,10 @@ spaces) is no word of the model: it is judged by its n-grams in pieces of that m
 and every n-gram of the run belongs to one piece. A text's score per language is the sum over its words, and the
 language with the highest sum wins (ties: the smaller name); its score is the posterior under equal priors.
 
-Counts cover all training texts. What is broadcast is bounded by two parameters: per language the ``words`` most frequent
-words and the ``grams`` most frequent n-grams of each length, cut at a count so that ties stay or go together, and only the
-``languages`` most frequent labels are learned.
+Counts cover all training texts, and every label is learned. What is broadcast is, per language, the ``words`` most frequent
+words and the ``grams`` most frequent n-grams of each length, cut at a count so that ties stay or go together. An item holds
+only the languages that kept it, with what they add to the language's log frequency of an item it did not keep; so the model
+grows with the kept rows, not with items times languages.
 
 Nulls: a null text, or one without a letter, is `und` with score 0, as is every text if nothing could be learned. Null
 labels and null ids take no part in learning; a document with a null id is not held out. Repeated rows count as often as
@@ -19,6 +20,7 @@ they stand. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,13 +33,15 @@ from pyspark.sql import functions as F
 
 from footlog.llm.common import BLOCK, Memo, in_fold, most_frequent, row_slices, staged
 
-WORDS, GRAMS, LONGEST, LANGUAGES = 20_000, 5_000, 4, 64
+WORDS, GRAMS, LONGEST = 20_000, 5_000, 4
 #: Longer runs of letters are judged by their n-grams, a piece of this length at a time.
 WORD_CHARS = 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
 #: Characters of long runs a task holds before it passes its counts on.
 _LONG = 8 << 20
+#: Cells (words times languages) of the table of words a scorer remembers.
+_CELLS = 1 << 23
 
 
 def words_of(text: str) -> Iterator[list[str]]:
@@ -122,15 +126,17 @@ class Model:
     def __init__(self, langs: list[str], totals: dict[str, dict[str, int]], rows: dict[str, list[tuple[str, str, int]]]) -> None:
         """totals and rows by level: "" for words, "1" to "4" for n-grams; rows are (lang, item, count)."""
         self.langs, self.logs, self.levels = langs, {}, sorted((x for x in rows if x), reverse=True)
+        self.least: dict[str, list[float]] = {}
         at = {lang: i for i, lang in enumerate(langs)}
         for level, items in rows.items():
-            total = np.array([totals[level].get(lang, 0) for lang in langs], dtype=float)
-            counts: dict[str, np.ndarray] = {}
-            for lang, item, n in items:
-                counts.setdefault(item, np.zeros(len(langs)))[at[lang]] = n
-            self.logs[level] = {item: tuple(np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))).tolist()) for item, c in counts.items()}
-
-    def word(self, word: str) -> tuple[float, ...] | None:
+            below = np.array([totals[level].get(lang, 0) for lang in langs], dtype=float) + 0.5 * (len({item for _, item, _ in items}) + 1)
+            self.least[level] = np.log(0.5 / below).tolist()
+            logs: dict[str, list] = {}
+            for lang, item, n in items:  # language number, what it adds, next language number, ...
+                logs.setdefault(item, []).extend((at[lang], math.log(2 * n + 1)))
+            self.logs[level] = {item: tuple(x) for item, x in logs.items()}
+
+    def word(self, word: str) -> list[float] | None:
         """The word's log frequency in each language, or the mean of its longest known n-grams'; of a long run the sum over its pieces."""
         if len(word) > WORD_CHARS:
             votes = np.zeros(len(self.langs)), False
@@ -138,21 +144,32 @@ class Model:
                 found = self._backed_off(word, start)
                 if found is not None:
                     votes = votes[0] + found, True
-            return tuple(votes[0].tolist()) if votes[1] else None
+            return votes[0].tolist() if votes[1] else None
         found = self.logs[""].get(word)
-        return found if found is not None else self._backed_off(word, 0)
+        return self._mean("", [found]) if found is not None else self._backed_off(word, 0)
+
+    def _mean(self, level: str, known: list[tuple]) -> list[float]:
+        """The mean log frequency of known items in each language."""
+        out, share = self.least[level][:], 1 / len(known)
+        for item in known:
+            for i in range(0, len(item), 2):
+                out[item[i]] += item[i + 1] * share
+        return out
 
-    def _backed_off(self, word: str, start: int) -> tuple[float, ...] | None:
+    def _backed_off(self, word: str, start: int) -> list[float] | None:
         for level in self.levels:
             find = self.logs[level].get
             known = [g for x in grams_of(word, int(level), start) if (g := find(x)) is not None]
             if known:
-                return tuple(s / len(known) for s in map(sum, zip(*known, strict=True)))
+                return self._mean(level, known)
         return None
 
     def scorer(self):
         """text -> (language, score); remembers the words it has met in a growing, bounded table."""
-        table, size = np.zeros((1 << 12, max(1, len(self.langs))), np.float32), 0
+        width = max(1, len(self.langs))
+        most = max(1, min(300_000, _CELLS // width))
+        portion = min(1 << 16, most)
+        table, size = np.zeros((min(1 << 12, most), width), np.float32), 0
 
         def place(word: str) -> int:
             nonlocal table, size
@@ -169,17 +186,17 @@ class Model:
             nonlocal size
             total, any_word = np.zeros(len(self.langs)), False
             for words in words_of(text or ""):
-                if size > 300_000:
-                    memo.clear()
-                    size = 0
                 any_word = any_word or any(c.isalpha() for w in words for c in w)
                 if max(map(len, words), default=0) > WORD_CHARS:  # long runs are not remembered, nor rounded
                     for found in (self.word(w) for w in words if len(w) > WORD_CHARS):
                         total += 0 if found is None else np.array(found)
                     words = [w for w in words if len(w) <= WORD_CHARS]
-                places = list(map(memo.__getitem__, words))
-                for start in range(0, len(places), 1 << 16):
-                    total += table[places[start : start + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                for start in range(0, len(words), portion):
+                    if size > most:
+                        memo.clear()
+                        size = 0
+                    places = list(map(memo.__getitem__, words[start : start + portion]))
+                    total += table[places].sum(axis=0, dtype=np.float64)
             if not any_word or not self.langs:
                 return "und", 0.0
             best = int(total.argmax())
@@ -188,18 +205,17 @@ class Model:
         return score
 
 
-def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST, languages: int = LANGUAGES) -> Model:
+def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> Model:
     """A model of all rows with a non-null label."""
     rows = documents.select(F.col(lang_col).alias("kind"), F.col(text_col).alias("item"), F.lit(1).alias("n")).dropna()
     counted = staged(_counted(rows, _add_words, ("lang", "word", "n")), "langid-words")
     of_words = F.length("word") <= WORD_CHARS
-    heaviest = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(of_words, F.col("n"))), F.lit(0)).alias("words")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    langs = sorted(r["lang"] for r in heaviest)
-    counted = counted.where(F.col("lang").isin(langs))
+    learned = counted.groupBy("lang").agg(F.coalesce(F.sum(F.when(of_words, F.col("n"))), F.lit(0)).alias("words")).collect()
+    langs = sorted(r["lang"] for r in learned)
     items = counted.select(F.col("lang").alias("kind"), F.col("word").alias("item"), "n")
     gram_counts = staged(_counted(items, _add_grams(longest), ("level", "gram", "n")), "langid-grams")
     gram_totals = gram_counts.groupBy("level").agg(F.sum("n").alias("n")).collect()
-    totals = {"": {r["lang"]: r["words"] for r in heaviest}} | {str(n): {} for n in range(1, longest + 1)}
+    totals = {"": {r["lang"]: r["words"] for r in learned}} | {str(n): {} for n in range(1, longest + 1)}
     found: dict[str, list] = {level: [] for level in totals}
     for r in gram_totals:
         totals[r["level"][0]][r["level"][1:]] = r["n"]

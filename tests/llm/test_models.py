@@ -65,6 +65,25 @@ def test_long_runs_count_whole(spark):
     assert model.scorer()("w " * 5 + "q" * 64 * 9)[0] == "a"  # a run weighs by its length
 
 
+def test_every_label_is_learned(spark):
+    def text(lang, i):
+        own = "bcdfghjklm"[lang % 10] + "aeiouyrs"[lang // 10]
+        return " ".join(own * 2 + "abcdefgh"[(i + k) % 8] for k in range(20 if lang < 70 else 5))
+
+    data = [(100 * i + lang, text(lang, i), f"l{lang}", None, 0) for lang in range(75) for i in range(8)]
+    got = langid.identify(corpus.frame(spark, data)).collect()
+    assert len(got) == 600 and all(r.lang_pred == f"l{r.doc_id % 100}" for r in got)
+
+
+def test_a_small_table_of_words_changes_no_score(monkeypatch):
+    rows = [("ab"[i % 2], f"w{chr(97 + i)}", 1 + i) for i in range(20)]
+    model = langid.Model(["a", "b"], {"": {"a": 100, "b": 110}, "1": {}}, {"": rows, "1": []})
+    text = " ".join(w for _, w, _ in rows[:11]) + " unknown"
+    want = model.scorer()(text)
+    monkeypatch.setattr(langid, "_CELLS", 4)
+    assert model.scorer()(text)[0] == want[0] and math.isclose(model.scorer()(text)[1], want[1], rel_tol=1e-6)
+
+
 def _tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
