@@ -1,11 +1,12 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
-Unigrams and bigrams of all training texts are counted by 64-bit hash; pairs met once are left out. A count c is stored as
+Unigrams and bigrams of all training texts are counted by 64-bit hash, pairs met once among them. A count c is stored as
 its level 1 + floor(log(c) / log(BASE)): the filter receives the n-gram together with every number from 1 to its level.
 Reading asks for level 1, 2, ... until the first miss, so a false hit can only raise a level, and seldom by more than one.
+Level 1, which tells what was met from what was not, has more bits and probes than the others.
 A level stands for the mean of the counts that have it. The probability of a word after another mixes the share of the pair
 in the count of the first word, with a weight that rises with that count up to WEIGHT, and the word's own probability. All
-words' probabilities sum to one or less, but for quantising and false hits (a pair needs two levels, so these are rare).
+words' probabilities sum to one or less, but for quantising and false hits (of a pair not met, below one in a thousand).
 
 The filter consists of blocks, one for about PER_BLOCK counted n-grams, sized by what they hold, so it grows with the
 corpus. Blocks are broadcast together up to SEGMENT bytes; a larger filter is read in several passes over the texts, each
@@ -33,8 +34,10 @@ from footlog.llm.common import in_fold, most_frequent, row_slices, staged, word_
 
 BASE, WEIGHT, PRIOR = 1.5, 0.6, 20.0
 BITS, PROBES = 10, 5
+#: Bits and probes of level 1: a pair never met passes for one met once about twice in ten thousand cases.
+FIRST_BITS, FIRST_PROBES = 18, 12
 #: Pairs of words count from this number of meetings on.
-PAIRS = 2
+PAIRS = 1
 PER_BLOCK, SEGMENT, HEAD = 200_000, 128 << 20, 150_000
 #: Bytes of text a task looks at together.
 SLICE = 3 << 20
@@ -74,8 +77,13 @@ def spread(hashes: np.ndarray, level: int) -> np.ndarray:
 
 
 def bit_at(mixed: np.ndarray, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
-    """The bit of a probe inside blocks of ``size`` bits."""
-    return (((mixed & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * ((mixed >> np.uint64(32)) | np.uint64(1))) % size).astype(np.int64)
+    """The bit of a probe inside blocks of ``size`` bits (below 2 ** 32)."""
+    drawn = (mixed + np.uint64(probe) * ((mixed >> np.uint64(32)) | np.uint64(1))) & np.uint64(0xFFFFFFFF)
+    return (drawn * size >> np.uint64(32)).view(np.int64)
+
+
+def probes_of(level: int) -> int:
+    return FIRST_PROBES if level == 1 else PROBES
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +164,11 @@ def _filled(table: pa.Table) -> pa.Table:
     kept = (counts >= PAIRS) | alone
     grams, counts = grams[kept], counts[kept]
     levels = level_of(counts)
-    size = max(1, -(-int(levels.sum()) * BITS // 64)) * 64
+    size = max(1, -(-(int(levels.sum()) * BITS + len(levels) * (FIRST_BITS - BITS)) // 64)) * 64
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
         mixed = spread(grams[levels >= level], level)
-        for i in range(PROBES):
+        for i in range(probes_of(level)):
             bits[bit_at(mixed, i, np.uint64(size))] = True
     held = np.bincount(levels)
     sums = np.bincount(levels, weights=counts)
@@ -188,7 +196,7 @@ class Segment:
         while len(live) and level < 255:
             level += 1
             mixed, start, size = spread(hashes[live], level), self.start[block[live]], self.size[block[live]]
-            for i in range(PROBES):
+            for i in range(probes_of(level)):
                 place = start + bit_at(mixed, i, size)
                 hit = np.flatnonzero(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
                 live, mixed, start, size = live[hit], mixed[hit], start[hit], size[hit]

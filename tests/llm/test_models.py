@@ -128,6 +128,25 @@ def test_filter_holds_every_count_and_little_else():
     assert (absent > 0).mean() < 0.03 and (absent > 1).mean() < 0.002
 
 
+def test_pairs_met_once_are_held(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    grams = rng.integers(0, 2**63, 20_000).view(np.uint64)
+    row = ngrams._filled(pa.Table.from_batches(list(ngrams._blobs(grams, np.ones(len(grams), int), 1, False)))).to_pylist()[0]
+    segment = ngrams.Segment([row], 1)
+    assert (segment.levels(grams) >= 1).all()
+    assert (segment.levels(rng.integers(0, 2**63, 200_000).view(np.uint64)) > 0).mean() < 0.001
+    # All words are frequent, each pair of neighbours is met once; one held-out text has that order, one the reverse.
+    names = [f"n{i}" for i in range(400)]
+    text = " ".join(names)
+    others = [(100 + i, " x ".join(names[i:] + names[:i]), None, None, 0) for i in range(30)]
+    held, learned = [i for i in range(50) if _fold(i) == 1][:2], [i for i in range(50) if _fold(i) != 1][0]
+    data = [*others, (learned, text, None, None, 0), (held[0], text, None, None, 0), (held[1], " ".join(names[::-1]), None, None, 0)]
+    got = {r.doc_id: r.score for r in ngrams.score(corpus.frame(spark, data)).collect() if r.doc_id < 100}
+    assert got[held[0]] > got[held[1]] + 100
+
+
 def test_model_beats_the_base_where_words_depend_on_each_other(spark):
     import random
 
