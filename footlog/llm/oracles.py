@@ -71,5 +71,49 @@ from (select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint % 646
 """
 
 
+#: Every window of one to four words of every piece, counted as it stands.
+OP12 = r"""
+with t as (
+  select coalesce(lang, 'und') lang, doc_id, row_number() over () id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') v from documents),
+p as (select lang, unnest(regexp_split_to_array(v, '[.,;:!?\x0A-\x0D]')) v from t),
+w as (select lang, regexp_extract_all(v, '[^\x20\x09]+') a from p),
+g as (select lang, len(x) words, array_to_string(x, ' ') phrase from (
+  select lang, unnest(flatten(list_transform(range(1, 5), lambda m: list_transform(range(1, len(a) - m + 2), lambda i: a[i:i + m - 1])))) x from w)),
+f as (select lang, words, phrase, count(*)::hugeint a from g group by all),
+n as (select lang, sum(a)::hugeint n from f where words = 1 group by lang),
+c as (select lang, words, phrase, a, string_split(phrase, ' ') x from f where words > 1 and a >= 30),
+k as (select *, unnest(range(1, words)) k from c),
+s as (
+  select k.lang, k.phrase, k.a, k.k, l.a l, r.a r, (2000000 * k.a) // (l.a + r.a) score from k
+  join f l on l.lang = k.lang and l.phrase = array_to_string(k.x[1:k.k], ' ') and l.words = k.k
+  join f r on r.lang = k.lang and r.phrase = array_to_string(k.x[k.k + 1:], ' ') and r.words = k.words - k.k),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (
+  select lang, array_to_string(x[j:j + m - 1], ' ') phrase, max(a) outer_a
+  from (select *, unnest(range(1, words - m + 2)) j from (select *, unnest(range(2, words)) m from c)) group by all),
+o as (select b.* from b left join i using (lang, phrase) where outer_a is null or 100 * outer_a < 80 * b.a),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from o)
+select z.lang, rank, phrase, a::bigint a, l::bigint l, r::bigint r, n.n::bigint n, score::bigint score from z join n using (lang) where rank <= 2000
+"""
+
+#: The cuts as counts of matches, taken from the list of all matches.
+OP13 = r"""
+with d as (select doc_id, coalesce(text, '') t, sha256('42:' || coalesce(doc_id::varchar, '')) h from documents),
+u as (
+  select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') a,
+    ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2, ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from d),
+c as (select *, len(a) n, least(h1 % (len(a) + 1), h2 % (len(a) + 1)) lo, greatest(h1 % (len(a) + 1), h2 % (len(a) + 1)) hi from u),
+p as (
+  select *, array_to_string(a[1:lo], '') pre, array_to_string(a[lo + 1:hi], '') mid, array_to_string(a[hi + 1:], '') suf,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end form from c)
+select doc_id, n::bigint n, form, case when form <> 'plain' then length(pre) end prefix_chars, case when form <> 'plain' then length(mid) end middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256,
+  sha256(t) restored_sha256
+from p
+"""
+
+
 def llm_oracles() -> dict[str, str]:
-    return {"op4_line_dedup": OP4, "op5_threshold_top_k": OP5, "op7_sharding": OP7}
+    return {"op4_line_dedup": OP4, "op5_threshold_top_k": OP5, "op7_sharding": OP7, "op12_collocations": OP12, "op13_fill_in_middle": OP13}
