@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footlog.llm import bpe, infill, langid, linededup, minhash, ngrams, packing, phrases, sharding, simhash, tokencount, topk
+from footlog.llm import bpe, infill, langid, linededup, mainhtml, minhash, ngrams, packing, phrases, sharding, simhash, tokencount, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(_documents(spark, sf_dir)))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = mainhtml.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_phrases(_documents(spark, sf_dir))
 
@@ -93,6 +98,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_two_fit": op10_best_two_fit,
+        "op11_main_text": op11_main_text,
         "op12_collocations": op12_collocations,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
