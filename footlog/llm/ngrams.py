@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,13 +179,19 @@ def _filled(table: pa.Table) -> pa.Table:
 class Segment:
     """Some blocks of the filter: all bits in one array, with each block's place and size."""
 
-    def __init__(self, rows: list, blocks: int) -> None:
+    def __init__(self, rows: Iterable, blocks: int, total: int | None = None) -> None:
+        """With ``total`` bytes given, rows may come one at a time; each goes straight into the one array."""
+        if total is None:
+            rows = list(rows)
+            total = sum(len(r["bits"]) for r in rows)
         self.blocks, self.start, self.size = blocks, np.full(blocks, -1, np.int64), np.ones(blocks, np.uint64)
-        self.bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8)
+        self.bits = np.empty(total, np.uint8)
         at = 0
         for r in rows:
-            self.start[r["block"]], self.size[r["block"]] = at, 8 * len(r["bits"])
-            at += 8 * len(r["bits"])
+            size = len(r["bits"])
+            self.bits[at : at + size] = np.frombuffer(r["bits"], np.uint8)
+            self.start[r["block"]], self.size[r["block"]] = 8 * at, 8 * size
+            at += size
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level of every n-gram; 0 if it is in none of these blocks. Equal ones are probed once."""
@@ -230,20 +236,20 @@ class Trained:
                 self.means[r["level"] :] = r["s"] / r["n"]
         self.means[0] = 0
 
-    def portions(self, most: int) -> list[tuple[int, int]]:
-        """The first and last block of each portion of the filter: at most ``most`` bytes, or a single block."""
+    def portions(self, most: int) -> list[tuple[int, int, int]]:
+        """The first and last block of each portion of the filter, and its bytes: at most ``most``, or a single block."""
         sizes = self.filter.select("block", F.octet_length("bits").alias("size")).orderBy("block").collect()
         out, total = [], 0
         for r in sizes:
             if not out or total + r["size"] > most:
-                out.append((r["block"], r["block"]))
+                out.append((r["block"], r["block"], 0))
                 total = 0
-            out[-1] = (out[-1][0], r["block"])
             total += r["size"]
-        return out or [(0, -1)]
+            out[-1] = (out[-1][0], r["block"], total)
+        return out or [(0, -1, 0)]
 
-    def segment(self, first: int, last: int) -> Segment:
-        return Segment(self.filter.where(F.col("block").between(first, last)).select("block", "bits").collect(), self.blocks)
+    def segment(self, first: int, last: int, total: int) -> Segment:
+        return Segment(self.filter.where(F.col("block").between(first, last)).select("block", "bits").toLocalIterator(), self.blocks, total)
 
 
 def _words(raw: pa.Scalar) -> list[bytes]:
@@ -333,7 +339,9 @@ def score(
     else:
         every = None
         for portion in portions:
-            found = staged(rows.select("row", "text").mapInArrow(_reader(context.broadcast(model.segment(*portion))), "row long, levels array<binary>"), "ngrams-levels")
+            held = context.broadcast(model.segment(*portion))
+            found = staged(rows.select("row", "text").mapInArrow(_reader(held), "row long, levels array<binary>"), "ngrams-levels")
+            held.destroy()  # its levels are written
             every = found if every is None else every.unionByName(found)
         levelled = rows.join(every.groupBy("row").agg(F.flatten(F.collect_list("levels")).alias("levels")), "row")
         made = levelled.mapInArrow(_scorer(shared), _MADE)
