@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from footlog.llm.common import BLOCK, row_slices, staged
+from footlog.llm.common import row_slices, staged
 
 #: Bytes between which words of a phrase never stand; they end a piece. Words are separated by space and tab.
 _PIECE_END = b".,;:!?\n\x0b\x0c\r"
@@ -38,6 +38,8 @@ _GAP = re.compile(rb"[\x20\x09.,;:!?\x0A-\x0D]")
 FILTER_BITS = 26
 #: Bits of a word's id within a task; three ids make the key of a container.
 _ID = 21
+#: Bytes of text that a task looks at together.
+PORTION = 2 << 20
 #: Words and their bytes, and windows, that a task's trie holds before it spills.
 MOST_WORDS, MOST_BYTES, MOST_WINDOWS = 1 << 19, 64 << 20, 1_000_000
 #: Windows in one container before it bursts.
@@ -179,13 +181,13 @@ class Trie:
 
 def _portions(texts: list[bytes]) -> Iterator[tuple[bytes, bool]]:
     """Whole texts joined by line breaks, or portions of one that is too long, and whether its words go on after them."""
-    short = [t for t in texts if len(t) <= BLOCK]
+    short = [t for t in texts if len(t) <= PORTION]
     if short:
         yield b"\n".join(short), False
     for text in texts:
         start = 0
-        while len(text) > BLOCK and start < len(text):
-            cut = _GAP.search(text, min(start + BLOCK, len(text)))
+        while len(text) > PORTION and start < len(text):
+            cut = _GAP.search(text, min(start + PORTION, len(text)))
             end = cut.end() if cut else len(text)
             yield text[start:end], end < len(text)
             start = end
@@ -242,7 +244,7 @@ def counted(texts: DataFrame, low: int, high: int, parts=None, links: bool = Fal
             trie.add(padded[:until][good], rest[good])
 
         for batch in batches:
-            for part in row_slices(batch, "text", BLOCK):
+            for part in row_slices(batch, "text", PORTION):
                 langs = part.column("lang")
                 for lang in pc.unique(langs).to_pylist():
                     texts = [t.as_py() for t in part.column("text").filter(pc.equal(langs, lang))]
@@ -308,7 +310,7 @@ def _joined(words: Column, start: Column, length: Column) -> Column:
 
 
 def collocations(found: DataFrame, share: int = 80) -> DataFrame:
-    """Scored candidates (lang, phrase, a, l, r, n, score) from ``frequent_phrases``: each at its lowest-scoring cut,
+    """Scored candidates (lang, phrase, a, l, r, score) from ``frequent_phrases``: each at its lowest-scoring cut,
     without those of whose occurrences ``share`` per cent or more may lie inside one longer candidate."""
     candidates = found.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("list"))
     cuts = candidates.select("lang", "phrase", "a", "words", "list", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k")).select(
@@ -323,15 +325,16 @@ def collocations(found: DataFrame, share: int = 80) -> DataFrame:
     around = inner.groupBy("lang", _joined(F.col("list"), F.col("start"), F.col("size")).alias("phrase")).agg(F.max("outer").alias("outer"))
     held = F.expr("cast(outer as decimal(19,0)) * 100 >= cast(cut.a as decimal(19,0))") if share == 1 else F.expr(f"cast(outer as decimal(19,0)) * 100 >= cast(cut.a as decimal(19,0)) * {share}")
     kept = best.join(around, ["lang", "phrase"], "left").where(F.col("outer").isNull() | ~held)
-    totals = found.where("words = 0").select("lang", F.col("n").alias("total"))
-    return kept.join(totals, "lang").select("lang", "phrase", *[F.col(f"cut.{c}").alias(c) for c in "alr"], F.col("total").alias("n"), "cut.score")
+    return kept.select("lang", "phrase", *[F.col(f"cut.{c}").alias(c) for c in "alr"], "cut.score")
 
 
 def top_phrases(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 2000, least: int = 30, longest: int = 4, share: int = 80) -> DataFrame:
     """Each language's first ``most`` collocations: lang, rank, phrase, a, l, r, n, score."""
-    scored = collocations(frequent_phrases(documents, text_col, lang_col, least, longest), share)
+    found = frequent_phrases(documents, text_col, lang_col, least, longest)
+    scored = collocations(found, share)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(64))  # each part of a language is cut to its first rows before they meet
     first = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
     ranked = first.where(F.col("rank") <= most).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
-    return ranked.where(F.col("rank") <= most).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    totals = found.where("words = 0").select("lang", "n")
+    return ranked.where(F.col("rank") <= most).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

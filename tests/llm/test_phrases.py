@@ -109,7 +109,7 @@ def test_bursts_spills_and_portions_change_no_count(monkeypatch, low, high):
     if low == 1:
         for _, text, lang, *_ in rows:
             want[lang or "und", ""] += sum(len(WORD.findall(p)) for p in PIECE.split(text or ""))
-    small, runs = collected(rows, low, high, monkeypatch, BLOCK=500, MOST_WORDS=300, MOST_WINDOWS=200, BURST=5)
+    small, runs = collected(rows, low, high, monkeypatch, PORTION=500, MOST_WORDS=300, MOST_WINDOWS=200, BURST=5)
     assert small == want and runs > 20
     monkeypatch.undo()
     assert collected(rows, low, high, monkeypatch)[0] == want
@@ -132,7 +132,7 @@ def test_scores_beyond_64_bits(spark):
     big = 5 * 10**15
     rows = [("en", "", 0, 3 * big), ("en", "a", 1, big + 2), ("en", "b", 1, big + 1), ("en", "a b", 2, big)]
     got = phrases.collocations(spark.createDataFrame(rows, "lang string, phrase string, words int, n long")).collect()
-    assert [(r.a, r.l, r.r, r.n, r.score) for r in got] == [(big, big + 2, big + 1, 3 * big, 2000000 * big // (2 * big + 3))]
+    assert [(r.a, r.l, r.r, r.score) for r in got] == [(big, big + 2, big + 1, 2000000 * big // (2 * big + 3))]
 
 
 # Fill-in-middle
