@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from checks.sample_view import duckdb_view
+from checks.sample_view import LONG_VISIT, duckdb_view
 
 FULL = (1_704_067_200_000, 1_706_659_200_000)
 LATE = (1_705_363_200_000, 1_706_659_200_000)
+MIDDLE = (1_705_294_800_000, 1_705_467_600_000)
 EARLY = (1_704_067_200_000, 1_705_363_200_000)
 DAY = 86_400_000
 HUMAN = "bot_kind = '' AND agent_trust = 'human'"
@@ -36,6 +37,11 @@ def ev(body: str, *ctes: str, w=FULL) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+def over_days(sql: str) -> str:
+    """The same query over visits of up to three days."""
+    return sql.replace(f"ev AS ({duckdb_view()})", f"ev AS (SELECT * REPLACE ({LONG_VISIT} AS session_id) FROM ({duckdb_view()}))")
+
+
 def top(inner: str, order: str, limit: int | None, group: str = "site_id") -> str:
     if limit is None:
         return inner
@@ -561,7 +567,7 @@ def portfolio_series(w, buckets: int, sites: str) -> str:
 
 
 def report_oracles() -> dict[str, str]:
-    late = {"w": LATE}
+    late, middle = {"w": LATE}, {"w": MIDDLE}
     de = "country = 'DE' AND browser <> 'Safari'"
     sess = (
         "SELECT m.site_id, m.session_id, " + ", ".join(f"f.{c}" for c in SESSION_ATTRIBUTES) + ", a.identity, a.started, a.ended, "
@@ -652,6 +658,41 @@ def report_oracles() -> dict[str, str]:
         "d11_suggestions": table({"value": "path"}, {"sessions": SES}, "type = 'pageview' AND path ILIKE '%p/%'", 50),
         "d11_property_suggestions": table({"value": js("currency")}, {"sessions": SES}, f"type = 'event' AND {js('currency')} IS NOT NULL", 50),
         "f01_sessions": ev(top(sess, "started DESC, session_id", 200), m, **late),
+        "f01_sessions_over_days": over_days(ev(sess, m, **middle)),
+        "d04_event_filter_over_days": over_days(
+            ev(
+                top(
+                    f"SELECT site_id, path, {CNT} AS views, {SES} AS sessions FROM h WHERE type = 'pageview' AND (site_id, session_id) IN "
+                    "(SELECT (site_id, session_id) FROM ev WHERE type = 'event' AND name = 'purchase') GROUP BY 1, 2",
+                    "views DESC, path",
+                    100,
+                ),
+                **middle,
+            )
+        ),
+        "d05_entry_exit_over_days": over_days(
+            ev(
+                top(
+                    f"SELECT h.site_id, channel, {SES} AS value FROM h JOIN ee USING (site_id, session_id) WHERE entry = '/' AND leave <> '/p/1' GROUP BY 1, 2",
+                    "value DESC, channel",
+                    10,
+                ),
+                entries,
+                **middle,
+            )
+        ),
+        "f40_first_touch_over_days": over_days(
+            ev(
+                top(
+                    pay.format(g="ft.g", c="currency", t="hp JOIN best USING (site_id, currency) JOIN ft USING (site_id, session_id)"),
+                    "revenue DESC, g",
+                    50,
+                ),
+                PAID,
+                ft,
+                **middle,
+            )
+        ),
         "f01_sessions_total": ev("SELECT site_id, count(DISTINCT session_id) AS n FROM m GROUP BY 1", m, **late),
         "f02_timelines": ev(
             "SELECT site_id, session_id, " + ", ".join(TIMELINE) + " FROM (SELECT *, row_number() OVER (PARTITION BY site_id, session_id "

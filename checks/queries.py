@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample_view import event_table
+from checks.sample_view import event_table, long_visits, session_table
 from footlog.model import DAY_MS, Scope, Window
 from footlog.operators import (
     breakdowns, explore, filters, geo, lifecycle, paths, people, portfolio, retention, revenue, scalars, series, vitals,
@@ -20,12 +20,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FULL = Window(1_704_067_200_000, 1_706_659_200_000)
 LATE = Window(1_705_363_200_000, 1_706_659_200_000)  # its previous window holds the other half
+MIDDLE = Window(1_705_294_800_000, 1_705_467_600_000)  # two days from five o'clock on
 NOW = 1_706_659_200_000
 LIVE_NOW = 1_704_067_200_000 + 300_000  # five minutes reach back to the first event
 
 
 def scope(spark: SparkSession, sf_dir: str, window: Window = FULL, **options) -> Scope:
-    return Scope(event_table(spark, sf_dir), window, **options)
+    return Scope(event_table(spark, sf_dir), window, sessions=session_table(spark, sf_dir), **options)
 
 
 def on(operator: Callable[..., DataFrame], *args, window: Window = FULL, filters: tuple = (), **options) -> Query:
@@ -35,6 +36,16 @@ def on(operator: Callable[..., DataFrame], *args, window: Window = FULL, filters
     return run
 
 
+def on_long(operator: Callable[..., DataFrame], *args, filters: tuple = (), **options) -> Query:
+    """Over visits of up to three days, in a window of two days: whole visits reach beyond it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events, sessions = long_visits(spark, sf_dir)
+        return operator(Scope(events, MIDDLE, filters=filters, sessions=sessions), *args, **options)
+
+    return run
+
+
 def packed(name: str) -> Query:
     return lambda spark, sf_dir: bundle.tidy_rows(bundle.pack(scope(spark, sf_dir), name))
 
@@ -194,6 +205,12 @@ def report_queries() -> dict[str, Query]:
         "d11_suggestions": on(filters.suggestions, "path", "p/"),
         "d11_property_suggestions": on(filters.suggestions, "prop:currency"),
         "f01_sessions": on(explore.list_sessions, limit=200, window=LATE, filters=(Filter("path", "/p/3"),)),
+        "f01_sessions_over_days": on_long(explore.list_sessions, limit=None, filters=(Filter("path", "/p/3"),)),
+        "d04_event_filter_over_days": on_long(breakdowns.breakdown, "pages.top", filters=(Filter("event", "purchase"),)),
+        "d05_entry_exit_over_days": on_long(
+            breakdowns.stats, "sessions", "channel", filters=(Filter("entry_page", "/"), Filter("exit_page", "/p/1", "is_not"))
+        ),
+        "f40_first_touch_over_days": on_long(revenue.breakdown, "channel"),
         "f01_sessions_total": on(explore.count_sessions, window=LATE, filters=(Filter("path", "/p/3"),)),
         "f02_timelines": events(explore.timelines, limit=2000),
         "f03_users": on(explore.list_users, limit=200),

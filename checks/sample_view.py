@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from footlog.model import EVENT_SCHEMA
 from footlog.operators.ordered import sessionize
-from footlog.sources.event_table import read_events, with_defaults, write_events
+from footlog.sources.event_table import append_events, read_events, with_defaults, write_events
+from footlog.sources.session_days import read_session_days, session_days, write_session_days
 
 GAP_MS = 21_600_000
 MS_SPARK = "unix_millis(to_timestamp_ltz(concat(cast(ts as string), 'Z')))"
@@ -144,3 +145,31 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_events(with_defaults(sessioned(spark, sf_dir)).select(*EVENT_SCHEMA.fieldNames()), path)
         _tables[key] = read_events(spark, path)
     return _tables[key]
+
+
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side table of session days of ``event_table``, written once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#sessions")
+    if key not in _tables:
+        path = f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/sessions"
+        write_session_days(session_days(event_table(spark, sf_dir)), path)
+        _tables[key] = read_session_days(spark, path)
+    return _tables[key]
+
+
+#: Visits that go on for up to three days: the same events under other session ids.
+LONG_VISIT = "concat(case when identity <> '' then identity else visitor_id end, '-', cast(cast(floor(ts / 259200000) as bigint) as string))"
+
+
+def long_visits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An event table and its side table whose sessions last longer than a day, appended in two parts."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#long")
+    folder = f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}"
+    if key not in _tables:
+        renamed = event_table(spark, sf_dir).withColumn("session_id", F.expr(LONG_VISIT)).drop("day")
+        write_events(renamed.limit(0), f"{folder}/long-events")
+        for part in (0, 1):
+            append_events(renamed.where(F.col("ingest_seq") % 2 == part), f"{folder}/long-events", f"{folder}/long-sessions")
+        _tables[key] = read_events(spark, f"{folder}/long-events")
+        _tables[key[0], f"{sf_dir}#long-sessions"] = read_session_days(spark, f"{folder}/long-sessions")
+    return _tables[key], _tables[key[0], f"{sf_dir}#long-sessions"]

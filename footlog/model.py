@@ -119,7 +119,8 @@ class Scope:
     """What a metric reads: an event table, a window, optionally one site, filters and the strict audience.
 
     Without ``site`` every result is computed for all sites at once, one group per ``site_id``, so one
-    scan answers every tenant. With ``site`` the scan prunes to its partitions.
+    scan answers every tenant. With ``site`` the scan prunes to its partitions. With ``sessions``, the side table of
+    session days, whole sessions are read from it, or from the days on which the window's sessions have events.
     """
 
     events: DataFrame
@@ -127,6 +128,7 @@ class Scope:
     site: str | None = None
     filters: tuple = field(default_factory=tuple)
     strict_bots: bool = False
+    sessions: DataFrame | None = None
 
     def at(self, window: Window) -> Scope:
         return replace(self, window=window)
@@ -135,12 +137,7 @@ class Scope:
         """The window as a scan condition; on a stored table the day partitions are pruned with it."""
         end = F.col("ts") < self.window.to_ms
         condition = end if until_only else self.window.contains()
-        if "day" in self.events.columns:
-            last = F.date_from_unix_date(F.lit((self.window.to_ms - 1) // DAY_MS))
-            condition = condition & (F.col("day") <= last)
-            if not until_only:
-                condition = condition & (F.col("day") >= F.date_from_unix_date(F.lit(self.window.from_ms // DAY_MS)))
-        return condition
+        return condition & self._days(until_only) if "day" in self.events.columns else condition
 
     def since(self, from_ms: int) -> Column:
         """From a moment on, as a scan condition that prunes day partitions like ``inside``."""
@@ -153,6 +150,25 @@ class Scope:
         """Every event of the scope's sites, at any time."""
         return self.events if self.site is None else self.events.where(F.col("site_id") == self.site)
 
+    def site_sessions(self) -> DataFrame | None:
+        """The side table's rows of the scope's sites, if there is one."""
+        return self.sessions if self.sessions is None or self.site is None else self.sessions.where(F.col("site_id") == self.site)
+
+    def session_events(self, until_only: bool = False) -> DataFrame:
+        """Every event that a session of the window may have; without the side table, of any time."""
+        events, sessions = self.site_events(), self.site_sessions()
+        if sessions is None or "day" not in events.columns:
+            return events
+        from footlog.sources.session_days import days_around
+
+        first, last = days_around(sessions, self._days(until_only))
+        return events.where((F.col("day") >= first) & (F.col("day") <= last))
+
+    def _days(self, until_only: bool = False) -> Column:
+        """The days the window touches."""
+        inside = F.col("day") <= F.date_from_unix_date(F.lit((self.window.to_ms - 1) // DAY_MS))
+        return inside if until_only else inside & (F.col("day") >= F.date_from_unix_date(F.lit(self.window.from_ms // DAY_MS)))
+
     def who(self, name: str = "human") -> Column:
         return audience("human_strict" if self.strict_bots and name == "human" else name)
 
@@ -164,7 +180,10 @@ class Scope:
         from footlog.operators.filters import apply_filters
 
         picked = self.site_events().where(self.inside(until_only) & self.who(audience))
-        return apply_filters(picked, self.site_events(), self.filters) if filtered else picked
+        if not filtered:
+            return picked
+        whole = self.session_events(until_only) if any(f.field == "event" for f in self.filters) else self.site_events()
+        return apply_filters(picked, whole, self.filters, self.site_sessions())
 
     def per_site(self, rows: DataFrame, *measures: Column) -> DataFrame:
         """One result row per site; a named site always yields a row, even with no events."""

@@ -9,7 +9,7 @@ from footlog.functions.values import bucket_of, count_when, distinct, in_order,
 from footlog.model import AUDIENCES, MINUTE_MS, Scope, Window, is_event, is_pageview
 from footlog.operators.filters import keep_sessions, row_predicate
 from footlog.operators.ordered import top_per
-
+from footlog.sources.session_days import of_sessions
 
 SESSION_ATTRIBUTES = (
     "visitor_id country browser os device screen lang channel source referrer_host"
@@ -29,38 +29,45 @@ def _hit(scope: Scope, identity: str | None = None, visitor: str | None = None)
     return condition
 
 
-def session_rows(
-    scope: Scope, identity: str | None = None, visitor: str | None = None, longest_ms: int | None = None
-) -> DataFrame:
+def session_rows(scope: Scope, identity: str | None = None, visitor: str | None = None, longest_ms: int | None = None) -> DataFrame:
     """Whole sessions the scope selects: filters pick sessions, then every event of them counts.
 
-    Sessions have no length limit in the data, so the events of the selected sessions are looked up in all history;
+    Sessions have no length limit in the data. With the scope's side table their facts are folded from it, and the only
+    scan of events is the window's. Without it the events of the selected sessions are looked up in all history;
     ``longest_ms`` is a promise about the data that lets that scan prune to the window's surroundings.
     """
-    events = scope.site_events()
-    if longest_ms is not None:
-        around = Window(scope.window.from_ms - longest_ms, scope.window.to_ms + longest_ms)
-        events = events.where(scope.at(around).inside())
-    hit = _hit(scope, identity, visitor)
-    # The window's sessions are found in its own days; only their events are grouped.
-    mine = scope.site_events().where(scope.inside() & hit).select("site_id", "session_id").distinct()
-    events = events.join(mine, ["site_id", "session_id"], "left_semi")
-    first = F.min_by(F.struct(*SESSION_ATTRIBUTES), in_order())
-    viewed = F.when(is_pageview(), in_order())
-    grouped = events.groupBy("site_id", "session_id").agg(
-        first.alias("_first"),
-        F.max("identity").alias("identity"),
-        F.min("ts").alias("started"),
-        F.max("ts").alias("ended"),
-        count_when(is_pageview()).alias("pageviews"),
-        count_when(is_event()).alias("events"),
-        F.min_by("path", viewed).alias("entry_page"),
-        F.max_by("path", viewed).alias("exit_page"),
-    )
-    picked = keep_sessions(grouped, scope.site_events(), scope.filters)
+    # The window's sessions are found in its own days; only theirs are grouped.
+    mine = scope.site_events().where(scope.inside() & _hit(scope, identity, visitor)).select("site_id", "session_id").distinct()
+    sessions = scope.site_sessions()
+    if sessions is not None:
+        found = of_sessions(sessions, mine)
+        grouped = found.withColumns({"_first": F.col("first"), "entry_page": F.col("entry.path"), "exit_page": F.col("leave.path")})
+    else:
+        events = scope.site_events()
+        if longest_ms is not None:
+            around = Window(scope.window.from_ms - longest_ms, scope.window.to_ms + longest_ms)
+            events = events.where(scope.at(around).inside())
+        viewed = F.when(is_pageview(), in_order())
+        grouped = (
+            events.join(mine, ["site_id", "session_id"], "left_semi")
+            .groupBy("site_id", "session_id")
+            .agg(
+                F.min_by(F.struct(*SESSION_ATTRIBUTES), in_order()).alias("_first"),
+                F.max("identity").alias("identity"),
+                F.min("ts").alias("started"),
+                F.max("ts").alias("ended"),
+                count_when(is_pageview()).alias("pageviews"),
+                count_when(is_event()).alias("events"),
+                F.min_by("path", viewed).alias("entry_page"),
+                F.max_by("path", viewed).alias("exit_page"),
+            )
+        )
+    whole = scope.session_events() if any(f.field == "event" for f in scope.filters) else scope.site_events()
+    picked = keep_sessions(grouped, whole, scope.filters, sessions)
     duration = F.floor((F.col("ended") - F.col("started")) / 1000).cast("long").alias("duration")
+    attributes = [F.col(f"_first.{c}").alias(c) for c in SESSION_ATTRIBUTES]
     return picked.select(
-        "site_id", "session_id", "_first.*", "identity", "started", "ended", duration, "pageviews", "events", "entry_page", "exit_page"
+        "site_id", "session_id", *attributes, "identity", "started", "ended", duration, "pageviews", "events", "entry_page", "exit_page"
     )
 
 

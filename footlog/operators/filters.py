@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from footlog.functions.values import PROPERTY_KEY, distinct, in_order, prop_text
 from footlog.model import Scope, is_event, is_pageview
 from footlog.operators.ordered import top_per
+from footlog.sources.session_days import of_sessions
 
 # What may be filtered on, and how.
 ROW_FIELDS = (
@@ -96,23 +97,29 @@ def sessions_matching(site_events: DataFrame, item: Filter) -> DataFrame:
     return edge.where(item.test(F.col("path"))).select("site_id", "session_id")
 
 
-def keep_sessions(rows: DataFrame, site_events: DataFrame, filters: tuple[Filter, ...]) -> DataFrame:
+def keep_sessions(rows: DataFrame, site_events: DataFrame, filters: tuple[Filter, ...], sessions: DataFrame | None = None) -> DataFrame:
+    """Rows of the sessions every session filter selects. First and last pages come from the side table ``sessions``, if
+    given; what else a session holds is looked up in ``site_events``."""
     for item in filters:
         if item.about_session:
             # Only the sessions at hand are looked up in all history.
             mine = rows.select("site_id", "session_id").distinct()
-            near = site_events.join(mine, ["site_id", "session_id"], "left_semi")
-            rows = rows.join(sessions_matching(near, item), ["site_id", "session_id"], "left_semi")
+            if sessions is not None and item.field != "event":
+                edge = F.col("entry.path" if item.field == "entry_page" else "leave.path")
+                matching = of_sessions(sessions, mine).where(item.test(edge))
+            else:
+                matching = sessions_matching(site_events.join(mine, ["site_id", "session_id"], "left_semi"), item)
+            rows = rows.join(matching, ["site_id", "session_id"], "left_semi")
     return rows
 
 
-def apply_filters(rows: DataFrame, site_events: DataFrame, filters: tuple[Filter, ...]) -> DataFrame:
+def apply_filters(rows: DataFrame, site_events: DataFrame, filters: tuple[Filter, ...], sessions: DataFrame | None = None) -> DataFrame:
     """All filters AND-ed: row conditions first (they reach the scan), then semi-joins on the session."""
     if len(filters) > MAX_FILTERS:
         raise FilterError(f"at most {MAX_FILTERS} filters at once")
     if not filters:
         return rows
-    return keep_sessions(rows.where(row_predicate(filters)), site_events, filters)
+    return keep_sessions(rows.where(row_predicate(filters)), site_events, filters, sessions)
 
 
 def matched_values(scope: Scope, item: Filter) -> DataFrame:

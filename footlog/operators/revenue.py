@@ -11,6 +11,7 @@ from footlog.functions.values import bucket_of, count_when, in_order, number, pe
 from footlog.functions.values import per_visitor as folded
 from footlog.model import MINUTE_MS, Scope
 from footlog.operators.ordered import top_per
+from footlog.sources.session_days import of_sessions
 
 ACQUISITION = ["channel", "source", "utm_campaign"]
 DIMENSIONS = [*ACQUISITION, "name", "path", "country", "device"]
@@ -110,6 +111,15 @@ def per_visitor(scope: Scope, currency: str | None = None) -> DataFrame:
     )
 
 
+def _first_touch(scope: Scope, spent: DataFrame, by: str) -> DataFrame:
+    """Where each paying session came from: its first event, in the side table or among all events of these sessions."""
+    sessions = scope.site_sessions()
+    if sessions is not None:
+        return of_sessions(sessions, spent).select("site_id", "session_id", F.col(f"first.{by}").alias("g"))
+    mine = scope.site_events().join(spent.select("site_id", "session_id"), ["site_id", "session_id"], "left_semi")
+    return mine.groupBy("site_id", "session_id").agg(F.min_by(by, in_order()).alias("g"))
+
+
 def breakdown(scope: Scope, by: str = "channel", currency: str | None = None, limit: int | None = 50) -> DataFrame:
     """revenue by where the session came from (its first event ever) or by the payment's own attributes."""
     if by not in DIMENSIONS:
@@ -118,9 +128,7 @@ def breakdown(scope: Scope, by: str = "channel", currency: str | None = None, li
     if by in ACQUISITION:
         # Both sides are folded to one row per session before they meet.
         spent = paid.groupBy("site_id", "currency", "session_id").agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"))
-        # First touch is sought among all events of the paying sessions only.
-        mine = scope.site_events().join(spent.select("site_id", "session_id"), ["site_id", "session_id"], "left_semi")
-        first = mine.groupBy("site_id", "session_id").agg(F.min_by(by, in_order()).alias("g"))
+        first = _first_touch(scope, spent, by)
         rows = spent.join(first, ["site_id", "session_id"])
     else:
         rows = paid.select("site_id", "currency", "amount", F.lit(1).alias("n"), F.col(by).alias("g"))

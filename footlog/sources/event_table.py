@@ -61,13 +61,22 @@ def new_events(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return once.join(existing.select("id"), "id", "left_anti")
 
 
-def append_events(incoming: DataFrame, path: str) -> None:
-    """A2: idempotent append. Stored ids are looked up only on the sites and days that arrive."""
+def append_events(incoming: DataFrame, path: str, sessions: str | None = None, batch: str | None = None) -> None:
+    """A2: idempotent append. Stored ids are looked up only on the sites and days that arrive.
+
+    With ``sessions``, the folder of the side table, it is kept up too: first, under the append's name ``batch``, so that an
+    append run again under that name after a failure counts once.
+    """
     spark = incoming.sparkSession
     placed = with_day(incoming)
     stored = read_events(spark, path)
     near = stored.join(placed.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").select("id")
-    write_events(new_events(incoming, near), path)
+    fresh = new_events(incoming, near)
+    if sessions is not None:
+        from footlog.sources.session_days import session_days, write_session_days
+
+        write_session_days(session_days(fresh, batch), sessions)
+    write_events(fresh, path)
 
 
 def without_batch(events: DataFrame, site: str, batch: str) -> DataFrame:
@@ -81,10 +90,11 @@ def count_batch(events: DataFrame, site: str, batch: str) -> DataFrame:
     return events.where((F.col("site_id") == site) & (prop("_import") == batch)).agg(F.count(F.lit(1)).alias("removed"))
 
 
-def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch: str) -> int:
+def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch: str, sessions: str | None = None) -> int:
     """Delete one batch by rewriting only the partitions that hold it; returns the rows removed.
 
-    Kept rows go to ``staging`` (a shared folder) first, since a partition cannot be read while it is replaced.
+    Kept rows go to ``staging`` (a shared folder) first, since a partition cannot be read while it is replaced. The side
+    table in the folder ``sessions``, if named, is rebuilt for the same days.
     """
     events = read_events(spark, path)
     removed = count_batch(events, site, batch).first()["removed"]
@@ -101,6 +111,10 @@ def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch:
     ).partitionBy(*PARTITIONS).parquet(path)
     emptied = {d for d in days} - {r["day"] for r in spark.read.schema(schema).parquet(staging).select("day").distinct().collect()}
     _drop_partitions(spark, path, site, emptied)
+    if sessions is not None:
+        from footlog.sources.session_days import rebuild
+
+        rebuild(read_events(spark, path), sessions, site, days)
     return removed
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from footlog.model import EVENT_SCHEMA
 from footlog.plans.enrich import continue_sessions, enrich
 from footlog.sources.event_table import PARTITIONS, new_events, read_events, with_day, with_defaults, write_events
+from footlog.sources.session_days import session_days, write_session_days
 
 
 def enriched(requests: DataFrame, sites: DataFrame, secret: str, **options) -> DataFrame:
@@ -21,15 +22,16 @@ def refusals(requests: DataFrame, sites: DataFrame, secret: str, **options) -> D
 
 
 def start_intake(
-    requests: DataFrame, sites: DataFrame, secret: str, table: str, checkpoint: str, available_now: bool = False, **options
+    requests: DataFrame, sites: DataFrame, secret: str, table: str, checkpoint: str, available_now: bool = False, sessions: str | None = None, **options
 ) -> StreamingQuery:
     """Append a stream of requests to the event table, one idempotent write per micro-batch.
 
     Each batch is enriched, joined with the stored events of the same days only, and its sessions continue those
-    already stored: a batch that is run again after a failure adds nothing twice.
+    already stored: a batch that is run again after a failure adds nothing twice. ``sessions`` is the folder of the side
+    table of session days, kept up with every batch if named.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         # One micro-batch is enriched once and read several times below; it is rebuilt if an executor is lost.
         events = with_defaults(enrich(batch, sites, secret, **options)[0]).persist(StorageLevel.MEMORY_AND_DISK)
         placed = with_day(events)
@@ -37,6 +39,8 @@ def start_intake(
         fresh = new_events(events, near.select("id"))
         # A session that is under way keeps its stored name, also when a late event comes before its start.
         named = continue_sessions(fresh.select(*EVENT_SCHEMA.fieldNames()), read_events(batch.sparkSession, table))
+        if sessions is not None:  # before the events, under the batch's name: a repeated batch is told by it
+            write_session_days(session_days(named, f"{checkpoint}#{number}"), sessions)
         write_events(named.select(*EVENT_SCHEMA.fieldNames()), table)
         events.unpersist()
 
