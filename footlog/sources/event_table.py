@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,9 +48,39 @@ def read_events(spark: SparkSession, path: str, merge: bool = False) -> DataFram
     """A1: scan the table; ``merge`` reads files of mixed ages and fills columns they lack."""
     if merge:
         return with_defaults(spark.read.option("mergeSchema", "true").parquet(path))
+    return spark.read.schema(read_events_schema()).parquet(path)
+
+
+def read_events_schema() -> T.StructType:
     stored = [f for f in EVENT_SCHEMA if f.name != "site_id"]
-    schema = T.StructType([*stored, T.StructField("site_id", T.StringType()), T.StructField("day", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return T.StructType([*stored, T.StructField("site_id", T.StringType()), T.StructField("day", T.DateType())])
+
+
+def read_near(spark: SparkSession, path: str, arriving: DataFrame, days_around: int = 0) -> DataFrame:
+    """The stored events of the sites and days that arrive; only their folders are listed, whatever the table holds.
+
+    What is collected are the sites and days of one batch. The folders are named as one pattern of sites and days.
+    """
+    keys = with_day(arriving).select(*PARTITIONS).distinct().collect()
+    days = sorted({k["day"] + dt.timedelta(days=n) for k in keys for n in range(-days_around, days_around + 1)})
+    schema = read_events_schema()
+    if not keys:
+        return spark.createDataFrame([], schema)
+    folders = f"site_id={{{','.join(sorted({_folder_name(k['site_id']) for k in keys}))}}}/day={{{','.join(map(str, days))}}}"
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(f"{path.rstrip('/')}/{folders}")
+    except AnalysisException as none:  # nothing is stored for these sites and days yet
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _folder_name(value: str | None) -> str:
+    """A partition value as the writer spells it in a folder's name, with the commas and braces of a pattern escaped."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    spelt = "".join(f"%{ord(c):02X}" if ord(c) < 0x20 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
+    return re.sub(r"[,}]", r"\\\g<0>", spelt)
 
 
 def earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,10 +102,7 @@ def append_events(incoming: DataFrame, path: str, sessions: str | None = None, b
     append run again under that name after a failure counts once.
     """
     spark = incoming.sparkSession
-    placed = with_day(incoming)
-    stored = read_events(spark, path)
-    near = stored.join(placed.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").select("id")
-    fresh = new_events(incoming, near)
+    fresh = new_events(incoming, read_near(spark, path, incoming))
     if sessions is not None:
         from footlog.sources.session_days import session_days, write_session_days
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from footlog.model import EVENT_SCHEMA
 from footlog.plans.enrich import continue_sessions, enrich
-from footlog.sources.event_table import PARTITIONS, new_events, read_events, with_day, with_defaults, write_events
+from footlog.sources.event_table import new_events, read_near, with_defaults, write_events
 from footlog.sources.session_days import session_days, write_session_days
 
 
@@ -34,11 +34,11 @@ def start_intake(
     def write(batch: DataFrame, number: int) -> None:
         # One micro-batch is enriched once and read several times below; it is rebuilt if an executor is lost.
         events = with_defaults(enrich(batch, sites, secret, **options)[0]).persist(StorageLevel.MEMORY_AND_DISK)
-        placed = with_day(events)
-        near = read_events(batch.sparkSession, table).join(placed.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi")
+        # Only the folders of the sites and days that arrive are listed, and of the days beside them for visits under way.
+        near = read_near(batch.sparkSession, table, events, 1)
         fresh = new_events(events, near.select("id"))
         # A session that is under way keeps its stored name, also when a late event comes before its start.
-        named = continue_sessions(fresh.select(*EVENT_SCHEMA.fieldNames()), read_events(batch.sparkSession, table))
+        named = continue_sessions(fresh.select(*EVENT_SCHEMA.fieldNames()), near)
         if sessions is not None:  # before the events, under the batch's name: a repeated batch is told by it
             write_session_days(session_days(named, f"{checkpoint}#{number}"), sessions)
         write_events(named.select(*EVENT_SCHEMA.fieldNames()), table)

@@ -1,4 +1,4 @@
-"""Sessions on a stream (C2): live session facts, and a session id for every event."""
+"""Sessions on a stream (C2): live session facts, a session id for every event, and names that settle as late events come."""
 
 from __future__ import annotations
 
@@ -8,20 +8,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from footlog.functions.values import count_when
-from footlog.model import DAY_MS, SESSION_GAP_MS, is_pageview
+from footlog.model import SESSION_GAP_MS, is_pageview
+from footlog.plans.enrich import SESSION_NAME
 
 # An event may be up to a day old when it arrives; older ones were refused at intake.
 LATENESS = "24 hours"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def timed(events: DataFrame) -> DataFrame:
+def timed(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Events with their event time and watermark."""
-    return events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", LATENESS)
+    return events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", lateness)
 
 
 def unique_events(events: DataFrame) -> DataFrame:
@@ -39,56 +39,110 @@ def session_facts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     )
 
 
-def _placed(spans: list[list[int]], ts: int) -> int:
-    """The name of the session an event belongs to; ``spans`` (start, last, name), in order, takes it in."""
-    near = [s for s in spans if s[0] - SESSION_GAP_MS <= ts <= s[1] + SESSION_GAP_MS]
-    if not near:
-        spans.append([ts, ts, ts])
-        spans.sort()
-        return ts
-    first = near[0]
-    first[0], first[1] = min(first[0], ts), max(near[-1][1], ts)
-    for other in near[1:]:
-        spans.remove(other)
-    return first[2]
+class _Slices(StatefulProcessor):
+    """Per visitor: one state entry for each slice of time as wide as the gap, with its first and last event and its name.
 
+    Events of one slice can never be apart by more than the gap, and only those of adjoining slices can be near enough, so a
+    slice is all that an event needs to look at besides its two neighbours. Rows come in parts and leave part by part: memory
+    holds one part and the slices it touches, however many events a visitor has. Slices that no event may reach any more,
+    by the watermark, go by event-time timers.
 
-class _Sessions(StatefulProcessor):
-    """Per visitor: the spans of the sessions so far, each with the start it is named by.
-
-    A late event joins the session it lies in or next to; where it closes the gap between two, the earlier name goes on.
+    A slice's name is the time its session is named by. With ``settled`` that is the session's first event as known so far,
+    and every slice whose name changes is told again; otherwise a session keeps the name it began with, and where a late
+    event closes the gap between two, the earlier name goes on.
     """
 
+    def __init__(self, settled: bool, gap_ms: int) -> None:
+        self._settled, self._gap = settled, gap_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        times = T.ArrayType(T.LongType())
-        schema = T.StructType([T.StructField("starts", times), T.StructField("lasts", times), T.StructField("names", times)])
-        # A visitor id is used for one UTC day, so state may go after two.
-        self._open = handle.getValueState("open", schema, ttlDurationMs=2 * DAY_MS)
+        self._slices = handle.getMapState("slices", "slice long", "first long, last long, name long")
+
+    def _get(self, number: int) -> list[int] | None:
+        if number not in self._seen:
+            self._seen[number] = list(self._slices.getValue((number,))) if self._slices.containsKey((number,)) else None
+        return self._seen[number]
+
+    def _follows(self, number: int) -> bool:
+        """Whether a slice goes on with the session of the slice before it."""
+        before, own = self._get(number - 1), self._get(number)
+        return before is not None and own is not None and own[0] - before[1] <= self._gap
+
+    def _take(self, number: int, first: int, last: int) -> None:
+        """A slice has events from ``first`` to ``last``; names follow, here and in the slices that go on from it."""
+        own, after = self._get(number), self._get(number + 1)
+        name = own[2] if own else after[2] if after and after[0] - first <= self._gap else first
+        self._seen[number] = [min(first, own[0]), max(last, own[1]), name] if own else [first, last, name]
+        if self._settled:
+            self._seen[number][2] = self._seen[number][0]
+        if self._follows(number):
+            self._seen[number][2] = self._get(number - 1)[2]
+        self._changed.add(number)
+        while self._follows(number + 1) and self._get(number + 1)[2] != self._get(number)[2]:
+            self._seen[number + 1][2] = self._seen[number][2]
+            number += 1
+            self._changed.add(number)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._open.get() if self._open.exists() else None
-        spans = [list(s) for s in zip(*held, strict=True)] if held else []
-        # One visitor's events of one micro-batch, in order whatever the parts they come in.
-        new = pd.concat(list(rows)).sort_values(["ts", "ingest_seq"], kind="stable")
-        named = [_placed(spans, ts) for ts in new["ts"].tolist()]
-        names = {s: hashlib.sha256("|".join((*map(str, key), str(s))).encode()).hexdigest()[:32] for s in set(named)}
-        yield pd.DataFrame({"id": new["id"], "ts": new["ts"], "site_id": key[0], "visitor_id": key[1], "session_id": [names[s] for s in named]})
-        self._open.update(tuple([int(s[i]) for s in spans] for i in range(3)))
+        self._seen: dict[int, list[int] | None] = {}
+        told: set[int] = set()
+        for part in rows:
+            part = part.assign(slice=part["ts"] // self._gap)
+            self._changed: set[int] = set()
+            spans = part.groupby("slice")["ts"].agg(["min", "max"])  # in order of slices
+            for number, first, last in zip(spans.index.tolist(), spans["min"].tolist(), spans["max"].tolist(), strict=True):
+                if self._get(number) is None:
+                    self._handle.registerTimer((number + 2) * self._gap)
+                self._take(number, first, last)
+            for number in self._changed:
+                self._slices.updateValue((number,), tuple(self._seen[number]))
+            told |= self._changed
+            if not self._settled:
+                names = {n: hashlib.sha256("|".join((*map(str, key), str(self._seen[n][2]))).encode()).hexdigest()[:32] for n in spans.index.tolist()}
+                yield pd.DataFrame({"id": part["id"], "ts": part["ts"], "site_id": key[0], "visitor_id": key[1], "session_id": part["slice"].map(names)})
+        if self._settled and told:
+            numbers = sorted(told)
+            yield pd.DataFrame({"site_id": key[0], "visitor_id": key[1], "slice": numbers, "session_start": [self._seen[n][2] for n in numbers]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number = expiredTimerInfo.getExpiryTimeInMs() // self._gap - 2
+        if self._slices.containsKey((number,)):
+            self._slices.removeKey((number,))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def assign_sessions(events: DataFrame) -> DataFrame:
-    """(id, ts, site_id, visitor_id, session_id) per event; the same names as the batch job on ordered input.
-
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
-    """
-    narrow = events.select("id", "ts", "ingest_seq", "site_id", "visitor_id")
+def _sliced(events: DataFrame, settled: bool, gap_ms: int, schema: str, lateness: str) -> DataFrame:
+    narrow = timed(events, lateness).select("id", "ts", "site_id", "visitor_id", "event_time")
     return narrow.groupBy("site_id", "visitor_id").transformWithStateInPandas(
-        statefulProcessor=_Sessions(),
-        outputStructType="id string, ts long, site_id string, visitor_id string, session_id string",
-        outputMode="Append",
-        timeMode="ProcessingTime",
+        statefulProcessor=_Slices(settled, gap_ms), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
+
+
+def assign_sessions(events: DataFrame, gap_ms: int = SESSION_GAP_MS, lateness: str = LATENESS) -> DataFrame:
+    """(id, ts, site_id, visitor_id, session_id) per event as it arrives; the same names as the batch job on ordered input.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). Bound the backlog of a first run by the
+    source's ``maxFilesPerTrigger``. Events later than the watermark, ``lateness``, are left out.
+    """
+    return _sliced(events, False, gap_ms, "id string, ts long, site_id string, visitor_id string, session_id string", lateness)
+
+
+def session_slices(events: DataFrame, gap_ms: int = SESSION_GAP_MS, lateness: str = LATENESS) -> DataFrame:
+    """(site_id, visitor_id, slice, session_start) for every slice of time whose session's start became known or changed.
+
+    A start only ever moves back, so the least one told of a slice is the latest. Store the rows and name events by them
+    (``named_by_slices``): late events included, the names are those of the batch job.
+    """
+    return _sliced(events, True, gap_ms, "site_id string, visitor_id string, slice long, session_start long", lateness)
+
+
+def named_by_slices(events: DataFrame, slices: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+    """Stored events with ``session_start`` and ``session_id`` by the rows of ``session_slices``."""
+    keys = ["site_id", "visitor_id", "slice"]
+    starts = slices.groupBy(*keys).agg(F.min("session_start").alias("session_start"))
+    placed = events.drop("session_id").withColumn("slice", F.floor(F.col("ts") / F.lit(gap_ms)).cast("long"))
+    return placed.join(starts, keys).drop("slice").withColumn("session_id", F.expr(SESSION_NAME))

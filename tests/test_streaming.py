@@ -1,11 +1,15 @@
 import json
+import random
+import time
 
+import pytest
+from pyspark.sql import functions as F
 
-
-from footlog.model import EVENT_SCHEMA, MINUTE_MS
-from footlog.plans.enrich import ingest
+from footlog.model import COLUMN_DEFAULTS, DAY_MS, EVENT_SCHEMA, MINUTE_MS
+from footlog.operators.ordered import sessionize
+from footlog.plans.enrich import SESSION_NAME, ingest
 from footlog.sources.beacons import batch_answers, open_batches, read_requests, stream_requests
-from footlog.sources.event_table import new_events, read_events, with_defaults, write_events
+from footlog.sources.event_table import append_events, new_events, read_events, read_near, with_defaults, write_events
 from footlog.streaming import intake, live, sessions
 from tests.raw import CHROME, NOW, raw_frame, sites_frame
 
@@ -104,6 +108,62 @@ def test_a_late_event_joins_the_open_session_of_the_stream(spark, tmp_path):
     assert got["q0"] == got["q2"] == got["q3"] != got["q1"]
 
 
+def random_events(seed, visitors=3, n=400):
+    """Events over twelve hours, in files that come in order but for some late rows; one visitor has a third of all."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        at = i * 12 * 60 * MINUTE_MS // n + rng.randrange(40 * MINUTE_MS) - (rng.randrange(3 * 60 * MINUTE_MS) if rng.random() < 0.15 else 0)
+        rows.append({"id": f"e{i}", "ingest_seq": i, "ts": NOW + at, "site_id": "demo", "visitor_id": f"v{0 if i % 3 == 0 else rng.randrange(visitors * 4)}"})
+    return rows
+
+
+@pytest.mark.parametrize("seed,part", [(1, 3), (2, 50), (3, 100_000)])
+def test_slices_name_the_visits_of_the_batch_job(spark, tmp_path, seed, part):
+    """Late events included, whatever the parts a visitor's events are handed over in."""
+    schema = "id string, ingest_seq long, ts long, site_id string, visitor_id string"
+    rows = random_events(seed)
+    for i in range(4):
+        spark.createDataFrame(rows[i * 100 : (i + 1) * 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", part)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        slices = drain(sessions.session_slices(stream), f"slices{seed}", tmp_path / "c")
+        got = {r.id: (r.session_start, r.session_id) for r in sessions.named_by_slices(spark.createDataFrame(rows, schema), slices).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sessionize(spark.createDataFrame(rows, schema), ["site_id", "visitor_id"]).withColumn("session_id", F.expr(SESSION_NAME))
+    assert got == {r.id: (r.session_start, r.session_id) for r in want.collect()}
+
+
+def test_state_of_old_slices_goes(spark, tmp_path):
+    schema = "id string, ingest_seq long, ts long, site_id string, visitor_id string"
+    (tmp_path / "in").mkdir()
+    for day in range(4):
+        spark.createDataFrame([(f"e{day}", day, NOW + day * 24 * 60 * MINUTE_MS, "demo", "v")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(sessions.session_slices(stream, lateness="1 hour"), "old", tmp_path / "c")
+    held = spark.read.format("statestore").option("stateVarName", "slices").load(str(tmp_path / "c")).count()
+    assert held <= 2
+
+
+def test_only_the_folders_that_arrive_are_listed(spark, tmp_path):
+    table = str(tmp_path / "events")
+    rows = [{**COLUMN_DEFAULTS, "lat": None, "lon": None, "id": f"{s}{d}", "ingest_seq": d, "site_id": s, "ts": d * DAY_MS, "type": "event"} for s in ("a", "b,{x}=1", "c") for d in range(5)]
+    events = spark.createDataFrame(rows, EVENT_SCHEMA)
+    assert read_near(spark, table, events).count() == 0 and read_near(spark, table, events.limit(0)).count() == 0
+    write_events(events, table)
+    near = read_near(spark, table, events.where("site_id LIKE 'b%' AND ts = 2 * 86400000"), 1)
+    assert sorted(r.id for r in near.collect()) == ["b,{x}=11", "b,{x}=12", "b,{x}=13"]
+    assert len(near.inputFiles()) == 3
+    append_events(events, table)
+    assert read_events(spark, table).count() == 15
+
+
 def test_the_earliest_arrival_is_kept(spark):
     rows = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 7, 3)], "id string, ingest_seq long, ts long")
     kept = new_events(rows, rows.where("id = 'b'")).collect()
