@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks import sample_requests as sample
 from checks.oracles import DAY, EARLY, FULL, HUMAN, LATE, bucket, ev, rnd, scalar_values, top
 from checks.sample_requests import choose
-from checks.sample_view import COLUMNS_SQL, MS_DUCKDB, duckdb_view
+from checks.sample_view import COLUMNS_SQL, GAP_MS, MS_DUCKDB, duckdb_view
 
 GAP = 1_800_000
 BAD = {
@@ -333,6 +333,7 @@ def intake_oracles() -> dict[str, str]:
             "OR ingest_seq % 2000 = 4 GROUP BY 1, 2"
         ),
         "c01_sessions_across_runs": view("SELECT site_id, count(*) AS events, 1 AS visits_per_id FROM v GROUP BY 1"),
+        "a05_split_csv": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS text_sha256 FROM documents",
         "a06_remove_import": view("SELECT site_id, count(*) AS events FROM v WHERE NOT (site_id = 's0' AND device = 'desktop') GROUP BY 1"),
         "a08_backfill": view(
             "SELECT site_id, '' AS bot_kind, 'human' AS agent_trust, '' AS agent_signer, CAST(0 AS INTEGER) AS bot_score, '' AS tag, count(*) AS events, "
@@ -384,6 +385,11 @@ def intake_oracles() -> dict[str, str]:
         "c01_ingested_sessions": rq(
             "SELECT id, substr(sha256(site_id || '|' || visitor_id || '|' || session_start), 1, 32) AS session_id FROM z", lead.format(src="e")
         ),
+        "c02_stream_sessions": view(
+            "SELECT site_id, substr(sha256(site_id || '|' || visitor_id || '|' || session_start), 1, 32) AS session_id, min(ts) AS started, max(ts) AS ended, "
+            "count(*) AS events FROM z GROUP BY ALL",
+            lead.format(src="v").replace(f"> {GAP} ", f"> {GAP_MS} "),
+        ),
         "c04_recordings": rec(
             "SELECT site_id, visitor_id, started_at, last_at, chunks, events, pages, clicks, inputs, errors, gaps, entry_path, viewport, country, device, session_id FROM rec"
         ),

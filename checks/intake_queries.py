@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sample_requests as sample
-from checks.sample_view import event_table, shared_folder, spread, unsessioned
+from checks.sample_view import GAP_MS, event_table, shared_folder, spread, unsessioned
 from footlog.functions import channels, privacy, urls
 from footlog.functions.stages import staged
 from footlog.functions.values import number, prop
-from footlog.model import EVENT_SCHEMA, SESSION_GAP_MS, Scope, Window
+from footlog.model import DAY_MS, EVENT_SCHEMA, SESSION_GAP_MS, Scope, Window
 from footlog.operators import changes, claims, heatmap, replays
 from footlog.operators.ordered import sessionize
 from footlog.plans import enrich as job
 from footlog.sources import beacons, csv_history, event_table as stored, recordings
+from footlog.streaming import sessions as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 FULL = Window(1_704_067_200_000, 1_706_659_200_000)
@@ -141,6 +142,52 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "session_start", "session_no")
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's events as a stream of arrivals, every tenth six hours late; visits by the slices the stream told."""
+    columns = ["id", "ts", "ingest_seq", "site_id", "visitor_id"]
+    arrived = F.col("ts") + F.when(F.col("ingest_seq") % 10 == 0, 6 * 3_600_000).otherwise(0)
+    rows = unsessioned(spark, sf_dir).withColumn("batch", F.floor((arrived - FULL.from_ms) / F.lit(6 * DAY_MS)))
+
+    def write(path: str) -> DataFrame:
+        for batch in range(6):  # written one after another, so that the source reads them in this order
+            rows.where(F.col("batch") == batch).select(*columns).repartition(2).write.mode("append").parquet(f"{path}/arrivals")
+        source = spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/arrivals")
+        settings = {"spark.sql.streaming.stateStore.providerClass": stream.ROCKSDB, "spark.sql.shuffle.partitions": "4"}
+        before = {key: spark.conf.get(key, None) for key in settings}
+        try:
+            for key, value in settings.items():
+                spark.conf.set(key, value)
+            slices = stream.session_slices(source, GAP_MS).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+            slices.trigger(availableNow=True).start(f"{path}/slices").awaitTermination()
+        finally:
+            for key, value in before.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        return spark.read.parquet(f"{path}/slices")
+
+    named = stream.named_by_slices(rows, kept_table(spark, sf_dir, "stream_sessions", write), GAP_MS)
+    return named.groupBy("site_id", "session_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), counting("events"))
+
+
+def split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: every document through one CSV file, its texts' line breaks, commas and quotes in quoted fields; the file is read
+    in ranges so short that most of them begin inside a field."""
+
+    def write(path: str) -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+        spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        docs.coalesce(1).write.options(header=True, quoteAll=True, escape='"', **spaces).csv(f"{path}/export")
+        key = "spark.sql.files.maxPartitionBytes"
+        before = spark.conf.get(key)
+        spark.conf.set(key, str(128 << 10))
+        try:
+            csv_history.read_csv(spark, f"{path}/export").write.parquet(f"{path}/rows")
+        finally:
+            spark.conf.set(key, before)
+        return spark.read.parquet(f"{path}/rows")
+
+    return kept_table(spark, sf_dir, "split_csv", write).select("doc_id", "lang", F.sha2("text", 256).alias("text_sha256"))
+
+
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: the stored table read through a window, per day partition."""
     rows = Scope(event_table(spark, sf_dir), LATE).rows("everyone")
@@ -472,6 +519,7 @@ def intake_queries() -> dict[str, Query]:
         "a04_batches": batches,
         "a05_import_summary": import_summary,
         "a05_imported_events": imported,
+        "a05_split_csv": split_csv,
         "a06_remove_import": removed,
         "a06_removed_table": removed_table,
         "a08_backfill": backfilled,
@@ -505,6 +553,7 @@ def intake_queries() -> dict[str, Query]:
         "c01_sessions": sessions,
         "c01_sessions_across_runs": session_runs,
         "c01_ingested_sessions": ingested,
+        "c02_stream_sessions": stream_sessions,
         "c04_recordings": replay_rows,
         "c05_recording_selection": replay_selection,
         "e79_change_lines": change_lines,

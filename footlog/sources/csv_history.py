@@ -10,6 +10,7 @@ from footlog.functions.identity import short_hash
 from footlog.functions.stages import quoted, staged
 from footlog.model import EVENT_SCHEMA
 from footlog.sources.event_table import earliest, with_defaults
+from footlog.sources.split_csv import read_csv
 
 REQUIRED = ["event_id", "session_id", "created_at", "url_path", "event_type"]
 READ = (
@@ -31,9 +32,9 @@ class ExportError(ValueError):
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The CSV with every column as text; quoted fields may hold commas, doubled quotes and newlines."""
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
-    return spark.read.options(**options).csv(path)
+    """The CSV with every column as text; quoted fields may hold commas, doubled quotes and newlines. A file is read by as
+    many tasks as it has byte ranges."""
+    return read_csv(spark, path)
 
 
 def _checked(rows: DataFrame) -> DataFrame:
