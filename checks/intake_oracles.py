@@ -393,6 +393,23 @@ def intake_oracles() -> dict[str, str]:
         "c04_recordings": rec(
             "SELECT site_id, visitor_id, started_at, last_at, chunks, events, pages, clicks, inputs, errors, gaps, entry_path, viewport, country, device, session_id FROM rec"
         ),
+        "c04_dense_recordings": view(
+            f"""SELECT site_id, visitor_id, since AS recording_from, started AS started_at, CAST(sum(chunks) AS BIGINT) AS chunks, max(tm) AS last_at
+            FROM walk WHERE taken GROUP BY ALL""",
+            f"""c AS (SELECT site_id, 'day-' || CAST(floor(ts / {DAY}) AS BIGINT) AS visitor_id, lpad(id, 9, '0') AS page_load,
+              CAST(floor(ts / {DAY}) AS BIGINT) * {DAY} + (ts % {DAY}) // 2 AS tm, ingest_seq * 7919 % 60000 AS t_last,
+              CASE WHEN site_id = 's1' THEN 600000 ELSE 1800000 END AS cap FROM v)""",
+            "a AS (SELECT site_id, visitor_id, tm, cap, tm - arg_min(t_last, page_load) AS started, count(*) AS chunks FROM c GROUP BY 1, 2, 3, 4)",
+            "o AS (SELECT *, row_number() OVER (PARTITION BY site_id, visitor_id ORDER BY tm) AS rn FROM a)",
+            f"""walk AS (
+              SELECT site_id, visitor_id, rn, tm, chunks, tm AS since, started, tm AS until_, true AS taken FROM o WHERE rn = 1
+              UNION ALL
+              SELECT o.site_id, o.visitor_id, o.rn, o.tm, o.chunks, CASE WHEN o.tm - w.until_ > {GAP} THEN o.tm ELSE w.since END,
+                CASE WHEN o.tm - w.until_ > {GAP} THEN o.started ELSE w.started END,
+                CASE WHEN o.tm - w.until_ > {GAP} OR o.tm - w.started <= o.cap THEN o.tm ELSE w.until_ END,
+                o.tm - w.until_ > {GAP} OR o.tm - w.started <= o.cap
+              FROM walk w JOIN o ON o.site_id = w.site_id AND o.visitor_id = w.visitor_id AND o.rn = w.rn + 1)""",
+        ).replace("WITH ", "WITH RECURSIVE ", 1),
         "c05_recording_selection": view(
             "SELECT site_id, reason = '' AS record, reason, count(*) AS requests FROM (SELECT *, CASE WHEN site_id = 's2' THEN 'strict_privacy_mode' WHEN tag <> 'v2' THEN "
             "'do_not_track' WHEN site_id = 's1' AND ('0x' || substr(visitor_id, 1, 8))::BIGINT / 4294967296.0 >= 0.5 THEN 'not_sampled' ELSE '' END AS reason FROM v) GROUP BY ALL"

@@ -418,11 +418,33 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_table(spark, sf_dir, "chunk_facts", write)
 
 
+def dense_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 with limits met: a site's events of a day as one visitor's chunks, in half the time, so that runs without a silence
+    last for hours and are cut into many recordings. One site's limit is ten minutes."""
+    day = F.floor(F.col("ts") / DAY_MS)
+    chunks = unsessioned(spark, sf_dir).select(
+        "site_id",
+        F.concat(F.lit("day-"), day.cast("string")).alias("visitor_id"),
+        F.lpad("id", 9, "0").alias("page_load"),
+        F.lit(0).alias("seq"),
+        (day * DAY_MS + F.floor((F.col("ts") % DAY_MS) / 2)).cast("long").alias("ts"),
+        (F.col("ingest_seq") * 7919 % 60_000).alias("t_last"),
+    )
+    settings = replay_settings(spark, sf_dir).withColumn("max_minutes", F.when(F.col("site_id") == "s1", 10).otherwise(30))
+
+    def write(path: str) -> DataFrame:
+        replays.recorded_chunks(chunks, settings, staging=f"{path}-steps").write.parquet(path)
+        return spark.read.parquet(path)
+
+    placed = kept_table(spark, sf_dir, "dense_recordings", write)
+    return placed.groupBy("site_id", "visitor_id", "recording_from", "started_at").agg(counting("chunks"), F.max("ts").alias("last_at"))
+
+
 def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their recording, kept as well."""
 
     def write(path: str) -> DataFrame:
-        placed = replays.recorded_chunks(chunk_table(spark, sf_dir), replay_settings(spark, sf_dir))
+        placed = replays.recorded_chunks(chunk_table(spark, sf_dir), replay_settings(spark, sf_dir), staging=f"{path}-steps")
         placed.write.parquet(path)
         return spark.read.schema(placed.schema).parquet(path)
 
@@ -555,6 +577,7 @@ def intake_queries() -> dict[str, Query]:
         "c01_ingested_sessions": ingested,
         "c02_stream_sessions": stream_sessions,
         "c04_recordings": replay_rows,
+        "c04_dense_recordings": dense_recordings,
         "c05_recording_selection": replay_selection,
         "e79_change_lines": change_lines,
         "e80_claim_check": claim_check,

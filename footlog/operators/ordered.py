@@ -7,6 +7,8 @@ group is one slice of rows or one key's list of slices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -139,13 +141,29 @@ def running_state(
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str, within_ms: int) -> DataFrame:
-    """Add the ``value`` of the latest ``right`` row at or before each ``left`` row, at most ``within_ms`` old."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str, within_ms: int, width_ms: int | None = None) -> DataFrame:
+    """Add the ``value`` of the latest ``right`` row at or before each ``left`` row, at most ``within_ms`` old; rows are
+    ordered in slices of ``width_ms``, or of ``within_ms``."""
     columns = left.columns
     asks = left.withColumn("_side", F.lit(1)).withColumn("_told", F.lit(None).cast(right.schema[value].dataType))
     told = right.select(*keys, "ts", F.lit(0).alias("_side"), F.col(value).alias("_told"))
-    both = asks.unionByName(told, allowMissingColumns=True).withColumn(SLICE, slice_of(within_ms))
+    both = asks.unionByName(told, allowMissingColumns=True).withColumn(SLICE, slice_of(width_ms or within_ms))
     fresh = F.when(F.col("_side") == 0, F.struct(F.col("ts").alias("at"), F.col("_told").alias("value")))
     state = running_state(both, keys, SLICE, ["ts", "_side"], {"_seen": fresh})
     recent = F.col("ts") - F.col("_seen.at") <= within_ms
     return state.where(F.col("_side") == 1).select(*columns, F.when(recent, F.col("_seen.value")).alias(name))
+
+
+def reached(starts: DataFrame, jumps: DataFrame, keys: list[str], steps: int, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(keys, at): every place that is met by following ``jumps`` (keys, at, to) from ``starts`` (keys, at) on.
+
+    Pointer doubling: the jumps are joined with themselves, so after n steps each leads 2 ** n places on, and what has been
+    reached is doubled with them. No task walks a chain. ``cut`` stores a step's rows, so that plans do not grow.
+    """
+    for step in range(steps):
+        ahead = starts.join(jumps, [*keys, "at"]).select(*keys, F.col("to").alias("at"))
+        starts = cut(starts.unionByName(ahead).distinct(), f"reached-{step}")
+        if step < steps - 1:
+            onward = jumps.select(*keys, F.col("at").alias("to"), F.col("to").alias("_far"))
+            jumps = cut(jumps.join(onward, [*keys, "to"]).select(*keys, "at", F.col("_far").alias("to")), f"jumps-{step}")
+    return starts

@@ -10,11 +10,14 @@ from footlog.functions.clients import BOT, client
 from footlog.functions.identity import short_hash
 from footlog.functions.stages import dropped, staged
 from footlog.model import DAY_MS, HOUR_MS, MINUTE_MS, SESSION_GAP_MS, Window
-from footlog.operators.ordered import as_of, sessionize, top_per
+from footlog.operators.ordered import as_of, reached, sessionize, top_per
+from footlog.session import scratch
 from footlog.sources.recordings import CHUNK_KEYS, CLICK, ERROR, GAP, INPUT, NAVIGATION, RETENTION_DAYS, SNAPSHOT
 
 MAX_MINUTES = 30
 VISIT = ["site_id", "visitor_id"]
+#: Longer than any run of chunks.
+FOREVER_MS = 1 << 60
 
 
 def selected(requests: DataFrame, sites: DataFrame, settings: DataFrame) -> DataFrame:
@@ -56,11 +59,15 @@ def chunk_facts(events: DataFrame) -> DataFrame:
     )
 
 
-def recorded_chunks(chunks: DataFrame, settings: DataFrame, gap_ms: int = SESSION_GAP_MS) -> DataFrame:
+def recorded_chunks(chunks: DataFrame, settings: DataFrame, gap_ms: int = SESSION_GAP_MS, staging: str | None = None) -> DataFrame:
     """C4: chunks with the recording they belong to: ``recording_from`` (arrival of its first chunk) and ``started_at``.
 
     A recording is open while its last chunk is at most the gap old, and takes chunks up to the site's time
     limit; later chunks are refused until the gap has passed, then a new recording begins.
+
+    A run without such a gap that is longer than one recording is cut without walking it: every arrival points to the one
+    that would begin the next recording, and the beginnings are what is reached from the run's first arrival by doubled
+    pointers. The steps are stored in ``staging``, a folder all executors share, or below spark.checkpoint.dir.
     """
     limits = settings.select("site_id", (F.col("max_minutes").cast("long") * MINUTE_MS).alias("_limit"))
     runs = sessionize(chunks, VISIT, gap_ms).drop("session_no").withColumnRenamed("session_start", "_run")
@@ -70,36 +77,43 @@ def recorded_chunks(chunks: DataFrame, settings: DataFrame, gap_ms: int = SESSIO
     spans = runs.groupBy(*run).agg(
         F.min_by(began, F.struct("ts", "page_load", "seq")).alias("_begun"), F.max("ts").alias("_end"), F.max("_limit").alias("_cap")
     )
-    short = spans.where(F.col("_end") - F.col("_begun") <= F.col("_cap")).select(
-        *run, F.array(F.struct(F.col("_run").alias("since"), F.col("_begun").alias("started"), F.col("_end").alias("until"))).alias("_parts")
-    )
-    # Only a run longer than one recording is walked in order, over its distinct arrival times. A visitor id lives
-    # one UTC day, which bounds the list.
-    long = spans.where(F.col("_end") - F.col("_begun") > F.col("_cap")).select(*run, "_cap")
-    times = runs.select(*run, "ts", "page_load", "seq", began.alias("started")).join(long, run)
-    at = times.groupBy(*run, "ts").agg(F.min_by("started", F.struct("page_load", "seq")).alias("started"), F.max("_cap").alias("_cap"))
-    walked = at.groupBy(*run).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("ts").alias("at"), "started"))).alias("_at"), F.max("_cap").alias("_cap")
-    )
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        fresh = F.array(F.struct(x["at"].alias("since"), x["started"].alias("started"), x["at"].alias("until")))
-        grown = F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(last["since"].alias("since"), last["started"].alias("started"), x["at"].alias("until"))),
-        )
-        opens = (F.size(done) == 0) | (x["at"] - last["until"] > gap_ms)
-        return F.when(opens, F.concat(done, fresh)).when(x["at"] - last["started"] <= F.col("_cap"), grown).otherwise(done)
-
-    none = F.array().cast("array<struct<since:bigint,started:bigint,until:bigint>>")
-    split = walked.select(*run, F.aggregate("_at", none, step).alias("_parts"))
-    placed = runs.join(short.unionByName(split), run)
-    mine = F.get(F.filter("_parts", lambda p: (p["since"] <= F.col("ts")) & (F.col("ts") <= p["until"])), F.lit(0))
-    out = placed.withColumn("_mine", mine).where(F.col("_mine").isNotNull())
-    named = out.withColumns({"recording_from": F.col("_mine.since"), "started_at": F.col("_mine.started")})
+    over = F.col("_end") - F.col("_begun") > F.col("_cap")
+    whole = spans.where(~over).select(*run, F.struct(F.col("_run").alias("since"), F.col("_begun").alias("started")).alias("_mine"))
+    short = runs.join(whole, run)
+    long = runs.join(spans.where(over).select(*run, "_cap"), run)
+    begun = _recordings_of_runs(long, run, began, gap_ms, staging)
+    inside = as_of(long.drop("_cap"), begun, run, "_part", "_part", FOREVER_MS, gap_ms).where(F.col("ts") <= F.col("_part.until"))
+    cut = inside.withColumn("_mine", F.struct("_part.since", "_part.started")).drop("_part")
+    named = short.unionByName(cut).withColumns({"recording_from": F.col("_mine.since"), "started_at": F.col("_mine.started")})
     ident = F.expr(short_hash("concat_ws('|', 'replay', site_id, visitor_id, cast(recording_from as string))"))
-    return named.withColumn("replay_id", ident).drop("_run", "_limit", "_parts", "_mine")
+    return named.withColumn("replay_id", ident).drop("_run", "_limit", "_mine")
+
+
+def _recordings_of_runs(long: DataFrame, run: list[str], began: Column, gap_ms: int, staging: str | None) -> DataFrame:
+    """The recordings of runs longer than one: (run, ts, _part), by the arrival that begins each."""
+
+    folder = staging or scratch(long.sparkSession, "recordings")
+
+    def cut(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    first = F.min_by(began, F.struct("page_load", "seq"))
+    arrivals = cut(long.groupBy(*run, "ts").agg(first.alias("started"), F.max("_cap").alias("_cap")), "arrivals")
+    at = arrivals.select(*run, "ts", F.col("ts").alias("_at"))
+    # The last arrival a recording that begins here may take, and the first one after the silence that follows it.
+    asked = arrivals.select(*run, F.col("ts").alias("at"), "started", (F.col("started") + F.col("_cap")).alias("ts"))
+    until = as_of(asked, at, run, "_at", "until", FOREVER_MS, gap_ms).drop("ts")
+    back = at.withColumn("ts", -F.col("ts"))  # time turned round: the latest before is the earliest after
+    onward = as_of(until.withColumn("ts", -(F.col("until") + gap_ms + 1)), back, run, "_at", "to", FOREVER_MS, gap_ms)
+    pointers = cut(onward.select(*run, "at", "started", "until", "to"), "pointers")
+    jumps = pointers.where("to IS NOT NULL").select(*run, "at", "to")
+    # A recording and the silence after it take more than the gap, which bounds their number in the longest run.
+    longest = pointers.groupBy(*run).agg((F.max("at") - F.min("at")).alias("span")).agg(F.max("span").alias("span")).first()["span"] or 0
+    starts = pointers.groupBy(*run).agg(F.min("at").alias("at"))
+    found = reached(starts, jumps, run, (longest // gap_ms).bit_length(), cut)
+    part = F.struct(F.col("at").alias("since"), "started", "until").alias("_part")
+    return pointers.join(found, [*run, "at"]).select(*run, F.col("at").alias("ts"), part)
 
 
 def recordings(chunks: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # AQE re-plans partition counts, join strategies and skewed joins from measured sizes.
@@ -41,3 +44,16 @@ def local_session(cores: int | str = "*", app: str = "footlog", memory: str = "8
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a job's stored steps, in the folder the cluster names in spark.checkpoint.dir.
+
+    Where that is unset only a local session gets a temporary folder; a cluster's executors would not see each other's.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="footlog-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"

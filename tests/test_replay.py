@@ -1,6 +1,8 @@
 import gzip
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from footlog.model import DAY_MS, MINUTE_MS, Window
@@ -159,3 +161,39 @@ def test_retention_and_deletion(spark):
     listed = replays.list_replays(full, settings(spark), window, NOW, min_duration_ms=5000, equal={"country": "DE"})
     assert [r.replay_id for r in listed.collect()] == ["b"]
     assert replays.list_replays(full, settings(spark), window, NOW, errors_only=True).count() == 0
+
+
+def walked(times, cap, gap):
+    """What a sequential reader of one visitor's arrivals makes of them: (since, started, arrivals taken)."""
+    out = []
+    for at, started in times:
+        if not out or at - out[-1][2][-1] > gap:
+            out.append((at, started, [at]))
+        elif at - out[-1][1] <= cap:
+            out[-1][2].append(at)
+    return [(since, started, len(taken)) for since, started, taken in out]
+
+
+@pytest.mark.parametrize("seed,staged", [(1, False), (2, True)])
+def test_long_runs_are_cut_as_if_walked(spark, tmp_path, seed, staged):
+    """Limits of several lengths, restarts after a silence, equal arrival times, chains of one to many recordings."""
+    rng, minute = random.Random(seed), 60_000
+    rows, want = [], []
+    for visitor in range(12):
+        site, at, times = "ab"[visitor % 2], 1_000_000, {}
+        for n in range([1, 3, 40, 150][visitor % 4]):
+            at += rng.choice([0, minute, 4 * minute, 9 * minute, 29 * minute, 30 * minute] + [31 * minute] * (visitor % 3 == 0))
+            t_last = rng.randrange(2 * minute)
+            rows.append((site, f"v{visitor}", f"p{n:05}", 0, at, t_last))
+            times.setdefault(at, at - t_last)  # the first page load of equal arrivals
+        taken = dict.fromkeys(times, 0)
+        for row in rows:
+            if row[1] == f"v{visitor}":
+                taken[row[4]] += 1
+        for since, started, n in walked(sorted(times.items()), {"a": 30, "b": 12}[site] * minute, 30 * minute):
+            want.append((f"v{visitor}", since, started))
+    chunks = spark.createDataFrame(rows, "site_id string, visitor_id string, page_load string, seq int, ts long, t_last long")
+    settings = spark.createDataFrame([("b", 12)], "site_id string, max_minutes int")
+    placed = replays.recorded_chunks(chunks, settings, staging=str(tmp_path / "steps") if staged else None)
+    got = {(r.visitor_id, r.recording_from, r.started_at) for r in placed.select("visitor_id", "recording_from", "started_at").distinct().collect()}
+    assert got == set(want)
