@@ -344,6 +344,12 @@ def intake_oracles() -> dict[str, str]:
             "ELSE 1 END) AS BIGINT) AS arguments FROM re GROUP BY 1"
         ),
         "a10_replay_purge": rec(f"SELECT site_id, count(*) AS kept FROM rec WHERE started_at >= {FULL[1]} - {RETENTION} * {DAY} GROUP BY 1"),
+        "a10_purged_store": rec(
+            f"""SELECT site_id, CAST(sum(events) AS BIGINT) AS rows, count(*) AS chunks, count(DISTINCT ts // {DAY}) AS days, min(day) AS first_day
+            FROM (SELECT num.site_id, num.events, num.ts, CAST(make_timestamp(num.ts * 1000) AS DATE) AS day, rec.started_at
+              FROM num LEFT JOIN rc USING (site_id, visitor_id, n) LEFT JOIN rec ON rec.site_id = rc.site_id AND rec.visitor_id = rc.visitor_id AND rec.since = rc.since)
+            WHERE least(ts, coalesce(started_at, ts)) >= {FULL[1]} - {RETENTION} * {DAY} GROUP BY 1"""
+        ),
         "b01_rejected_rows": rq("SELECT request_id, reason AS reject_reason FROM bad"),
         "b03_revenue": rq(
             f"SELECT {js('_revenue_rejected')} AS reason, {js('currency')} AS currency, CAST({js('revenue')} AS DOUBLE) AS revenue, count(*) AS events FROM e "

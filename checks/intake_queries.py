@@ -471,6 +471,18 @@ def replay_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("site_id").agg(counting("kept"))
 
 
+def purged_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 on a stored table of its own: what is left of it, rows, chunks and days."""
+
+    def write(path: str) -> DataFrame:
+        recordings.store_chunks(sample.chunks(spark, sf_dir), path)
+        recordings.purge_store(spark, path, f"{path}-staging", recorded(spark, sf_dir), replay_settings(spark, sf_dir), NOW)
+        return recordings.read_chunks(spark, path)
+
+    left = recordings.accepted(kept_table(spark, sf_dir, "purged_chunks", write))
+    return left.groupBy("site_id").agg(counting("rows"), F.countDistinct("seq").alias("chunks"), F.countDistinct("day").alias("days"), F.min("day").alias("first_day"))
+
+
 def replay_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = unsessioned(spark, sf_dir).select("site_id", "visitor_id", F.create_map(F.lit("dnt"), F.when(F.col("tag") == "v2", "0").otherwise("1")).alias("headers"))
     verdicts = replays.selected(asked, sample.request_sites(spark, sf_dir), replay_settings(spark, sf_dir))
@@ -548,6 +560,7 @@ def intake_queries() -> dict[str, Query]:
         "a09_replay_landing": chunk_rows,
         "a09_refused_chunks": refused_chunks,
         "a10_replay_purge": replay_purge,
+        "a10_purged_store": purged_store,
         "b01_rejected_rows": rejected_rows,
         "b03_revenue": revenue_outcomes,
         "b05_strict_policy": strict_policy,

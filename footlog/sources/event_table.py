@@ -77,10 +77,14 @@ def read_near(spark: SparkSession, path: str, arriving: DataFrame, days_around:
 
 def _folder_name(value: str | None) -> str:
     """A partition value as the writer spells it in a folder's name, with the commas and braces of a pattern escaped."""
-    if not value:
-        return "__HIVE_DEFAULT_PARTITION__"
-    spelt = "".join(f"%{ord(c):02X}" if ord(c) < 0x20 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
-    return re.sub(r"[,}]", r"\\\g<0>", spelt)
+    return re.sub(r"[,}]", r"\\\g<0>", _spelt("", value)[1:])
+
+
+def _spelt(column: str, value: str | None) -> str:
+    """The name of a partition's folder as the writer spells it."""
+    # The characters the writer escapes.
+    escaped = "\"#%'*/:=?\\\x7f{[]^"
+    return f"{column}=" + ("".join(f"%{ord(c):02X}" if ord(c) < 0x20 or c in escaped else c for c in value) if value else "__HIVE_DEFAULT_PARTITION__")
 
 
 def earliest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,7 +145,7 @@ def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch:
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*PARTITIONS).parquet(path)
     emptied = {d for d in days} - {r["day"] for r in spark.read.schema(schema).parquet(staging).select("day").distinct().collect()}
-    _drop_partitions(spark, path, site, emptied)
+    drop_partitions(spark, path, {(site, day) for day in emptied})
     if sessions is not None:
         from footlog.sources.session_days import rebuild
 
@@ -149,9 +153,9 @@ def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch:
     return removed
 
 
-def _drop_partitions(spark: SparkSession, path: str, site: str, days: set) -> None:
-    """Remove partitions that hold nothing but the deleted batch."""
+def drop_partitions(spark: SparkSession, path: str, parts: set[tuple]) -> None:
+    """Remove whole partitions, given as (site, day), with the JVM's file system; not to be had on Spark Connect."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for day in days:
-        folder = hadoop.Path(f"{path}/site_id={site}/day={day}")
+    for site, day in parts:
+        folder = hadoop.Path(hadoop.Path(path), f"{_spelt('site_id', site)}/day={day}")
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,10 +8,11 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footlog.model import DAY_MS
+from footlog.sources.event_table import PARTITIONS, drop_partitions
 
 # Event codes of the recorder's wire format and its limits.
 SNAPSHOT, MUTATION, MOVE, CLICK, SCROLL, VIEWPORT, INPUT, NAVIGATION, ERROR, GAP = range(10)
@@ -147,9 +148,50 @@ def land_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def store_chunks(chunks: DataFrame, path: str) -> DataFrame:
-    """Chunks opened once into a stored table; every report reads it instead of opening them again."""
-    open_chunks(chunks).write.mode("append").parquet(path)
-    return chunks.sparkSession.read.schema(EVENT_ROWS).parquet(path)
+    """Chunks opened once into a stored table, by site and UTC day of arrival; every report reads it instead of opening
+    them again. Rows of one site and day lie in few files, those too many for one task in several."""
+    opened = open_chunks(chunks).withColumn("day", F.date_from_unix_date(F.floor(F.col("ts") / DAY_MS).cast("int")))
+    opened.hint("rebalance", *PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    return read_chunks(chunks.sparkSession, path)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    columns = EVENT_ROWS.removeprefix("site_id string, ")
+    return spark.read.schema(f"{columns}, site_id string, day date").parquet(path)
+
+
+def purge_store(spark: SparkSession, path: str, staging: str, placed: DataFrame, settings: DataFrame, now_ms: int) -> dict[str, int]:
+    """A10: remove expired recordings from the stored table; returns the days dropped and rewritten, and rows removed there.
+
+    A chunk is never older than the start of its recording, so what arrived before a site's cutoff is expired: days wholly
+    before it are dropped unread. Recordings begun before the cutoff may go on after it; only the days on which they do, and the
+    day of the cutoff, are rewritten. ``placed`` tells each chunk's ``ts`` and its recording's ``started_at``. Kept rows go to
+    ``staging``, a folder all executors share, since a partition cannot be read while it is replaced.
+    """
+    stored = read_chunks(spark, path)
+    own = settings.select("site_id", "retention_days")
+    limit = F.lit(now_ms) - F.coalesce("retention_days", F.lit(RETENTION_DAYS)).cast("long") * DAY_MS
+    day_ms = F.unix_date("day").cast("long") * DAY_MS
+    # One row per partition of the table.
+    parts = stored.select(*PARTITIONS).distinct().join(own, "site_id", "left").withColumn("cutoff", limit)
+    old = {(r["site_id"], r["day"]) for r in parts.where(day_ms + DAY_MS <= F.col("cutoff")).collect()}
+    edge = {(r["site_id"], r["day"]) for r in parts.where((day_ms < F.col("cutoff")) & (day_ms + DAY_MS > F.col("cutoff"))).collect()}
+    gone = placed.join(own, "site_id", "left").withColumn("cutoff", limit).where((F.col("started_at") < F.col("cutoff")) & (F.col("ts") >= F.col("cutoff")))
+    arrived = F.date_from_unix_date(F.floor(F.col("ts") / DAY_MS).cast("int")).alias("day")
+    edge |= {(r["site_id"], r["day"]) for r in gone.select("site_id", arrived).distinct().collect()}
+    if not edge:
+        drop_partitions(spark, path, old)
+        return {"dropped": len(old), "rewritten": 0, "removed": 0}
+    touched = stored.where(F.concat_ws("|", F.col("day").cast("string"), "site_id").isin([f"{d}|{s}" for s, d in edge]))
+    before = touched.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    late = touched.join(own, "site_id", "left").where(F.col("ts") >= limit).drop("retention_days")
+    late.join(gone.select(*CHUNK_KEYS).distinct(), CHUNK_KEYS, "left_anti").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(staging)
+    kept = spark.read.schema(stored.schema).parquet(staging)
+    # Nothing is removed before all that is read of the table, by ``placed`` too, has been read.
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+    left = {(r["site_id"], r["day"]): r["n"] for r in kept.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n")).collect()}
+    drop_partitions(spark, path, old | (edge - set(left)))
+    return {"dropped": len(old), "rewritten": len(edge), "removed": before - sum(left.values())}
 
 
 def expired(recordings: DataFrame, settings: DataFrame, now_ms: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footlog.model import DAY_MS, MINUTE_MS, Window
 from footlog.operators import heatmap, replays
-from footlog.sources.recordings import CHUNK_SCHEMA, land_chunks, purge, without_recordings
+from footlog.sources.recordings import CHUNK_SCHEMA, land_chunks, purge, purge_store, read_chunks, store_chunks, without_recordings
 from tests.raw import CHROME, sites_frame
 
 NOW = 1_767_268_800_000
@@ -197,3 +197,23 @@ def test_long_runs_are_cut_as_if_walked(spark, tmp_path, seed, staged):
     placed = replays.recorded_chunks(chunks, settings, staging=str(tmp_path / "steps") if staged else None)
     got = {(r.visitor_id, r.recording_from, r.started_at) for r in placed.select("visitor_id", "recording_from", "started_at").distinct().collect()}
     assert got == set(want)
+
+
+def test_purge_of_the_stored_table(spark, tmp_path):
+    """Old days go whole, mixed ones lose their expired recordings only, emptied ones and other sites are right."""
+    cutoff = NOW - 30 * DAY_MS
+    day = cutoff - cutoff % DAY_MS
+    times = {"old": day - 3 * DAY_MS, "edge": cutoff - 60_000, "late": cutoff + 60_000, "new": NOW - DAY_MS}
+    chunks = [chunk("p", i, ts, [[0, 7, "/a"], [5, 3, 1, 2, 3]], visitor=name) for i, (name, ts) in enumerate(times.items())]
+    chunks += [chunk("p", 9, cutoff + 90_000, [[0, 7, "/b"]], visitor="edge"), chunk("p", 0, times["old"], [[0, 7, "/c"]], visitor="old", site="long")]
+    path = str(tmp_path / "chunks")
+    rows = store_chunks(spark.createDataFrame(chunks, CHUNK_SCHEMA), path)
+    assert rows.count() == 10 and {f.name for f in (tmp_path / "chunks").iterdir() if f.is_dir()} == {"site_id=demo", "site_id=long"}
+    own = spark.createDataFrame([("long", True, 1.0, 30, 60)], SETTINGS)
+    placed = replays.recorded_chunks(replays.chunk_facts(rows.drop("refused")), own, staging=str(tmp_path / "steps"))
+    done = purge_store(spark, path, str(tmp_path / "staging"), placed, own, NOW)
+    left = {(r.site_id, r.visitor_id, r.n) for r in read_chunks(spark, path).groupBy("site_id", "visitor_id").agg(F.count("*").alias("n")).collect()}
+    # The recording begun a minute before the cutoff goes, and with it the chunk that came after.
+    assert left == {("demo", "late", 2), ("demo", "new", 2), ("long", "old", 1)}
+    assert done == {"dropped": 1, "rewritten": 1, "removed": 3}
+    assert purge_store(spark, path, str(tmp_path / "staging"), placed.limit(0), own, NOW) == {"dropped": 0, "rewritten": 1, "removed": 0}
