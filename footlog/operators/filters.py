@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,16 +102,16 @@ def sessions_matching(site_events: DataFrame, item: Filter) -> DataFrame:
 def keep_sessions(rows: DataFrame, site_events: DataFrame, filters: tuple[Filter, ...], sessions: DataFrame | None = None) -> DataFrame:
     """Rows of the sessions every session filter selects. First and last pages come from the side table ``sessions``, if
     given; what else a session holds is looked up in ``site_events``."""
-    for item in filters:
-        if item.about_session:
+    keys, about = ["site_id", "session_id"], [f for f in filters if f.about_session]
+    pages = [f for f in about if f.field != "event"] if sessions is not None else []
+    if pages:  # all of them in one reading of the side table
+        tests = [f.test(F.col("entry.path" if f.field == "entry_page" else "leave.path")) for f in pages]
+        rows = rows.join(of_sessions(sessions, rows).where(reduce(and_, tests)), keys, "left_semi")
+    for item in about:
+        if item not in pages:
             # Only the sessions at hand are looked up in all history.
-            mine = rows.select("site_id", "session_id").distinct()
-            if sessions is not None and item.field != "event":
-                edge = F.col("entry.path" if item.field == "entry_page" else "leave.path")
-                matching = of_sessions(sessions, mine).where(item.test(edge))
-            else:
-                matching = sessions_matching(site_events.join(mine, ["site_id", "session_id"], "left_semi"), item)
-            rows = rows.join(matching, ["site_id", "session_id"], "left_semi")
+            near = site_events.join(rows.select(*keys).distinct(), keys, "left_semi")
+            rows = rows.join(sessions_matching(near, item), keys, "left_semi")
     return rows
 
 
