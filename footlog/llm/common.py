@@ -22,9 +22,11 @@ BLOCK = 1 << 22
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one for a local session only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='footlog-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
