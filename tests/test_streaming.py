@@ -10,6 +10,7 @@ from footlog.operators.ordered import sessionize
 from footlog.plans.enrich import SESSION_NAME, ingest
 from footlog.sources.beacons import batch_answers, open_batches, read_requests, stream_requests
 from footlog.sources.event_table import append_events, new_events, read_events, read_near, with_defaults, write_events
+from footlog.sources.session_days import fold, read_session_days, session_days
 from footlog.streaming import intake, live, sessions
 from tests.raw import CHROME, NOW, raw_frame, sites_frame
 
@@ -84,6 +85,21 @@ def test_intake_is_idempotent_and_continues_sessions(spark, tmp_path):
     assert rows[0].session_id == rows[1].session_id == rows[2].session_id != rows[3].session_id
 
 
+def test_the_intake_keeps_the_side_table(spark, tmp_path):
+    table, side = str(tmp_path / "events"), str(tmp_path / "sessions")
+    write_events(with_defaults(spark.createDataFrame([], EVENT_SCHEMA)), table)
+    (tmp_path / "in").mkdir()
+    requests = stream_requests(spark, str(tmp_path / "in"))
+    for start, times in ((0, [0, 1000]), (2, [GAP + 1000, 3 * GAP])):
+        landed(tmp_path / "in", start, times)
+        intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c"), True, side).awaitTermination(120)
+    # The same requests again, under a new checkpoint: nothing is stored or told twice.
+    intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c2"), True, side).awaitTermination(120)
+    got = sorted((r.started, r.ended, r.pageviews) for r in fold(read_session_days(spark, side)).collect())
+    rows = sorted((r.started, r.ended, r.pageviews) for r in fold(session_days(read_events(spark, table))).collect())
+    assert got == rows and [r[2] for r in got] == [3, 1]
+
+
 def test_a_late_event_joins_the_stored_visit(spark, tmp_path):
     table = str(tmp_path / "events")
     write_events(with_defaults(spark.createDataFrame([], EVENT_SCHEMA)), table)
