@@ -497,21 +497,55 @@ PAID = (
     "best AS (SELECT site_id, currency FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY revenue DESC, currency) AS rk FROM cur) "
     "WHERE rk = 1)"
 )
-ACCOUNT = (
-    "count(*) AS known, count(CASE WHEN cur = 1 THEN 1 END) AS active, count(CASE WHEN prev = 1 THEN 1 END) AS prev_active, "
-    f"count(CASE WHEN cur = 1 AND first_ts >= {LATE[0]} THEN 1 END) AS new_users, count(CASE WHEN cur = 1 AND prev = 1 THEN 1 END) AS retained, "
-    f"count(CASE WHEN cur = 1 AND prev = 0 AND first_ts < {LATE[0]} THEN 1 END) AS resurrected, "
-    "count(CASE WHEN cur = 0 AND prev = 1 THEN 1 END) AS churned"
-)
-FLAGS = (
-    f"fl AS (SELECT site_id, identity, min(ts) AS first_ts, max(CASE WHEN {win(LATE)} THEN 1 ELSE 0 END) AS cur, "
-    f"max(CASE WHEN {win(EARLY)} THEN 1 ELSE 0 END) AS prev FROM k GROUP BY 1, 2)"
-)
-CHANGES = (
-    f"ch AS (SELECT *, lag(plan) OVER (PARTITION BY site_id, identity ORDER BY ts, ingest_seq) AS before FROM (SELECT *, {js('plan')} AS plan "
-    f"FROM k WHERE {js('plan')} IS NOT NULL)), mv AS (SELECT *, CASE WHEN plan NOT IN {FREE} AND (before IS NULL OR before IN {FREE}) THEN 'became_paying' "
-    f"WHEN plan IN {FREE} AND before IS NOT NULL AND before NOT IN {FREE} THEN 'stopped_paying' END AS move FROM ch WHERE ts >= {LATE[0]})"
-)
+
+
+def account(w) -> str:
+    return (
+        "count(*) AS known, count(CASE WHEN cur = 1 THEN 1 END) AS active, count(CASE WHEN prev = 1 THEN 1 END) AS prev_active, "
+        f"count(CASE WHEN cur = 1 AND first_ts >= {w[0]} THEN 1 END) AS new_users, count(CASE WHEN cur = 1 AND prev = 1 THEN 1 END) AS retained, "
+        f"count(CASE WHEN cur = 1 AND prev = 0 AND first_ts < {w[0]} THEN 1 END) AS resurrected, "
+        "count(CASE WHEN cur = 0 AND prev = 1 THEN 1 END) AS churned"
+    )
+
+
+def flags(w) -> str:
+    return (
+        f"fl AS (SELECT site_id, identity, min(ts) AS first_ts, max(CASE WHEN {win(w)} THEN 1 ELSE 0 END) AS cur, "
+        f"max(CASE WHEN {win((2 * w[0] - w[1], w[0]))} THEN 1 ELSE 0 END) AS prev FROM k GROUP BY 1, 2)"
+    )
+
+
+def changes(w) -> str:
+    return (
+        f"ch AS (SELECT *, lag(plan) OVER (PARTITION BY site_id, identity ORDER BY ts, ingest_seq) AS before FROM (SELECT *, {js('plan')} AS plan "
+        f"FROM k WHERE {js('plan')} IS NOT NULL)), mv AS (SELECT *, CASE WHEN plan NOT IN {FREE} AND (before IS NULL OR before IN {FREE}) THEN 'became_paying' "
+        f"WHEN plan IN {FREE} AND before IS NOT NULL AND before NOT IN {FREE} THEN 'stopped_paying' END AS move FROM ch WHERE ts >= {w[0]})"
+    )
+
+
+def accounting(w) -> str:
+    return ev(
+        "SELECT *, new_users + resurrected AS gained, churned AS lost, new_users + resurrected - churned AS net, "
+        f"CASE WHEN churned > 0 THEN {rnd('1.0 * (new_users + resurrected) / churned', 2)} END AS quick_ratio, "
+        f"CASE WHEN prev_active > 0 THEN {rnd('100.0 * retained / prev_active', 1)} END AS retained_rate FROM (SELECT site_id, {account(w)} FROM fl GROUP BY 1)",
+        known(w), flags(w), w=w,
+    )
+
+
+def plan_changes(w) -> str:
+    counted = "SELECT site_id, move, plan, count(DISTINCT identity) AS users FROM mv WHERE move IS NOT NULL GROUP BY 1, 2, 3"
+    return ev(counted, known(w), changes(w), w=w)
+
+
+def new_series(w, width: int) -> str:
+    return ev(
+        f"SELECT site_id, {bucket(w, width, 'first_ts')} AS bucket, count(*) AS new_users FROM (SELECT site_id, identity, min(ts) AS first_ts FROM k "
+        f"GROUP BY 1, 2) WHERE first_ts >= {w[0]} GROUP BY 1, 2",
+        known(w), w=w,
+    )
+
+
+ACCOUNT, FLAGS, CHANGES = account(LATE), flags(LATE), changes(LATE)
 LATEST_PLAN = (
     f"lp AS (SELECT site_id, identity, arg_max({js('plan')}, ts * 1000000 + ingest_seq) AS plan FROM k WHERE {js('plan')} IS NOT NULL GROUP BY 1, 2)"
 )
@@ -756,12 +790,8 @@ def report_oracles() -> dict[str, str]:
             "FROM win WHERE bot_kind = '' GROUP BY 1) USING (site_id)",
             SITES,
         ),
-        "f16_accounting": ev(
-            "SELECT *, new_users + resurrected AS gained, churned AS lost, new_users + resurrected - churned AS net, "
-            f"CASE WHEN churned > 0 THEN {rnd('1.0 * (new_users + resurrected) / churned', 2)} END AS quick_ratio, "
-            f"CASE WHEN prev_active > 0 THEN {rnd('100.0 * retained / prev_active', 1)} END AS retained_rate FROM (SELECT site_id, {ACCOUNT} FROM fl GROUP BY 1)",
-            known(LATE), FLAGS, **late,
-        ),
+        "f16_accounting": accounting(LATE),
+        "f16_accounting_ledger": accounting(MIDDLE),
         "f17_one_and_done": ev(
             "SELECT site_id, count(*) AS eligible, count(CASE WHEN days = 1 THEN 1 END) AS one_day, "
             + rnd("100.0 * count(CASE WHEN days = 1 THEN 1 END) / count(*)", 1)
@@ -774,17 +804,13 @@ def report_oracles() -> dict[str, str]:
             "WHERE name IN ('signup', 'login', 'logout') GROUP BY 1, 2"
         ),
         "f19_plans": ev(top("SELECT site_id, plan, count(*) AS users FROM lp GROUP BY 1, 2", "users DESC, plan", 20), known(FULL), LATEST_PLAN),
-        "f20_plan_changes": ev(
-            "SELECT site_id, move, plan, count(DISTINCT identity) AS users FROM mv WHERE move IS NOT NULL GROUP BY 1, 2, 3", known(LATE), CHANGES, **late
-        ),
+        "f20_plan_changes": plan_changes(LATE),
+        "f20_plan_changes_ledger": plan_changes(MIDDLE),
         "f21_active_series": ev(
             f"SELECT site_id, {bucket(FULL)} AS bucket, count(DISTINCT identity) AS active FROM h WHERE identity <> '' GROUP BY 1, 2"
         ),
-        "f21_new_series": ev(
-            f"SELECT site_id, {bucket(FULL, ts='first_ts')} AS bucket, count(*) AS new_users FROM (SELECT site_id, identity, min(ts) AS first_ts FROM k "
-            f"GROUP BY 1, 2) WHERE first_ts >= {FULL[0]} GROUP BY 1, 2",
-            known(FULL),
-        ),
+        "f21_new_series": new_series(FULL, DAY),
+        "f21_new_series_ledger": new_series(MIDDLE, 3_600_000),
         "f22_privacy_check": ev(
             f"SELECT site_id, count(CASE WHEN {js('_id_raw')} IN ('true', '1') THEN 1 END) AS raw_ids, "
             f"CAST(coalesce(sum(CAST({js('_pii_dropped')} AS BIGINT)), 0) AS BIGINT) AS pii_dropped, "
@@ -987,6 +1013,13 @@ def pack_oracles(known: dict[str, str]) -> dict[str, str]:
     return out
 
 
+FROM_LEDGER = (
+    "f17_one_and_done f19_plans f23_data_from f24_people f25_people_summary f26_top_actions f27_people_by_plan f28_actions_by_day f28_latest_visits"
+).split()
+
+
 def all_oracles() -> dict[str, str]:
     known = bundle_oracles() | report_oracles()
+    # From the ledger of people the same rows must come as from the events.
+    known |= {f"{name}_ledger": known[name] for name in FROM_LEDGER}
     return known | pack_oracles(known)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample_view import event_table, long_visits, session_table
-from footlog.model import DAY_MS, Scope, Window
+from checks.sample_view import event_table, long_visits, people_table, session_table
+from footlog.model import DAY_MS, HOUR_MS, Scope, Window
 from footlog.operators import (
     breakdowns, explore, filters, geo, lifecycle, paths, people, portfolio, retention, revenue, scalars, series, vitals,
 )
@@ -36,6 +36,15 @@ def on(operator: Callable[..., DataFrame], *args, window: Window = FULL, filters
     return run
 
 
+def on_ledger(operator: Callable[..., DataFrame], *args, window: Window = FULL, **options) -> Query:
+    """Reports on people from the ledger; events are read only of the window and of days it cuts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(scope(spark, sf_dir, window, people=people_table(spark, sf_dir)), *args, **options)
+
+    return run
+
+
 def on_long(operator: Callable[..., DataFrame], *args, filters: tuple = (), **options) -> Query:
     """Over visits of up to three days, in a window of two days: whole visits reach beyond it."""
 
@@ -252,6 +261,18 @@ def report_queries() -> dict[str, Query]:
         "f27_people_by_plan": on(people.by_plan),
         "f28_actions_by_day": on(people.actions_by_day),
         "f28_latest_visits": on(people.latest_visits),
+        "f16_accounting_ledger": on_ledger(lifecycle.accounting, window=MIDDLE),
+        "f17_one_and_done_ledger": on_ledger(lifecycle.one_and_done, window=LATE),
+        "f19_plans_ledger": on_ledger(lifecycle.plans),
+        "f20_plan_changes_ledger": on_ledger(lifecycle.plan_changes, window=MIDDLE),
+        "f21_new_series_ledger": on_ledger(lifecycle.new_series, HOUR_MS, window=MIDDLE),
+        "f23_data_from_ledger": on_ledger(lifecycle.data_from),
+        "f24_people_ledger": on_ledger(people.list_people, limit=100),
+        "f25_people_summary_ledger": on_ledger(people.summary, NOW),
+        "f26_top_actions_ledger": on_ledger(people.top_actions),
+        "f27_people_by_plan_ledger": on_ledger(people.by_plan),
+        "f28_actions_by_day_ledger": on_ledger(people.actions_by_day),
+        "f28_latest_visits_ledger": on_ledger(people.latest_visits),
         "f30_portfolio_traffic": on(portfolio.traffic, window=LATE),
         "f31_portfolio_people": on(portfolio.people, window=LATE),
         "f32_portfolio_signups": on(portfolio.signups, window=LATE),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from footlog.model import EVENT_SCHEMA
 from footlog.operators.ordered import sessionize
 from footlog.sources.event_table import append_events, read_events, with_defaults, write_events
+from footlog.sources.people_days import Ledger, people_days, read_people_days, write_people_days
 from footlog.sources.session_days import read_session_days, session_days, write_session_days
 
 GAP_MS = 21_600_000
@@ -134,6 +135,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _tables: dict[tuple[str, str], DataFrame] = {}
+_ledgers: dict[tuple[str, str], Ledger] = {}
 
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +161,17 @@ def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables[key]
 
 
+def people_table(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger of people of ``event_table``, written once per application in two appends, the second of them twice."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#people")
+    if key not in _ledgers:
+        path = f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/people"
+        for part in (0, 1, 1):
+            write_people_days(people_days(event_table(spark, sf_dir).where(F.col("ingest_seq") % 2 == part), f"part{part}"), path)
+        _ledgers[key] = read_people_days(spark, path)
+    return _ledgers[key]
+
+
 #: Visits that go on for up to three days: the same events under other session ids.
 LONG_VISIT = "concat(case when identity <> '' then identity else visitor_id end, '-', cast(cast(floor(ts / 259200000) as bigint) as string))"
 

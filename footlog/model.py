@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from footlog.sources.people_days import Ledger
+
 SECOND_MS = 1_000
 MINUTE_MS = 60 * SECOND_MS
 HOUR_MS = 60 * MINUTE_MS
@@ -61,6 +65,17 @@ def is_event() -> Column:
     return F.col("type") == "event"
 
 
+# Events that trackers send by themselves, which are not actions.
+NON_ACTIONS = [
+    "pageview", "identify", "signup", "login", "logout", "plan", "renewal", "app_open", "scroll", "web_vitals",
+    "error", "form_submit", "form_abandon", "outbound_click", "file_download", "rage_click", "cta_click",
+]
+
+
+def is_action() -> Column:
+    return is_event() & ~F.col("name").isin(NON_ACTIONS)
+
+
 class WindowError(ValueError):
     """A time range that cannot be measured as asked."""
 
@@ -120,7 +135,8 @@ class Scope:
 
     Without ``site`` every result is computed for all sites at once, one group per ``site_id``, so one
     scan answers every tenant. With ``site`` the scan prunes to its partitions. With ``sessions``, the side table of
-    session days, whole sessions are read from it, or from the days on which the window's sessions have events.
+    session days, whole sessions are read from it, or from the days on which the window's sessions have events. With
+    ``people``, the ledger of people, reports on people read no event day outside the window.
     """
 
     events: DataFrame
@@ -129,6 +145,7 @@ class Scope:
     filters: tuple = field(default_factory=tuple)
     strict_bots: bool = False
     sessions: DataFrame | None = None
+    people: Ledger | None = None
 
     def at(self, window: Window) -> Scope:
         return replace(self, window=window)
@@ -154,6 +171,10 @@ class Scope:
         """The side table's rows of the scope's sites, if there is one."""
         return self.sessions if self.sessions is None or self.site is None else self.sessions.where(F.col("site_id") == self.site)
 
+    def site_people(self) -> Ledger | None:
+        """The ledger's rows of the scope's sites, if there is one."""
+        return self.people if self.people is None or self.site is None else self.people.of_site(self.site)
+
     def session_events(self, until_only: bool = False) -> DataFrame:
         """Every event that a session of the window may have; without the side table, of any time."""
         events, sessions = self.site_events(), self.site_sessions()

@@ -10,6 +10,7 @@ from footlog.functions.values import (
 )
 from footlog.model import DAY_MS, MINUTE_MS, Scope
 from footlog.operators.ordered import top_per, with_neighbour
+from footlog.sources.people_days import taken_in, visits_until_end
 
 ONE_AND_DONE_DAYS = 7
 # Plans that do not pay, and the lifecycle events counted on their own.
@@ -23,10 +24,20 @@ def identified(scope: Scope, until_only: bool = True) -> DataFrame:
     return scope.rows(until_only=until_only, filtered=False).where(F.col("identity") != "")
 
 
+def seen(scope: Scope, *moments: int) -> DataFrame:
+    """When people were seen until the window's end, as ``ts``: of every visit and day the first event if the scope has a ledger.
+
+    A row then stands for a visit's events of one day between two of the ``moments``; without a ledger for one event.
+    """
+    if scope.people is None:
+        return identified(scope).select(*PERSON, "ts")
+    return visits_until_end(scope, *moments).where(taken_in(scope)).select(*PERSON, F.col("first_ts").alias("ts"))
+
+
 def people_flags(scope: Scope) -> DataFrame:
     """One row per person: first time seen, and active now or in the previous window."""
     earlier = scope.window.previous()
-    return identified(scope).groupBy(*PERSON).agg(
+    return seen(scope, earlier.from_ms, scope.window.from_ms).groupBy(*PERSON).agg(
         F.min("ts").alias("first_ts"),
         F.max(F.when(scope.window.contains(), 1).otherwise(0)).alias("cur"),
         F.max(F.when(earlier.contains(), 1).otherwise(0)).alias("prev"),
@@ -63,7 +74,7 @@ def accounting(scope: Scope) -> DataFrame:
 def one_and_done(scope: Scope) -> DataFrame:
     """people with a full week to come back who were active on one UTC day only."""
     cutoff = scope.window.to_ms - ONE_AND_DONE_DAYS * DAY_MS
-    days = identified(scope).groupBy(*PERSON, day_of().alias("day")).agg(F.min("ts").alias("day_first"))
+    days = seen(scope).groupBy(*PERSON, day_of().alias("day")).agg(F.min("ts").alias("day_first"))
     people = days.groupBy(*PERSON).agg(F.min("day_first").alias("first_ts"), F.count(F.lit(1)).alias("days"))
     eligible = people.where((F.col("first_ts") >= scope.window.from_ms) & (F.col("first_ts") < cutoff))
     once, all_ = count_when(F.col("days") == 1), F.count(F.lit(1))
@@ -87,9 +98,28 @@ def plan_events(scope: Scope) -> DataFrame:
 
 def latest_plans(scope: Scope) -> DataFrame:
     """One row per person who ever carried a plan: the latest one."""
+    if scope.people is not None:
+        return last_planned(scope).select(*PERSON, "plan")
     return plan_events(scope).groupBy(*PERSON).agg(F.max_by("plan", in_order()).alias("plan"))
 
 
+def last_planned(scope: Scope, *moments: int, before: int | None = None) -> DataFrame:
+    """Each person's latest plan event in the ledger, until the window's end or ``before`` one of the ``moments``."""
+    rows = visits_until_end(scope, *moments).where(taken_in(scope) & F.col("planned").isNotNull())
+    if before is not None:
+        rows = rows.where(F.col("first_ts") < before)
+    return rows.groupBy(*PERSON).agg(F.max("planned").alias("p")).select(*PERSON, "p.ts", "p.ingest_seq", "p.plan")
+
+
+def plan_history(scope: Scope) -> DataFrame:
+    """Plan events until the window's end; with a ledger the window's own and, of each person, the last one before it."""
+    if scope.people is None:
+        return plan_events(scope)
+    start = scope.window.from_ms
+    own = scope.rows(filtered=False).where(F.col("identity") != "").select(*PERSON, "ts", "ingest_seq", prop("plan").alias("plan"))
+    return own.where(F.col("plan").isNotNull()).unionByName(last_planned(scope, start, before=start))
+
+
 def plans(scope: Scope, limit: int | None = 20) -> DataFrame:
     """people by current plan."""
     grouped = latest_plans(scope).groupBy("site_id", "plan").agg(F.count(F.lit(1)).alias("users"))
@@ -98,7 +128,7 @@ def plans(scope: Scope, limit: int | None = 20) -> DataFrame:
 
 def plan_moves(scope: Scope) -> DataFrame:
     """Plan events of the window that crossed between free and paid, with the direction."""
-    linked = with_neighbour(plan_events(scope), PERSON, {"before": "plan"}, ahead=False, width_ms=DAY_MS)
+    linked = with_neighbour(plan_history(scope), PERSON, {"before": "plan"}, ahead=False, width_ms=DAY_MS)
     free, was_free = F.col("plan").isin(FREE_PLANS), F.col("before").isin(FREE_PLANS)
     move = F.when(~free & (F.col("before").isNull() | was_free), "became_paying").when(
         free & F.col("before").isNotNull() & ~was_free, "stopped_paying"
@@ -120,7 +150,7 @@ def active_series(scope: Scope, width: int) -> DataFrame:
 
 def new_series(scope: Scope, width: int) -> DataFrame:
     """people by the bucket they were first seen in."""
-    firsts = identified(scope).groupBy(*PERSON).agg(F.min("ts").alias("first_ts"))
+    firsts = seen(scope).groupBy(*PERSON).agg(F.min("ts").alias("first_ts"))
     bucket = bucket_of("first_ts", scope.window.from_ms, max(MINUTE_MS, width))
     fresh = firsts.where(F.col("first_ts") >= scope.window.from_ms).withColumn("bucket", bucket)
     return fresh.groupBy("site_id", "bucket").agg(F.count(F.lit(1)).alias("new_users"))
@@ -140,4 +170,6 @@ def privacy_check(scope: Scope) -> DataFrame:
 
 def data_from(scope: Scope) -> DataFrame:
     """the oldest identified event, of any audience; null without one."""
+    if scope.people is not None:
+        return scope.per_site(scope.site_people().visits, F.min("first_ts").alias("data_from"))
     return scope.per_site(scope.site_events().where(F.col("identity") != ""), F.min("ts").alias("data_from"))

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footlog.functions.aliases import person_alias
 from footlog.functions.values import count_when, day_of, prop
-from footlog.model import DAY_MS, Scope, audience, is_event, is_pageview
+from footlog.model import DAY_MS, Scope, audience, is_action, is_pageview
 from footlog.operators.lifecycle import PERSON
 from footlog.operators.ordered import top_per
+from footlog.sources.people_days import ACTION, VISIT, action_rows, once
 
-# Events that trackers send by themselves, which are not actions.
-NON_ACTIONS = [
-    "pageview", "identify", "signup", "login", "logout", "plan", "renewal", "app_open", "scroll", "web_vitals",
-    "error", "form_submit", "form_abandon", "outbound_click", "file_download", "rage_click", "cta_click",
-]
 SEGMENTS = ["all", "returning", "one_time", "signed_up_only"]
 SORTS = {"last_active": "last_ts", "joined": "first_ts", "actions": "actions", "active_days": "days", "visits": "visits"}
 
@@ -24,25 +20,34 @@ class PeopleError(ValueError):
     """A people list that cannot be made as asked."""
 
 
-def is_action() -> Column:
-    return is_event() & ~F.col("name").isin(NON_ACTIONS)
-
-
 def _own(scope: Scope) -> DataFrame:
     return scope.site_events().where((F.col("identity") != "") & audience("human"))
 
 
-def people(scope: Scope) -> DataFrame:
-    """One row per identified person over all history; the scope's window does not apply."""
+def _visits(scope: Scope) -> DataFrame:
+    """The ledger's visits of people over all history, each append once; people reports ignore the strict audience."""
+    return once(scope.site_people().visits, VISIT).where(F.col("who").isin("strict", "suspect"))
+
+
+def _person_days(scope: Scope) -> DataFrame:
+    """Times, actions and latest plan of each person, visit and day; from the ledger where the scope has one."""
+    if scope.people is not None:
+        return _visits(scope).select(
+            *PERSON, "session_id", "day", F.col("first_ts").alias("lo"), F.col("last_ts").alias("hi"), F.col("actions").alias("acts"), "planned"
+        )
     plan = prop("plan")
-    # Fold to (person, session, day) first: the distinct counts then run over few rows.
-    visits = _own(scope).groupBy(*PERSON, "session_id", day_of().alias("day")).agg(
+    return _own(scope).groupBy(*PERSON, "session_id", day_of().alias("day")).agg(
         F.min("ts").alias("lo"),
         F.max("ts").alias("hi"),
         count_when(is_action()).alias("acts"),
         F.max(F.when(plan.isNotNull(), F.struct("ts", "ingest_seq", plan.alias("plan")))).alias("planned"),
     )
-    grouped = visits.groupBy(*PERSON).agg(
+
+
+def people(scope: Scope) -> DataFrame:
+    """One row per identified person over all history; the scope's window does not apply."""
+    # Folded to (person, session, day) first: the distinct counts then run over few rows.
+    grouped = _person_days(scope).groupBy(*PERSON).agg(
         F.min("lo").alias("first_ts"),
         F.max("hi").alias("last_ts"),
         F.countDistinct("day").alias("days"),
@@ -108,11 +113,19 @@ def summary(scope: Scope, now_ms: int) -> DataFrame:
     return scope.per_site(people(scope), F.count(F.lit(1)).alias("known"), *named)
 
 
+def _daily_actions(scope: Scope) -> DataFrame:
+    """Actions of each person, day and name; from the ledger where the scope has one."""
+    if scope.people is not None:
+        return once(scope.site_people().actions, ACTION)
+    return action_rows(scope.site_events())
+
+
 def top_actions(scope: Scope, page: DataFrame | None = None, limit: int | None = 3) -> DataFrame:
     """the most frequent actions of each person (of a page of people, when given)."""
-    acts = _own(scope).where(is_action()).groupBy(*PERSON, "name").agg(F.count(F.lit(1)).alias("n"))
+    daily = _daily_actions(scope)
     if page is not None:
-        acts = acts.join(page.select(*PERSON), PERSON, "left_semi")
+        daily = daily.join(page.select(*PERSON), PERSON, "left_semi")
+    acts = daily.groupBy(*PERSON, "name").agg(F.sum("n").cast("long").alias("n"))
     return top_per(acts, limit, [F.desc("n"), F.asc("name")], PERSON)
 
 
@@ -124,27 +137,28 @@ def by_plan(scope: Scope, limit: int | None = 20) -> DataFrame:
 
 def actions_by_day(scope: Scope, identity: str | None = None, days: int = 14) -> DataFrame:
     """actions per day and name over each person's newest active days."""
-    acts = _own(scope).where(is_action())
+    acts = _daily_actions(scope)
     if identity:
         acts = acts.where(F.col("identity") == identity)
-    named = acts.groupBy(*PERSON, (day_of() * DAY_MS).alias("day"), "name").agg(F.count(F.lit(1)).alias("n"))
-    # Names of one day travel together, so ranking days needs no second pass.
-    daily = named.groupBy(*PERSON, "day").agg(
-        F.sum("n").cast("long").alias("total"), F.collect_list(F.struct("name", "n")).alias("names")
-    )
+    named = acts.groupBy(*PERSON, "day", "name").agg(F.sum("n").cast("long").alias("n"))
+    # Days are ranked on their own; names, which clients choose, are never gathered in a list.
+    daily = named.groupBy(*PERSON, "day").agg(F.sum("n").cast("long").alias("total"))
     newest = top_per(daily, days, [F.desc("day")], PERSON)
-    return newest.select(*PERSON, "day", "total", F.explode("names").alias("a")).select(*PERSON, "day", "total", "a.name", "a.n")
+    placed = newest.join(named, [*PERSON, "day"])
+    return placed.select(*PERSON, (F.unix_date("day").cast("long") * DAY_MS).alias("day"), "total", "name", "n")
 
 
 def latest_visits(scope: Scope, identity: str | None = None, limit: int | None = 10) -> DataFrame:
     """each person's latest visits."""
-    own = _own(scope)
+    if scope.people is not None:
+        own = _visits(scope)
+        started, ended, pages, actions = F.min("first_ts"), F.max("last_ts"), F.sum("pages"), F.sum("actions")
+    else:
+        own = _own(scope)
+        started, ended, pages, actions = F.min("ts"), F.max("ts"), count_when(is_pageview()), count_when(is_action())
     if identity:
         own = own.where(F.col("identity") == identity)
     visits = own.groupBy(*PERSON, "session_id").agg(
-        F.min("ts").alias("started"),
-        F.max("ts").alias("ended"),
-        count_when(is_pageview()).alias("pages"),
-        count_when(is_action()).alias("actions"),
+        started.alias("started"), ended.alias("ended"), pages.cast("long").alias("pages"), actions.cast("long").alias("actions")
     )
     return top_per(visits, limit, [F.desc("started"), F.asc("session_id")], PERSON)

@@ -56,13 +56,14 @@ def read_session_days(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rebuild(events: DataFrame, path: str, site: str, days: list) -> None:
-    """Replace the side table's rows of one site's days by what its events now hold; also puts many appends together.
-
-    A day without any event left keeps no row.
-    """
-    spark = events.sparkSession
+    """Replace the side table's rows of one site's days by what its events now hold; also puts many appends together."""
     mine = (F.col("site_id") == site) & F.col("day").isin(days)
-    made = session_days(events.where(mine), "rebuilt")
+    replace_days(session_days(events.where(mine), "rebuilt"), path, site, days)
+
+
+def replace_days(made: DataFrame, path: str, site: str, days: list) -> None:
+    """Put the rows ``made`` in the place of one site's days in a side table; a day without any is left with a blank row."""
+    spark = made.sparkSession
     empty = spark.createDataFrame([(site, d) for d in days], "site_id string, day date").join(made.select(*PARTITIONS).distinct(), PARTITIONS, "left_anti")
     # An emptied day is overwritten by a row without a session, which ``fold`` and ``days_of`` never meet.
     blank = empty.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema if f.name not in PARTITIONS], *PARTITIONS)

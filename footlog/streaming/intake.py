@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from footlog.model import EVENT_SCHEMA
 from footlog.plans.enrich import continue_sessions, enrich
 from footlog.sources.event_table import new_events, read_near, with_defaults, write_events
+from footlog.sources.people_days import people_days, write_people_days
 from footlog.sources.session_days import session_days, write_session_days
 
 
@@ -22,13 +23,14 @@ def refusals(requests: DataFrame, sites: DataFrame, secret: str, **options) -> D
 
 
 def start_intake(
-    requests: DataFrame, sites: DataFrame, secret: str, table: str, checkpoint: str, available_now: bool = False, sessions: str | None = None, **options
+    requests: DataFrame, sites: DataFrame, secret: str, table: str, checkpoint: str, available_now: bool = False,
+    sessions: str | None = None, people: str | None = None, **options,
 ) -> StreamingQuery:
     """Append a stream of requests to the event table, one idempotent write per micro-batch.
 
     Each batch is enriched, joined with the stored events of the same days only, and its sessions continue those
     already stored: a batch that is run again after a failure adds nothing twice. ``sessions`` is the folder of the side
-    table of session days, kept up with every batch if named.
+    table of session days and ``people`` that of the ledger of people, kept up with every batch if named.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -41,6 +43,8 @@ def start_intake(
         named = continue_sessions(fresh.select(*EVENT_SCHEMA.fieldNames()), near)
         if sessions is not None:  # before the events, under the batch's name: a repeated batch is told by it
             write_session_days(session_days(named, f"{checkpoint}#{number}"), sessions)
+        if people is not None:
+            write_people_days(people_days(named, f"{checkpoint}#{number}"), people)
         write_events(named.select(*EVENT_SCHEMA.fieldNames()), table)
         events.unpersist()
 
