@@ -73,6 +73,18 @@ def sessions_by(col: str, limit=100, where="true") -> str:
     return table({col: col}, {"sessions": SES}, where, limit)
 
 
+BITMAP_METRICS = "('visitors.unique', 'sessions.total', 'bots.suspected', 'agent.sessions')"
+
+
+def comparison(w) -> str:
+    """Every scalar of a window beside the window of equal length before it."""
+    return (
+        f"SELECT c.site_id, c.metric, c.value, coalesce(p.value, 0.0) AS previous, {rnd('c.value - coalesce(p.value, 0.0)', 1)} AS delta_abs, "
+        f"CASE WHEN coalesce(p.value, 0.0) <> 0 THEN {rnd('(c.value - p.value) / p.value * 100', 1)} END AS delta_pct "
+        f"FROM ({scalar_values(w)}) c LEFT JOIN ({scalar_values((2 * w[0] - w[1], w[0]))}) p USING (site_id, metric)"
+    )
+
+
 def scalar_values(w) -> str:
     """Every scalar of one window as (site_id, metric, value)."""
     ins = win(w)
@@ -170,11 +182,6 @@ def bundle_oracles() -> dict[str, str]:
     )
     hits = {"hits": CNT}
     live = f"ts >= {FULL[0]} AND {HUMAN}"
-    deltas = (
-        f"SELECT c.site_id, c.metric, c.value, coalesce(p.value, 0.0) AS previous, {rnd('c.value - coalesce(p.value, 0.0)', 1)} AS delta_abs, "
-        f"CASE WHEN coalesce(p.value, 0.0) <> 0 THEN {rnd('(c.value - p.value) / p.value * 100', 1)} END AS delta_pct "
-        f"FROM ({scalar_values(LATE)}) c LEFT JOIN ({scalar_values(EARLY)}) p USING (site_id, metric)"
-    )
     p75_part = (
         "(SELECT site_id, max(CASE WHEN rn = t THEN {v} END) AS {v} FROM (SELECT site_id, {v}, row_number() OVER "
         "(PARTITION BY site_id ORDER BY {v} NULLS FIRST) AS rn, CAST(floor(0.75 * count(*) OVER (PARTITION BY site_id)) AS BIGINT) + 1 AS t "
@@ -338,7 +345,9 @@ def bundle_oracles() -> dict[str, str]:
             {"channel": "channel"}, {"signups": CNT}, "name IN ('signup', 'waitlist', 'conversion')", None
         ),
         "e70_bundle_scalars": ev(scalar_values(FULL)),
-        "e72_period_comparison": ev(deltas),
+        "e72_period_comparison": ev(comparison(LATE)),
+        "e72_unique_comparison_bitmaps": ev(f"SELECT * FROM ({comparison(LATE)}) WHERE metric IN {BITMAP_METRICS}"),
+        "e72_unique_comparison_cut_days": ev(f"SELECT * FROM ({comparison(MIDDLE)}) WHERE metric IN {BITMAP_METRICS}"),
         "e74_series_fill": ev(
             f"SELECT s.site_id, b.bucket, {FULL[0]} + b.bucket * {DAY} AS ts, coalesce(q.sessions, 0) AS sessions, q.bounce_rate, "
             "q.duration, q.pages_per_session FROM (SELECT DISTINCT site_id FROM h) s CROSS JOIN (SELECT range AS bucket FROM range(30)) b "
@@ -1013,6 +1022,7 @@ def pack_oracles(known: dict[str, str]) -> dict[str, str]:
     return out
 
 
+FROM_BITMAPS = ["e05_visitors_unique", "e06_sessions_total", "e42_bots_suspected", "e44_agent_sessions"]
 FROM_LEDGER = (
     "f17_one_and_done f19_plans f23_data_from f24_people f25_people_summary f26_top_actions f27_people_by_plan f28_actions_by_day f28_latest_visits"
 ).split()
@@ -1022,4 +1032,6 @@ def all_oracles() -> dict[str, str]:
     known = bundle_oracles() | report_oracles()
     # From the ledger of people the same rows must come as from the events.
     known |= {f"{name}_ledger": known[name] for name in FROM_LEDGER}
+    # And from day bitmaps.
+    known |= {f"{name}_bitmaps": known[name] for name in FROM_BITMAPS}
     return known | pack_oracles(known)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample_view import event_table, long_visits, people_table, session_table
+from checks.sample_view import distinct_table, event_table, long_visits, people_table, session_table
 from footlog.model import DAY_MS, HOUR_MS, Scope, Window
 from footlog.operators import (
     breakdowns, explore, filters, geo, lifecycle, paths, people, portfolio, retention, revenue, scalars, series, vitals,
@@ -15,6 +15,7 @@ from footlog.operators import (
 from footlog.operators.filters import Filter
 from footlog.operators.paths import Goal, Step
 from footlog.plans import bundle
+from footlog.sources import distinct_days
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,15 @@ def on_ledger(operator: Callable[..., DataFrame], *args, window: Window = FULL,
     return run
 
 
+def on_bits(operator: Callable[..., DataFrame], *args, window: Window = FULL, **options) -> Query:
+    """Counts of visitors and sessions from day bitmaps; events are read only of days the windows cut."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(scope(spark, sf_dir, window, distincts=distinct_table(spark, sf_dir)), *args, **options)
+
+    return run
+
+
 def on_long(operator: Callable[..., DataFrame], *args, filters: tuple = (), **options) -> Query:
     """Over visits of up to three days, in a window of two days: whole visits reach beyond it."""
 
@@ -126,6 +136,10 @@ BREAKDOWN_KEYS = {
 }
 
 
+BITMAP_METRICS = list(distinct_days.METRICS)
+FROM_BITMAPS = ["e05_visitors_unique", "e06_sessions_total", "e42_bots_suspected", "e44_agent_sessions"]
+
+
 def bundle_queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "e01_timeseries": on(series.traffic, DAY_MS),
@@ -134,10 +148,13 @@ def bundle_queries() -> dict[str, Query]:
         "e04_live_visitors": on(scalars.live_visitors, LIVE_NOW),
     }
     out |= {key: on(scalars.scalar, metric) for key, metric in SCALAR_KEYS.items()}
+    out |= {f"{key}_bitmaps": on_bits(scalars.scalar, SCALAR_KEYS[key]) for key in FROM_BITMAPS}
     out |= {key: on(breakdowns.breakdown, metric) for key, metric in BREAKDOWN_KEYS.items()}
     out |= {
         "e70_bundle_scalars": on(bundle.scalar_table),
         "e72_period_comparison": on(bundle.scalar_table, LATE.previous(), window=LATE),
+        "e72_unique_comparison_bitmaps": on_bits(bundle.scalar_table, LATE.previous(), BITMAP_METRICS, window=LATE),
+        "e72_unique_comparison_cut_days": on_bits(bundle.scalar_table, MIDDLE.previous(), BITMAP_METRICS, window=MIDDLE),
         "e74_series_fill": on(series.series, "timeseries.sessions", "day"),
         "e75_series_previous": on(series.series_with_previous, "timeseries", "day", window=LATE),
         "e76_query_stats": on(breakdowns.stats, "sessions", "event", limit=100),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from footlog.model import EVENT_SCHEMA
 from footlog.operators.ordered import sessionize
 from footlog.sources.event_table import append_events, read_events, with_defaults, write_events
+from footlog.sources import distinct_days
+from footlog.sources.distinct_days import DistinctDays
 from footlog.sources.people_days import Ledger, people_days, read_people_days, write_people_days
 from footlog.sources.session_days import read_session_days, session_days, write_session_days
 
@@ -136,6 +138,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 _tables: dict[tuple[str, str], DataFrame] = {}
 _ledgers: dict[tuple[str, str], Ledger] = {}
+_distincts: dict[tuple[str, str], DistinctDays] = {}
 
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +175,18 @@ def people_table(spark: SparkSession, sf_dir: str) -> Ledger:
     return _ledgers[key]
 
 
+def distinct_table(spark: SparkSession, sf_dir: str) -> DistinctDays:
+    """The dictionary and day bitmaps of ``event_table``, written once per application in two appends, the second of them twice."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#distincts")
+    if key not in _distincts:
+        path = f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/distincts"
+        distinct_days.create(spark, path)
+        for part in (0, 1, 1):
+            distinct_days.append_distinct_days(event_table(spark, sf_dir).where(F.col("ingest_seq") % 2 == part), path)
+        _distincts[key] = distinct_days.read_distinct_days(spark, path)
+    return _distincts[key]
+
+
 #: Visits that go on for up to three days: the same events under other session ids.
 LONG_VISIT = "concat(case when identity <> '' then identity else visitor_id end, '-', cast(cast(floor(ts / 259200000) as bigint) as string))"
 

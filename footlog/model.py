@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 if TYPE_CHECKING:
+    from footlog.sources.distinct_days import DistinctDays
     from footlog.sources.people_days import Ledger
 
 SECOND_MS = 1_000
@@ -136,7 +137,8 @@ class Scope:
     Without ``site`` every result is computed for all sites at once, one group per ``site_id``, so one
     scan answers every tenant. With ``site`` the scan prunes to its partitions. With ``sessions``, the side table of
     session days, whole sessions are read from it, or from the days on which the window's sessions have events. With
-    ``people``, the ledger of people, reports on people read no event day outside the window.
+    ``people``, the ledger of people, reports on people read no event day outside the window. With ``distincts``, unfiltered
+    counts of visitors and sessions are made of the days' bitmaps.
     """
 
     events: DataFrame
@@ -146,6 +148,7 @@ class Scope:
     strict_bots: bool = False
     sessions: DataFrame | None = None
     people: Ledger | None = None
+    distincts: DistinctDays | None = None
 
     def at(self, window: Window) -> Scope:
         return replace(self, window=window)
@@ -175,6 +178,10 @@ class Scope:
         """The ledger's rows of the scope's sites, if there is one."""
         return self.people if self.people is None or self.site is None else self.people.of_site(self.site)
 
+    def site_distincts(self) -> DistinctDays | None:
+        """The dictionary and day bitmaps of the scope's sites, if there are any."""
+        return self.distincts if self.distincts is None or self.site is None else self.distincts.of_site(self.site)
+
     def session_events(self, until_only: bool = False) -> DataFrame:
         """Every event that a session of the window may have; without the side table, of any time."""
         events, sessions = self.site_events(), self.site_sessions()

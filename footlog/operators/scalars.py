@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from footlog.functions.values import count_when, distinct, flag, number, percent, ratio, round_to
 from footlog.model import LIVE_MS, SUSPECT_SCORE, Scope, is_pageview
+from footlog.sources import distinct_days
 
 SIGNUP_EVENTS = "name IN ('signup', 'waitlist', 'conversion')"  # fixed values
 CAMPAIGN_SITES = ("landing", "generic")
@@ -46,6 +47,8 @@ _COUNTED = {"sessions": "session_id", "visitors": "visitor_id"}
 
 def counted(scope: Scope, metric: str) -> DataFrame:
     """A plain count: events, sessions or visitors meeting one condition."""
+    if scope.distincts is not None and not scope.filters and metric in distinct_days.METRICS:
+        return distinct_days.counted(scope, metric)
     spec = SCALARS[metric]
     rows = scope.rows(spec.who).where(spec.where)
     value = F.count(F.lit(1)) if spec.counts == "rows" else distinct(_COUNTED[spec.counts])

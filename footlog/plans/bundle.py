@@ -12,6 +12,7 @@ from footlog.model import Scope, Window
 from footlog.operators.breakdowns import BREAKDOWNS, SPECIAL, breakdown
 from footlog.operators.scalars import DERIVED, SCALARS
 from footlog.operators.series import SERIES, series
+from footlog.sources import distinct_days
 
 PACKS = {
     "overview": [
@@ -37,10 +38,13 @@ def scalar_table(scope: Scope, compare: Window | None = None, only: Iterable[str
     """Every scalar of the scope, and of the comparison window, as rows (site_id, metric, value, ...).
 
     One aggregation per session and one per visitor fold the events map-side; all metrics of both
-    windows are conditional sums over those, so no metric adds a scan and no distinct multiplies rows.
+    windows are conditional sums over those, so no metric adds a scan and no distinct multiplies rows. Where the scope has
+    bitmaps and only metrics made of them are asked for, no event is read but on days that a window cuts.
     """
     windows = {"value": scope.window} | ({"previous": compare} if compare else {})
     wanted = [m for m in [*SCALARS, *DERIVED] if only is None or m in set(only)]
+    if scope.distincts is not None and not scope.filters and set(wanted) <= set(distinct_days.METRICS):
+        return _tidied(distinct_days.counts(scope, windows, wanted), wanted, windows)
     read = scope.at(scope.window.joined(compare)) if compare else scope
     rows = read.rows("everyone")
 
@@ -92,15 +96,20 @@ def scalar_table(scope: Scope, compare: Window | None = None, only: Iterable[str
     if visitor_parts:
         by_visitor = rows.groupBy("site_id", "visitor_id").agg(*visitor_parts)
         wide = wide.join(scope.per_site(by_visitor, *visitor_finals), "site_id")
+    return _tidied(wide, wanted, windows)
+
+
+def _tidied(wide: DataFrame, wanted: list[str], windows: dict[str, Window]) -> DataFrame:
+    """One row per site and metric of columns ``metric|tag``; with changes where there is a comparison window."""
     entries = [
         F.struct(
             F.lit(metric).alias("metric"),
-            *[F.coalesce(F.col(f"`{metric.replace('.', '_')}|{tag}`"), F.lit(0.0)).alias(tag) for tag in windows],
+            *[F.coalesce(F.col(f"`{metric.replace('.', '_')}|{tag}`").cast("double"), F.lit(0.0)).alias(tag) for tag in windows],
         )
         for metric in wanted
     ]
     tidy = wide.select("site_id", F.explode(F.array(*entries)).alias("m")).select("site_id", "m.*")
-    return with_deltas(tidy) if compare else tidy
+    return with_deltas(tidy) if "previous" in windows else tidy
 
 
 def with_deltas(table: DataFrame) -> DataFrame:

@@ -99,11 +99,15 @@ def new_events(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return once.join(existing.select("id"), "id", "left_anti")
 
 
-def append_events(incoming: DataFrame, path: str, sessions: str | None = None, batch: str | None = None, people: str | None = None) -> None:
+def append_events(
+    incoming: DataFrame, path: str, sessions: str | None = None, batch: str | None = None, people: str | None = None,
+    distincts: str | None = None,
+) -> None:
     """A2: idempotent append. Stored ids are looked up only on the sites and days that arrive.
 
     With ``sessions``, the folder of the side table, or ``people``, that of the ledger, these are kept up too: first, under the
-    append's name ``batch``, so that an append run again under that name after a failure counts once.
+    append's name ``batch``, so that an append run again under that name after a failure counts once. So are the day bitmaps
+    in the folder ``distincts``.
     """
     spark = incoming.sparkSession
     fresh = new_events(incoming, read_near(spark, path, incoming))
@@ -115,6 +119,10 @@ def append_events(incoming: DataFrame, path: str, sessions: str | None = None, b
         from footlog.sources.people_days import people_days, write_people_days
 
         write_people_days(people_days(fresh, batch), people)
+    if distincts is not None:
+        from footlog.sources.distinct_days import append_distinct_days
+
+        append_distinct_days(fresh, distincts)
     write_events(fresh, path)
 
 
@@ -129,11 +137,15 @@ def count_batch(events: DataFrame, site: str, batch: str) -> DataFrame:
     return events.where((F.col("site_id") == site) & (prop("_import") == batch)).agg(F.count(F.lit(1)).alias("removed"))
 
 
-def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch: str, sessions: str | None = None, people: str | None = None) -> int:
+def remove_batch(
+    spark: SparkSession, path: str, staging: str, site: str, batch: str, sessions: str | None = None, people: str | None = None,
+    distincts: str | None = None,
+) -> int:
     """Delete one batch by rewriting only the partitions that hold it; returns the rows removed.
 
     Kept rows go to ``staging`` (a shared folder) first, since a partition cannot be read while it is replaced. The side
-    table in the folder ``sessions`` and the ledger in ``people``, if named, are rebuilt for the same days.
+    table in the folder ``sessions``, the ledger in ``people`` and the bitmaps in ``distincts``, if named, are rebuilt for
+    the same days.
     """
     events = read_events(spark, path)
     removed = count_batch(events, site, batch).first()["removed"]
@@ -158,6 +170,10 @@ def remove_batch(spark: SparkSession, path: str, staging: str, site: str, batch:
         from footlog.sources import people_days
 
         people_days.rebuild(read_events(spark, path), people, site, days)
+    if distincts is not None:
+        from footlog.sources import distinct_days
+
+        distinct_days.rebuild(read_events(spark, path), distincts, site, days)
     return removed
 
 
