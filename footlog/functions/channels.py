@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from footlog.functions.stages import listed, quoted
 
 # Fixed value: the version of the tables below.
@@ -45,20 +43,18 @@ MEDIUMS = {
 }
 
 
-
-
 def _lookup(table: dict[str, str], key: str) -> str:
     pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items())
     return f"try_element_at(map({pairs}), {key})"
 
 
-def _known_suffix(hosts: list[str], host: str) -> str:
-    """The longest table host that is the host or a dot-delimited end of it; '' when none is.
+def _by_suffix(table: dict[str, str], host: str) -> str:
+    """What the table says of the longest of its hosts that is the host or a dot-delimited end of it; null when none is.
 
-    The leftmost match of an anchored alternation is the longest suffix, and an exact host is longest of all.
+    The host's own ends are looked up, longest first: as many as the table's hosts have different numbers of labels.
     """
-    names = "|".join(re.escape(h) for h in hosts)
-    return rf"regexp_extract({host}, r'(?:^|\.)({names})$', 1)"
+    labels = sorted({h.count(".") + 1 for h in table}, reverse=True)
+    return "coalesce(" + ", ".join(_lookup(table, f"substring_index({host}, '.', -{n})") for n in labels) + ")"
 
 
 _AI_NAMES = sorted(set(HOSTS["ai"].values()))
@@ -74,7 +70,7 @@ def _verdict(channel: str, source: str, signal: str) -> str:
 AI_SOURCE = (
     {"_said": r"regexp_replace(lower(trim(utm_source)), r'^www\.', '')"},
     {
-        "_assistant": f"""coalesce({_lookup(HOSTS["ai"], _known_suffix(list(HOSTS["ai"]), "_said"))},
+        "_assistant": f"""coalesce({_by_suffix(HOSTS["ai"], "_said")},
           CASE WHEN lower(trim(utm_source)) IN {listed(_AI_NAMES)} THEN lower(trim(utm_source)) END)"""
     },
 )
@@ -85,7 +81,7 @@ CLASSIFY = (
     *AI_SOURCE,
     {
         "_own": r"regexp_replace(lower(_own_host), r'^www\.', '')",
-        "_found": f"split({_lookup(_BY_HOST, _known_suffix(list(_BY_HOST), 'referrer_host'))}, ':')",
+        "_found": f"split({_by_suffix(_BY_HOST, 'referrer_host')}, ':')",
         "_medium": _lookup(MEDIUMS, "utm_medium"),
     },
     {

@@ -327,3 +327,18 @@ def test_visitors_change_daily_and_late_events_are_dated_back(spark):
 def test_ai_source_names(spark):
     assert one(spark, {"utm_source": "WWW.claude.ai"}, channels.AI_SOURCE, "_assistant") == ("claude",)
     assert one(spark, {"utm_source": "newsletter"}, channels.AI_SOURCE, "_assistant") == (None,)
+
+
+def test_hosts_are_found_by_their_longest_known_end(spark):
+    table = {h: f"{c}:{s}" for c, hosts in channels.HOSTS.items() for h, s in hosts.items()}
+    hosts = ["", ".", "com", "localhost", "10.0.0.1"]
+    for host in table:
+        hosts += [host, f"a.{host}", f"a.b.c.d.{host}", f"x{host}", f"{host}.evil.net", f".{host}", host.split(".", 1)[1], f"mail.{host}"]
+
+    def ends_of(host: str) -> str | None:
+        ends = [known for known in table if host == known or host.endswith("." + known)]
+        return table[max(ends, key=len)] if ends else None
+
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").selectExpr("host", f"{channels._by_suffix(table, 'host')} AS found")
+    got = {r.host: r.found for r in rows.collect()}
+    assert got == {h: ends_of(h) for h in hosts} and sum(v is not None for v in got.values()) > 200
