@@ -38,9 +38,10 @@ BITS, PROBES = 10, 5
 FIRST_BITS, FIRST_PROBES = 18, 12
 #: Pairs of words count from this number of meetings on.
 PAIRS = 1
-PER_BLOCK, SEGMENT, HEAD = 200_000, 128 << 20, 150_000
+#: A segment is unpacked by every Python worker of an executor, so this bounds what the filter takes there.
+PER_BLOCK, SEGMENT, HEAD = 200_000, 72 << 20, 150_000
 #: Bytes of text a task looks at together.
-SLICE = 3 << 20
+SLICE = 1 << 20
 _FLUSH = 100_000
 #: Bigram hashes a task holds before it adds them up.
 _HELD = 1_000_000
