@@ -1,15 +1,19 @@
 import json
 import random
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from footlog.model import COLUMN_DEFAULTS, DAY_MS, EVENT_SCHEMA, MINUTE_MS
+from footlog.model import COLUMN_DEFAULTS, DAY_MS, EVENT_SCHEMA, MINUTE_MS, Scope, Window
+from footlog.operators import scalars
 from footlog.operators.ordered import sessionize
 from footlog.plans.enrich import SESSION_NAME, ingest
+from footlog.sources import distinct_days
 from footlog.sources.beacons import batch_answers, open_batches, read_requests, stream_requests
 from footlog.sources.event_table import append_events, new_events, read_events, read_near, with_defaults, write_events
+from footlog.sources.people_days import VISIT, once, people_days, read_people_days
 from footlog.sources.session_days import fold, read_session_days, session_days
 from footlog.streaming import intake, live, sessions
 from tests.raw import CHROME, NOW, raw_frame, sites_frame
@@ -85,19 +89,28 @@ def test_intake_is_idempotent_and_continues_sessions(spark, tmp_path):
     assert rows[0].session_id == rows[1].session_id == rows[2].session_id != rows[3].session_id
 
 
-def test_the_intake_keeps_the_side_table(spark, tmp_path):
-    table, side = str(tmp_path / "events"), str(tmp_path / "sessions")
+def test_the_intake_keeps_the_side_tables(spark, tmp_path):
+    table, side, people, bits = (str(tmp_path / name) for name in ("events", "sessions", "people", "distincts"))
+    distinct_days.create(spark, bits)
     write_events(with_defaults(spark.createDataFrame([], EVENT_SCHEMA)), table)
     (tmp_path / "in").mkdir()
     requests = stream_requests(spark, str(tmp_path / "in"))
     for start, times in ((0, [0, 1000]), (2, [GAP + 1000, 3 * GAP])):
         landed(tmp_path / "in", start, times)
-        intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c"), True, side).awaitTermination(120)
+        intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c"), True, side, people, bits).awaitTermination(120)
     # The same requests again, under a new checkpoint: nothing is stored or told twice.
-    intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c2"), True, side).awaitTermination(120)
+    intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c2"), True, side, people, bits).awaitTermination(120)
     got = sorted((r.started, r.ended, r.pageviews) for r in fold(read_session_days(spark, side)).collect())
     rows = sorted((r.started, r.ended, r.pageviews) for r in fold(session_days(read_events(spark, table))).collect())
     assert got == rows and [r[2] for r in got] == [3, 1]
+    events = read_events(spark, table)
+    visits = sorted(map(str, once(read_people_days(spark, people).visits, VISIT).collect()))
+    assert visits == sorted(map(str, once(people_days(events).visits, VISIT).collect()))
+    whole = Scope(events, Window(NOW - DAY_MS, NOW + DAY_MS))
+    counted = replace(whole, distincts=distinct_days.read_distinct_days(spark, bits))
+    for metric, n in (("visitors.unique", 1), ("sessions.total", 2)):
+        assert scalars.scalar(counted, metric).collect() == scalars.scalar(whole, metric).collect()
+        assert [r.value for r in scalars.scalar(counted, metric).collect()] == [n]
 
 
 def test_a_late_event_joins_the_stored_visit(spark, tmp_path):
