@@ -168,6 +168,22 @@ def vital_samples(extra: str, src: str = "h") -> str:
     )
 
 
+def vitals_overview(window: tuple) -> str:
+    return ev(
+        "SELECT site_id, vital, percentile, max(CASE WHEN period = 'now' THEN value END) AS value, "
+        "coalesce(max(CASE WHEN period = 'now' THEN samples END), 0) AS samples, "
+        "max(CASE WHEN period = 'before' THEN value END) AS previous, "
+        "coalesce(max(CASE WHEN period = 'before' THEN samples END), 0) AS previous_samples FROM ("
+        + " UNION ALL ".join(
+            f"SELECT {p} AS percentile, * FROM ({nearest('SELECT * FROM s', 'site_id, vital, period', str(p / 100))})"
+            for p in (50, 75, 90, 99)
+        )
+        + ") GROUP BY 1, 2, 3",
+        f"s AS ({vital_samples(f', CASE WHEN {win(window)} THEN ' + chr(39) + 'now' + chr(39) + ' ELSE ' + chr(39) + 'before' + chr(39) + ' END AS period')})",
+        w=(2 * window[0] - window[1], window[1]),
+    )
+
+
 def bundle_oracles() -> dict[str, str]:
     edge = (
         "SELECT site_id, path, count(*) AS sessions FROM (SELECT site_id, path, row_number() OVER "
@@ -382,18 +398,8 @@ def bundle_oracles() -> dict[str, str]:
         ),
         "e77_pack_overview": ev(" UNION ALL ".join(tidy)),
         "e78_segment_change": ev(f"SELECT *, value - previous AS change FROM ({segment})"),
-        "f44_vitals_overview": ev(
-            "SELECT site_id, vital, percentile, max(CASE WHEN period = 'now' THEN value END) AS value, "
-            "coalesce(max(CASE WHEN period = 'now' THEN samples END), 0) AS samples, "
-            "max(CASE WHEN period = 'before' THEN value END) AS previous, "
-            "coalesce(max(CASE WHEN period = 'before' THEN samples END), 0) AS previous_samples FROM ("
-            + " UNION ALL ".join(
-                f"SELECT {p} AS percentile, * FROM ({nearest('SELECT * FROM s', 'site_id, vital, period', str(p / 100))})"
-                for p in (50, 75, 90, 99)
-            )
-            + ") GROUP BY 1, 2, 3",
-            f"s AS ({vital_samples(f', CASE WHEN {win(LATE)} THEN ' + chr(39) + 'now' + chr(39) + ' ELSE ' + chr(39) + 'before' + chr(39) + ' END AS period')})",
-        ),
+        "f44_vitals_overview": vitals_overview(LATE),
+        "f44_vitals_overview_counts": vitals_overview(MIDDLE),
         "f45_vitals_by_path": ev(
             top(nearest("SELECT * FROM s", "site_id, vital, g", "0.75"), "samples DESC, g", 50, "site_id, vital"),
             f"s AS ({vital_samples(', path AS g')})",
@@ -1023,6 +1029,7 @@ def pack_oracles(known: dict[str, str]) -> dict[str, str]:
 
 
 FROM_BITMAPS = ["e05_visitors_unique", "e06_sessions_total", "e42_bots_suspected", "e44_agent_sessions"]
+FROM_COUNTS = ["e53_vitals_p75", "e54_vitals_slow_pages", "f45_vitals_by_path", "f46_vitals_series"]
 FROM_LEDGER = (
     "f17_one_and_done f19_plans f23_data_from f24_people f25_people_summary f26_top_actions f27_people_by_plan f28_actions_by_day f28_latest_visits"
 ).split()
@@ -1034,4 +1041,6 @@ def all_oracles() -> dict[str, str]:
     known |= {f"{name}_ledger": known[name] for name in FROM_LEDGER}
     # And from day bitmaps.
     known |= {f"{name}_bitmaps": known[name] for name in FROM_BITMAPS}
+    # And from stored value counts.
+    known |= {f"{name}_counts": known[name] for name in FROM_COUNTS}
     return known | pack_oracles(known)

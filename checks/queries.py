@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sample_view import distinct_table, event_table, long_visits, people_table, session_table
+from checks.sample_view import distinct_table, event_table, long_visits, people_table, session_table, vital_table
 from footlog.model import DAY_MS, HOUR_MS, Scope, Window
 from footlog.operators import (
     breakdowns, explore, filters, geo, lifecycle, paths, people, portfolio, retention, revenue, scalars, series, vitals,
@@ -55,6 +55,15 @@ def on_bits(operator: Callable[..., DataFrame], *args, window: Window = FULL, **
     return run
 
 
+def on_counts(operator: Callable[..., DataFrame], *args, window: Window = FULL, **options) -> Query:
+    """Vitals from stored value counts; events are read only of days the windows cut."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(scope(spark, sf_dir, window, vitals=vital_table(spark, sf_dir)), *args, **options)
+
+    return run
+
+
 def on_long(operator: Callable[..., DataFrame], *args, filters: tuple = (), **options) -> Query:
     """Over visits of up to three days, in a window of two days: whole visits reach beyond it."""
 
@@ -168,6 +177,11 @@ def bundle_queries() -> dict[str, Query]:
         "f44_vitals_overview": on(vitals.overview, window=LATE),
         "f45_vitals_by_path": on(vitals.by_dimension, "path"),
         "f46_vitals_series": on(vitals.over_time, DAY_MS),
+        "e53_vitals_p75_counts": on_counts(vitals.bundle_p75),
+        "e54_vitals_slow_pages_counts": on_counts(breakdowns.slow_pages),
+        "f44_vitals_overview_counts": on_counts(vitals.overview, window=MIDDLE),
+        "f45_vitals_by_path_counts": on_counts(vitals.by_dimension, "path"),
+        "f46_vitals_series_counts": on_counts(vitals.over_time, DAY_MS),
     }
     return out
 

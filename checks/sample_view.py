@@ -15,6 +15,7 @@ from footlog.sources import distinct_days
 from footlog.sources.distinct_days import DistinctDays
 from footlog.sources.people_days import Ledger, people_days, read_people_days, write_people_days
 from footlog.sources.session_days import read_session_days, session_days, write_session_days
+from footlog.sources.vital_days import read_vital_days, vital_days, write_vital_days
 
 GAP_MS = 21_600_000
 MS_SPARK = "unix_millis(to_timestamp_ltz(concat(cast(ts as string), 'Z')))"
@@ -187,6 +188,17 @@ def distinct_table(spark: SparkSession, sf_dir: str) -> DistinctDays:
     return _distincts[key]
 
 
+def vital_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value counts of vitals of ``event_table``, written once per application in two appends, the second of them twice."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#vitals")
+    if key not in _tables:
+        path = f"{shared_folder(spark)}/footlog-{key[0]}-{uuid.uuid4().hex[:8]}/vitals"
+        for part in (0, 1, 1):
+            write_vital_days(vital_days(event_table(spark, sf_dir).where(F.col("ingest_seq") % 2 == part), f"part{part}"), path)
+        _tables[key] = read_vital_days(spark, path)
+    return _tables[key]
+
+
 #: Visits that go on for up to three days: the same events under other session ids.
 LONG_VISIT = "concat(case when identity <> '' then identity else visitor_id end, '-', cast(cast(floor(ts / 259200000) as bigint) as string))"
 

@@ -22,7 +22,7 @@ def prop_text(key: str, props: str = "props") -> Column:
 
 
 def number(key: str, props: str = "props") -> Column:
-    return prop(key, props).cast("double")
+    return prop(key, props).try_cast("double")
 
 
 def round_to(value: Column, digits: int = 0) -> Column:

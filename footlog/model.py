@@ -138,7 +138,7 @@ class Scope:
     scan answers every tenant. With ``site`` the scan prunes to its partitions. With ``sessions``, the side table of
     session days, whole sessions are read from it, or from the days on which the window's sessions have events. With
     ``people``, the ledger of people, reports on people read no event day outside the window. With ``distincts``, unfiltered
-    counts of visitors and sessions are made of the days' bitmaps.
+    counts of visitors and sessions are made of the days' bitmaps, and with ``vitals``, unfiltered vitals of stored value counts.
     """
 
     events: DataFrame
@@ -149,6 +149,7 @@ class Scope:
     sessions: DataFrame | None = None
     people: Ledger | None = None
     distincts: DistinctDays | None = None
+    vitals: DataFrame | None = None
 
     def at(self, window: Window) -> Scope:
         return replace(self, window=window)
@@ -182,6 +183,10 @@ class Scope:
         """The dictionary and day bitmaps of the scope's sites, if there are any."""
         return self.distincts if self.distincts is None or self.site is None else self.distincts.of_site(self.site)
 
+    def site_vitals(self) -> DataFrame | None:
+        """The stored value counts of the scope's sites, if there are any."""
+        return self.vitals if self.vitals is None or self.site is None else self.vitals.where(F.col("site_id") == self.site)
+
     def session_events(self, until_only: bool = False) -> DataFrame:
         """Every event that a session of the window may have; without the side table, of any time."""
         events, sessions = self.site_events(), self.site_sessions()

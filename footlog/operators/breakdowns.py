@@ -11,6 +11,7 @@ from footlog.functions.values import bucket_of, distinct, in_order, number, per_
 from footlog.model import DAY_MS, HOUR_MS, Scope, is_pageview
 from footlog.operators.ordered import top_per, with_neighbour
 from footlog.operators.scalars import CAMPAIGN_SITES, SIGNUP_EVENTS
+from footlog.sources import vital_days
 
 PAGEVIEWS = "type = 'pageview'"
 
@@ -214,10 +215,13 @@ def weekhour(scope: Scope, offset_minutes: int = 0) -> DataFrame:
 
 def slow_pages(scope: Scope, min_samples: int = 3, limit: int = 10) -> DataFrame:
     """Pages by mean largest contentful paint."""
-    timed = scope.rows().where("name = 'web_vitals'").select("site_id", "path", number("lcp").alias("value"))
-    grouped = timed.where(F.col("value").isNotNull()).groupBy("site_id", "path").agg(
-        round_to(F.avg("value")).alias("lcp"), F.count(F.lit(1)).alias("samples")
-    )
+    if vital_days.usable(scope):
+        held = vital_days.counts(scope, [scope.window], "slow").withColumnRenamed("g", "path")
+        measures = round_to(F.sum("total") / F.sum("n")), F.sum("n")
+    else:
+        timed = scope.rows().where("name = 'web_vitals'").select("site_id", "path", number("lcp").alias("value"))
+        held, measures = timed.where(F.col("value").isNotNull()), (round_to(F.avg("value")), F.count(F.lit(1)))
+    grouped = held.groupBy("site_id", "path").agg(measures[0].alias("lcp"), measures[1].alias("samples"))
     return top_per(grouped.where(F.col("samples") >= min_samples), limit, [F.desc("lcp"), F.asc("path")])
 
 

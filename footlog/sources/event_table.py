@@ -101,13 +101,13 @@ def new_events(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 def append_events(
     incoming: DataFrame, path: str, sessions: str | None = None, batch: str | None = None, people: str | None = None,
-    distincts: str | None = None,
+    distincts: str | None = None, vitals: str | None = None,
 ) -> None:
     """A2: idempotent append. Stored ids are looked up only on the sites and days that arrive.
 
     With ``sessions``, the folder of the side table, or ``people``, that of the ledger, these are kept up too: first, under the
     append's name ``batch``, so that an append run again under that name after a failure counts once. So are the day bitmaps
-    in the folder ``distincts``.
+    in the folder ``distincts`` and the value counts in ``vitals``.
     """
     spark = incoming.sparkSession
     fresh = new_events(incoming, read_near(spark, path, incoming))
@@ -123,6 +123,10 @@ def append_events(
         from footlog.sources.distinct_days import append_distinct_days
 
         append_distinct_days(fresh, distincts)
+    if vitals is not None:
+        from footlog.sources.vital_days import vital_days, write_vital_days
+
+        write_vital_days(vital_days(fresh, batch), vitals)
     write_events(fresh, path)
 
 
@@ -139,13 +143,13 @@ def count_batch(events: DataFrame, site: str, batch: str) -> DataFrame:
 
 def remove_batch(
     spark: SparkSession, path: str, staging: str, site: str, batch: str, sessions: str | None = None, people: str | None = None,
-    distincts: str | None = None,
+    distincts: str | None = None, vitals: str | None = None,
 ) -> int:
     """Delete one batch by rewriting only the partitions that hold it; returns the rows removed.
 
     Kept rows go to ``staging`` (a shared folder) first, since a partition cannot be read while it is replaced. The side
-    table in the folder ``sessions``, the ledger in ``people`` and the bitmaps in ``distincts``, if named, are rebuilt for
-    the same days.
+    table in the folder ``sessions``, the ledger in ``people``, the bitmaps in ``distincts`` and the value counts in ``vitals``,
+    if named, are rebuilt for the same days.
     """
     events = read_events(spark, path)
     removed = count_batch(events, site, batch).first()["removed"]
@@ -174,6 +178,10 @@ def remove_batch(
         from footlog.sources import distinct_days
 
         distinct_days.rebuild(read_events(spark, path), distincts, site, days)
+    if vitals is not None:
+        from footlog.sources import vital_days
+
+        vital_days.rebuild(read_events(spark, path), vitals, site, days)
     return removed
 
 

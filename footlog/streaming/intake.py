@@ -12,6 +12,7 @@ from footlog.sources.event_table import new_events, read_near, with_defaults, wr
 from footlog.sources.distinct_days import append_distinct_days
 from footlog.sources.people_days import people_days, write_people_days
 from footlog.sources.session_days import session_days, write_session_days
+from footlog.sources.vital_days import vital_days, write_vital_days
 
 
 def enriched(requests: DataFrame, sites: DataFrame, secret: str, **options) -> DataFrame:
@@ -25,14 +26,15 @@ def refusals(requests: DataFrame, sites: DataFrame, secret: str, **options) -> D
 
 def start_intake(
     requests: DataFrame, sites: DataFrame, secret: str, table: str, checkpoint: str, available_now: bool = False,
-    sessions: str | None = None, people: str | None = None, distincts: str | None = None, **options,
+    sessions: str | None = None, people: str | None = None, distincts: str | None = None,
+    vitals: str | None = None, **options,
 ) -> StreamingQuery:
     """Append a stream of requests to the event table, one idempotent write per micro-batch.
 
     Each batch is enriched, joined with the stored events of the same days only, and its sessions continue those
     already stored: a batch that is run again after a failure adds nothing twice. ``sessions`` is the folder of the side
     table of session days and ``people`` that of the ledger of people, kept up with every batch if named,
-    like the day bitmaps in ``distincts``.
+    like the day bitmaps in ``distincts`` and the value counts in ``vitals``.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -49,6 +51,8 @@ def start_intake(
             write_people_days(people_days(named, f"{checkpoint}#{number}"), people)
         if distincts is not None:
             append_distinct_days(named, distincts)
+        if vitals is not None:
+            write_vital_days(vital_days(named, f"{checkpoint}#{number}"), vitals)
         write_events(named.select(*EVENT_SCHEMA.fieldNames()), table)
         events.unpersist()
 
