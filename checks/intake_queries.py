@@ -496,33 +496,46 @@ def replay_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("site_id", "visitor_id", "name", "started_at", "errors")
 
 
-def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = recorded(spark, sf_dir).select(*recordings.CHUNK_KEYS, "replay_id", "started_at")
-    return landed_chunks(spark, sf_dir).join(placed, recordings.CHUNK_KEYS)
+def closer(rows: DataFrame) -> DataFrame:
+    """The rows of a site's day as one visitor's, in half the time: recordings of many chunks, cut by limit and silence."""
+    day = F.floor(F.col("ts") / DAY_MS).cast("long")
+    return rows.withColumns({"visitor_id": F.concat(F.lit("day-"), day.cast("string")), "ts": day * DAY_MS + F.floor(F.col("ts") % DAY_MS / 2).cast("long")})
 
 
-def by_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded events with the visitor's page load as the recording, so state runs over a whole day of chunks."""
-    rows = landed_chunks(spark, sf_dir)
-    return rows.withColumn("replay_id", F.col("visitor_id")).withColumn("started_at", F.col("ts"))
+def close_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that lie closer, with their recording, kept."""
+
+    def write(path: str) -> DataFrame:
+        facts = replays.chunk_facts(closer(landed_chunks(spark, sf_dir)))
+        placed = replays.recorded_chunks(facts, replay_settings(spark, sf_dir), staging=f"{path}-steps")
+        placed.write.parquet(path)
+        return spark.read.schema(placed.schema).parquet(path)
+
+    return kept_table(spark, sf_dir, "close_chunks", write)
+
+
+def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of all recordings; those of refused chunks are in none."""
+    placed = close_chunks(spark, sf_dir).select(*recordings.CHUNK_KEYS, "replay_id", "started_at")
+    return closer(landed_chunks(spark, sf_dir)).join(placed, recordings.CHUNK_KEYS)
 
 
 def heat(part: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = heatmap.heatmap(by_visit(spark, sf_dir), points=8000, page_count=100)[part]
+        rows = heatmap.heatmap(recorded_events(spark, sf_dir), points=8000, page_count=100)[part]
         return rows.select("site_id", "device", "path", "snap", "at") if part == "snapshot" else rows
 
     return run
 
 
 def playback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replays.playback(by_visit(spark, sf_dir)).select("site_id", "replay_id", "seq", "pos", "at", "type")
+    return replays.playback(recorded_events(spark, sf_dir)).select("site_id", "replay_id", "seq", "pos", "at", "type")
 
 
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_table(spark, sf_dir)
-    links = events.groupBy("site_id", F.col("visitor_id").alias("replay_id")).agg(F.min("session_id").alias("session_id"))
-    return replays.markers(by_visit(spark, sf_dir), links, events, limit=2000)
+    events = closer(event_table(spark, sf_dir).drop("day"))
+    rows = replays.recordings(close_chunks(spark, sf_dir), events.select("site_id", "visitor_id", "ts", "session_id"))
+    return replays.markers(recorded_events(spark, sf_dir), rows, events, limit=2000)
 
 
 def change_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
