@@ -985,8 +985,10 @@ def report_oracles() -> dict[str, str]:
         ),
         "f51_geo_report": ev(
             f"SELECT c.site_id, c.country, c.sessions, coalesce(n.name, c.country) AS country_name, n.lat AS country_lat, n.lon AS country_lon FROM "
-            f"(SELECT site_id, country, {SES} AS sessions FROM h WHERE country <> '' GROUP BY 1, 2) c LEFT JOIN (SELECT substr(n_name, 1, 2) AS code, "
-            "min(n_name) AS name, CAST(0 AS DOUBLE) AS lat, CAST(0 AS DOUBLE) AS lon FROM nation GROUP BY 1) n ON n.code = c.country"
+            f"(SELECT site_id, country, {SES} AS sessions FROM h WHERE country <> '' GROUP BY 1, 2) c LEFT JOIN (SELECT code, "
+            "list_aggregate(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS name, lat, lon FROM nation "
+            "JOIN (VALUES ('FRANCE', 'FR', 46.0::DOUBLE, 2.0::DOUBLE), ('GERMANY', 'DE', 51.0, 9.0), ('UNITED STATES', 'US', 38.0, -97.0)) k(n_name, code, lat, lon) "
+            "USING (n_name)) n ON n.code = c.country"
         ),
     }
 

@@ -202,11 +202,23 @@ def with_quiet_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites(spark, sf_dir).unionByName(spark.range(1).select(F.lit("s9").alias("site_id"), F.lit("standard").alias("privacy_mode")))
 
 
+# ISO 3166 codes of nations and the middle of each, in degrees.
+NATIONS = {
+    "ALGERIA": ("DZ", 28.0, 3.0), "ARGENTINA": ("AR", -34.0, -64.0), "BRAZIL": ("BR", -10.0, -55.0), "CANADA": ("CA", 60.0, -95.0),
+    "CHINA": ("CN", 35.0, 105.0), "EGYPT": ("EG", 27.0, 30.0), "ETHIOPIA": ("ET", 8.0, 38.0), "FRANCE": ("FR", 46.0, 2.0),
+    "GERMANY": ("DE", 51.0, 9.0), "INDIA": ("IN", 20.0, 77.0), "INDONESIA": ("ID", -5.0, 120.0), "IRAN": ("IR", 32.0, 53.0),
+    "IRAQ": ("IQ", 33.0, 44.0), "JAPAN": ("JP", 36.0, 138.0), "JORDAN": ("JO", 31.0, 36.0), "KENYA": ("KE", 1.0, 38.0),
+    "MOROCCO": ("MA", 32.0, -5.0), "MOZAMBIQUE": ("MZ", -18.25, 35.0), "PERU": ("PE", -10.0, -76.0), "ROMANIA": ("RO", 46.0, 25.0),
+    "RUSSIA": ("RU", 60.0, 100.0), "SAUDI ARABIA": ("SA", 25.0, 45.0), "UNITED KINGDOM": ("GB", 54.0, -2.0),
+    "UNITED STATES": ("US", 38.0, -97.0), "VIETNAM": ("VN", 16.0, 106.0),
+}
+
+
 def nation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A country table read from nations: the first two letters stand for the code."""
+    """A country table of the nations there are, with their codes and middles; a country that is no nation has no row."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    coded = nations.groupBy(F.substring("n_name", 1, 2).alias("code")).agg(F.min("n_name").alias("name"))
-    return coded.select("code", "name", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    known = spark.createDataFrame([(n, *row) for n, row in NATIONS.items()], "n_name string, code string, lat double, lon double")
+    return nations.join(known, "n_name").select("code", F.initcap(F.lower("n_name")).alias("name"), "lat", "lon")
 
 
 def report_queries() -> dict[str, Query]:

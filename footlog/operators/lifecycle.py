@@ -44,6 +44,23 @@ def people_flags(scope: Scope) -> DataFrame:
     )
 
 
+def people_states(scope: Scope) -> DataFrame:
+    """``people_flags`` and the latest ``plan`` of each person, null without any, in one fold."""
+    earlier = scope.window.previous()
+    if scope.people is None:
+        planned = F.when(F.col("plan").isNotNull(), F.struct("ts", "ingest_seq", "plan"))
+        rows = identified(scope).select(*PERSON, "ts", "ingest_seq", prop("plan").alias("plan")).withColumn("planned", planned)
+    else:
+        held = visits_until_end(scope, earlier.from_ms, scope.window.from_ms).where(taken_in(scope))
+        rows = held.select(*PERSON, F.col("first_ts").alias("ts"), "planned")
+    return rows.groupBy(*PERSON).agg(
+        F.min("ts").alias("first_ts"),
+        F.max(F.when(scope.window.contains(), 1).otherwise(0)).alias("cur"),
+        F.max(F.when(earlier.contains(), 1).otherwise(0)).alias("prev"),
+        F.max("planned").getField("plan").alias("plan"),
+    )
+
+
 def accounting_columns(from_ms: int) -> list[Column]:
     cur, prev, new = F.col("cur") == 1, F.col("prev") == 1, F.col("first_ts") >= from_ms
     return [

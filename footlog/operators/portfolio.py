@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footlog.functions.values import bucket_of, count_when, distinct, round_to
@@ -99,29 +99,53 @@ def series(scope: Scope, sites: DataFrame) -> DataFrame:
     )
 
 
-def platforms(scope: Scope) -> DataFrame:
-    """visitors per platform, read from the browser bucket."""
+def _platform() -> Column:
     browser = F.col("browser")
-    platform = (
+    return (
         F.when(browser == "iOS app", "ios")
         .when(browser == "Android app", "android")
         .when((browser == "App") | F.lower(browser).endswith(" app"), "app")
         .otherwise("web")
     )
-    rows = scope.rows(filtered=False).withColumn("platform", platform)
+
+
+def platforms(scope: Scope) -> DataFrame:
+    """visitors per platform, read from the browser bucket."""
+    rows = scope.rows(filtered=False).withColumn("platform", _platform())
     return rows.groupBy("site_id", "platform").agg(distinct("visitor_id").alias("visitors"))
 
 
+def _by_visitor(scope: Scope) -> DataFrame:
+    """F30, signups and F35 of the portfolio, in one fold per visitor."""
+    earlier, now = scope.window.previous(), scope.window.contains()
+    rows = scope.at(scope.window.joined(earlier)).rows(filtered=False).withColumn("_platform", _platform())
+    on = {f"{p}_visitors": F.max(F.when(now & (F.col("_platform") == p), 1).otherwise(0)) for p in PLATFORMS}
+    folded = rows.groupBy("site_id", "visitor_id").agg(
+        F.max(F.when(now, 1).otherwise(0)).alias("visitors"),
+        F.max(F.when(now, 0).otherwise(1)).alias("prev_visitors"),
+        count_when(now & is_pageview()).alias("pageviews"),
+        count_when(now & (F.col("name") == "signup")).alias("signups"),
+        *[flag.alias(name) for name, flag in on.items()],
+    )
+    summed = ["visitors", "prev_visitors", "pageviews", "signups", *on]
+    return folded.groupBy("site_id").agg(*[F.sum(c).cast("long").alias(c) for c in summed])
+
+
+def _by_person(scope: Scope) -> DataFrame:
+    """F31 and the paying people of the portfolio, in one fold per person."""
+    paid = F.col("plan").isNotNull() & ~F.col("plan").isin(lifecycle.FREE_PLANS)
+    columns = lifecycle.accounting_columns(scope.window.from_ms)
+    return lifecycle.people_states(scope).groupBy("site_id").agg(*columns, count_when(paid).alias("paying"))
+
+
 def portfolio(scope: Scope, sites: DataFrame) -> DataFrame:
     """one row per site of ``sites`` (site_id, privacy_mode); people columns are null on strict sites.
 
-    Every part has one row per site already, so the joins move site-sized tables only.
+    Three scans: one fold per visitor, one per person, and the plan changes. Every part has one row per site already, so the
+    joins move site-sized tables only.
     """
-    wide = platforms(scope).groupBy("site_id").agg(
-        *[F.max(F.when(F.col("platform") == p, F.col("visitors")).otherwise(0)).alias(f"{p}_visitors") for p in PLATFORMS]
-    )
     joined = sites.select("site_id", "privacy_mode")
-    for part in (traffic(scope), people(scope), signups(scope), moves(scope), paying(scope), wide):
+    for part in (_by_visitor(scope), _by_person(scope), moves(scope)):
         joined = joined.join(part, "site_id", "left")
     strict = F.col("privacy_mode") == "strict"
     measured = ["known", "active", "prev_active", "new_users", "resurrected", "churned"]
