@@ -389,9 +389,9 @@ def intake_oracles() -> dict[str, str]:
         "b25_quality": rq(
             "SELECT count(*) AS cases, count(CASE WHEN ok THEN 1 END) AS correct, count(CASE WHEN ok THEN 1 END) / count(*) AS accuracy, "
             "count(CASE WHEN said AND wanted THEN 1 END) / count(CASE WHEN said THEN 1 END) AS \"precision\", "
-            "count(CASE WHEN said AND wanted THEN 1 END) / count(CASE WHEN wanted THEN 1 END) AS recall FROM (SELECT e.channel = v.channel AND e.source = v.source "
-            "AND e.bot_kind = v.bot_kind AS ok, e.channel = 'ai' AS said, v.channel = 'ai' AS wanted FROM e JOIN v USING (id))",
-            f"v AS ({VIEW})",
+            "count(CASE WHEN said AND wanted THEN 1 END) / count(CASE WHEN wanted THEN 1 END) AS recall FROM (SELECT e.channel = l.want_channel AND e.source = l.want_source "
+            "AND e.bot_kind = l.want_bot AS ok, e.channel = 'ai' AS said, l.want_channel = 'ai' AS wanted FROM e JOIN l USING (id))",
+            f"l AS ({sample.LABELS_SQL.replace('{EVENTS}', 'events')})",
         ),
         "c01_sessions": view("SELECT id, session_start, session_no FROM z", lead.format(src="v")),
         "c01_ingested_sessions": rq(

@@ -119,15 +119,9 @@ def ip_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The referrer groups of the requests as labelled cases."""
+    """Every request beside its labelled case."""
     predicted = enriched(spark, sf_dir)[0].select("id", "channel", "source", "bot_kind")
-    labels = unsessioned(spark, sf_dir).select(
-        "id",
-        F.col("channel").alias("want_channel"),
-        F.col("source").alias("want_source"),
-        F.col("bot_kind").alias("want_bot"),
-    )
-    return job.classification_quality(predicted, labels, ["id"])
+    return job.classification_quality(predicted, sample.labels(spark, sf_dir), ["id"])
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
