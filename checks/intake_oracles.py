@@ -402,6 +402,10 @@ def intake_oracles() -> dict[str, str]:
             "count(*) AS events FROM z GROUP BY ALL",
             lead.format(src="v").replace(f"> {GAP} ", f"> {GAP_MS} "),
         ),
+        "c07_stream_visitors": view(
+            f"""SELECT site_id, (ts // 60000 - b.range) * 60000 AS start, count(DISTINCT visitor_id) AS visitors FROM d, range(5) b GROUP BY ALL""",
+            f"""d AS (SELECT site_id, ingest_seq % 20 AS visitor_id, CAST(floor(ts / {DAY}) AS BIGINT) * {DAY} + (ts % {DAY}) // 10 AS ts FROM v WHERE {HUMAN})""",
+        ),
         "c04_recordings": rec(
             "SELECT site_id, visitor_id, started_at, last_at, chunks, events, pages, clicks, inputs, errors, gaps, entry_path, viewport, country, device, session_id FROM rec"
         ),

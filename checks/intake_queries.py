@@ -18,6 +18,7 @@ from footlog.operators import changes, claims, heatmap, replays
 from footlog.operators.ordered import sessionize
 from footlog.plans import enrich as job
 from footlog.sources import beacons, csv_history, event_table as stored, recordings
+from footlog.streaming import live
 from footlog.streaming import sessions as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,25 +144,47 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = unsessioned(spark, sf_dir).withColumn("batch", F.floor((arrived - FULL.from_ms) / F.lit(6 * DAY_MS)))
 
     def write(path: str) -> DataFrame:
-        for batch in range(6):  # written one after another, so that the source reads them in this order
-            rows.where(F.col("batch") == batch).select(*columns).repartition(2).write.mode("append").parquet(f"{path}/arrivals")
-        source = spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/arrivals")
-        settings = {"spark.sql.streaming.stateStore.providerClass": stream.ROCKSDB, "spark.sql.shuffle.partitions": "4"}
-        before = {key: spark.conf.get(key, None) for key in settings}
-        try:
-            for key, value in settings.items():
-                spark.conf.set(key, value)
-            slices = stream.session_slices(source, GAP_MS).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
-            slices.trigger(availableNow=True).start(f"{path}/slices").awaitTermination()
-        finally:
-            for key, value in before.items():
-                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-        return spark.read.parquet(f"{path}/slices")
+        return streamed(rows, columns, path, lambda source: stream.session_slices(source, GAP_MS))
 
     named = stream.named_by_slices(rows, kept_table(spark, sf_dir, "stream_sessions", write), GAP_MS)
     return named.groupBy("site_id", "session_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), counting("events"))
 
 
+def stream_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's events as the same stream of arrivals; visitors of every five minutes, minute by minute."""
+    columns = ["ts", "site_id", "visitor_id", "bot_kind", "bot_score", "agent_trust"]
+    arrived = F.col("ts") + F.when(F.col("ingest_seq") % 10 == 0, 6 * 3_600_000).otherwise(0)
+    # A site's events of a day as twenty visitors', ten times as close, so that visitors come back within minutes.
+    start = F.floor(F.col("ts") / DAY_MS).cast("long") * DAY_MS
+    rows = unsessioned(spark, sf_dir).withColumns(
+        {"batch": F.floor((arrived - FULL.from_ms) / F.lit(6 * DAY_MS)), "visitor_id": (F.col("ingest_seq") % 20).cast("string"), "ts": start + F.floor(F.col("ts") % DAY_MS / 10).cast("long")}
+    )
+
+    def write(path: str) -> DataFrame:
+        return streamed(rows, columns, path, lambda source: live.live_panes(source, lateness="48 hours"))
+
+    return live.live_counts(kept_table(spark, sf_dir, "stream_visitors", write))
+
+
+def streamed(rows: DataFrame, columns: list[str], path: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stored result of a job over the rows as a stream, batch by batch."""
+    spark = rows.sparkSession
+    for batch in range(6):  # written one after another, so that the source reads them in this order
+        rows.where(F.col("batch") == batch).select(*columns).repartition(2).write.mode("append").parquet(f"{path}/arrivals")
+    source = spark.readStream.schema(rows.select(*columns).schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/arrivals")
+    settings = {"spark.sql.streaming.stateStore.providerClass": stream.ROCKSDB, "spark.sql.shuffle.partitions": "4"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        writer = job(source).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+        writer.trigger(availableNow=True).start(f"{path}/told").awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.parquet(f"{path}/told")
+
+
 def split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: every document through one CSV file, its texts' line breaks, commas and quotes in quoted fields; the file is read
     in ranges so short that most of them begin inside a field."""
@@ -596,6 +619,7 @@ def intake_queries() -> dict[str, Query]:
         "c01_sessions_across_runs": session_runs,
         "c01_ingested_sessions": ingested,
         "c02_stream_sessions": stream_sessions,
+        "c07_stream_visitors": stream_visitors,
         "c04_recordings": replay_rows,
         "c04_dense_recordings": dense_recordings,
         "c05_recording_selection": replay_selection,

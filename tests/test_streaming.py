@@ -74,6 +74,29 @@ def test_live_visitors(spark, tmp_path):
     assert {(r.views, r.events) for r in buckets.collect()} == {(3, 0)}
 
 
+def test_panes_count_visitors_as_sliding_windows_do(spark, tmp_path):
+    schema = "site_id string, visitor_id string, ts long, bot_kind string, bot_score int, agent_trust string"
+    picked = random.Random(5)
+    rows = [("ab"[picked.random() < 0.1], f"v{picked.randrange(6)}", NOW + picked.randrange(90 * MINUTE_MS), "", 0, "human") for _ in range(500)]
+    rows += [("a", "v1", NOW + 5 * MINUTE_MS, "crawler", 0, "human"), rows[0]]
+    folder = str(tmp_path / "in")
+    for part in range(3):  # late and out of order
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(folder)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", sessions.ROCKSDB)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    panes = drain(live.live_panes(source), "panes", tmp_path / "c")
+    want = {}
+    for site, visitor, ts, kind, _, _ in rows:
+        for back in range(5 if kind == "" else 0):
+            want.setdefault((site, (ts // MINUTE_MS - back) * MINUTE_MS), set()).add(visitor)
+    assert {(r.site_id, r.start): r.visitors for r in live.live_counts(panes).collect()} == {k: len(v) for k, v in want.items()}
+    distinct_panes = {(r[0], r[1], r[2] // MINUTE_MS) for r in rows if r[3] == ""}
+    assert panes.count() <= len(distinct_panes)
+    assert live.live_counts(panes.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        live.live_panes(source, 90_000)
+
+
 def test_intake_is_idempotent_and_continues_sessions(spark, tmp_path):
     table = str(tmp_path / "events")
     write_events(with_defaults(spark.createDataFrame([], EVENT_SCHEMA)), table)
