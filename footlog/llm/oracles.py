@@ -5,14 +5,13 @@ from __future__ import annotations
 #: Integer inner products of every query vector with every other one, straight from the definition.
 OP5 = """
 with v as (
-  select vec_id, list_transform(min(embedding), lambda x: floor(256 * x::double)) e
+  select vec_id, row_number() over () n, list_transform(embedding, lambda x: floor(256 * x::double)) e
   from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-  group by vec_id),
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 p as (
-  select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.e, c.e)::bigint score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from p)
+  select q.vec_id query_id, q.n, c.vec_id vec_id, list_inner_product(q.e, c.e)::bigint score
+  from v q join v c on c.n <> q.n and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id, n order by score desc, vec_id)::int rank from p)
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 

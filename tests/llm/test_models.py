@@ -169,16 +169,14 @@ def _vectors(spark, n=400, size=6):
 
 def test_top_k_is_brute_force(spark):
     made, frame = _vectors(spark)
-    rows = {}
+    rows = []
     for vec, e in made:
         if vec is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
-            e = [float(np.float32(x)) for x in e]
-            rows[vec] = min(rows.get(vec, e), e)
-    ints = {v: [int(math.floor(256 * x)) for x in e] for v, e in rows.items()}
+            rows.append((vec, [int(math.floor(256 * float(np.float32(x)))) for x in e]))
     want = []
-    for q, e in ints.items():
+    for n, (q, e) in enumerate(rows):
         if q % 50 == 0:
-            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, c, strict=True)))), v) for v, c in ints.items() if v != q and len(c) == len(e))[:5]
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, c, strict=True)))), v) for m, (v, c) in enumerate(rows) if m != n and len(c) == len(e))[:5]
             want += [(q, i + 1, v, -s) for i, (s, v) in enumerate(scored)]
     for block, queries in ((8192, 4096), (60, 3)):
         got = topk.top_k(frame.withColumn("score", F.lit("x")), block=block, queries=queries)
@@ -189,7 +187,7 @@ def test_top_k_is_brute_force(spark):
 def test_search_ends_early_on_telling_lists():
     values = np.zeros((5000, 8))
     values[:, 0] = np.arange(5000)
-    lists = topk.Lists(np.arange(5000), values)
+    lists = topk.Lists(np.arange(5000), np.arange(5000), values)
     ids, scores, scored = lists.best(-1, np.array([3.0, 1, 0, 0, 0, 0, 0, 0]), 5)
     assert ids.tolist() == [4999, 4998, 4997, 4996, 4995] and scored < 300
 
