@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from footlog.model import COLUMN_DEFAULTS, DAY_MS, EVENT_SCHEMA, MINUTE_MS, Scope, Window
-from footlog.operators import scalars
+from footlog.operators import scalars, vitals
 from footlog.operators.ordered import sessionize
 from footlog.plans.enrich import SESSION_NAME, ingest
 from footlog.sources import distinct_days
@@ -15,6 +15,7 @@ from footlog.sources.beacons import batch_answers, open_batches, read_requests,
 from footlog.sources.event_table import append_events, new_events, read_events, read_near, with_defaults, write_events
 from footlog.sources.people_days import VISIT, once, people_days, read_people_days
 from footlog.sources.session_days import fold, read_session_days, session_days
+from footlog.sources.vital_days import read_vital_days
 from footlog.streaming import intake, live, sessions
 from tests.raw import CHROME, NOW, raw_frame, sites_frame
 
@@ -22,11 +23,11 @@ GAP = 30 * MINUTE_MS
 VIEW = {"site": "demo", "type": "pageview", "url": "/"}
 
 
-def landed(path, start, times, ip="1.2.3.4"):
+def landed(path, start, times, ip="1.2.3.4", body=VIEW):
     path.mkdir(exist_ok=True)
     lines = [
         json.dumps(
-            {"request_id": f"q{start + i}", "ingest_seq": start + i, "body": VIEW, "received_at": NOW + t, "ip": ip, "user_agent": CHROME, "headers": {}}
+            {"request_id": f"q{start + i}", "ingest_seq": start + i, "body": body, "received_at": NOW + t, "ip": ip, "user_agent": CHROME, "headers": {}}
         )
         for i, t in enumerate(times)
     ]
@@ -113,16 +114,18 @@ def test_intake_is_idempotent_and_continues_sessions(spark, tmp_path):
 
 
 def test_the_intake_keeps_the_side_tables(spark, tmp_path):
-    table, side, people, bits = (str(tmp_path / name) for name in ("events", "sessions", "people", "distincts"))
+    table, side, people, bits, values = (str(tmp_path / name) for name in ("events", "sessions", "people", "distincts", "vitals"))
+    paint = {"site": "demo", "type": "event", "name": "web_vitals", "url": "/"}
     distinct_days.create(spark, bits)
     write_events(with_defaults(spark.createDataFrame([], EVENT_SCHEMA)), table)
     (tmp_path / "in").mkdir()
     requests = stream_requests(spark, str(tmp_path / "in"))
     for start, times in ((0, [0, 1000]), (2, [GAP + 1000, 3 * GAP])):
         landed(tmp_path / "in", start, times)
-        intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c"), True, side, people, bits).awaitTermination(120)
+        landed(tmp_path / "in", start + 10, [500], body={**paint, "props": {"lcp": 1200 + start, "cls": 0.25}})
+        intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c"), True, side, people, bits, values).awaitTermination(120)
     # The same requests again, under a new checkpoint: nothing is stored or told twice.
-    intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c2"), True, side, people, bits).awaitTermination(120)
+    intake.start_intake(requests, sites_frame(spark), "s", table, str(tmp_path / "c2"), True, side, people, bits, values).awaitTermination(120)
     got = sorted((r.started, r.ended, r.pageviews) for r in fold(read_session_days(spark, side)).collect())
     rows = sorted((r.started, r.ended, r.pageviews) for r in fold(session_days(read_events(spark, table))).collect())
     assert got == rows and [r[2] for r in got] == [3, 1]
@@ -134,6 +137,9 @@ def test_the_intake_keeps_the_side_tables(spark, tmp_path):
     for metric, n in (("visitors.unique", 1), ("sessions.total", 2)):
         assert scalars.scalar(counted, metric).collect() == scalars.scalar(whole, metric).collect()
         assert [r.value for r in scalars.scalar(counted, metric).collect()] == [n]
+    stored = vitals.overview(replace(whole, vitals=read_vital_days(spark, values)))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, vitals.overview(whole).collect()))
+    assert {(r.vital, r.value, r.samples) for r in stored.where("percentile = 50").collect()} == {("lcp", 1202.0, 2), ("cls", 0.25, 2)}
 
 
 def test_a_late_event_joins_the_stored_visit(spark, tmp_path):
