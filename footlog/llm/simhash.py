@@ -92,9 +92,22 @@ def _keyed(rows: DataFrame, masks: list[int], parts: int) -> DataFrame:
     return rows.select("fp", path.alias("path")).select("fp", "path", F.col("fp").bitwiseAND(table[F.col("path")]).alias("key"))
 
 
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """The Hamming distances of every fingerprint to the pivots."""
+    return np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def linked(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which pairs of places (a, b) link: the pivots' distances discard pairs, survivors are verified."""
+    out = (np.abs(table[b] - table[a]) <= radius).all(axis=1)
+    left = np.flatnonzero(out)
+    out[left] = np.bitwise_count(fp[a[left]] ^ fp[b[left]]) <= radius
+    return out
+
+
 def links_in_buckets(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside each bucket: (fingerprint, representative) pairs."""
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    table = pivot_table(fp)
     order = np.lexsort((table[:, 0], bucket))
     fp, bucket, table = fp[order], bucket[order], table[order]
     label, live, step = np.arange(len(fp)), np.arange(len(fp)), 0
@@ -105,8 +118,7 @@ def links_in_buckets(fp: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -
         live = live[(bucket[live] == bucket[live + step]) & (table[live + step, 0] - table[live, 0] <= radius)]
         if not len(live):
             break
-        near = live[(np.abs(table[live + step] - table[live]) <= radius).all(axis=1)]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= radius]
+        near = live[linked(fp, table, live, live + step, radius)]
         _join(label, near, near + step)
     found = np.flatnonzero(label != np.arange(len(fp)))
     return fp[found], fp[label[found]]

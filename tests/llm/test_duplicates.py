@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footlog.llm import linededup, minhash, simhash
+from footlog.llm import linededup, minhash, neartexts, simhash
 from tests.llm import corpus
 
 
@@ -218,3 +218,22 @@ def test_pipeline_drops_every_text_alike_by_five_words(spark):
     want = Counter(min(((data[i][0] is None, data[i][0] or 0) for i in range(len(data)) if label[i] == c)) for c in set(label))
     kept = corpus_pipeline.drop_near_duplicates(spark, corpus.frame(spark, data), "/nowhere").collect()
     assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept) == want
+
+
+def test_pipeline_links_by_fingerprints_and_loses_no_pair_beyond_their_radius(spark):
+    rows = [(i, corpus.prose(40, 120 + i // 8) + (f" end{i}" if i % 2 else ""), "en", None, None) for i in range(24)] + [(90, corpus.prose(41, 200), "en", None, None)]
+    documents = corpus.frame(spark, rows)
+    pairs = neartexts.nominated(documents).collect()
+    fps, sets = {}, {}
+    for r in rows:
+        grams = neartexts.shingles(r[1].encode())
+        fps.setdefault(neartexts.node_of(grams), set()).add(simhash.simhash(r[1].encode(), 5))
+        sets[neartexts.node_of(grams)] = set(grams.tolist())
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs)
+    assert any(r.near for r in pairs)
+    for r in pairs:
+        assert r.near == any((x ^ y).bit_count() <= neartexts.RADIUS for x in fps[r.a] for y in fps[r.b])
+    alike = {(min(a, b), max(a, b)) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike <= {(r.a, r.b) for r in pairs}
+    labels = [{(r.doc_id, r.label) for r in neartexts.near_duplicates(documents, radius=radius).collect()} for radius in (neartexts.RADIUS, 0, 64)]
+    assert labels[0] == labels[1] == labels[2]
