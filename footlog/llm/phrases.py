@@ -18,6 +18,7 @@ An empty table, or one without a frequent phrase, gives an empty result. Other c
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,7 +97,7 @@ class Trie:
 
     def __init__(self) -> None:
         self.ids: dict[bytes, int] = {b"": 0}  # zero for a word that no frequent phrase holds
-        self.words, self.hashes, self.bytes, self.size = [b""], [0], 0, 0
+        self.words, self.hashes, self.bytes, self.size = [b""], array("Q", [0]), 0, 0  # hashes only where links are looked up
         self.root: dict[int, dict] = {}  # first id: container, or after a burst {second id: container}
         self.burst: set[int] = set()
 
@@ -202,8 +203,8 @@ def _words(portion: bytes) -> tuple[pa.DictionaryArray, np.ndarray, int]:
     starts, stops = edges[::2], edges[1::2]
     offsets = np.r_[0, np.cumsum(stops - starts)].astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside[1:-1]])])
-    ended = np.r_[0, np.cumsum(ending)]
-    new_piece = np.diff(ended[np.r_[starts, len(raw)]], prepend=0) > 0  # before each word, and after the last
+    ended = np.searchsorted(np.flatnonzero(ending), np.r_[starts, len(raw)])  # piece ends before each word, and before the end
+    new_piece = np.diff(ended, prepend=0) > 0  # before each word, and after the last
     places = np.arange(len(starts) + 1) + np.cumsum(new_piece)
     return words.dictionary_encode(), places[:-1], int(places[-1])
 
@@ -225,7 +226,8 @@ def counted(texts: DataFrame, low: int, high: int, parts=None, links: bool = Fal
                 trie.ids[word] = len(trie.words) if keep else 0
                 if keep:
                     trie.words.append(word)
-                    trie.hashes.append(value)
+                    if links:
+                        trie.hashes.append(value)
             return np.fromiter(map(trie.ids.__getitem__, distinct), np.int64, len(distinct))
 
         def take(trie: Trie, stream: np.ndarray, until: int) -> None:
@@ -233,7 +235,7 @@ def counted(texts: DataFrame, low: int, high: int, parts=None, links: bool = Fal
             padded = np.r_[stream, np.zeros(high, np.int64)]
             follows = padded[1:] > 0  # whether the word at a place may be followed by the next one
             if links:
-                hashes = np.array(trie.hashes, np.uint64)[padded]
+                hashes = np.array(trie.hashes)[padded]
                 follows &= _in_filter(parts.value, _pair_hash(hashes[:-1], hashes[1:]))
             going = good = padded[:until] > 0
             rest = np.zeros(until, np.int64)

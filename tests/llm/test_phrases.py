@@ -115,6 +115,21 @@ def test_bursts_spills_and_portions_change_no_count(monkeypatch, low, high):
     assert collected(rows, low, high, monkeypatch)[0] == want
 
 
+def test_a_portion_is_read_in_few_bytes_and_hashes_are_kept_for_links_only(monkeypatch):
+    import tracemalloc
+
+    portion = (b"some words of, a portion\n" * 90_000)[: phrases.PORTION]
+    tracemalloc.start()
+    phrases._words(portion)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 19 * len(portion)
+    made, whole = [], phrases.Trie
+    monkeypatch.setattr(phrases, "Trie", lambda: made.append(whole()) or made[-1])
+    assert collected([(1, "a b c, d e", "en", None, None)], 2, 2, monkeypatch)[0]["en", "d e"] == 1
+    assert [len(t.hashes) for t in made] == [1] and len(made[0].words) == 6
+
+
 def test_the_filter_keeps_every_frequent_part_and_few_others(spark):
     frequent = spark.createDataFrame([("en", f"w{i} v{i}") for i in range(5000)], "lang string, phrase string")
     held = phrases.part_filter(frequent, 20)
