@@ -291,35 +291,55 @@ def probability(levels: np.ndarray, means: np.ndarray, tokens: int, vocabulary:
     return float(np.log10(weight * share + (1 - weight) * alone).sum())
 
 
-def _scorer(shared: Broadcast, segment: Broadcast | None = None):
-    """The model's score, the base score over the words whose counts are broadcast, and the other words.
+def _rest(counted: list[Counter]) -> pa.Array:
+    """One list of (word, times) for each text."""
+    words = pa.array([w for c in counted for w in c], pa.binary()).cast(pa.string())
+    times = pa.array([n for c in counted for n in c.values()], pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counted)]), pa.int32()), pa.StructArray.from_arrays([words, times], names=["word", "times"]))
 
-    Levels come from the one segment, or from a column where several segments were read.
-    """
+
+def _scorer(shared: Broadcast, segment: Broadcast, alone: bool):
+    """The base score over the words whose counts are broadcast, the other words, and what a segment of the filter knows: the
+    model's score where there is no other segment, else the levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, means, tokens, vocabulary = shared.value
-        filled = segment and segment.value
+        filled = segment.value
         below = math.log10(tokens + 0.5 * (vocabulary + 1))
         complete = len(head) == vocabulary
         for batch in batches:
             for part in row_slices(batch, "text", SLICE):
-                texts, out = [_words(raw) for raw in part.column("text")], []
-                found = _levels(filled, texts) if filled else [np.max([np.frombuffer(p, np.uint8) for p in x.as_py()], axis=0) for x in part.column("levels")]
-                for words, levels in zip(texts, found, strict=True):
+                texts, out, others = [_words(raw) for raw in part.column("text")], [], []
+                for words, levels in zip(texts, _levels(filled, texts), strict=True):
                     counts = np.fromiter((head.get(w, -1) for w in words), np.float64, len(words))
-                    rest = [] if complete else [words[i].decode() for i in np.flatnonzero(counts < 0)]
+                    others.append(Counter() if complete else Counter([words[i] for i in np.flatnonzero(counts < 0)]))
                     counts = np.maximum(counts, 0) if complete else counts[counts >= 0]
                     base = float(np.log10(counts + 0.5).sum()) - len(words) * below
-                    out.append((len(words), int((counts > 0).sum()), base, probability(levels, means, tokens, vocabulary), rest))
-                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *made], names=_SCORED)
+                    score = probability(levels, means, tokens, vocabulary) if alone else None
+                    out.append((len(words), int((counts > 0).sum()), base, score, None if alone else levels.tobytes()))
+                made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("row", "doc_id", "held_out")] + [*made, _rest(others)], names=_SCORED)
+
+    return run
+
+
+def _together(shared: Broadcast):
+    """The model's score from the levels of all segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, means, tokens, vocabulary = shared.value
+        for batch in batches:
+            found = [np.max([np.frombuffer(p, np.uint8) for p in x.as_py()], axis=0) for x in batch.column("levels")]
+            scores = pa.array([probability(x, means, tokens, vocabulary) for x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*_COUNTED, "score"])
 
     return run
 
 
-_SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"]
-_MADE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<string>"
+_COUNTED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+_SCORED = [*_COUNTED, "score", "levels", "rest"]
+_SCORES = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_MADE = f"{_SCORES}, levels binary, rest array<struct<word string, times long>>"
 
 
 def score(
@@ -330,31 +350,33 @@ def score(
     model = Trained(documents.where(F.col(id_col).isNotNull() & ~in_fold(F.col(id_col), fold)), text_col, per_block, head)
     named = documents.select(F.col(id_col).cast("long").alias("doc_id"), in_fold(F.col(id_col), fold).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     rows = named.select(F.monotonically_increasing_id().alias("row"), "*")
-    portions = model.portions(segment)
-    if len(portions) > 1:  # row numbers must hold from pass to pass
+    first, *more = model.portions(segment)
+    if more:  # row numbers must hold from pass to pass
         rows = staged(rows, "ngrams-rows")
 
     shared = context.broadcast((model.head, model.means, model.tokens, model.vocabulary))
-    if len(portions) == 1:
-        made = rows.mapInArrow(_scorer(shared, context.broadcast(model.segment(*portions[0]))), _MADE)
-    else:
-        every = None
-        for portion in portions:
+    held = context.broadcast(model.segment(*first))
+    scored = rows.mapInArrow(_scorer(shared, held, not more), _MADE)
+    if more or len(model.head) < model.vocabulary:
+        scored = staged(scored, "ngrams-scores")
+        held.destroy()  # its levels are written
+    made = scored.drop("levels", "rest")
+    if more:  # texts are not dealt, only levels
+        every = scored.select("row", F.array("levels").alias("levels"))
+        for portion in more:
             held = context.broadcast(model.segment(*portion))
-            found = staged(rows.select("row", "text").mapInArrow(_reader(held), "row long, levels array<binary>"), "ngrams-levels")
-            held.destroy()  # its levels are written
-            every = found if every is None else every.unionByName(found)
-        levelled = rows.join(every.groupBy("row").agg(F.flatten(F.collect_list("levels")).alias("levels")), "row")
-        made = levelled.mapInArrow(_scorer(shared), _MADE)
+            every = every.unionByName(staged(rows.select("row", "text").mapInArrow(_reader(held), "row long, levels array<binary>"), "ngrams-levels"))
+            held.destroy()
+        levels = every.groupBy("row").agg(F.flatten(F.collect_list("levels")).alias("levels"))
+        made = scored.select(*_COUNTED).join(levels, "row").mapInArrow(_together(shared), _SCORES)
     if len(model.head) < model.vocabulary:
-        made = _with_rest(made, model)
+        made = _with_rest(made, scored, model)
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _with_rest(made: DataFrame, model: Trained) -> DataFrame:
-    """The base scores completed by the words whose counts are not broadcast."""
-    made = staged(made.select(F.monotonically_increasing_id().alias("row"), "*"), "ngrams-scores")
-    words = made.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+def _with_rest(made: DataFrame, scored: DataFrame, model: Trained) -> DataFrame:
+    """The base scores completed by the words whose counts are not broadcast; every row names such a word once."""
+    words = scored.select("row", F.inline("rest").alias("word", "times"))
     met = words.join(model.words, "word", "left")
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more")

@@ -106,6 +106,17 @@ def test_scores_of_hard_rows(spark, head, segment, per_block):
         assert all(math.isclose(whole[r.doc_id, r.n_tokens], r.score) for r in got)
 
 
+def test_no_text_is_dealt_to_meet_the_levels_of_other_segments(spark):
+    """Several segments and words outside the head give the scores of one segment, and no text goes through a shuffle."""
+    one = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in ngrams.score(corpus.frame(spark), per_block=300).collect())
+    whole = {(r.doc_id, r.n_tokens): r.score for r in ngrams.score(corpus.frame(spark), per_block=300).collect()}
+    made = ngrams.score(corpus.frame(spark), per_block=300, segment=1500, head=30)
+    got = made.collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == one
+    assert all(math.isclose(whole[r.doc_id, r.n_tokens], r.score) for r in got)
+    assert "text#" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_score_of_nothing(spark):
     assert ngrams.score(corpus.frame(spark, [])).count() == 0
     row = ngrams.score(corpus.frame(spark, [(None, "a b", None, None, 0)])).first()
