@@ -47,6 +47,8 @@ MOST_WORDS, MOST_BYTES, MOST_WINDOWS = 1 << 19, 64 << 20, 1_000_000
 BURST = 4096
 #: Copies of each part that joins look up, so that a frequent part is met in many tasks.
 SALTS = 16
+#: Runs are dealt by first word to so many places; a word that makes up more than one in COMMON of all words has COMMON_PARTS.
+PLACES, COMMON, COMMON_PARTS = 1 << 20, 1000, 64
 RUN = "lang string, phrase string, n long"
 
 
@@ -210,8 +212,9 @@ def _words(portion: bytes) -> tuple[pa.DictionaryArray, np.ndarray, int]:
 
 
 def counted(texts: DataFrame, low: int, high: int, parts=None, links: bool = False) -> DataFrame:
-    """Counts (lang, phrase, n) of all phrases of ``low`` to ``high`` words; with low = 1 also each language's number of
-    words, as phrase ''. ``parts`` is a broadcast filter of frequent words, or with ``links`` of frequent pairs."""
+    """Sorted runs (lang, phrase, n) with the counts of all phrases of ``low`` to ``high`` words, for ``merged``; with low = 1
+    also each language's number of words, as phrase ''. ``parts`` is a broadcast filter of frequent words, or with ``links``
+    of frequent pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = {}
@@ -276,7 +279,25 @@ def counted(texts: DataFrame, low: int, high: int, parts=None, links: bool = Fal
             names = list(totals)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.repeat("", len(names)), pa.array([totals[x] for x in names])], names=["lang", "phrase", "n"])
 
-    return texts.mapInArrow(run, RUN).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, RUN)
+
+
+def merged(runs: DataFrame, common: list[str] | None = None) -> DataFrame:
+    """Each phrase's count over all runs. Runs are dealt as they come: the tries have added up what a task could, and a second
+    table of the same phrases would stand in the executor beside them. With ``common`` words given they are dealt by their first
+    word, so that neighbours in a sorted run travel together and shrink; phrases that start with a common word are dealt further."""
+    if common is None:
+        return runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    first = F.substring_index("phrase", " ", 1)
+    part = F.when(first.isin(common), F.pmod(F.xxhash64("phrase"), F.lit(COMMON_PARTS))).otherwise(0)
+    dealt = runs.withColumn("place", F.pmod(F.xxhash64("lang", first, part), F.lit(PLACES)).cast("int"))
+    return dealt.repartition("place").groupBy("place", "lang", "phrase").agg(F.sum("n").alias("n")).drop("place")
+
+
+def common_words(words: DataFrame) -> list[str]:
+    """The words that make up more than one in COMMON of all words of all languages: fewer than COMMON."""
+    total = words.where("phrase = ''").agg(F.sum("n")).first()[0] or 0
+    return [r["phrase"] for r in words.where("phrase <> ''").groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") > total // COMMON).collect()]
 
 
 def frequent_phrases(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4) -> DataFrame:
@@ -286,12 +307,12 @@ def frequent_phrases(documents: DataFrame, text_col: str = "text", lang_col: str
     texts = documents.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
-    words = staged(counted(texts, 1, 1).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-words")
+    words = staged(merged(counted(texts, 1, 1)).where((F.col("n") >= least) | (F.col("phrase") == "")), "phrase-words")
     found = [words.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(1))]
-    parts = words.where("phrase <> ''")
+    parts, common = words.where("phrase <> ''"), common_words(words)
     for low, high in [(2, 2), (3, longest)][: longest - 1]:
         held = spark.sparkContext.broadcast(part_filter(parts))
-        parts = staged(counted(texts, low, high, held, links=low > 2).where(F.col("n") >= least), f"phrase-{low}")
+        parts = staged(merged(counted(texts, low, high, held, links=low > 2), common).where(F.col("n") >= least), f"phrase-{low}")
         held.destroy()
         found.append(parts.withColumn("words", F.size(F.split("phrase", " "))))
     together = found[0]

@@ -130,6 +130,26 @@ def test_a_portion_is_read_in_few_bytes_and_hashes_are_kept_for_links_only(monke
     assert [len(t.hashes) for t in made] == [1] and len(made[0].words) == 6
 
 
+def test_runs_are_dealt_before_they_are_added_up_again(spark):
+    """A task that holds a trie keeps no second table of its phrases; counts of several runs still meet."""
+    rows = corpus.rows()
+    texts = corpus.frame(spark, rows).selectExpr("coalesce(lang, 'und') as lang", "cast(coalesce(text, '') as binary) as text")
+    want = {(lang, " ".join(words)): n for (lang, words), n in brute_counts(rows).items() if len(words) == 2}
+    for common in (None, [], ["the", "same", "one"]):
+        made = phrases.merged(phrases.counted(texts, 2, 2), common)
+        assert made.columns == ["lang", "phrase", "n"] and {(r.lang, r.phrase): r.n for r in made.collect()} == want
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1
+        below = plan[plan.rindex("Exchange hashpartitioning") :]
+        assert "MapInArrow" in below and "Aggregate" not in below
+
+
+def test_common_words_are_few(spark):
+    rows = [("en", "", 3000), ("fr", "", 1000), ("en", "the", 400), ("fr", "le", 90), ("en", "a", 3), ("fr", "a", 2), ("en", "rare", 4), ("fr", "peu", 3)]
+    assert sorted(phrases.common_words(spark.createDataFrame(rows, phrases.RUN))) == ["a", "le", "the"]
+    assert phrases.common_words(spark.createDataFrame([], phrases.RUN)) == []
+
+
 def test_the_filter_keeps_every_frequent_part_and_few_others(spark):
     frequent = spark.createDataFrame([("en", f"w{i} v{i}") for i in range(5000)], "lang string, phrase string")
     held = phrases.part_filter(frequent, 20)
