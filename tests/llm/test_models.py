@@ -117,6 +117,21 @@ def test_no_text_is_dealt_to_meet_the_levels_of_other_segments(spark):
     assert "text#" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_texts_are_read_once_whatever_the_size_of_the_filter(spark, monkeypatch):
+    """A filter of many blocks stages the same tables as one of a single block, and portions of any size give the same scores."""
+    documents, names, staged = corpus.frame(spark), [], ngrams.staged
+    monkeypatch.setattr(ngrams, "staged", lambda frame, name: names.append((name, "text#" in frame._jdf.queryExecution().optimizedPlan().toString())) or staged(frame, name))
+    want = sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngrams.score(documents, per_block=300).collect())
+    one = list(names)
+    names.clear()
+    got = ngrams.score(documents, per_block=300, segment=1500)
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got.collect()) == want
+    assert names == one and sum(text for _, text in names) == 1
+    for portion, head in ((1, 30), (500, 200_000)):
+        small = ngrams.score(documents, per_block=300, portion=portion, head=head).collect()
+        assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in small) == want
+
+
 def test_score_of_nothing(spark):
     assert ngrams.score(corpus.frame(spark, [])).count() == 0
     row = ngrams.score(corpus.frame(spark, [(None, "a b", None, None, 0)])).first()
