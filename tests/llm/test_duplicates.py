@@ -237,3 +237,14 @@ def test_pipeline_links_by_fingerprints_and_loses_no_pair_beyond_their_radius(sp
     assert alike <= {(r.a, r.b) for r in pairs}
     labels = [{(r.doc_id, r.label) for r in neartexts.near_duplicates(documents, radius=radius).collect()} for radius in (neartexts.RADIUS, 0, 64)]
     assert labels[0] == labels[1] == labels[2]
+
+
+def test_near_duplicates_mark_and_count_texts_in_one_pass(spark, monkeypatch):
+    documents, names, staged = corpus.frame(spark), [], neartexts.staged
+    monkeypatch.setattr(neartexts, "staged", lambda frame, name: names.append((name, staged(frame, name))) or names[-1][1])
+    assert neartexts.near_duplicates(documents).count() == documents.count()
+    made = dict(names)["neartexts"]
+    want = np.zeros(neartexts.SLOTS, np.int64)
+    for r in documents.collect():
+        np.add.at(want, (neartexts.shingles((r.text or "").encode()) % np.uint64(neartexts.SLOTS)).astype(np.int64), 1)
+    assert "chunk" in made.columns and (neartexts.slot_counts(made) == want).all()
