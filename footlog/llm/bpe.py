@@ -2,8 +2,9 @@
 
 A text is split by the vocabulary's pattern; each match is merged on its own, always the pair of lowest rank, leftmost
 first. Pending pairs lie in one bucket per rank, as positions of a linked list of symbols. A bitmap of two levels marks
-the ranks whose buckets hold something: find-first-set at each level gives the lowest. Entries whose pair has changed since
-are stale and skipped. An n-byte match takes O(n log n) whatever its length; short matches are remembered.
+the ranks whose buckets hold something: find-first-set at each level gives the lowest. A pair is queued only once it comes
+before both of its neighbours, for until then one of them is merged first, which changes it. Entries whose pair has changed
+since are stale and skipped. An n-byte match takes O(n log n) whatever its length; short matches are remembered.
 
 Nulls: a null text is empty and has no ids; null ids decode to empty bytes. Repeated rows give repeated result rows. Other
 columns are not read.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from footlog.llm.common import BLOCK, Memo, row_slices
 REMEMBERED = 350_000
 #: Ranks a block of the bitmap covers.
 _WIDTH = 240  # whole digits of Python integers
+#: Ids decoded at once.
+_DECODED = 1 << 20
 _loaded: dict[str, Coder] = {}
 
 
@@ -40,6 +44,7 @@ class Coder:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pieces = {b: a for a, b in self.ranks.items()}
+        self.none = max(self.pieces) + 1  # stands for a pair without a rank, after all others
         self.blocks = [r // _WIDTH for r in range(max(self.pieces) + 1)]
         self.bits = [1 << r % _WIDTH for r in range(max(self.pieces) + 1)]
         self.tops = [1 << b for b in range(max(self.pieces) // _WIDTH + 1)]
@@ -51,26 +56,31 @@ class Coder:
         ranks, n = self.ranks, len(raw)
         if raw in ranks:
             return [ranks[raw]]
-        find, blocks, bits_of, tops, push, pop = ranks.get, self.blocks, self.bits, self.tops, heapq.heappush, heapq.heappop
-        end, before = list(range(1, n + 1)), list(range(-1, n))  # symbol i is raw[i:end[i]]; its right neighbour starts at end[i]
-        pair: list[int | None] = [find(raw[i : i + 2]) for i in range(n - 1)] + [None]  # the rank of symbol i with its right neighbour
+        find, none, blocks, bits_of, tops, push, pop = ranks.get, self.none, self.blocks, self.bits, self.tops, heapq.heappush, heapq.heappop
+        # Symbol i is raw[i:end[i]]; its right neighbour starts at end[i]. Symbol n stands behind the last and, as -1, before the first.
+        end, before = [*range(1, n + 1), 0], [*range(-1, n)]
+        pair = [find(raw[i : i + 2], none) for i in range(n - 1)] + [none, none]  # the rank of symbol i with its right neighbour
         # The queue: a bucket of positions per rank, a bitmap of the ranks in use per block, a bitmap of the blocks in use.
         buckets: dict[int, list[int]] = {}
         low: dict[int, int] = {}
-        top, look = 0, range(n - 1)
+        top, look, last = 0, [], none
+        for i in range(n - 1):
+            if last > (rank := pair[i]) <= pair[i + 1]:
+                look.append(i)
+            last = rank
         while True:
             for i in look:
-                if (rank := pair[i]) is not None:
-                    if rank in buckets:
-                        push(buckets[rank], i)
+                rank = pair[i]
+                if rank in buckets:
+                    push(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    block = blocks[rank]
+                    if block in low:
+                        low[block] |= bits_of[rank]
                     else:
-                        buckets[rank] = [i]
-                        block = blocks[rank]
-                        if block in low:
-                            low[block] |= bits_of[rank]
-                        else:
-                            low[block] = bits_of[rank]
-                            top |= tops[block]
+                        low[block] = bits_of[rank]
+                        top |= tops[block]
             while top:  # find-first-set in both levels; entries whose pair has changed are skipped
                 block = (top & -top).bit_length() - 1
                 bits = low[block]
@@ -88,19 +98,28 @@ class Coder:
                     break
             else:
                 break
-            gone = end[i]
-            pair[gone], end[i] = None, (right := end[gone])
-            left = before[i]
-            if right < n:
-                before[right] = i
-                pair[i] = find(raw[i : end[right]])
-            else:
-                pair[i] = None
+            gone, left = end[i], before[i]
+            end[i] = right = end[gone]
+            before[right] = i
+            was_new, pair[gone] = pair[gone], none
+            new = pair[i] = find(raw[i : end[right]], none)
+            far = pair[right]
+            # What the merge has brought before both of its neighbours: a changed pair, or the next on either side of these.
+            look, near = [], none
             if left >= 0:
-                pair[left] = find(raw[left:right])
-                look = (left, i)
-            else:
-                look = (i,)
+                was_near = pair[left]
+                near = pair[left] = find(raw[left:right], none)
+                beyond = before[left]
+                other = pair[beyond]
+                if other > near:
+                    if near <= new:
+                        look.append(left)
+                elif was_near < other < pair[before[beyond]]:
+                    look.append(beyond)
+            if near > new <= far:
+                look.append(i)
+            if new > far >= was_new and far <= pair[end[right]]:
+                look.append(right)
         out, i = [], 0
         while i < n:
             out.append(ranks[raw[i : end[i]]])
@@ -143,11 +162,17 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = coder(path, public_tokenizers.PATTERN).pieces
+        table = pa.array([pieces.get(r) for r in range(max(pieces) + 1)], pa.binary())
         for batch in batches:
-            ids = batch.column(ids_col)
-            made = [b"".join(map(pieces.__getitem__, ids[i].values.to_numpy().tolist())) if ids[i].is_valid else b"" for i in range(len(ids))]
-            kept = [(n, batch.column(n)) for n in batch.schema.names if n != out_col]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(made, pa.binary())], names=[*(n for n, _ in kept), out_col])
+            for part in row_slices(batch, ids_col, _DECODED):
+                ids = part.column(ids_col)
+                found = table.take(ids.flatten())
+                if found.null_count:
+                    raise KeyError("ids without a piece")
+                ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()]).astype(np.int32)
+                made = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), found), b"")
+                kept = [(n, part.column(n)) for n in part.schema.names if n != out_col]
+                yield pa.RecordBatch.from_arrays([*(c for _, c in kept), made], names=[*(n for n, _ in kept), out_col])
 
     kept = [f for f in tokens.schema.fields if f.name != out_col]
     return tokens.mapInArrow(run, StructType([*kept, StructField(out_col, BinaryType())]))

@@ -91,12 +91,12 @@ class Memo(dict):
         return value
 
 
-def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch cut into slices of bounded text, so that what is made of them stays bounded too."""
+def row_slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut into slices of bounded text (bytes) or lists (items), so that what is made of them stays bounded too."""
     sizes, start, total = batch.column(column), 0, 0
-    lengths = pc.binary_length(sizes).to_pylist()
+    lengths = (pc.list_value_length if pa.types.is_nested(sizes.type) else pc.binary_length)(sizes).to_pylist()
     for i, size in enumerate(lengths):
-        if total and total + (size or 0) > most_bytes:
+        if total and total + (size or 0) > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size or 0

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import heapq
 import random
 import struct
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +51,41 @@ def test_very_long_pretokens(library, text):
     assert _ids(text) == library.encode_ordinary(text)
 
 
+def test_pairs_are_queued_once_they_come_before_their_neighbours(monkeypatch):
+    # Queue entries cost most of the merging: hardly more of them than merges. Queueing every pair made it over twice as many.
+    coder, taken = bpe.Coder(RANKS, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(bpe, "heapq", SimpleNamespace(heappush=heapq.heappush, heappop=lambda bucket: taken.append(1) or heapq.heappop(bucket)))
+    rng = random.Random(7)
+    words = [" " + "".join(rng.choices(["the", "an", "ing", "er", "on", "q", "ß"], k=6)) for _ in range(500)]
+    merges = sum(len(w.encode()) - len(coder.merge(w.encode())) for w in words)
+    assert merges <= len(taken) < 1.2 * merges
+
+
+def test_ranks_in_any_order(tmp_path):
+    # A merged pair may have a lower rank than the pair before it; ranks have gaps.
+    rng, path = random.Random(9), tmp_path / "any.tiktoken"
+    for _ in range(60):
+        found = sorted({*"abc", *("".join(rng.choices("abc", k=rng.randrange(2, 6))) for _ in range(rng.randrange(3, 60)))})
+        ranks = dict(zip(found, rng.sample(range(1000), len(found)), strict=True))
+        path.write_text("".join(f"{base64.b64encode(k.encode()).decode()} {r}\n" for k, r in ranks.items()))
+        coder = bpe.Coder(str(path), public_tokenizers.PATTERN)
+        for _ in range(100):
+            word = "".join(rng.choices("abc", k=rng.randrange(1, 30)))
+            parts = [word] if word in ranks else [*word]
+            while options := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+                i = min(options)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert coder.merge(word.encode()) == [ranks[x] for x in parts], (word, ranks)
+
+
+def test_decoding_of_slices_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "_DECODED", 4)
+    rows = [(1, [72, 73, 74]), (2, None), (3, []), (4, [75, 76, 77, 78, 79, 80]), (4, [81]), (None, [72])]
+    pieces = bpe.coder(RANKS, public_tokenizers.PATTERN).pieces
+    got = bpe.decode(spark.createDataFrame(rows, "k long, ids array<int>").coalesce(1), out_col="raw").collect()
+    assert Counter((r.k, bytes(r.raw)) for r in got) == Counter((k, b"".join(pieces[i] for i in ids or [])) for k, ids in rows)
+
+
 def test_coding_of_hard_rows(spark, library):
     documents = corpus.clashing(corpus.frame(spark))
     coded = bpe.decode(bpe.encode(documents))
