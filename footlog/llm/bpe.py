@@ -33,16 +33,21 @@ REMEMBERED = 350_000
 #: Ranks a block of the bitmap covers.
 _WIDTH = 240  # whole digits of Python integers
 #: Ids decoded at once.
-_DECODED = 1 << 20
+_DECODED = 1 << 17
 _loaded: dict[str, Coder] = {}
+_tables: dict[str, pa.Array] = {}
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
 class Coder:
     """The ranks of one vocabulary and what is remembered of it; one per Python worker."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
+        self.ranks = read_ranks(path)
         self.pieces = {b: a for a, b in self.ranks.items()}
         self.none = max(self.pieces) + 1  # stands for a pair without a rank, after all others
         self.blocks = [r // _WIDTH for r in range(max(self.pieces) + 1)]
@@ -140,6 +145,14 @@ def coder(path: str, pattern: str) -> Coder:
     return _loaded[key]
 
 
+def pieces_by_rank(path: str) -> pa.Array:
+    """The bytes of every rank, null where there is none; all that a worker that decodes keeps."""
+    if path not in _tables:
+        pieces = {b: a for a, b in read_ranks(path).items()}
+        _tables[path] = pa.array([pieces.get(r) for r in range(max(pieces) + 1)], pa.binary())
+    return _tables[path]
+
+
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -161,8 +174,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", ra
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = coder(path, public_tokenizers.PATTERN).pieces
-        table = pa.array([pieces.get(r) for r in range(max(pieces) + 1)], pa.binary())
+        table = pieces_by_rank(path)
         for batch in batches:
             for part in row_slices(batch, ids_col, _DECODED):
                 ids = part.column(ids_col)
