@@ -322,10 +322,11 @@ def frequent_phrases(documents: DataFrame, text_col: str = "text", lang_col: str
 
 
 def _looked_up(wanted: DataFrame, found: DataFrame, key: str, out: str) -> DataFrame:
-    """``wanted`` with the count of the phrase in its column ``key``; the found phrases are repeated once per salt."""
+    """``wanted`` with the count of the phrase in its column ``key``; the found phrases are repeated once per salt. Spark sizes
+    them as if they were not repeated, and stored phrases by their compressed files, so the join is never left to that size."""
     parts = found.where("words > 0").select(F.col("lang"), F.col("phrase").alias(key), F.col("n").alias(out), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     dealt = wanted.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
-    return dealt.join(parts, ["lang", key, "salt"]).drop("salt")
+    return dealt.join(parts.hint("merge"), ["lang", key, "salt"]).drop("salt")
 
 
 def _joined(words: Column, start: Column, length: Column) -> Column:
@@ -347,7 +348,7 @@ def collocations(found: DataFrame, share: int = 80) -> DataFrame:
     inner = inner.select("lang", "outer", "list", "size", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("size") + 1)).alias("start"))
     around = inner.groupBy("lang", _joined(F.col("list"), F.col("start"), F.col("size")).alias("phrase")).agg(F.max("outer").alias("outer"))
     held = F.expr("cast(outer as decimal(19,0)) * 100 >= cast(cut.a as decimal(19,0))") if share == 1 else F.expr(f"cast(outer as decimal(19,0)) * 100 >= cast(cut.a as decimal(19,0)) * {share}")
-    kept = best.join(around, ["lang", "phrase"], "left").where(F.col("outer").isNull() | ~held)
+    kept = best.join(around.hint("merge"), ["lang", "phrase"], "left").where(F.col("outer").isNull() | ~held)
     return kept.select("lang", "phrase", *[F.col(f"cut.{c}").alias(c) for c in "alr"], "cut.score")
 
 

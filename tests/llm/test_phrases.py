@@ -144,6 +144,15 @@ def test_runs_are_dealt_before_they_are_added_up_again(spark):
         assert "MapInArrow" in below and "Aggregate" not in below
 
 
+def test_repeated_parts_are_never_sized_small_enough_to_broadcast(spark, monkeypatch):
+    """Spark takes rows repeated once per salt, and windows inside longer phrases, for as few as the stored phrases are."""
+    monkeypatch.setattr(phrases, "SALTS", 300)
+    made = phrases.collocations(phrases.frequent_phrases(corpus.frame(spark), least=3))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
+    assert made.count() > 0 and "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_common_words_are_few(spark):
     rows = [("en", "", 3000), ("fr", "", 1000), ("en", "the", 400), ("fr", "le", 90), ("en", "a", 3), ("fr", "a", 2), ("en", "rare", 4), ("fr", "peu", 3)]
     assert sorted(phrases.common_words(spark.createDataFrame(rows, phrases.RUN))) == ["a", "le", "the"]
