@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from footlog.model import DAY_MS, MINUTE_MS, Window
 from footlog.operators import heatmap, replays
+from footlog.sources import recordings as stored
 from footlog.sources.recordings import CHUNK_SCHEMA, land_chunks, purge, purge_store, read_chunks, store_chunks, without_recordings
 from tests.raw import CHROME, sites_frame
 
@@ -97,6 +98,25 @@ def test_recordings_stop_at_the_limit_and_start_again_after_the_gap(spark):
     assert {k: sorted(v) for k, v in got.items()} == {0: [0, 10, 29], 60: [60, 61]}
 
 
+def test_events_are_dealt_out_by_chunk_once(spark):
+    sent = chunk("load0001", 0, NOW, [[0, 0, snap("a"), 1250, 800, "/p"], [5, 3, 1, 2, 3], [9, 7, "/q"]])
+    facts = replays.chunk_facts(landed(spark, sent, sent, chunk("load0001", 1, NOW + 1, [[3, 6, 4, "x"], [4, 8, "boom"]])))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    got = {r.seq: (r.events, r.pages, r.clicks, r.inputs, r.errors, r._snap and r._snap.args) for r in facts.collect()}
+    assert got == {0: (3, 2, 1, 0, 0, ['{"n":"a"}', "1250", "800", "/p"]), 1: (2, 0, 0, 1, 1, None)}
+
+
+def test_chunks_are_dealt_out_before_they_are_opened(spark, tmp_path, monkeypatch):
+    given, opened = [], stored.open_chunks
+    monkeypatch.setattr(stored, "open_chunks", lambda chunks: given.append(chunks) or opened(chunks))
+    chunks = [chunk("load0001", n, NOW + n % 3 * DAY_MS, [[i, 3, 1, 2, 3] for i in range(50)], site=f"s{n % 2}") for n in range(12)]
+    rows = store_chunks(spark.createDataFrame([*chunks, ("s0", "v1", "load0001", 99, NOW, CHROME, "de", True, b"not gzip")], CHUNK_SCHEMA), str(tmp_path / "chunks"))
+    assert "Rebalance" in given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.seq, r.site_id, r["count"]) for r in rows.groupBy("seq", "site_id", "day").count().collect()} == {*((n, f"s{n % 2}", 50) for n in range(12)), (99, "s0", 1)}
+    assert rows.select("day").distinct().count() == 3 and len(list((tmp_path / "chunks").glob("*/*/*.parquet"))) <= 12
+
+
 def test_recording_row(spark):
     rows = landed(
         spark,
